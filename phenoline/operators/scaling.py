@@ -56,10 +56,12 @@ def is_array(df: DataFrame, column: str) -> bool:
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(name, value)`` of all scalars and array elements of some columns; a projection, nothing is shuffled."""
-    parts = []
-    for column in columns:
+
+    def named(column: str) -> Column:
         value = F.col(column).cast("array<double>") if is_array(df, column) else F.array(F.col(column).cast("double"))
-        parts.append(F.transform(value, lambda v, c=column: F.struct(F.lit(c).alias("name"), v.alias("value"))))
+        return F.transform(value, lambda v: F.struct(F.lit(column).alias("name"), v.alias("value")))
+
+    parts = [named(column) for column in columns]
     empty = F.array().cast("array<struct<name:string,value:double>>")
     rows = df.select(F.explode(F.concat(*[F.coalesce(part, empty) for part in parts])).alias("pair"))
     value = F.col("pair.value")
@@ -181,14 +183,12 @@ def unscaled(value: Column, scaler: Scaler) -> Column:
 
 
 def _map_columns(df: DataFrame, scalers: Mapping[str, Scaler], formula) -> DataFrame:
-    changed = {}
-    for column, scaler in scalers.items():
+    def changed(column: str, scaler: Scaler) -> Column:
         if is_array(df, column):
-            values = F.col(column).cast("array<double>")
-            changed[column] = F.transform(values, lambda v, s=scaler: formula(v, s))
-        else:
-            changed[column] = formula(F.col(column).cast("double"), scaler)
-    return df.withColumns(changed)
+            return F.transform(F.col(column).cast("array<double>"), lambda v: formula(v, scaler))
+        return formula(F.col(column).cast("double"), scaler)
+
+    return df.withColumns({column: changed(column, scaler) for column, scaler in scalers.items()})
 
 
 def apply_scalers(df: DataFrame, scalers: Mapping[str, Scaler]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phenoline.functions.arrays import known
 from phenoline.functions.dates import parse_day_month, season_start, season_year, whole_days
 from phenoline.operators.gapfill import METHODS, filled_for, neighbour_columns
+from phenoline.operators.layout import spread
 
 SEASON_COLUMNS = [
     "site",
@@ -81,7 +82,7 @@ def densify_observations(obs: DataFrame) -> DataFrame:
     (site, date), so no site is gathered in one task and repeated dates stay as they are.
     """
     span = obs.groupBy("site").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    axis = span.select("site", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
+    axis = spread(span).select("site", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
     blank = axis.join(obs.select("site", "date"), ["site", "date"], "left_anti")
     return obs.select("site", "date", "temp").unionByName(blank.withColumn("temp", F.lit(None).cast("double")))
 

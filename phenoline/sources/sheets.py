@@ -78,7 +78,7 @@ def read_sheets(
         as_array(F.col("header.line")).alias("names"),
         as_array(F.col("line")).alias("values"),
     )
-    place = {c: F.array_position(F.transform("names", F.trim), F.lit(c)) for c in columns}
+    place = {c: F.array_position(F.transform("names", lambda n: F.trim(n)), F.lit(c)) for c in columns}
     picked = [
         F.when(place[c] > 0, F.try_element_at("values", place[c].cast("int"))).alias(c) for c in columns
     ]

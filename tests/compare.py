@@ -19,7 +19,7 @@ def _cell(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return "null"
     if isinstance(value, float):
-        return f"{value + 0.0:.6f}" if value != 0 else "0.000000"
+        return repr(value + 0.0)
     return str(value)
 
 

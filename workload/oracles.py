@@ -150,7 +150,7 @@ scores AS (
 SCORES_OUT = """
 SELECT sim_id, site, year, fraction, cutoff, pred_first, pred_full,
        CAST(CAST(cutoff_date AS DATE) AS VARCHAR) AS cutoff_date, first_micros, full_micros,
-       round(mae_first, 6) AS mae_first, round(mae_full, 6) AS mae_full FROM scores"""
+       mae_first, mae_full FROM scores"""
 
 DATE_ERRORS = f"""{_scores()},
 errors AS (
@@ -169,7 +169,7 @@ SELECT sim_id, cutoff, round(mean_first, 6) AS mean_first, round(std_first, 6) A
 
 STEPS_OUT = """
 SELECT site, year, step, CAST(date AS VARCHAR) AS date, days_to_first, days_to_full,
-       coalesce(round(temp_first, 6), -1.0) AS temp_first, coalesce(round(temp_full, 6), -1.0) AS temp_full,
+       coalesce(temp_first, -1.0) AS temp_first, coalesce(temp_full, -1.0) AS temp_full,
        countdown_first, countdown_full, lat, lng FROM steps"""
 
 KEY_SETS = """
@@ -205,7 +205,7 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY site, season_year ORDER BY date) AS pos,
          count(temp) OVER (PARTITION BY site, season_year) AS known FROM obs),
 near AS (SELECT *, {_near(method, "site, season_year", "pos", "pos", "temp")} FROM placed WHERE known >= 3)
-SELECT site, CAST(date AS VARCHAR) AS date, round({_fill(method, "pos", "temp", None)}, 6) AS filled FROM near"""
+SELECT site, CAST(date AS VARCHAR) AS date, {_fill(method, "pos", "temp", None)} AS filled FROM near"""
 
 
 ORACLES: dict[str, str] = {
@@ -215,7 +215,7 @@ ORACLES: dict[str, str] = {
 SELECT site, year, CAST(first_bloom AS VARCHAR) AS first_bloom, CAST(full_bloom AS VARCHAR) AS full_bloom,
        CAST(data_start_date AS VARCHAR) AS data_start_date, days_to_first, days_to_full, bloom_offset,
        CAST(1 AS BIGINT) AS copies FROM seasons""",
-    "sites_in_country": f"WITH {CITIES} SELECT city_ascii, lat, lng FROM cities WHERE country = 'NATION_7'",
+    "sites_in_country": f"WITH {CITIES} SELECT city_ascii, lat, lng FROM cities WHERE country = 'NATION_15'",
     "site_coordinates": """
 SELECT n_name AS site, count(*) AS n_rows, max(s_acctbal) AS top_lat
 FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""",
@@ -242,16 +242,16 @@ SELECT site AS site_name, year,
        max(days_to_full) + 1 AS n_countdown_first, max(days_to_full) + 1 AS n_countdown_full,
        max(days_to_first) - max(days_to_full) AS end_first, 0 AS end_full,
        CAST(count(temp_first) AS INTEGER) AS n_first, CAST(count(temp_full) AS INTEGER) AS n_full,
-       round(max(temp_full) FILTER (step = 0), 6) AS start_temp,
-       round(max(temp_first) FILTER (step = days_to_first), 6) AS end_temp_first,
-       round(max(temp_full) FILTER (step = days_to_full), 6) AS end_temp_full, site AS city_ascii
+       max(temp_full) FILTER (step = 0) AS start_temp,
+       max(temp_first) FILTER (step = days_to_first) AS end_temp_first,
+       max(temp_full) FILTER (step = days_to_full) AS end_temp_full, site AS city_ascii
 FROM steps GROUP BY site, year""",
     "explode_steps": f"""WITH {_steps()}
-SELECT site AS site_name, year, step, lat, lng, round(temp_full, 6) AS temp,
+SELECT site AS site_name, year, step, lat, lng, temp_full AS temp,
        CAST(countdown_first AS DOUBLE) AS target_first, CAST(countdown_full AS DOUBLE) AS target_full
 FROM steps WHERE step <= days_to_full""",
     "explode_daily": f"""WITH {_steps()}
-SELECT site AS site_name, year, CAST(date AS VARCHAR) AS date, round(temp_full, 6) AS temperature,
+SELECT site AS site_name, year, CAST(date AS VARCHAR) AS date, temp_full AS temperature,
        CAST(countdown_first AS DOUBLE) AS countdown_first, CAST(countdown_full AS DOUBLE) AS countdown_full
 FROM steps WHERE step <= days_to_full""",
     "length_stats": f"""WITH {_steps()}
@@ -297,8 +297,8 @@ UNION ALL SELECT 'test', n - CAST(floor(0.8 * n) AS BIGINT), n - CAST(floor(0.8
     "lag_window_features": f"""WITH {_steps()},
 past AS (
   SELECT site, year, step, countdown_full, CAST(count(*) OVER w AS INTEGER) AS n_past,
-         round(min(temp_full) OVER w, 6) AS low, round(max(temp_full) OVER w, 6) AS high,
-         round(first_value(temp_full) OVER w, 6) AS oldest, last_value(countdown_full) OVER w AS newest_countdown
+         min(temp_full) OVER w AS low, max(temp_full) OVER w AS high,
+         first_value(temp_full) OVER w AS oldest, last_value(countdown_full) OVER w AS newest_countdown
   FROM steps
   WINDOW w AS (PARTITION BY site, year ORDER BY step ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
 SELECT * FROM past WHERE n_past = 30""",
@@ -314,8 +314,7 @@ FROM lineitem GROUP BY dayofyear(l_shipdate)""",
 SELECT site AS site_name, year, fraction, cutoff,
        CAST(date_full - data_start_date AS INTEGER) + 1 AS full_length, cutoff AS n_first, cutoff AS n_full,
        pred_full AS last_full, CAST(CAST(cutoff_date AS DATE) AS VARCHAR) AS cutoff_date, first_micros,
-       round(mae_first, 6) AS mae_first, round(mae_full, 6) AS mae_full
-FROM scores WHERE sim_id = 1""",
+       mae_first, mae_full FROM scores WHERE sim_id = 1""",
     "cutoff_values": f"""WITH {_scores()}
 SELECT site AS site_name, year, fraction, cutoff,
        CAST(date_first - data_start_date - cutoff AS DOUBLE) AS true_first_at,

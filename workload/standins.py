@@ -9,11 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenoline.operators.layout import spread
 from phenoline.operators.seasons import build_season_steps, sites_in_country
 
 
+# Column types of the tables (fixed values). Naming them saves a job per read that would look them up.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +48,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date").alias("date")
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", day, F.col("l_extendedprice").alias("temp"))
     span = items.groupBy("l_suppkey").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    axis = span.select(
+    axis = spread(span).select(
         "l_suppkey",
         F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"),
         F.lit(None).cast("double").alias("temp"),
