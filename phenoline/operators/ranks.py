@@ -24,9 +24,19 @@ class _Search:
     rank: int  # 0-based rank within the current range
     low: float
     high: float
+    count: int  # values within the current range
     wanted: int  # 0-based rank within all values
 
 
+@dataclass(frozen=True)
+class Ranked:
+    """The value at a rank, how many values equal it, and the rank among those."""
+
+    value: float
+    ties: int
+    among_ties: int
+
+
 def value_ranges(values: DataFrame) -> dict[str, tuple[int, float, float]]:
     """Count, smallest and largest value per name of a ``(name, value)`` table; one row per name is collected."""
     known = values.filter(F.col("value").isNotNull())
@@ -34,19 +44,19 @@ def value_ranges(values: DataFrame) -> dict[str, tuple[int, float, float]]:
     return {r["name"]: (r["n"], r["lo"], r["hi"]) for r in rows.collect()}
 
 
-def select_ranks(values: DataFrame, ranks: Mapping[str, Sequence[int]], ranges=None) -> dict[tuple[str, int], float]:
+def select_ranks(values: DataFrame, ranks: Mapping[str, Sequence[int]], ranges=None) -> dict[tuple[str, int], Ranked]:
     """The value at each 0-based rank, for every name of a ``(name string, value double)`` table."""
     ranges = ranges or value_ranges(values)
-    found: dict[tuple[str, int], float] = {}
+    found: dict[tuple[str, int], Ranked] = {}
     searches = []
     for name, wanted in ranks.items():
-        _, low, high = ranges[name]
+        count, low, high = ranges[name]
         for rank in sorted(set(wanted)):
-            searches.append(_Search(name, rank, low, high, rank))
+            searches.append(_Search(name, rank, low, high, count, rank))
     while True:
         for s in searches:
             if s.low == s.high:
-                found[s.name, s.wanted] = s.low
+                found[s.name, s.wanted] = Ranked(s.low, s.count, s.rank)
         searches = [s for s in searches if s.low != s.high]
         if not searches:
             return found
@@ -54,7 +64,7 @@ def select_ranks(values: DataFrame, ranks: Mapping[str, Sequence[int]], ranges=N
             before = 0
             for count, low, high in buckets:
                 if s.rank < before + count:
-                    s.rank, s.low, s.high = s.rank - before, low, high
+                    s.rank, s.low, s.high, s.count = s.rank - before, low, high, count
                     break
                 before += count
 
@@ -96,7 +106,7 @@ def exact_quantiles(
     ranks: dict[str, list[int]] = {}
     for (name, _), (low, high, _) in places.items():
         ranks.setdefault(name, []).extend([low, high])
-    found = select_ranks(values, ranks, ranges)
+    found = {at: r.value for at, r in select_ranks(values, ranks, ranges).items()}
     return {
         (name, q): found[name, low] + (found[name, high] - found[name, low]) * part
         for (name, q), (low, high, part) in places.items()

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_FEATURES = 64
+MAX_FEATURES = 32
 
 
 @dataclass(frozen=True)

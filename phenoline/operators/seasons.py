@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenoline.functions.arrays import known
 from phenoline.functions.dates import parse_day_month, season_start, season_year, whole_days
 from phenoline.operators.gapfill import METHODS, filled_for, neighbour_columns
-from phenoline.operators.layout import spread
+from phenoline.operators.layout import repeat_rows, spread
 
 SEASON_COLUMNS = [
     "site",
@@ -23,6 +25,9 @@ SEASON_COLUMNS = [
     "lng",
 ]
 
+# More seasons than this for one site and year (from repeated events or place names) are spread over tasks.
+MAX_SEASONS_PER_YEAR = 64
+
 # One site has at most this many dates in one season year, so a fuller one holds repeated dates.
 MAX_DAYS_PER_YEAR = 366
 
@@ -83,26 +88,39 @@ def densify_observations(obs: DataFrame) -> DataFrame:
     """
     span = obs.groupBy("site").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     axis = spread(span).select("site", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
-    blank = axis.join(obs.select("site", "date"), ["site", "date"], "left_anti")
+    blank = axis.join(obs.select("site", "date").distinct(), ["site", "date"], "left_anti")
     return obs.select("site", "date", "temp").unionByName(blank.withColumn("temp", F.lit(None).cast("double")))
 
 
 def with_observations(events: DataFrame, obs_sites: DataFrame) -> DataFrame:
-    """Events of sites that have observations."""
-    return events.join(obs_sites.select("site"), "site", "left_semi")
+    """Events of sites that have observations. Observations fold to distinct sites before they are shuffled."""
+    return events.join(obs_sites.select("site").distinct(), "site", "left_semi")
 
 
 def skipped_sites(events: DataFrame, obs_sites: DataFrame) -> DataFrame:
     """Sites that have events but no observations."""
-    return events.select("site").join(obs_sites.select("site"), "site", "left_anti").distinct()
+    return events.select("site").distinct().join(obs_sites.select("site").distinct(), "site", "left_anti")
+
 
+@dataclass(frozen=True)
+class SeasonShape:
+    """What the season table looks like, which decides how it is joined."""
 
-def _fits_one_year(seasons: DataFrame, day: int, month: int) -> bool:
-    """True when every season ends before the next one starts; one max over the small event table."""
-    overrun = season_year(F.col("full_bloom"), day, month) > F.col("year")
-    early = season_year(F.col("first_bloom"), day, month) > F.col("year")
-    row = seasons.agg(F.max((overrun | early).cast("int")).alias("over")).first()
-    return not row["over"]
+    one_year: bool  # every event precedes the next season's start
+    most_copies: int  # largest number of equal seasons
+    most_per_year: int  # largest number of different seasons of one site and year
+
+
+def season_shape(seasons: DataFrame, day: int, month: int) -> SeasonShape:
+    """One aggregation over the seasons, which are few beside the readings; three numbers reach the driver."""
+    late = F.greatest(season_year(F.col("full_bloom"), day, month), season_year(F.col("first_bloom"), day, month))
+    per_year = seasons.groupBy("site", "year").agg(
+        F.max((late > F.col("year")).cast("int")).alias("late"),
+        F.max("copies").alias("copies"),
+        F.count("*").alias("n"),
+    )
+    row = per_year.agg(F.max("late").alias("late"), F.max("copies").alias("copies"), F.max("n").alias("n")).first()
+    return SeasonShape(not row["late"], row["copies"] or 1, row["n"] or 1)
 
 
 def _has_repeated_dates(readings: DataFrame) -> bool:
@@ -199,7 +217,7 @@ def build_season_steps(
     Whoever knows it can promise ``unique_keys`` (one event row per site and year, one coordinate row per
     site), ``unique_dates`` (one reading per site and date) and ``one_year`` (all events precede the next
     season's start). What is not promised is handled by counting copies, or looked up with a small aggregate
-    that picks the join.
+    that picks the join. Without ``unique_keys`` the result numbers equal seasons in ``copy``.
     """
     if method not in METHODS:
         raise ValueError(f"unknown fill method {method!r}, choose one of {list(METHODS)}")
@@ -217,23 +235,28 @@ def build_season_steps(
     readings = obs.select("site", F.col("date").cast("date").alias("date"), known(F.col("temp")).alias("temp"))
     readings = readings.withColumn("season_year", season_year(F.col("date"), day, month))
 
+    known_shape = unique_keys and one_year is not None
+    shape = SeasonShape(one_year, 1, 1) if known_shape else season_shape(seasons, day, month)
     crowded = not unique_dates and _has_repeated_dates(readings)
     if crowded and not drop_invalid:
         raise ValueError("some site has more rows in a year than days; such seasons cannot be kept whole")
     if crowded:
         rows = _crowded_rows(seasons, readings, day, month)
     else:
-        single = _fits_one_year(seasons, day, month) if one_year is None else one_year
         how = "inner" if drop_invalid else "left"
         if not drop_invalid:
             seasons = with_observations(seasons, readings)
-        rows = _plain_rows(seasons, readings, single, day, month, how)
+        rows = _plain_rows(seasons, readings, shape.one_year, day, month, how)
 
     keys = ["site", "year"] if unique_keys else ["site", "year", "first_bloom", "full_bloom", "lat", "lng"]
+    if shape.most_per_year > MAX_SEASONS_PER_YEAR:
+        # Many seasons of one site and year: place them by their full key, so they do not share a task. The
+        # exchange also lets AQE split the join before it.
+        rows = rows.repartition(*keys)
     steps = _checked_and_filled(rows, keys, min_points, method, drop_invalid)
-    if not unique_keys:
-        steps = steps.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return steps.drop("copies")
+    if shape.most_copies > 1:
+        return repeat_rows(steps, "copies", "copy").drop("copies")
+    return steps.drop("copies") if unique_keys else steps.drop("copies").withColumn("copy", F.lit(1).cast("bigint"))
 
 
 def _checked_and_filled(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenoline.operators.ranks import select_ranks, value_ranges
+from phenoline.sources.paths import stored
 
 
 def check_fraction(fraction: float) -> float:
@@ -29,25 +30,28 @@ def split_exact(
     marked = df.withColumn("_place", _place(keys, seed))
     names = df.select(*keys, _place(keys, seed).alias("value"))
     if not unique:
-        names = names.distinct()
-    names = names.withColumn("name", F.lit("place"))
-    ranges = value_ranges(names.select("name", "value"))
+        # Several passes read the keys, so they are folded and shuffled once.
+        names = stored(names.distinct())
+    values = names.select(F.lit("place").alias("name"), "value")
+    ranges = value_ranges(values)
     total = ranges["place"][0] if ranges else 0
     size = int(fraction * total)
     if size == 0:
         return marked.filter(F.lit(False)).drop("_place"), marked.drop("_place")
-    place = select_ranks(names.select("name", "value"), {"place": [size - 1]}, ranges)["place", size - 1]
-
-    # Keys whose hashes collide at the threshold: take them in key order until the count is exact.
-    ahead = names.filter(F.col("value") < place).count()
-    tied = names.filter(F.col("value") == place).orderBy(*keys).select(*keys).limit(size - ahead).collect()
-    at_limit = F.lit(False)
-    for row in tied:
-        same = F.lit(True)
-        for key in keys:
-            same = same & F.col(key).eqNullSafe(F.lit(row[key]))
-        at_limit = at_limit | same
-    taken = (F.col("_place") < place) | ((F.col("_place") == place) & at_limit)
+    found = select_ranks(values, {"place": [size - 1]}, ranges)["place", size - 1]
+
+    place = F.col("_place")
+    taken = place <= found.value
+    if found.among_ties + 1 < found.ties:
+        # Distinct keys whose hashes collide at the threshold: the first ones in key order are taken.
+        tied = names.filter(F.col("value") == found.value).orderBy(*keys).limit(found.among_ties + 1)
+        chosen = F.lit(False)
+        for row in tied.collect():
+            same = F.lit(True)
+            for key in keys:
+                same = same & F.col(key).eqNullSafe(F.lit(row[key]))
+            chosen = chosen | same
+        taken = (place < found.value) | ((place == found.value) & chosen)
     return marked.filter(taken).drop("_place"), marked.filter(~taken).drop("_place")
 
 

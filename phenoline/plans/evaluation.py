@@ -13,13 +13,9 @@ from phenoline.operators.scaling import apply_scalers, fit_scalers, invert_scale
 from phenoline.operators.scoring import DEFAULT_FRACTIONS, score_at_cutoffs
 from phenoline.operators.split import split_exact
 
-STEP_CONFIG = {
-    "temp_full": {"kind": "minmax"},
-    "countdown_first": {"kind": "minmax"},
-    "countdown_full": {"kind": "minmax"},
-    "lat": {"kind": "robust", "quantile_range": (5, 95)},
-    "lng": {"kind": "robust", "quantile_range": (5, 95)},
-}
+# Scalers over all steps, and over one row per season.
+STEP_CONFIG = {c: {"kind": "minmax"} for c in ("temp_full", "countdown_first", "countdown_full")}
+SITE_CONFIG = {c: {"kind": "robust", "quantile_range": (5, 95)} for c in ("lat", "lng")}
 BASE_FEATURES = ("bias", "lat", "lng", "temp_full", "season_1", "season_2", "season_3")
 
 
@@ -47,7 +43,7 @@ def sweep(
     """
     rows = steps.filter(F.col("step") <= F.col("days_to_full"))
     train, test = split_exact(rows, keys, train_share, seed)
-    scalers = fit_scalers(rows, STEP_CONFIG)
+    scalers = fit_scalers(rows, STEP_CONFIG) | fit_scalers(rows.filter(F.col("step") == 0), SITE_CONFIG)
     targets = ("countdown_first", "countdown_full")
     models = fit_readouts(with_features(apply_scalers(train, scalers)), features, targets, alphas)
 

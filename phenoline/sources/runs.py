@@ -11,8 +11,12 @@ from phenoline.operators.reshape import summary_to_long
 
 
 def write_runs(df: DataFrame, path: str, mode: str = "error") -> None:
-    """One folder per run and cutoff share, as partition columns that later reads can prune by."""
-    df.write.mode(mode).partitionBy("sim_id", "fraction").parquet(path)
+    """One folder per run and cutoff share, as partition columns that later reads can prune by.
+
+    Rows are rebalanced by folder first: small folders get one file each, large ones are split between tasks.
+    """
+    rows = df.hint("rebalance", "sim_id", "fraction")
+    rows.write.mode(mode).partitionBy("sim_id", "fraction").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +43,14 @@ def read_run_folders(spark: SparkSession, stem: str, sim_ids: Sequence[int] | No
 
 
 def write_summary_csv(summary: DataFrame, path: str, mode: str = "error") -> None:
-    """Per run and event, rows ``mean_<cutoff>`` and ``std_<cutoff>`` with their values, below ``<event>/``."""
-    for event in ("first", "full"):
-        long = summary_to_long(summary, f"mean_{event}", f"std_{event}")
-        write_csv(long, f"{path.rstrip('/')}/mae_{event}", mode, ["sim_id"])
+    """Rows ``mean_<cutoff>`` and ``std_<cutoff>`` with their values, one folder per run and event; one job."""
+    sides = [
+        F.struct(F.lit(f"mae_{t}").alias("event"), F.col(f"mean_{t}").alias("mean"), F.col(f"std_{t}").alias("std"))
+        for t in ("first", "full")
+    ]
+    rows = summary.select("sim_id", "cutoff", F.explode(F.array(*sides)).alias("side"))
+    long = summary_to_long(rows.select("sim_id", "cutoff", "side.*"), "mean", "std", ["sim_id", "event"])
+    write_csv(long.hint("rebalance", "sim_id", "event"), path, mode, ["sim_id", "event"])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error", partition_by: Sequence[str] = ()) -> None:
@@ -53,7 +61,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "error", partition_by: Seque
 def write_metrics_json(metrics: DataFrame, path: str, mode: str = "error") -> None:
     """Metrics per run and cutoff as JSON lines, one folder per run and cutoff."""
     keys = [c for c in ("sim_id", "fraction") if c in metrics.columns]
-    metrics.write.mode(mode).partitionBy(*keys).json(path)
+    metrics.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).json(path)
 
 
 def write_parameters_json(spark: SparkSession, parameters: Mapping[int, Mapping], path: str, mode: str = "error") -> None:

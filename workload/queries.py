@@ -255,7 +255,7 @@ def scaler_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    train, test = split_exact(rows, ["o_orderkey"], 0.8, seed=7)
+    train, test = split_exact(rows, ["o_orderkey"], 0.8, seed=7, unique=True)
     parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return parts.groupBy("part").agg(F.count_distinct("o_orderkey").alias("n_keys"), F.count("*").alias("n_rows"))
 
@@ -601,7 +601,8 @@ def summary_sinks(spark: SparkSession, sf: str) -> DataFrame:
     csv_path, json_path = scratch_path(spark, "summary"), scratch_path(spark, "metrics")
     runs.write_summary_csv(errors.run_summary(scored, cutoff="fraction"), csv_path)
     runs.write_metrics_json(errors.overall_metrics(scored, ["sim_id", "fraction"]), json_path)
-    csv = spark.read.schema("key string, values double, sim_id int").option("header", True).csv(f"{csv_path}/mae_first")
+    csv = spark.read.schema("key string, values double, sim_id int, event string").option("header", True).csv(csv_path)
+    csv = csv.filter(F.col("event") == "mae_first")
     json = spark.read.schema("mae_first double, mae_full double, mae_average double, sim_id int, fraction double")
     from_csv = csv.select("sim_id", "key", F.col("values").alias("value"))
     from_json = json.json(json_path).select(
