@@ -15,7 +15,8 @@ _PLACE = ("block", "line_id")
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        # The path is URL-encoded but for plus signs, which decoding would turn into blanks.
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
         F.regexp_replace("value", "\r$", "").alias("line"),
