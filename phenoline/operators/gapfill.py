@@ -6,7 +6,7 @@ the rows of each group. Groups must be bounded: season rows are (one per day).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,39 +26,49 @@ def neighbour_columns(df: DataFrame, window: str, pos: str, value: str, method:
     return df.withColumns(found)
 
 
-def filled_for(pos: str, value: str, last: Column | None, method: str) -> Column:
-    """The filled value of a row for a window that ends at position ``last``.
+def with_filled(df: DataFrame, pos: str, value: str, windows: Mapping[str, str | None], method: str) -> DataFrame:
+    """Add one filled column per window; ``windows`` maps its name to the column with its last position.
 
-    Points after ``last`` count as absent, so a trailing gap never sees later values. Points before a row are
-    always inside. This lets one set of neighbours serve windows that share their start.
+    Points after a window's end count as absent, so a trailing gap never sees later values. Points before a
+    row are always inside. This lets one set of neighbours serve windows that share their start. The points
+    are picked in a projection of their own, so that each formula is generated once and on plain columns.
     """
-    at = F.col(pos)
-
-    def point(tag: str, k: int) -> tuple[Column, Column]:
-        where, what = F.col(f"_{tag}{k}_pos"), F.col(f"_{tag}{k}_val")
-        if tag == "n" and last is not None:
-            inside = where <= last
-            return F.when(inside, where), F.when(inside, what)
-        return where, what
-
-    before, after = point("p", 1), point("n", 1)
-    straight = (
-        F.when(before[0].isNull(), after[1])
-        .when(after[0].isNull(), before[1])
-        .otherwise((after[1] - before[1]) / (after[0] - before[0]) * (at - before[0]) + before[1])
-    )
-    if method == "linear":
-        return F.coalesce(F.col(value), straight)
-
-    before2, before3 = point("p", 2), point("p", 3)
-    after2, after3 = point("n", 2), point("n", 3)
-    curve = (
-        F.when(before[0].isNull(), _parabola(at, after, after2, after3))
-        .when(after[0].isNull(), _parabola(at, before, before2, before3))
-        .when(before2[0].isNotNull(), _parabola(at, before, after, before2))
-        .otherwise(_parabola(at, before, after, after2))
-    )
-    return F.coalesce(F.col(value), curve, straight)
+    picked, filled = {}, {}
+    for name, last in windows.items():
+        picked.update(_points(name, last, method))
+        filled[name] = F.coalesce(F.col(value), *_formulas(name, F.col(pos), method))
+    return df.withColumns(picked).withColumns(filled).drop(*picked)
+
+
+def _points(name: str, last: str | None, method: str) -> dict[str, Column]:
+    """Position and value of the points to draw through: before and after, or the nearest ones at an edge."""
+
+    def seen(k: int) -> Column:
+        return F.col(f"_n{k}_pos").isNotNull() if last is None else F.col(f"_n{k}_pos") <= F.col(last)
+
+    leads, trails = F.col("_p1_pos").isNull(), ~F.coalesce(seen(1), F.lit(False))
+    points = {f"_{name}_edge": leads | trails}
+    for part in ("pos", "val"):
+        before = [F.col(f"_p{k}_{part}") for k in range(1, METHODS[method] + 1)]
+        after = [F.when(seen(k), F.col(f"_n{k}_{part}")) for k in range(1, METHODS[method] + 1)]
+        points[f"_{name}_a_{part}"] = F.coalesce(before[0], after[0])
+        if method == "linear":
+            points[f"_{name}_b_{part}"] = after[0]
+        else:
+            points[f"_{name}_b_{part}"] = F.when(leads, after[1]).when(trails, before[1]).otherwise(after[0])
+            third = F.coalesce(before[1], after[1])
+            points[f"_{name}_c_{part}"] = F.when(leads, after[2]).when(trails, before[2]).otherwise(third)
+    return points
+
+
+def _formulas(name: str, at: Column, method: str) -> list[Column]:
+    a, b = _point(name, "a"), _point(name, "b")
+    line = F.when(F.col(f"_{name}_edge"), a[1]).otherwise((b[1] - a[1]) / (b[0] - a[0]) * (at - a[0]) + a[1])
+    return [line] if method == "linear" else [_parabola(at, a, b, _point(name, "c")), line]
+
+
+def _point(name: str, letter: str) -> tuple[Column, Column]:
+    return F.col(f"_{name}_{letter}_pos"), F.col(f"_{name}_{letter}_val")
 
 
 def _parabola(at: Column, a, b, c) -> Column:
@@ -93,4 +103,4 @@ def fill_gaps(
         whole = f"({window} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
         rows = rows.withColumn("_known", F.expr(f"count({value}) OVER {whole}")).filter(F.col("_known") >= min_points)
     near = neighbour_columns(rows, f"PARTITION BY {', '.join(keys)} ORDER BY _pos", "_pos", value, method)
-    return near.select(*df.columns, filled_for("_pos", value, None, method).alias(output))
+    return with_filled(near, "_pos", value, {output: None}, method).select(*df.columns, output)

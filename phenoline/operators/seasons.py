@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phenoline.functions.arrays import known
 from phenoline.functions.dates import parse_day_month, season_start, season_year, whole_days
-from phenoline.operators.gapfill import METHODS, filled_for, neighbour_columns
+from phenoline.operators.gapfill import METHODS, neighbour_columns, with_filled
 from phenoline.operators.layout import repeat_rows, spread
 
 SEASON_COLUMNS = [
@@ -286,18 +286,17 @@ def _checked_and_filled(
             & enough_first
             & enough_full
         )
-    last_first, last_full = F.col("n_first") - 1, F.col("n_full") - 1
     near = neighbour_columns(counted, window, "step", "temp", method)
-    inside_first = enough_first & (F.col("step") <= last_first)
-    inside_full = enough_full & (F.col("step") <= last_full)
-    return near.select(
+    near = near.withColumns({"_last_first": F.col("n_first") - 1, "_last_full": F.col("n_full") - 1})
+    filled = with_filled(near, "step", "temp", {"fill_first": "_last_first", "fill_full": "_last_full"}, method)
+    return filled.select(
         *SEASON_COLUMNS,
         "copies",
         "step",
         "date",
         "temp",
-        F.when(inside_first, filled_for("step", "temp", last_first, method)).alias("temp_first"),
-        F.when(inside_full, filled_for("step", "temp", last_full, method)).alias("temp_full"),
+        F.when(enough_first & (F.col("step") <= F.col("_last_first")), F.col("fill_first")).alias("temp_first"),
+        F.when(enough_full & (F.col("step") <= F.col("_last_full")), F.col("fill_full")).alias("temp_full"),
         (F.col("days_to_first") - F.col("step")).alias("countdown_first"),
         (F.col("days_to_full") - F.col("step")).alias("countdown_full"),
     )
