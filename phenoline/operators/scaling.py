@@ -107,11 +107,14 @@ def _fit_extremes(df: DataFrame, plans: Mapping[str, Mapping]) -> dict[str, Scal
     for i, column in enumerate(plans):
         value = F.col(column)
         if is_array(df, column):
-            # NaN would count as the largest value.
-            clean = F.filter(value.cast("array<double>"), lambda v: ~F.isnan(v))
-            low, high = F.array_min(clean), F.array_max(clean)
+            # NaN sorts last: it shows as the largest item, and as the smallest only where there is no other.
+            top, bottom = F.array_max(value), F.array_min(value)
+            numbers = F.filter(value, lambda v: ~F.isnan(v))
+            high = F.when(F.isnan(top), F.array_max(numbers)).otherwise(top).cast("double")
+            low = F.when(~F.isnan(bottom), bottom).cast("double")
         else:
-            low = high = F.when(~F.isnan(value.cast("double")), value.cast("double"))
+            number = value.cast("double")
+            low = high = F.when(~F.isnan(number), number)
         aggregates += [F.min(low).alias(f"lo_{i}"), F.max(high).alias(f"hi_{i}")]
     row = df.agg(*aggregates).first()
     fitted = {}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoline.operators.reshape import quoted
+from phenoline.sources.paths import stored
 
 SHEET_NAME = r"([^/]*?)(?:\.[^./]*)?$"
 
@@ -23,10 +24,6 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _first_cell(line, sep: str):
-    return F.split(line, "\\Q" + sep + "\\E", 2)[0]
-
-
 def read_sheets(
     spark: SparkSession,
     path: str,
@@ -43,46 +40,40 @@ def read_sheets(
     group of ``site_pattern`` in the file path: by default the file name without its extension.
     Rows are kept whose ``Year`` is all digits and at least ``min_year``. A file without a header fails.
 
-    Files are read as lines, so a large sheet is split between tasks. A header is found by an aggregation that
-    keeps one line per file, and rejoined to its lines; nothing gathers a whole sheet. The driver sees only the
-    distinct column names.
+    Files are read as lines, so a large sheet is split between tasks. The lines are stored once together with
+    their places, which later passes could not count on to be the same again. A header is found by an
+    aggregation that keeps one line per file, and rejoined to its lines; nothing gathers a whole sheet. The
+    driver sees only the distinct column names.
     """
-    lines = _lines(spark, path)
-    is_header = _first_cell(F.col("line"), sep).contains(marker)
-    found = F.struct(*_PLACE, "line")
-    headers = lines.groupBy("file").agg(F.min(F.when(is_header, found)).alias("header"))
-    cells = F.split(F.col("header.line"), "\\Q" + sep + "\\E")
-    names = headers.select(
-        F.col("header").isNull().alias("missing"),
-        F.explode_outer(F.transform(cells, lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))).alias("name"),
-    )
-    seen = names.groupBy("missing", "name").agg(F.count("*").alias("n")).collect()
-    missing = sum(r["n"] for r in seen if r["missing"])
+    lines = stored(_lines(spark, path))
+    cut = "\\Q" + sep + "\\E"
+    is_header = F.split("line", cut, 2)[0].contains(marker)
+    per_file = lines.groupBy("file").agg(F.bool_or(is_header).alias("found"))
+    missing = per_file.filter(~F.coalesce("found", F.lit(False))).count()
     if missing:
         raise ValueError(f"{missing} sheet(s) below {path} have no line whose first cell contains {marker!r}")
+    candidates = lines.filter(is_header).groupBy("file")
+    headers = stored(candidates.agg(F.min(F.struct(*_PLACE, "line")).alias("header")))
+    # Quoted cells may hold separators, so this is the largest possible number of cells.
+    width = headers.agg(F.max(F.size(F.split("header.line", cut))).alias("width")).first()["width"] or 0
+
+    def cells(text) -> Column:
+        fields = ", ".join(f"c{i} string" for i in range(width))
+        row = F.from_csv(text, fields, {"sep": sep, "mode": "PERMISSIVE"})
+        return F.array(*[row[f"c{i}"] for i in range(width)])
+
+    names = F.transform(cells(F.col("header.line")), lambda name: F.trim(name))
+    headers = headers.withColumn("names", names)
+    seen = headers.select(F.explode("names").alias("name")).distinct().collect() if width else []
     columns = sorted({r["name"] for r in seen if r["name"]}, key=lambda c: (c != marker, c))
     if marker not in columns:
         raise ValueError(f"the sheets below {path} have no column named {marker!r}")
 
-    width = headers.agg(F.max(F.size(cells)).alias("width")).first()["width"]
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    tagged = lines.join(headers.select("file", "header"), "file")
+    tagged = lines.join(headers, "file")
     body = tagged.filter(F.struct(*_PLACE) > F.struct(*[F.col(f"header.{c}") for c in _PLACE]))
-    options = {"sep": sep, "mode": "PERMISSIVE"}
-
-    def as_array(text):
-        row = F.from_csv(text, schema, options)
-        return F.array(*[row[f"c{i}"] for i in range(width)])
-
-    parsed = body.select(
-        F.regexp_extract("file", site_pattern, 1).alias("_site"),
-        as_array(F.col("header.line")).alias("names"),
-        as_array(F.col("line")).alias("values"),
-    )
-    place = {c: F.array_position(F.transform("names", lambda n: F.trim(n)), F.lit(c)) for c in columns}
-    picked = [
-        F.when(place[c] > 0, F.try_element_at("values", place[c].cast("int"))).alias(c) for c in columns
-    ]
+    parsed = body.select(F.regexp_extract("file", site_pattern, 1).alias("_site"), "names", cells(F.col("line")).alias("values"))
+    place = {c: F.array_position("names", F.lit(c)).cast("int") for c in columns}
+    picked = [F.when(place[c] > 0, F.try_element_at("values", place[c])).alias(c) for c in columns]
     rows = parsed.select(*picked, F.col("_site").alias(site_column))
     year = F.col(quoted(marker))
     digits = rows.filter(year.rlike("^[0-9]+$"))

@@ -29,6 +29,12 @@ def test_sheets(spark, tmp_path):
     }
 
 
+def test_quoted_header_cells(spark, tmp_path):
+    write(tmp_path / "s", "a.csv", 'Year,"a,b", c \n2000,1,2\n')
+    row = sheets.read_sheets(spark, str(tmp_path / "s")).first()
+    assert row.asDict() == {"Year": 2000, "a,b": "1", "c": "2", "City": "a"}
+
+
 def test_sheet_without_header(spark, tmp_path):
     write(tmp_path / "s", "a.csv", "Year,x\n2000,1\n")
     write(tmp_path / "s", "b.csv", "no,header\n2000,1\n")
