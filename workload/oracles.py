@@ -211,6 +211,19 @@ SELECT site, CAST(date AS VARCHAR) AS date, {_fill(method, "pos", "temp", None)}
 ORACLES: dict[str, str] = {
     "season_steps": f"WITH {_steps()} {STEPS_OUT}",
     "season_steps_quadratic": f"WITH {_steps('quadratic')} {STEPS_OUT}",
+    "season_steps_repeated_dates": f"WITH {_steps()} {STEPS_OUT}",
+    "seasons_with_invalid": f"""WITH {OBS}, {SEASONS}, {CITIES},
+counted AS (
+  SELECT s.site, s.year, s.days_to_full,
+         count(o.date) FILTER (o.date <= first_bloom) AS n_first, count(o.date) FILTER (o.date <= full_bloom) AS n_full,
+         count(o.temp) FILTER (o.date <= first_bloom) AS known_first,
+         count(o.temp) FILTER (o.date <= full_bloom) AS known_full
+  FROM seasons s JOIN cities c ON c.city_ascii = s.site
+  LEFT JOIN obs o ON o.site = s.site AND o.date BETWEEN s.data_start_date AND greatest(s.first_bloom, s.full_bloom)
+  GROUP BY 1, 2, 3)
+SELECT site AS site_name, year, days_to_full + 1 AS n_countdown,
+       CAST(CASE WHEN known_first >= 30 THEN n_first ELSE 0 END AS INTEGER) AS n_first,
+       CAST(CASE WHEN known_full >= 30 THEN n_full ELSE 0 END AS INTEGER) AS n_full FROM counted""",
     "pair_events": f"""WITH {SEASONS}
 SELECT site, year, CAST(first_bloom AS VARCHAR) AS first_bloom, CAST(full_bloom AS VARCHAR) AS full_bloom,
        CAST(data_start_date AS VARCHAR) AS data_start_date, days_to_first, days_to_full, bloom_offset,
@@ -237,6 +250,7 @@ WITH priced AS (
 SELECT n.n_name AS site, CAST(days.d AS VARCHAR) AS date, coalesce(v, -1.0) AS temp
 FROM (SELECT DISTINCT d FROM priced) days CROSS JOIN nation n
 LEFT JOIN priced p ON p.site = n.n_name AND p.d = days.d""",
+    "site_keys": "SELECT n_name AS site FROM nation",
     "nest_seasons": f"""WITH {_steps()}
 SELECT site AS site_name, year,
        max(days_to_full) + 1 AS n_countdown_first, max(days_to_full) + 1 AS n_countdown_full,
@@ -380,6 +394,27 @@ sums AS (
 alphas AS (SELECT CAST(unnest([1, 100]) AS DOUBLE) AS alpha)
 SELECT alpha, round(((tt + alpha) * y - t * ty) / ((n + alpha) * (tt + alpha) - t * t), 6) AS w_bias,
        round(((n + alpha) * ty - t * y) / ((n + alpha) * (tt + alpha) - t * t), 6) AS w_t FROM sums, alphas""",
+    "fit_and_score": f"""WITH {_steps()},
+rows AS (
+  SELECT *, step / 100.0 AS t, CAST(trunc((days_to_full + 1) * fraction) AS INTEGER) AS cutoff
+  FROM steps, (SELECT unnest([{FRACTIONS}]) AS fraction) WHERE step <= days_to_full),
+sums AS (
+  SELECT count(*) AS n, sum(step / 100.0) AS t, sum((step / 100.0) ** 2) AS tt,
+         CAST(sum(countdown_first) AS DOUBLE) AS y1, sum(step / 100.0 * countdown_first) AS ty1,
+         CAST(sum(countdown_full) AS DOUBLE) AS y2, sum(step / 100.0 * countdown_full) AS ty2
+  FROM steps WHERE step <= days_to_full),
+runs AS (SELECT 1 AS sim_id, CAST(1 AS DOUBLE) AS alpha UNION ALL SELECT 2, 1000),
+weights AS (
+  SELECT sim_id, ((tt + alpha) * y1 - t * ty1) / ((n + alpha) * (tt + alpha) - t * t) AS b1,
+         ((n + alpha) * ty1 - t * y1) / ((n + alpha) * (tt + alpha) - t * t) AS w1,
+         ((tt + alpha) * y2 - t * ty2) / ((n + alpha) * (tt + alpha) - t * t) AS b2,
+         ((n + alpha) * ty2 - t * y2) / ((n + alpha) * (tt + alpha) - t * t) AS w2 FROM sums, runs),
+maes AS (
+  SELECT sim_id, fraction, site, year, avg(abs(b1 + w1 * t - countdown_first)) AS m1,
+         avg(abs(b2 + w2 * t - countdown_full)) AS m2
+  FROM rows, weights WHERE step < cutoff GROUP BY 1, 2, 3, 4)
+SELECT sim_id, fraction, round(avg(m1), 6) AS mae_first, round(avg(m2), 6) AS mae_full,
+       round((avg(m1) + avg(m2)) / 2, 6) AS mae_average FROM maes GROUP BY 1, 2""",
     "sheet_extract": """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS "Year", count(DISTINCT n_name) AS n_sheets, max(o_totalprice) AS top
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",

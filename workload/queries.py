@@ -88,6 +88,42 @@ def season_steps_quadratic(spark: SparkSession, sf: str) -> DataFrame:
     return _steps_out(standins.season_steps(spark, sf, "quadratic"))
 
 
+def season_steps_repeated_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Summer days, outside of all seasons, also hold one reading per item: more rows a year than days."""
+    day = F.col("l_shipdate").cast("date")
+    items = table(spark, sf, "lineitem").filter(F.month(day).isin(5, 6, 7))
+    items = items.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    extra = items.select(F.col("s_name").alias("site"), day.alias("date"), F.col("l_extendedprice").alias("temp"))
+    steps = seasons.build_season_steps(
+        standins.first_events(spark, sf),
+        standins.full_events(spark, sf),
+        standins.observations(spark, sf).unionByName(extra),
+        seasons.sites_in_country(standins.cities(spark, sf), None),
+    )
+    return _steps_out(steps)
+
+
+def seasons_with_invalid(spark: SparkSession, sf: str) -> DataFrame:
+    """All seasons, with the readings they have; those of the first year start before the data."""
+    steps = seasons.build_season_steps(
+        standins.first_events(spark, sf),
+        standins.full_events(spark, sf),
+        standins.observations(spark, sf),
+        seasons.sites_in_country(standins.cities(spark, sf), None),
+        drop_invalid=False,
+        unique_keys=True,
+        unique_dates=True,
+    )
+    rows = reshape.nest_seasons(steps)
+    return rows.select(
+        "site_name",
+        "year",
+        F.size("countdown_to_full").alias("n_countdown"),
+        arrays.array_length(F.col("temps_to_first")).alias("n_first"),
+        arrays.array_length(F.col("temps_to_full")).alias("n_full"),
+    )
+
+
 def sites_in_country(spark: SparkSession, sf: str) -> DataFrame:
     return seasons.sites_in_country(standins.cities(spark, sf), "NATION_15")
 
@@ -140,8 +176,8 @@ def unpivot_events(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.unpivot_events(as_wide, "Site Name").select("site", "year", text("date"))
 
 
-def unpivot_observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily top order prices with one column per nation, gaps spelled as a word, and back."""
+def _wide_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily top order prices as text with one column per nation, gaps spelled as a word."""
     names = [r["n_name"] for r in table(spark, sf, "nation").select("n_name").orderBy("n_name").collect()]
     customers = table(spark, sf, "customer").join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
@@ -149,8 +185,15 @@ def unpivot_observations(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     day = F.col("o_orderdate").cast("date").cast("string").alias("Date")
     as_wide = orders.groupBy(day).pivot("n_name", names).agg(F.max("o_totalprice").cast("string"))
-    as_wide = as_wide.na.fill("missing", names)
-    long = reshape.unpivot_observations(as_wide)
+    return as_wide.na.fill("missing", names)
+
+
+def site_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return reshape.site_keys(_wide_observations(spark, sf))
+
+
+def unpivot_observations(spark: SparkSession, sf: str) -> DataFrame:
+    long = reshape.unpivot_observations(_wide_observations(spark, sf))
     return long.select("site", text("date"), F.coalesce("temp", F.lit(-1.0)).alias("temp"))
 
 
@@ -552,6 +595,25 @@ def fit_readout(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("alpha", r6("w_bias"), r6("w_t"))
 
 
+def fit_and_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Two ridge runs on the step alone, fitted and scored on all seasons at every cutoff."""
+    steps = standins.season_steps(spark, sf).filter(F.col("step") <= F.col("days_to_full"))
+    steps = steps.withColumns({"bias": F.lit(1.0), "t": F.col("step") / 100.0})
+    targets = ["countdown_first", "countdown_full"]
+    models = readout.fit_readouts(steps, ["bias", "t"], targets, [1.0, 1000.0])
+    rows = readout.predict(steps, dict(enumerate(models, start=1)), dict(zip(targets, ["pred_first", "pred_full"])))
+    rows = rows.withColumns(
+        {
+            "full_length": F.col("days_to_full") + 1,
+            "true_first": F.col("countdown_first"),
+            "true_full": F.col("countdown_full"),
+        }
+    )
+    scored = scoring.score_at_cutoffs(rows, SCORE_KEYS)
+    metrics = errors.overall_metrics(scored, ["sim_id", "fraction"])
+    return metrics.select("sim_id", "fraction", r6("mae_first"), r6("mae_full"), r6("mae_average"))
+
+
 def readout_sweep(spark: SparkSession, sf: str) -> DataFrame:
     steps = stored(standins.season_steps(spark, sf))
     scored, _ = sweep(steps, seed=3)
@@ -647,6 +709,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         season_steps,
         season_steps_quadratic,
+        season_steps_repeated_dates,
+        seasons_with_invalid,
         pair_events,
         sites_in_country,
         site_coordinates,
@@ -654,6 +718,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         densify,
         unpivot_events,
         unpivot_observations,
+        site_keys,
         nest_seasons,
         explode_steps,
         explode_daily,
@@ -693,6 +758,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         date_arithmetic,
         fit_lines,
         fit_readout,
+        fit_and_score,
         readout_sweep,
         sheet_extract,
         run_folders,
