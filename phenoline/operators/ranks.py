@@ -60,30 +60,40 @@ def select_ranks(values: DataFrame, ranks: Mapping[str, Sequence[int]], ranges=N
         searches = [s for s in searches if s.low != s.high]
         if not searches:
             return found
-        for s, buckets in zip(searches, _count_buckets(values, searches)):
+        counted = _count_buckets(values, sorted({(s.name, s.low, s.high) for s in searches}))
+        for s in searches:
             before = 0
-            for count, low, high in buckets:
+            for count, low, high in counted[s.name, s.low, s.high]:
                 if s.rank < before + count:
                     s.rank, s.low, s.high, s.count = s.rank - before, low, high, count
                     break
                 before += count
 
 
-def _count_buckets(values: DataFrame, searches: Sequence[_Search]) -> list[list[tuple[int, float, float]]]:
-    """For each search the count, smallest and largest value of its non-empty buckets, in value order."""
+def _count_buckets(values: DataFrame, ranges: Sequence[tuple[str, float, float]]) -> dict[tuple, list[tuple]]:
+    """For each range of a name the count, smallest and largest value of its non-empty buckets, in value order.
+
+    Searches that still share a range share its count. After the first pass few rows are inside any range, and
+    the filter that keeps them can reach the scan.
+    """
     value = F.col("value")
-    hits = []
-    for i, s in enumerate(searches):
-        share = (value - F.lit(s.low)) / F.lit(s.high - s.low)
+    hits, inside_any = [], F.lit(False)
+    for i, (name, low, high) in enumerate(ranges):
+        inside = (F.col("name") == name) & value.between(low, high)
+        inside_any = inside_any | inside
+        share = (value - F.lit(low)) / F.lit(high - low)
         bucket = F.least(F.floor(share * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
-        inside = (F.col("name") == s.name) & value.between(s.low, s.high)
-        hits.append(F.when(inside, F.struct(F.lit(i).alias("search"), bucket.alias("bucket"))))
-    hit = F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    counted = values.select(value, hit.alias("hit")).groupBy("hit.search", "hit.bucket")
-    rows = counted.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-    result: list[list[tuple[int, float, float]]] = [[] for _ in searches]
-    for r in sorted(rows, key=lambda r: (r["search"], r["bucket"])):
-        result[r["search"]].append((r["n"], r["lo"], r["hi"]))
+        hits.append(F.when(inside, F.struct(F.lit(i).alias("range"), bucket.alias("bucket"))))
+    hit = values.filter(inside_any).select(value, F.explode(F.array(*hits)).alias("hit"))
+    rows = (
+        hit.filter(F.col("hit").isNotNull())
+        .groupBy(F.col("hit.range").alias("range"), F.col("hit.bucket").alias("bucket"))
+        .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        .collect()
+    )
+    result: dict[tuple, list[tuple]] = {r: [] for r in ranges}
+    for r in sorted(rows, key=lambda r: (r["range"], r["bucket"])):
+        result[ranges[r["range"]]].append((r["n"], r["lo"], r["hi"]))
     return result
 
 

@@ -58,8 +58,10 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(name, value)`` of all scalars and array elements of some columns; a projection, nothing is shuffled."""
 
     def named(column: str) -> Column:
-        value = F.col(column).cast("array<double>") if is_array(df, column) else F.array(F.col(column).cast("double"))
-        return F.transform(value, lambda v: F.struct(F.lit(column).alias("name"), v.alias("value")))
+        if is_array(df, column):
+            items = F.col(column).cast("array<double>")
+            return F.transform(items, lambda v: F.struct(F.lit(column).alias("name"), v.alias("value")))
+        return F.array(F.struct(F.lit(column).alias("name"), F.col(column).cast("double").alias("value")))
 
     parts = [named(column) for column in columns]
     empty = F.array().cast("array<struct<name:string,value:double>>")
