@@ -161,7 +161,8 @@ def _plain_rows(
     inside = inside.drop("season_year")
     if how == "inner":
         return inside
-    without = seasons.join(inside.select("site", "year", "full_bloom"), ["site", "year", "full_bloom"], "left_anti")
+    events = ["site", "year", "first_bloom", "full_bloom"]
+    without = seasons.join(inside.select(*events).distinct(), events, "left_anti")
     return inside.unionByName(without, allowMissingColumns=True)
 
 

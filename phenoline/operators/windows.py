@@ -24,7 +24,7 @@ def lag_windows(
     blocks = F.when(reaches_next, F.array(home, home + 1)).otherwise(F.array(home))
     rows = df.withColumn("_block", F.explode(blocks))
     past = Window.partitionBy(*keys, "_block").orderBy(step).rowsBetween(-n_in, -1)
-    seen = {f"past_{v}": F.collect_list(F.struct(F.col(v))).over(past) for v in values}
-    rows = rows.withColumns({**seen, "_n": F.count(F.lit(1)).over(past)})
-    full = rows.filter((F.col("_n") == n_in) & (F.col("_block") == home))
-    return full.select(*df.columns, *[F.col(f"past_{v}.{v}").alias(f"past_{v}") for v in values])
+    # One list of all values; a struct is never null, so null values keep their place.
+    rows = rows.withColumn("_past", F.collect_list(F.struct(*values)).over(past))
+    full = rows.filter((F.size("_past") == n_in) & (F.col("_block") == home))
+    return full.select(*df.columns, *[F.col(f"_past.{v}").alias(f"past_{v}") for v in values])
