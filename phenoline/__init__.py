@@ -36,6 +36,7 @@ from phenoline.operators.seasons import (
     build_season_steps,
     densify_observations,
     pair_events,
+    repeated_sites,
     sites_in_country,
     skipped_sites,
     with_observations,
@@ -88,6 +89,7 @@ __all__ = [
     "read_seasons",
     "read_sheets",
     "read_wide_csv",
+    "repeated_sites",
     "run_summary",
     "scale_seasons",
     "score_at_cutoffs",

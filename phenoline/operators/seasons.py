@@ -69,6 +69,12 @@ def join_coordinates(df: DataFrame, sites: DataFrame, site: str = "site", unique
     return joined.withColumn("copies", F.col("copies") * F.coalesce("n_places", F.lit(1))).drop("n_places")
 
 
+def repeated_sites(sites: DataFrame) -> DataFrame:
+    """Names listed more than once, which double the seasons of their site, with their number of rows."""
+    counts = sites.groupBy("city_ascii").agg(F.count("*").alias("n_rows"))
+    return counts.filter(F.col("n_rows") > 1)
+
+
 def season_windows(pairs: DataFrame, day: int, month: int) -> DataFrame:
     """Add the start date of each season, the days to both events and their offset."""
     start = season_start(F.col("year"), day, month)

@@ -100,6 +100,10 @@ def test_duplicate_and_unknown_places(spark):
     assert build(spark, obs, sites=other, drop_na=False).count() == 12
 
 
+def test_repeated_sites_are_reported(spark):
+    assert [tuple(r) for r in seasons.repeated_sites(places(spark, ("A", 1.0, 2.0), ("A", 1.0, 2.0), ("B", 1.0, 2.0))).collect()] == [("A", 2)]
+
+
 def test_repeated_events_multiply(spark):
     first = events(spark, *[("A", 2000, START + 9 * DAY)] * 2, ("A", 2000, START + 8 * DAY))
     full = events(spark, *[("A", 2000, START + 11 * DAY)] * 3)

@@ -232,6 +232,9 @@ SELECT site, year, CAST(first_bloom AS VARCHAR) AS first_bloom, CAST(full_bloom
     "site_coordinates": """
 SELECT n_name AS site, count(*) AS n_rows, max(s_acctbal) AS top_lat
 FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""",
+    "repeated_sites": """
+SELECT n_name AS city_ascii, count(*) AS n_rows FROM customer JOIN nation ON c_nationkey = n_nationkey
+GROUP BY 1 HAVING count(*) > 1""",
     "kept_and_skipped_sites": """
 SELECT CAST(c_custkey AS VARCHAR) AS site,
        CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'kept' ELSE 'skipped' END AS status FROM customer""",
@@ -345,6 +348,15 @@ SELECT sim_id, step, min(mse) AS lowest, max(mse) AS highest, count(*) AS n_rows
     "row_model": f"""WITH c AS (SELECT unnest([{FRACTIONS}]) AS fraction), {_steps()}
 SELECT DISTINCT fraction, CAST(1 AS DOUBLE) AS mae_first, CAST(1 AS DOUBLE) AS mae_full,
        CAST(1 AS DOUBLE) AS mae_average FROM c, steps""",
+    "sequence_model": f"""WITH {PREDICTED},
+means AS (
+  SELECT *, avg(true_first) OVER (PARTITION BY site, year) AS p1, avg(true_full) OVER (PARTITION BY site, year) AS p2
+  FROM predicted WHERE sim_id = 1),
+maes AS (
+  SELECT site, year, fraction, avg(abs(p1 - true_first)) AS m1, avg(abs(p2 - true_full)) AS m2
+  FROM means, (SELECT unnest([{FRACTIONS}]) AS fraction) WHERE step < trunc(full_length * fraction) GROUP BY 1, 2, 3)
+SELECT fraction, round(avg(m1), 6) AS mae_first, round(avg(m2), 6) AS mae_full,
+       round((avg(m1) + avg(m2)) / 2, 6) AS mae_average FROM maes GROUP BY 1""",
     "errors_by_site": _stats("site"),
     "errors_by_year": _stats("year"),
     "overall_metrics": f"""WITH {_scores()}

@@ -140,6 +140,13 @@ def site_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     return kept
 
 
+def repeated_sites(spark: SparkSession, sf: str) -> DataFrame:
+    places = table(spark, sf, "customer").join(
+        table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    return seasons.repeated_sites(places.select(F.col("n_name").alias("city_ascii")))
+
+
 def kept_and_skipped_sites(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("site"))
     observed = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("site"))
@@ -478,6 +485,18 @@ def row_model(spark: SparkSession, sf: str) -> DataFrame:
     return errors.overall_metrics(scored, ["fraction"])
 
 
+def sequence_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's model of whole sequences: it predicts the mean countdown of the season at every step."""
+
+    def predict(frame):
+        return frame.assign(pred_first=frame.true_first.mean(), pred_full=frame.true_full.mean())
+
+    rows = predicted_steps(spark, sf, (1,))
+    predicted = scoring.predict_sequences(rows, ["site", "year"], predict, rows.schema)
+    metrics = errors.overall_metrics(scoring.score_at_cutoffs(predicted, SCORE_KEYS), ["fraction"])
+    return metrics.select("fraction", r6("mae_first"), r6("mae_full"), r6("mae_average"))
+
+
 # Error summaries
 
 
@@ -714,6 +733,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pair_events,
         sites_in_country,
         site_coordinates,
+        repeated_sites,
         kept_and_skipped_sites,
         densify,
         unpivot_events,
@@ -743,6 +763,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         step_mse,
         step_error_floor,
         row_model,
+        sequence_model,
         errors_by_site,
         errors_by_year,
         overall_metrics,
