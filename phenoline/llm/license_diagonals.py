@@ -69,12 +69,12 @@ def votes(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
     """
     words = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("words", words_of(F.col(text)))
     hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    pairs = F.zip_with("hashes", F.slice("hashes", 2, F.greatest(F.size("hashes"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    pairs = F.zip_with("hashes", F.slice("hashes", F.lit(2), F.greatest(F.size("hashes"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     placed = hashed.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.posexplode_outer(pairs).alias("at", "gram"))
     same = (F.get("words", F.col("at")) == F.col("first")) & (F.get("words", F.col("at") + 1) == F.col("second"))
     matched = placed.join(F.broadcast(table.withColumnRenamed("gram", "t_gram")), (F.col("gram") == F.col("t_gram")) & same, "left")
     return matched.groupBy("row", "doc_id", "n_words", "template", "exact", "label", "pairs", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.coalesce("place", F.lit(0)))).alias("seen"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("place", F.lit(0)))).alias("seen"),
         F.min("at").alias("low"),
         F.max("at").alias("high"),
     )

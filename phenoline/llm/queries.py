@@ -8,11 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoline.llm import bpe_documents, keyed_ids
+from phenoline.llm import bpe_documents, host_reputation, keyed_ids, license_diagonals, line_spread, poisson_mix, weak_rules
 from phenoline.llm.common import table
 from phenoline.sources.paths import scratch_path
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+SOURCE_WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.08, "src3": 0.08}
+
+
+def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten sources or more hold."""
+    return line_spread.drop_spread_lines(table(spark, sf_dir, "documents"), sites=10)
+
+
 def op3_keyed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents to a store and read every one back by its key."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -21,6 +30,24 @@ def op3_keyed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every page. A page's labelled outcome is the quality of the document whose number its path names."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = host_reputation.url_parts(F.col("url"))
+    number = F.expr("try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS bigint)")
+    shown = pages.select(host.alias("host"), path.alias("path")).select("host", number.alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    outcomes = shown.join(labels, "doc_id", "left").select("host", (F.col("quality") == 1).alias("good"))
+    judged = host_reputation.judge(pages, outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("bound", 6).alias("bound"))
+
+
+def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence places and labels of every document."""
+    found = license_diagonals.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("score", F.round("score", 6)).drop("spans")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,10 +56,28 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *outputs)
 
 
+def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict on every document."""
+    judged = weak_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good")
+    )
+
+
+def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights, in shuffled order."""
+    return poisson_mix.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, seed=7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_line_spread,
         op3_keyed_ids,
+        op4_host_reputation,
+        op5_license_diagonals,
         op7_bpe,
+        op9_weak_rules,
+        op10_poisson_mix,
     )
 }

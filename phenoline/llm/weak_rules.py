@@ -88,11 +88,12 @@ def rule_votes() -> dict[str, Column]:
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Expectation-maximisation over (votes, number of documents). Gives the share of good documents and, for each rule and
-    vote, its probability on good and on bad ones. It starts from the balance of the votes, which fixes which class is the good one.
+    vote, its probability on good and on bad ones. It starts from doubt about documents with any vote for bad, the rarer and
+    more telling kind, which fixes which class is the good one.
     """
     width = len(patterns[0][0]) if patterns else 0
     total = sum(n for _, n in patterns)
-    weight = [1 / (1 + math.exp(-2.0 * sum(v) + 1e-9)) if any(x < 0 for x in v) else 0.98 for v, _ in patterns]
+    weight = [0.9 if min(v) >= 0 else 0.1 for v, _ in patterns]
     share, table = 0.5, []
     for _ in range(rounds):
         good = sum(w * n for w, (_, n) in zip(weight, patterns))
