@@ -42,12 +42,14 @@ PASSAGES = (
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 )
 
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Before lower-casing, capitals are letters too.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = 2
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+    """Words as they are written."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD), "")
 
 
 def templates(spark: SparkSession, phrases, passages) -> DataFrame:
@@ -68,10 +70,12 @@ def votes(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
     ``row`` tells input rows apart; it is made once and only travels with its row.
     """
     words = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("words", words_of(F.col(text)))
-    hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
     pairs = F.zip_with("hashes", F.slice("hashes", F.lit(2), F.greatest(F.size("hashes"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     placed = hashed.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.posexplode_outer(pairs).alias("at", "gram"))
-    same = (F.get("words", F.col("at")) == F.col("first")) & (F.get("words", F.col("at") + 1) == F.col("second"))
+    # Full lower-casing may only make too many hashes equal; the words are compared with A-Z lower-cased.
+    word = lambda i: lower_ascii(F.get("words", i))
+    same = (word(F.col("at")) == F.col("first")) & (word(F.col("at") + 1) == F.col("second"))
     matched = placed.join(F.broadcast(table.withColumnRenamed("gram", "t_gram")), (F.col("gram") == F.col("t_gram")) & same, "left")
     return matched.groupBy("row", "doc_id", "n_words", "template", "exact", "label", "pairs", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("place", F.lit(0)))).alias("seen"),
