@@ -5,10 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoline.llm import bpe_documents, host_reputation, keyed_ids, license_diagonals, line_spread, poisson_mix, weak_rules
+from phenoline.llm import (
+    bpe_documents,
+    host_reputation,
+    jaccard_regions,
+    keyed_ids,
+    license_diagonals,
+    line_spread,
+    neighbour_votes,
+    poisson_mix,
+    weak_rules,
+)
 from phenoline.llm.common import table
 from phenoline.sources.paths import scratch_path
 
@@ -48,6 +58,11 @@ def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6)).drop("spans")
 
 
+def op6_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four words are linked."""
+    return jaccard_regions.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +71,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *outputs)
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The fifth of the documents that is never learned from."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
+
+
+def op8_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    scored = neighbour_votes.score(docs, neighbour_votes.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict on every document."""
     judged = weak_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,7 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_keyed_ids,
         op4_host_reputation,
         op5_license_diagonals,
+        op6_jaccard_regions,
         op7_bpe,
+        op8_neighbour_votes,
         op9_weak_rules,
         op10_poisson_mix,
     )
