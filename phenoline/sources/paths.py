@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names.
+    """The shared folder for tables that several jobs read.
 
-    Where it is unset, a local session (a test) gets a fresh temporary folder; on a cluster that is an error,
-    as a folder of one machine would not be seen by the others.
+    It is the one that ``spark.checkpoint.dir`` names, or else the one given to ``setCheckpointDir``. Where neither is set, a
+    local session (a test) gets a temporary folder; on a cluster that is an error, as a folder of one machine would not
+    be seen by the others.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
