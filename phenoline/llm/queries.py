@@ -17,6 +17,7 @@ from phenoline.llm import (
     line_spread,
     neighbour_votes,
     poisson_mix,
+    projected_neighbours,
     weak_rules,
 )
 from phenoline.llm.common import table
@@ -27,6 +28,11 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 SOURCE_WEIGHTS = {"src0": 0.15, "src1": 0.08, "src2": 0.08, "src3": 0.08}
 
 
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return projected_neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten sources or more hold."""
     return line_spread.drop_spread_lines(table(spark, sf_dir, "documents"), sites=10)
@@ -100,6 +106,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_projected_neighbours,
         op2_line_spread,
         op3_keyed_ids,
         op4_host_reputation,
