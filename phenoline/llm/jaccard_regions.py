@@ -11,11 +11,13 @@ distances are 1, and the window of every document holds every region. So regions
    lost, whatever the order. The order puts shingles that only one document has first, and very common ones last: unique
    texts then stand in no region with others, and boilerplate makes no large regions. Only the shingles with the lowest hashes
    are counted, over all documents; the others come after them, in order of hash.
-2. *Pivot documents.* Members of a region do lie near each other. Each region takes a pivot document; all exact distances to
+2. *Pivot documents.* Members of a region do lie near each other. Each region takes a pivot document; the exact distances to
    it are computed; members within the radius r = 1 - t are linked to it. By the triangle inequality, a member at distance d > r
    can only be linked to others at distance d - r or more, so what goes on is the members beyond r and the window before
-   them. In groups of copies nothing is left. What is left is joined again, by the same rule, recursively within a task;
-   groups too large for one task are cut into blocks, and pairs of blocks are joined.
+   them; a region whose members are all connected is settled, as large groups of copies are after one round. The rest is
+   joined again by the same rule, with new pivots. What two rounds leave are families of texts that are alike but not linked; of
+   those, pairs that aren't connected yet and whose sizes allow a link are compared, each in the first region both are
+   in. Large regions are cut into blocks for that, and blocks are joined in pairs.
 
 Equal sets are one class from the start, so copies never meet. Linked classes are joined to components by label propagation on
 tables. Set sizes and distances are exact; shingles are 64-bit hashes.
@@ -29,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from phenoline.llm.common import stored, sub_batches
 from phenoline.llm.text_numbers import Words, mixed
 
-COUNTED = np.uint64(int(0.2 * 2**64))  # shingles with lower hashes are counted
+COUNTED = np.uint64(int(0.4 * 2**64))  # shingles with lower hashes are counted
 COMMON = 32  # a shingle of more documents is put last
 BLOCK = 256
 SHIP = 1_000_000  # ids; up to 8 MB of them are broadcast, more are joined by a shuffle
@@ -151,92 +152,66 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, profile: DataFrame, width: int,
     return stored(made.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sets without repeats."""
-    return len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-
-
-def join_members(nodes: list[int], sets: list[np.ndarray], side: list[int] | None, percent: int) -> list[tuple[int, int]]:
-    """Links that join the members of a region as all its links would: pivots, radius and windows, recursively.
-
-    With ``side``, only links between members of different sides are asked for.
-    """
-    links: list[tuple[int, int]] = []
-    radius = 1 - percent / 100
-    todo = [list(range(len(nodes)))]
-    linked = list(range(len(nodes)))  # a forest of what is joined so far
-
-    def root(i: int) -> int:
-        while linked[i] != i:
-            linked[i] = linked[linked[i]]
-            i = linked[i]
-        return i
-
-    while todo:
-        group = todo.pop()
-        if len(group) < 2:
-            continue
-        pivot, rest = group[0], group[1:]
-        near, far = [], []
-        for i in rest:
-            if side is not None and side[pivot] == side[i]:
-                continue
-            a, b = sets[pivot], sets[i]
-            both = _common(a, b)
-            union = len(a) + len(b) - both
-            d = 1 - both / union
-            if 100 * both >= percent * union:
-                if root(pivot) != root(i):
-                    linked[root(i)] = root(pivot)
-                    links.append((nodes[pivot], nodes[i]))
-                near.append((d, i))
-            else:
-                far.append((d, i))
-        if side is not None:
-            todo.append(rest)  # links within a side aren't known here, so no member is settled by the pivot
-        elif far:
-            border = min(d for d, _ in far) - radius - 1e-9
-            todo.append([i for _, i in far] + [i for d, i in near if d >= border])
-    return links
-
-
-def links_between(regions: DataFrame, sets: DataFrame, percent: int, alone: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all linked classes that share a region."""
-    pivot = regions.join(alone, "node").groupBy("region").agg(F.min(F.struct("alone", "node"))["node"].alias("pivot"))
-    placed = stored(regions.join(pivot, "region"), "placed")
-    pairs = placed.filter("node <> pivot").select("node", "pivot").distinct()
-    near = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs")), "pivot")
+def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes with their exact distance d and whether they are linked."""
+    near = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b")
     both = F.size(F.array_intersect("shingles", "theirs"))
     union = F.size("shingles") + F.size("theirs") - both
-    measured = stored(
-        near.select("node", "pivot", both.alias("both"), union.alias("union")).withColumn("d", 1 - F.col("both") / F.col("union")), "measured"
-    )
-    hit = 100 * F.col("both") >= percent * F.col("union")
-    links = measured.filter(hit).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    # What is beyond the radius of a region's pivot, and the window before it, is joined again.
-    seen = placed.filter("node <> pivot").join(measured, ["node", "pivot"])
-    border = seen.filter(~hit).groupBy("region").agg((F.min("d") - (1 - percent / 100) - 1e-9).alias("border"))
-    left = seen.join(border, "region").filter(~hit | (F.col("d") >= F.col("border"))).select(F.col("region").alias("s"), "node")
-    rest = stored(_regions(left), "rest")
-    size = rest.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cut = rest.join(size, "region").withColumn("block", block)
-    # A member meets every block once: as the lower or the upper one of a pair.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = cut.select("region", "node", "block", other).select(
-        "region", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    tasks = dealt.join(sets, "node")
+    return stored(near.select("a", "b", (1 - both / union).alias("d"), (100 * both >= percent * union).alias("linked")), "measured")
+
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        members = [np.asarray(s, np.int64) for s in group["shingles"]]
-        found = join_members(group["node"].tolist(), members, group["block"].tolist() if i != j else None, percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Regions with the component of each member so far; regions of one component are settled."""
+    if labels is None:
+        return regions.withColumn("component", F.col("node"))
+    known = regions.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = known.groupBy("region").agg((F.min("component") < F.max("component")).alias("open")).filter("open")
+    return known.join(open_.select("region"), "region")
 
-    more = tasks.groupBy("region", "i", "j").applyInPandas(join, "a long, b long")
-    return stored(links.union(more), "links")
+
+def links_between(regions: DataFrame, sets: DataFrame, percent: int, facts: DataFrame, rounds: int = 2) -> DataFrame:
+    """Links (a, b) that connect all linked classes that share a region. ``facts``: node, alone, n."""
+    radius = 1 - percent / 100
+    links, labels = None, None
+    for _ in range(rounds):
+        placed = _labelled(regions, labels).join(facts, "node")
+        first = F.min(F.struct("alone", "node", "component", "n"))
+        pivot = placed.groupBy("region").agg(first.alias("p")).select("region", F.col("p.node").alias("pivot"), F.col("p.component").alias("theirs"), F.col("p.n").alias("size"))
+        placed = stored(placed.join(pivot, "region").filter("node <> pivot"), "placed")
+        # A set of another size than the window of sizes holds, or of the pivot's component, need not be measured.
+        open_ = (F.col("component") != F.col("theirs")) & (100 * F.least("n", "size") >= percent * F.greatest("n", "size"))
+        measured = _measure(placed.filter(open_).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent)
+        found = measured.filter("linked").select("a", "b")
+        links = stored(found if links is None else links.union(found), "links")
+        labels = components(links)
+        # On go the members beyond the radius, and those before it that are no nearer than its window. A member that wasn't
+        # measured for its size has a distance of more than the radius; one of the pivot's component has any.
+        seen = placed.join(measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d", "linked"), ["node", "pivot"], "left")
+        same = F.col("component") == F.col("theirs")
+        beyond = ~same & ~F.coalesce("linked", F.lit(False))
+        border = seen.filter(beyond).groupBy("region").agg((F.min(F.coalesce("d", F.lit(0.0))) - radius - 1e-9).alias("border"))
+        left = seen.join(border, "region").filter(beyond | F.col("d").isNull() | (F.col("d") >= F.col("border")))
+        left = _labelled(left.select("region", "node"), labels).select(F.col("region").alias("s"), "node")
+        regions = stored(_regions(left), "rest")
+    rest = _labelled(regions, labels).join(facts.select("node", "n"), "node")
+    # A pair is looked at in the first region that both are in, so each member knows the ones it was in before.
+    mine = regions.groupBy("node").agg(F.collect_set("region").alias("mine"))
+    size = regions.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = rest.join(mine, "node").join(size, "region").withColumn("before", F.filter("mine", lambda r: r < F.col("region")))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("mine")
+    # Large regions are cut into blocks. A member meets each block once: as the one with the lower or the higher number.
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    columns = ("region", "i", "j", "node", "component", "n", "before", "block")
+    x = dealt.select(*[F.col(c).alias(f"{c}_x") for c in columns])
+    y = dealt.select(*[F.col(c).alias(f"{c}_y") for c in columns])
+    same = (F.col("region_x") == F.col("region_y")) & (F.col("i_x") == F.col("i_y")) & (F.col("j_x") == F.col("j_y"))
+    once = (F.col("node_x") < F.col("node_y")) & ((F.col("i_x") == F.col("j_x")) | (F.col("block_x") != F.col("block_y")))
+    sizes = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    new = ~F.arrays_overlap("before_x", "before_y")
+    pairs = x.join(y, same & once & (F.col("component_x") != F.col("component_y")) & sizes & new)
+    measured = _measure(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), sets, percent)
+    return links.union(measured.filter("linked").select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,8 +239,9 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, key: str
     regions = stored(_regions(window.select("s", "node")), "regions")
     nodes = regions.select("node").distinct()
     sets = _sets_of(docs, nodes, profile, width, key, text)
-    links = links_between(regions, sets, percent, window.select("node", "alone").distinct())
-    found = components(links)
+    sizes = profile.filter("front IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"))
+    facts = stored(window.select("node", "alone").distinct().join(sizes, "node").join(nodes, "node"), "facts")
+    found = components(links_between(regions, sets, percent, facts))
     rows = profile.select("id", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = rows.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
     out = rows.join(names, "component", "left")
