@@ -16,7 +16,7 @@ distances are 1, and the window of every document holds every region. So regions
    can only be linked to others at distance d - r or more, so what goes on is the members beyond r and the window before
    them; a region whose members are all connected is settled, as large groups of copies are after one round. The rest is
    joined again by the same rule, with new pivots. What two rounds leave are families of texts that are alike but not linked; of
-   those, pairs that aren't connected yet and whose sizes allow a link are compared, each in the first region both are
+   those, pairs that aren't connected yet and whose sizes and bucket counts allow a link are compared, each in the first region both are
    in. Large regions are cut into blocks for that, and blocks are joined in pairs.
 
 Equal sets are one class from the start, so copies never meet. Linked classes are joined to components by label propagation on
@@ -40,7 +40,9 @@ from phenoline.llm.text_numbers import Words, mixed
 
 COUNTED = np.uint64(int(0.4 * 2**64))  # shingles with lower hashes are counted
 COMMON = 32  # a shingle of more documents is put last
-BLOCK = 256
+BLOCK = 1024
+BUCKETS = 64
+SHIFT = np.uint64(64 - 6)  # to the number of a bucket
 SHIP = 1_000_000  # ids; up to 8 MB of them are broadcast, more are joined by a shuffle
 
 _FACTOR = np.random.default_rng(6).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,7 +134,11 @@ def windows(profile: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, profile: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(node, shingles) of the asked-for classes, read again from one document of each."""
+    """(node, shingles, counts) of the asked-for classes, read again from one document of each.
+
+    ``counts`` are the numbers of shingles in BUCKETS equal parts of the hashes. The difference of two such vectors is at most
+    the size of the sets' symmetric difference, so it rules pairs out.
+    """
     asked = stored(profile.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "asked")
     ids = asked.filter("id IS NOT NULL").select(F.col("id").alias(key))
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))
@@ -144,17 +150,21 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, profile: DataFrame, width: int,
             for _, part in sub_batches(batch.column(1).to_pylist(), 1_000_000):
                 sets = list(shingle_sets(part, width))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["node", "shingles"],
+                    [
+                        pa.array([_name(s) for s in sets], pa.int64()),
+                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array([np.bincount((s >> SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.int32) for s in sets], pa.list_(pa.int32())),
+                    ],
+                    names=["node", "shingles", "counts"],
                 )
 
-    made = named.union(nameless).mapInArrow(run, "node long, shingles array<long>")
+    made = named.union(nameless).mapInArrow(run, "node long, shingles array<long>, counts array<int>")
     return stored(made.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes with their exact distance d and whether they are linked."""
-    near = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b")
+    near = pairs.join(sets.select(F.col("node").alias("a"), "shingles"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("theirs")), "b")
     both = F.size(F.array_intersect("shingles", "theirs"))
     union = F.size("shingles") + F.size("theirs") - both
     return stored(near.select("a", "b", (1 - both / union).alias("d"), (100 * both >= percent * union).alias("linked")), "measured")
@@ -193,7 +203,7 @@ def links_between(regions: DataFrame, sets: DataFrame, percent: int, facts: Data
         left = seen.join(border, "region").filter(beyond | F.col("d").isNull() | (F.col("d") >= F.col("border")))
         left = _labelled(left.select("region", "node"), labels).select(F.col("region").alias("s"), "node")
         regions = stored(_regions(left), "rest")
-    rest = _labelled(regions, labels).join(facts.select("node", "n"), "node")
+    rest = _labelled(regions, labels).join(facts.select("node", "n"), "node").join(sets.select("node", "counts"), "node")
     # A pair is looked at in the first region that both are in, so each member knows the ones it was in before.
     mine = regions.groupBy("node").agg(F.collect_set("region").alias("mine"))
     size = regions.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -202,14 +212,16 @@ def links_between(regions: DataFrame, sets: DataFrame, percent: int, facts: Data
     # Large regions are cut into blocks. A member meets each block once: as the one with the lower or the higher number.
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    columns = ("region", "i", "j", "node", "component", "n", "before", "block")
+    columns = ("region", "i", "j", "node", "component", "n", "counts", "before", "block")
     x = dealt.select(*[F.col(c).alias(f"{c}_x") for c in columns])
     y = dealt.select(*[F.col(c).alias(f"{c}_y") for c in columns])
     same = (F.col("region_x") == F.col("region_y")) & (F.col("i_x") == F.col("i_y")) & (F.col("j_x") == F.col("j_y"))
     once = (F.col("node_x") < F.col("node_y")) & ((F.col("i_x") == F.col("j_x")) | (F.col("block_x") != F.col("block_y")))
     sizes = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
     new = ~F.arrays_overlap("before_x", "before_y")
-    pairs = x.join(y, same & once & (F.col("component_x") != F.col("component_y")) & sizes & new)
+    differ = F.aggregate(F.zip_with("counts_x", "counts_y", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
+    pairs = x.join(y, same & once & (F.col("component_x") != F.col("component_y")) & sizes & new & close)
     measured = _measure(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), sets, percent)
     return links.union(measured.filter("linked").select("a", "b"))
 
