@@ -49,11 +49,11 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], length: list[int])
     """Symbols after a token's end that settle it, for merges (left, right, result) in order of rank."""
     made_by: dict[int, list[int]] = {}
     rank_made: dict[int, int] = {}
-    for rank, (a, b, new) in enumerate(merges):
-        if max(rank_made.get(a, -1), rank_made.get(b, -1)) >= rank:
-            raise ValueError("a merge uses a token that a later merge makes")
+    for rank, (a, _, new) in enumerate(merges):
         made_by.setdefault(new, []).append(a)
         rank_made.setdefault(new, rank)
+    if any(max(rank_made.get(a, -1), rank_made.get(b, -1)) >= rank for rank, (a, b, _) in enumerate(merges)):
+        raise ValueError("a merge uses a token that a later merge makes")
     chain: dict[int, int] = {}
 
     def reach(token: int) -> int:

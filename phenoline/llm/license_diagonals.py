@@ -84,7 +84,7 @@ def votes(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, least: float = 0.6, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, least: float = 0.7, text: str = "text") -> DataFrame:
     """Per input row (doc_id and a text): n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``spans`` lists what the passages and phrases cover: label, first word, last word, share of the template.

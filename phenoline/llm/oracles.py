@@ -81,7 +81,7 @@ spans AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, template ORDER BY dia
 merged AS (
   SELECT doc_id, template, exact, label, bit_count(bit_or(seen)) / pairs AS share, min(low) AS low
   FROM spans GROUP BY doc_id, template, exact, label, pairs, span),
-held AS (SELECT * FROM merged WHERE CASE WHEN exact THEN share = 1 ELSE share >= 0.6 END),
+held AS (SELECT * FROM merged WHERE CASE WHEN exact THEN share = 1 ELSE share >= 0.7 END),
 found AS (
   SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(low) FILTER (WHERE exact) AS first_word, max(low) FILTER (WHERE exact) AS last_word,
     array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE exact)), ',') AS base_labels,
