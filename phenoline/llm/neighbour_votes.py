@@ -127,18 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, rank: int = 6
                     [
                         batch.column("doc_id").slice(start, len(counts)).cast(pa.int64()),
                         batch.column("label").slice(start, len(counts)).cast(pa.int32()),
-                        pa.array([a.astype(np.int16) for a in at], pa.list_(pa.int16())),
-                        pa.array([c[a].astype(np.int32) for c, a in zip(counts, at)], pa.list_(pa.int32())),
+                        pa.array([a.astype("<i2").tobytes() for a in at], pa.binary()),
+                        pa.array([c[a].astype("<i4").tobytes() for c, a in zip(counts, at)], pa.binary()),
                     ],
                     names=["doc_id", "label", "term", "n"],
                 )
 
-    got = sorted(rows.mapInArrow(sparse, "doc_id long, label int, term array<short>, n array<int>").collect(), key=lambda r: (r["doc_id"], r["label"]))
+    got = sorted(rows.mapInArrow(sparse, "doc_id long, label int, term binary, n binary").collect(), key=lambda r: (r["doc_id"], r["label"]))
     if len({r["label"] for r in got}) < 2:
         return empty
     matrix = np.zeros((len(got), TERMS), np.float32)
     for i, r in enumerate(got):
-        matrix[i, r["term"]] = np.log1p(np.array(r["n"], np.float32))
+        matrix[i, np.frombuffer(r["term"], "<i2")] = np.log1p(np.frombuffer(r["n"], "<i4").astype(np.float32))
     matrix *= idf
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     # Leading singular vectors by subspace iteration from a fixed start.
