@@ -49,9 +49,13 @@ def whole_days(start: Column, end: Column) -> Column:
 
 
 def floored_days(start: Column, end: Column) -> Column:
-    """Days from start to end rounded toward minus infinity, so minus six hours is -1."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    return ((micros - F.pmod(micros, F.lit(MICROS_PER_DAY))) / F.lit(MICROS_PER_DAY)).cast("int")
+    """Days from start to end rounded toward minus infinity, so minus six hours is -1.
+
+    Clock times are compared as they are written; the session's time zone and its changes of the clock don't enter.
+    """
+    first, last = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
+    clock = lambda moment: F.substring(moment.cast("string"), 12, 15)
+    return F.date_diff(last.cast("date"), first.cast("date")) - (clock(last) < clock(first)).cast("int")
 
 
 def add_days(date: Column, days: Column) -> Column:

@@ -95,11 +95,12 @@ def error_bands(summary: DataFrame) -> DataFrame:
 def best_runs(summary: DataFrame, sim_ids: Sequence[int]) -> DataFrame:
     """The run with the smallest mean over cutoffs, per event; ties go to the run listed first.
 
-    Runs without any error never win. ``sim_ids`` is the caller's list, whose order decides ties.
+    A run that has no error at one of its cutoffs never wins, as its mean is unknown. ``sim_ids`` is the caller's list, whose order decides ties.
     """
     place = F.array_position(F.array(*[F.lit(s) for s in sim_ids]), F.col("sim_id"))
     listed = summary.filter(F.col("sim_id").isin(list(sim_ids)))
-    means = listed.groupBy("sim_id").agg(F.avg("mean_first").alias("first"), F.avg("mean_full").alias("full"))
+    whole = lambda c: F.when(F.count(c) == F.count("*"), F.avg(c))
+    means = listed.groupBy("sim_id").agg(whole("mean_first").alias("first"), whole("mean_full").alias("full"))
     sides = F.explode(
         F.array(*[F.struct(F.lit(t).alias("event"), F.col(t).alias("mae")) for t in ("first", "full")])
     )

@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 from phenoline.operators.ranks import SMALL, exact_quantiles
 
-KINDS = ("minmax", "standard", "robust", "maxabs")
+# Kinds of scalers and their options.
+OPTIONS = {
+    "minmax": ("feature_range",),
+    "standard": ("with_mean", "with_std"),
+    "robust": ("quantile_range", "with_centering", "with_scaling"),
+    "maxabs": (),
+}
+KINDS = tuple(OPTIONS)
 
 # Default configuration (fixed values): column -> scaler and its options.
 DEFAULT_CONFIG = {
@@ -95,6 +102,9 @@ def _options(options: Mapping) -> dict:
         kind = kind.lower()
         if kind not in KINDS:
             raise ValueError(f"unknown scaler kind {kind!r}, available: {list(KINDS)}")
+        # One set of options may serve several kinds, but a name that none knows is a mistake.
+        if unknown := set(options).difference({"kind"}, *OPTIONS.values()):
+            raise ValueError(f"unknown scaler options {sorted(unknown)}, those of {kind!r} are {list(OPTIONS[kind])}")
     return {**options, "kind": kind}
 
 

@@ -64,9 +64,21 @@ def write_metrics_json(metrics: DataFrame, path: str, mode: str = "error") -> No
     metrics.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).json(path)
 
 
+def _parameter_type(values: list) -> str:
+    kinds = {type(v) for v in values if v is not None}
+    if kinds == {bool}:
+        return "boolean"
+    if kinds == {int}:
+        return "bigint"
+    return "double" if kinds and kinds <= {int, float} else "string"
+
+
 def write_parameters_json(spark: SparkSession, parameters: Mapping[int, Mapping], path: str, mode: str = "error") -> None:
-    """The settings of each run as JSON, keyed by run."""
+    """The settings of each run as JSON, keyed by run. Numbers and truth values keep their type; anything else is text."""
     names = sorted({n for p in parameters.values() for n in p})
-    rows = [(sim, *[None if n not in p else str(p[n]) for n in names]) for sim, p in parameters.items()]
-    schema = ", ".join(["sim_id int", *[f"`{n}` string" for n in names]])
+    types = {n: _parameter_type([p.get(n) for p in parameters.values()]) for n in names}
+    cast = {"boolean": bool, "bigint": int, "double": float, "string": str}
+    rows = [(sim, *[None if p.get(n) is None else cast[types[n]](p[n]) for n in names]) for sim, p in parameters.items()]
+    schema = ", ".join(["sim_id int", *[f"`{n}` {types[n]}" for n in names]])
     spark.createDataFrame(rows, schema).write.mode(mode).partitionBy("sim_id").json(path)
+

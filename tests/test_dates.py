@@ -72,3 +72,14 @@ def test_daily_axis(spark):
     row = one(spark, dates.daily_axis(day("2000-02-28"), day("2000-03-01")), dates.daily_axis(day("2000-03-01"), day("2000-02-28")))
     assert row[0] == [dt.date(2000, 2, 28), dt.date(2000, 2, 29), dt.date(2000, 3, 1)]
     assert row[1] == []
+
+
+def test_floored_days_ignore_the_time_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            row = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00' AS a, timestamp_ntz'2024-03-11 02:30:00' AS b")
+            assert row.select(dates.floored_days(F.col("a"), F.col("b")), dates.floored_days(F.col("b"), F.col("a"))).first()[:] == (1, -1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

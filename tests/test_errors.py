@@ -69,3 +69,10 @@ def test_lengths_and_distinct(spark):
     df = spark.createDataFrame([("b", [1, 2]), ("a", []), ("a", [1])], "k string, a array<int>")
     assert tuple(errors.length_stats(df, "a").first()) == (0, 2)
     assert [r.k for r in errors.distinct_sorted(df, "k").collect()] == ["a", "b"]
+
+
+def test_best_run_needs_every_cutoff(spark):
+    rows = [(1, 0.5, None, 1.0), (1, 0.9, 1.0, 1.0), (2, 0.5, 5.0, 9.0), (2, 0.9, 5.0, 9.0)]
+    summary = spark.createDataFrame(rows, "sim_id int, cutoff double, mean_first double, mean_full double")
+    best = {r["event"]: (r["best_sim_id"], r["best_mae"]) for r in errors.best_runs(summary, [1, 2]).collect()}
+    assert best == {"first": (2, 5.0), "full": (1, 1.0)}

@@ -84,3 +84,8 @@ def test_table_round_trip(spark, df):
 def test_applying_needs_no_shuffle(df):
     plan = apply_scalers(df, fit_scalers(df, {"a": {}, "s": {}}))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Python" not in plan
+
+
+def test_unknown_options_are_rejected(spark):
+    with pytest.raises(ValueError, match="quantile_rang"):
+        scaling.fit_scalers(spark.createDataFrame([(1.0,)], "x double"), {"x": {"kind": "robust", "quantile_rang": (5, 95)}})

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import json
 
 import pytest
@@ -95,7 +97,7 @@ def test_csv_and_json_sinks(spark, tmp_path):
     assert json.loads(part.read_text()) == {"mae_first": 2.0, "mae_full": 3.0}
     runs.write_parameters_json(spark, {1: {"alpha": 1.0}, 2: {"alpha": 2.0, "tau": 10}}, str(tmp_path / "p"))
     got = {r.sim_id: (r.alpha, r.tau) for r in spark.read.json(str(tmp_path / "p")).collect()}
-    assert got == {1: ("1.0", None), 2: ("2.0", "10")}
+    assert got == {1: (1.0, None), 2: (2.0, 10)}
 
 
 def test_wide_csv(spark, tmp_path):
@@ -127,3 +129,21 @@ def test_cache_is_created_once_and_only_when_complete(spark, tmp_path):
 def test_scratch_follows_the_session(spark):
     assert paths.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert paths.stored(spark.range(5)).count() == 5
+
+
+def test_parameters_keep_their_types(spark, tmp_path):
+    path = str(tmp_path / "parameters")
+    runs.write_parameters_json(spark, {1: {"tau": 0.1, "dim": 2000, "on": True, "name": "a"}, 2: {"tau": 1, "dim": 5}}, path)
+    rows = {r["sim_id"]: r for r in spark.read.json(path).collect()}
+    assert (rows[1]["tau"], rows[1]["dim"], rows[1]["on"], rows[1]["name"]) == (0.1, 2000, True, "a")
+    assert (rows[2]["tau"], rows[2]["dim"], rows[2]["on"]) == (1.0, 5, None)
+
+
+def test_scratch_follows_set_checkpoint_dir():
+    conf = SimpleNamespace(get=lambda name, default: default)
+    context = SimpleNamespace(getCheckpointDir=lambda: "hdfs://shared/x", master="spark://cluster")
+    session = SimpleNamespace(conf=conf, sparkContext=context)
+    assert paths.scratch_path(session, "t").startswith("hdfs://shared/x/")
+    context.getCheckpointDir = lambda: None
+    with pytest.raises(RuntimeError):
+        paths.scratch_path(session, "t")
