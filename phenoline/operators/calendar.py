@@ -12,9 +12,6 @@ from phenoline.functions.dates import day_of_year, lenient_date
 # Columns of a wide event table that hold no dates (fixed values).
 NOT_DATES = ("Site Name", "Currently Being Observed", "30 Year Average 1981-2010", "Notes")
 
-# Row numbers stay below this; 366 times it still fits a bigint.
-ROW_SPAN = 1 << 54
-
 
 def latest_day_of_year(
     df: DataFrame,
@@ -26,13 +23,16 @@ def latest_day_of_year(
     """``(latest_date, day_of_year)``: the date latest in its year; ties go to the first column, then row.
 
     ``order`` numbers the rows; without it the read order is used. A column whose first cell is null is left
-    out whole, unless ``on_null_first="keep"``. Without any valid date the result is ``(null, 0)``.
-    Cells fold to one row per column before they are shuffled.
+    out whole, unless ``on_null_first="keep"``. Without any valid date the result is ``(null, 0)``. The read order is
+    that of file names, blocks and lines. Cells fold to one row per column and day of the year before they are shuffled.
     """
     if on_null_first not in ("skip", "keep"):
         raise ValueError(f"on_null_first must be 'skip' or 'keep', got {on_null_first!r}")
     columns = [c for c in df.columns if c not in exclude and c != order]
-    row = F.monotonically_increasing_id() if order is None else F.col(f"`{order}`").cast("bigint")
+    if order is None:
+        row = F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+    else:
+        row = F.col(f"`{order}`").cast("bigint")
     cells = F.array(
         *[
             F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("cell"))
@@ -40,17 +40,19 @@ def latest_day_of_year(
         ]
     )
     long = df.select(row.alias("row"), F.explode(cells).alias("c")).select("row", "c.col", "c.cell")
-    dated = long.withColumn("date", lenient_date("cell", fmt))
-    # One integer that grows with the day of year and falls with the row: integers keep this a hash
-    # aggregation, a struct would make it sort every cell.
-    rank = day_of_year(F.col("date")).cast("bigint") * F.lit(ROW_SPAN) - F.col("row")
-    per_column = dated.groupBy("col").agg(
+    dated = long.withColumn("date", lenient_date("cell", fmt)).withColumn("doy", day_of_year(F.col("date")))
+    per_day = dated.groupBy("col", "doy").agg(
+        F.min("row").alias("row"),
         F.min_by(F.col("cell").isNotNull(), "row").alias("starts_with_text"),
-        F.max_by("date", rank).alias("date"),
+        F.min_by("date", "row").alias("date"),
+    )
+    per_column = per_day.groupBy("col").agg(
+        F.min_by("starts_with_text", "row").alias("starts_with_text"),
+        F.max_by("date", "doy").alias("date"),
+        F.max("doy").alias("doy"),
     )
     if on_null_first == "skip":
         per_column = per_column.filter("starts_with_text")
-    per_column = per_column.withColumn("doy", day_of_year(F.col("date")))
     found = per_column.filter(F.col("date").isNotNull())
     best = F.struct(F.col("doy"), -F.col("col"))
     return found.agg(

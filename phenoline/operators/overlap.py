@@ -5,61 +5,62 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DATASETS = 62
+# Datasets per mask column.
+WORD = 62
 
 
-def _members(datasets: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per distinct key with the set of datasets that hold it, as a bit mask.
+def _masks(datasets: Mapping[str, DataFrame], count_null: bool) -> DataFrame:
+    """Number ``n`` of distinct keys per combination of datasets, with ``held``, the sorted places in name order of those.
 
-    A key that fills a dataset folds into one row per task before the shuffle.
+    A key's datasets are bits, in as many columns as they need. A key that fills a dataset folds into one row per task
+    before the shuffle, keys fold to combinations, and only those get the list.
     """
-    if not 1 <= len(datasets) <= MAX_DATASETS:
-        raise ValueError(f"need 1 to {MAX_DATASETS} datasets, got {len(datasets)}")
+    order = sorted(datasets)
+    words = [f"mask_{w}" for w in range(-(-len(order) // WORD))]
     parts = []
-    for i, df in enumerate(datasets.values()):
+    for i, name in enumerate(order):
+        df = datasets[name]
         key = F.col(f"`{df.columns[0]}`").cast("string").alias("key")
-        parts.append(df.select(key, F.lit(1 << i).cast("bigint").alias("bit")))
-    return reduce(DataFrame.unionAll, parts).groupBy("key").agg(F.bit_or("bit").alias("mask"))
-
-
-def _masks(datasets: Mapping[str, DataFrame], count_null: bool) -> DataFrame:
-    members = _members(datasets)
+        bits = [F.lit(1 << i % WORD if i // WORD == w else 0).cast("bigint").alias(c) for w, c in enumerate(words)]
+        parts.append(df.select(key, *bits))
+    members = reduce(DataFrame.unionAll, parts).groupBy("key").agg(*[F.bit_or(w).alias(w) for w in words])
     if not count_null:
         members = members.filter(F.col("key").isNotNull())
-    return members.groupBy("mask").agg(F.count("*").alias("n"))
+    masks = members.groupBy(*words).agg(F.count("*").alias("n"))
+    bit = [F.lit(1 << i % WORD).cast("bigint") for i in range(len(order))]
+    held = [F.when(F.col(words[i // WORD]).bitwiseAND(bit[i]) != 0, i) for i in range(len(order))]
+    return masks.select("n", F.array_compact(F.array(*held)).alias("held"))
+
+
+def _name(datasets: Mapping[str, DataFrame], place: str) -> Column:
+    return F.get(F.array(*map(F.lit, sorted(datasets))), F.col(place))
 
 
 def key_counts(datasets: Mapping[str, DataFrame], count_null: bool = True) -> DataFrame:
     """Number of distinct keys per dataset. The key is the first column; null counts as a key unless told not to."""
-    names = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("dataset")) for i, n in enumerate(datasets)]))
-    held = F.when(F.expr("shiftright(mask, name.i) & 1 = 1"), F.col("n")).otherwise(0)
-    rows = _masks(datasets, count_null).select("mask", "n", names.alias("name"))
-    counted = rows.groupBy(F.col("name.dataset").alias("dataset")).agg(F.sum(held).alias("n_keys"))
+    if not datasets:
+        raise ValueError("need at least one dataset")
+    rows = _masks(datasets, count_null).select("n", F.explode("held").alias("i"))
+    counted = rows.groupBy(_name(datasets, "i").alias("dataset")).agg(F.sum("n").alias("n_keys"))
     return _with_all(counted, [(n,) for n in datasets], ["dataset"], "n_keys", datasets)
 
 
 def key_overlap(datasets: Mapping[str, DataFrame], count_null: bool = True) -> DataFrame:
     """Number of shared keys for every pair of datasets, in name order; pairs without any are kept with 0.
 
-    All pairs come out of one pass: keys fold to masks, masks to counts, and only the counted masks, at most one
-    per combination of datasets, meet the list of pairs.
+    All pairs come out of one pass over the keys; a combination of datasets meets only the pairs within it.
     """
-    order = list(datasets)
-    pairs = [(a, b) for a in sorted(order) for b in sorted(order) if a < b]
+    order = sorted(datasets)
+    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :]]
     if not pairs:
         raise ValueError("need at least two datasets")
-    both = [(1 << order.index(a)) | (1 << order.index(b)) for a, b in pairs]
-    items = [
-        F.struct(F.lit(a).alias("dataset_1"), F.lit(b).alias("dataset_2"), F.lit(m).cast("bigint").alias("both"))
-        for (a, b), m in zip(pairs, both)
-    ]
-    rows = _masks(datasets, count_null).select("mask", "n", F.explode(F.array(*items)).alias("pair"))
-    held = F.when(F.col("mask").bitwiseAND(F.col("pair.both")) == F.col("pair.both"), F.col("n")).otherwise(0)
-    counted = rows.groupBy(F.col("pair.dataset_1").alias("dataset_1"), F.col("pair.dataset_2").alias("dataset_2"))
-    totals = counted.agg(F.sum(held).alias("overlap_count"))
+    one = _masks(datasets, count_null).select("n", "held", F.explode("held").alias("i"))
+    rows = one.select("n", "i", F.explode(F.filter("held", lambda j: j > F.col("i"))).alias("j"))
+    both = rows.groupBy("i", "j").agg(F.sum("n").alias("overlap_count"))
+    totals = both.select(_name(datasets, "i").alias("dataset_1"), _name(datasets, "j").alias("dataset_2"), "overlap_count")
     return _with_all(totals, pairs, ["dataset_1", "dataset_2"], "overlap_count", datasets)
 
 

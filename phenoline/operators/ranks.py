@@ -1,21 +1,23 @@
 """Exact order statistics of large columns without sorting or gathering them.
 
-Each pass cuts the current value range of every wanted rank into equal buckets and counts them, which
-combines map-side down to a few numbers per task. The bucket that holds the rank becomes the next range. A value that
-makes up a third of the rows ends as a bucket of its own, whose smallest and largest value agree.
+Each pass draws splitters close to every wanted rank from the data, by approximate percentiles within the range that is
+left, and counts the values between and at them exactly, which combines map-side down to a few numbers per task. The part
+that holds the rank becomes the next range, about one value in a thousand of the one before, whatever the distribution; a splitter
+is a value of the data, so every pass narrows. A value that makes up a third of the rows is a splitter, and a part of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-# Up to this many values per name one task sorts them, by the built-in exact percentile.
-SMALL = 1_000_000
+# Approximate percentiles are off by at most one rank in so many.
+ACCURACY = 10_000
 
 
 @dataclass
@@ -45,7 +47,7 @@ def value_ranges(values: DataFrame) -> dict[str, tuple[int, float, float]]:
 
 
 def select_ranks(values: DataFrame, ranks: Mapping[str, Sequence[int]], ranges=None) -> dict[tuple[str, int], Ranked]:
-    """The value at each 0-based rank, for every name of a ``(name string, value double)`` table."""
+    """The value at each 0-based rank, for every name of a ``(name string, value double)`` table; infinities are values."""
     ranges = ranges or value_ranges(values)
     found: dict[tuple[str, int], Ranked] = {}
     searches = []
@@ -60,53 +62,75 @@ def select_ranks(values: DataFrame, ranks: Mapping[str, Sequence[int]], ranges=N
         searches = [s for s in searches if s.low != s.high]
         if not searches:
             return found
-        counted = _count_buckets(values, sorted({(s.name, s.low, s.high) for s in searches}))
+        counted = _count_parts(values, _splitters(values, searches))
         for s in searches:
-            before = 0
+            before, size = 0, s.count
             for count, low, high in counted[s.name, s.low, s.high]:
                 if s.rank < before + count:
                     s.rank, s.low, s.high, s.count = s.rank - before, low, high, count
                     break
                 before += count
+            if s.count == size:
+                raise RuntimeError(f"the values of {s.name!r} changed between two passes")
 
 
-def _count_buckets(values: DataFrame, ranges: Sequence[tuple[str, float, float]]) -> dict[tuple, list[tuple]]:
-    """For each range of a name the count, smallest and largest value of its non-empty buckets, in value order.
+def _inside(name: str, low: float, high: float) -> Column:
+    return (F.col("name") == name) & F.col("value").between(low, high)
 
-    Searches that still share a range share its count. After the first pass few rows are inside any range, and
-    the filter that keeps them can reach the scan.
+
+def _splitters(values: DataFrame, searches: Sequence[_Search]) -> dict[tuple[str, float, float], list[float]]:
+    """For each range of a name, values of the data on both sides of every rank wanted in it, closer than the accuracy parts them."""
+    shares: dict[tuple, set[float]] = {}
+    for s in searches:
+        middle, off = (s.rank + 0.5) / s.count, 2 / ACCURACY
+        shares.setdefault((s.name, s.low, s.high), set()).update(min(max(middle + d, 0.0), 1.0) for d in (-off, 0.0, off))
+    # Ranges don't overlap unless they are equal, so each value is asked for in at most one.
+    number = reduce(lambda rest, i: F.when(_inside(*i[1]), i[0]).otherwise(rest), enumerate(shares), F.lit(None))
+    rows = values.select("value", number.alias("range")).filter(F.col("range").isNotNull()).groupBy("range")
+    every = sorted(set().union(*shares.values()))
+    drawn = rows.agg(F.percentile_approx("value", F.array(*map(F.lit, every)), ACCURACY).alias("drawn")).collect()
+    found = {r["range"]: dict(zip(every, r["drawn"])) for r in drawn}
+    return {at: sorted({found[i][share] for share in wanted}) for i, (at, wanted) in enumerate(shares.items())}
+
+
+def _count_parts(values: DataFrame, splitters: Mapping[tuple[str, float, float], Sequence[float]]) -> dict[tuple, list[tuple]]:
+    """For each range the count, smallest and largest value of its parts, in value order.
+
+    A part holds the values equal to a splitter, or those between two. After the first pass few rows are inside any
+    range, and the filter that keeps them can reach the scan.
     """
-    value = F.col("value")
-    hits, inside_any = [], F.lit(False)
-    for i, (name, low, high) in enumerate(ranges):
-        inside = (F.col("name") == name) & value.between(low, high)
+    part, inside_any, value = F.lit(None), F.lit(False), F.col("value")
+    for i, (at, split) in enumerate(splitters.items()):
+        inside = _inside(*at)
         inside_any = inside_any | inside
-        share = (value - F.lit(low)) / F.lit(high - low)
-        bucket = F.least(F.floor(share * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
-        hits.append(F.when(inside, F.struct(F.lit(i).alias("range"), bucket.alias("bucket"))))
-    hit = values.filter(inside_any).select(value, F.explode(F.array(*hits)).alias("hit"))
+        place = reduce(lambda a, s: a + (value >= s).cast("int") + (value > s).cast("int"), split, F.lit(0))
+        part = F.when(inside, F.struct(F.lit(i).alias("range"), place.alias("place"))).otherwise(part)
     rows = (
-        hit.filter(F.col("hit").isNotNull())
-        .groupBy(F.col("hit.range").alias("range"), F.col("hit.bucket").alias("bucket"))
+        values.filter(inside_any)
+        .select(value, part.alias("part"))
+        .groupBy(F.col("part.range").alias("range"), F.col("part.place").alias("place"))
         .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         .collect()
     )
-    result: dict[tuple, list[tuple]] = {r: [] for r in ranges}
-    for r in sorted(rows, key=lambda r: (r["range"], r["bucket"])):
-        result[ranges[r["range"]]].append((r["n"], r["lo"], r["hi"]))
+    names = list(splitters)
+    result: dict[tuple, list[tuple]] = {at: [] for at in names}
+    for r in sorted(rows, key=lambda r: (r["range"], r["place"])):
+        result[names[r["range"]]].append((r["n"], r["lo"], r["hi"]))
     return result
 
 
-def exact_quantiles(
-    values: DataFrame, wanted: Mapping[str, Sequence[float]], small: int = SMALL
-) -> dict[tuple[str, float], float]:
+def _between(low: float, high: float, part: float) -> float:
+    if low == high or part == 0:
+        return low
+    step = high - low
+    if math.isinf(step) and not (math.isinf(low) or math.isinf(high)):
+        return low * (1 - part) + high * part
+    return low + step * part
+
+
+def exact_quantiles(values: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], float]:
     """Linearly interpolated quantiles per name of a ``(name string, value double)`` table; nulls are ignored."""
     ranges = value_ranges(values)
-    if all(n <= small for n, _, _ in ranges.values()):
-        shares = sorted({q for qs in wanted.values() for q in qs})
-        row_of = values.groupBy("name").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("qs")).collect()
-        by_name = {r["name"]: dict(zip(shares, r["qs"])) for r in row_of}
-        return {(name, q): by_name[name][q] for name, qs in wanted.items() for q in qs if name in by_name}
     places = {}
     for name, qs in wanted.items():
         if name in ranges:
@@ -117,7 +141,4 @@ def exact_quantiles(
     for (name, _), (low, high, _) in places.items():
         ranks.setdefault(name, []).extend([low, high])
     found = {at: r.value for at, r in select_ranks(values, ranks, ranges).items()}
-    return {
-        (name, q): found[name, low] + (found[name, high] - found[name, low]) * part
-        for (name, q), (low, high, part) in places.items()
-    }
+    return {(name, q): _between(found[name, low], found[name, high], part) for (name, q), (low, high, part) in places.items()}

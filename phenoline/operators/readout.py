@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_FEATURES = 32
-
-
 @dataclass(frozen=True)
 class Readout:
     """One weight per feature and target; a constant feature plays the intercept."""
@@ -27,26 +25,34 @@ def fit_readouts(
 ) -> list[Readout]:
     """Minimise ``sum (w x - y)^2 + alpha |w|^2`` for every alpha and target.
 
-    The sums of products are gathered once, with map-side combining, for all alphas and targets together. What
-    reaches the driver is a square of at most ``MAX_FEATURES`` sides, whatever the number of rows. Rows with
-    a null feature or target are left out.
+    The sums of products are gathered once for all alphas and targets together: a task sends one square of the features and
+    targets, whatever the number of rows, and the squares are added up before the driver gets one. Rows with a null feature
+    or target are left out.
     """
-    if not 1 <= len(features) <= MAX_FEATURES:
-        raise ValueError(f"need 1 to {MAX_FEATURES} features, got {len(features)}")
+    if not features:
+        raise ValueError("need at least one feature")
     names = [*features, *targets]
-    rows = steps.select(*[F.col(n).cast("double").alias(n) for n in names]).dropna("any")
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(names))]
-    sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i, j in pairs]
-    row = rows.agg(F.count("*").alias("n"), *sums).first()
-    if row["n"] == 0:
+    size, width = len(features), len(names)
+    rows = steps.select(*[F.col(n).cast("double").alias(f"c_{i}") for i, n in enumerate(names)]).dropna("any")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros((size, width)), 0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            held += x[:, :size].T @ x
+            n += len(x)
+        if n:
+            sums = np.append(held.ravel(), float(n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["place", "value"])
+
+    made = rows.mapInArrow(products, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    sums = np.zeros(size * width + 1)
+    for r in made.collect():
+        sums[r["place"]] = r["value"]
+    if sums[-1] == 0:
         raise ValueError("no complete row to fit on")
-    size = len(features)
-    gram, cross = np.zeros((size, size)), np.zeros((size, len(targets)))
-    for i, j in pairs:
-        if j < size:
-            gram[i, j] = gram[j, i] = row[f"s_{i}_{j}"]
-        else:
-            cross[i, j - size] = row[f"s_{i}_{j}"]
+    square = sums[:-1].reshape(size, width)
+    gram, cross = square[:, :size], square[:, size:]
     models = []
     for alpha in alphas:
         solved = np.linalg.lstsq(gram + alpha * np.eye(size), cross, rcond=None)[0]

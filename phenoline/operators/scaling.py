@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenoline.operators.ranks import SMALL, exact_quantiles
+from phenoline.operators.ranks import exact_quantiles
 
 # Kinds of scalers and their options.
 OPTIONS = {
@@ -77,9 +77,7 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select("pair.name", F.when(~F.isnan(value), value).alias("value"))
 
 
-def fit_scalers(
-    df: DataFrame, config: Mapping[str, Mapping] = DEFAULT_CONFIG, small: int = SMALL
-) -> dict[str, Scaler]:
+def fit_scalers(df: DataFrame, config: Mapping[str, Mapping] = DEFAULT_CONFIG) -> dict[str, Scaler]:
     """Fit one scaler per configured column over all rows and, for arrays, all elements.
 
     Options: ``kind`` (one of ``KINDS`` or a ``CustomScaler``), ``feature_range`` for minmax (default -1 to 1),
@@ -92,7 +90,7 @@ def fit_scalers(
     fitted.update(_fit_extremes(df, {c: o for c, o in plans.items() if o["kind"] in ("minmax", "maxabs")}))
     fitted.update(_fit_moments(df, {c: o for c, o in plans.items() if o["kind"] == "standard"}))
     fitted.update(_fit_custom(df, {c: o for c, o in plans.items() if isinstance(o["kind"], CustomScaler)}))
-    fitted.update(_fit_quantiles(df, {c: o for c, o in plans.items() if o["kind"] == "robust"}, small))
+    fitted.update(_fit_quantiles(df, {c: o for c, o in plans.items() if o["kind"] == "robust"}))
     return {column: fitted[column] for column in plans}
 
 
@@ -170,7 +168,7 @@ def _fit_custom(df: DataFrame, plans: Mapping[str, Mapping]) -> dict[str, Scaler
     return fitted
 
 
-def _fit_quantiles(df: DataFrame, plans: Mapping[str, Mapping], small: int) -> dict[str, Scaler]:
+def _fit_quantiles(df: DataFrame, plans: Mapping[str, Mapping]) -> dict[str, Scaler]:
     if not plans:
         return {}
     wanted = {}
@@ -179,7 +177,7 @@ def _fit_quantiles(df: DataFrame, plans: Mapping[str, Mapping], small: int) -> d
         if not 0 <= low <= high <= 100:
             raise ValueError(f"invalid quantile range {(low, high)}")
         wanted[column] = (low / 100.0, 0.5, high / 100.0)
-    found = exact_quantiles(long_values(df, list(plans)), wanted, small)
+    found = exact_quantiles(long_values(df, list(plans)), wanted)
     fitted = {}
     for column, options in plans.items():
         low, middle, high = (found[column, q] for q in wanted[column])

@@ -56,5 +56,6 @@ def split_exact(
 
 
 def _place(keys: Sequence[str], seed: int):
-    """Hash of the keys cut to 53 bits, which a double holds exactly."""
-    return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double")
+    """The first 52 bits of the md5 of the keys and the seed, joined by ``|``, which a double holds exactly."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")

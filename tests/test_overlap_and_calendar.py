@@ -66,3 +66,26 @@ def test_latest_day(spark):
 def test_ties_go_to_the_first_row(spark):
     df = wide(spark, ("A", 2, "2000-05-01", None, None), ("B", 1, "1996-05-01", None, None))
     assert latest_day_of_year(df, "n").first().latest_date == dt.date(1996, 5, 1)
+
+
+def test_more_datasets_than_bits(spark):
+    rows = spark.range(130).selectExpr("cast(id AS string) AS k")
+    data = {f"d{i:03}": rows.filter(f"k >= 0 AND cast(k AS int) % 130 < {i}") for i in range(66)}
+    got = {(r.dataset_1, r.dataset_2): r.overlap_count for r in overlap.key_overlap(data).collect()}
+    assert len(got) == 66 * 65 // 2 and all(n == min(int(a[1:]), int(b[1:])) for (a, b), n in got.items())
+    assert {r.dataset: r.n_keys for r in overlap.key_counts(data).collect()} == {f"d{i:03}": i for i in range(66)}
+
+
+def test_latest_day_with_far_row_numbers(spark):
+    rows = [("A", "2000-04-02", 0), ("B", "2000-04-30", 30 << 54)]
+    df = spark.createDataFrame(rows, "`Site Name` string, `2000` string, row long")
+    assert tuple(latest_day_of_year(df, "row").first()) == (dt.date(2000, 4, 30), 121)
+
+
+def test_rows_of_files_are_read_in_the_order_of_names(spark, tmp_path):
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Site Name,2000\nA,2000-04-02\n")
+    (folder / "b.csv").write_text("Site Name,2000\nB,\n" + "".join(f"S{i},2000-03-01\n" for i in range(500)))
+    df = spark.read.csv(str(folder), header=True)
+    assert tuple(latest_day_of_year(df).first()) == (dt.date(2000, 4, 2), 93)

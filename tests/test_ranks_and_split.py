@@ -24,15 +24,35 @@ def test_ranks_with_a_hot_value(spark):
     assert hot.ties == ordered.count(hot.value)
 
 
-def test_quantiles_both_ways(spark):
+def test_quantiles(spark):
     rng = random.Random(3)
     a = [rng.choice([1.0, rng.gauss(0, 100)]) for _ in range(501)]
     df = named(spark, a=a, b=[2.0], c=[None, 1.0, 2.0])
     wanted = {"a": [0.05, 0.5, 0.95], "b": [0.05, 0.5], "c": [0.5]}
-    for small in (10**6, 0):
-        got = exact_quantiles(df, wanted, small)
-        assert [got["a", q] for q in wanted["a"]] == pytest.approx(list(np.quantile(a, wanted["a"])))
-        assert got["b", 0.05] == 2.0 and got["c", 0.5] == 1.5
+    got = exact_quantiles(df, wanted)
+    assert [got["a", q] for q in wanted["a"]] == pytest.approx(list(np.quantile(a, wanted["a"])))
+    assert got["b", 0.05] == 2.0 and got["c", 0.5] == 1.5
+
+
+def test_quantiles_of_extreme_values(spark):
+    inf, top = float("inf"), 1.7e308
+    df = named(spark, far=[-top, 0.0, 1.0, 2.0, top], ends=[-inf, 1.0, 2.0, inf, inf], steep=[1100.0**k for k in range(60)], two=[-top, top])
+    got = exact_quantiles(df, {"far": [0.25, 0.5, 1.0], "ends": [0.0, 0.25, 0.5, 0.9], "steep": [0.5], "two": [0.25]})
+    assert [got["far", q] for q in (0.25, 0.5, 1.0)] == [0.0, 1.0, top]
+    assert [got["ends", q] for q in (0.0, 0.25, 0.5, 0.9)] == [-inf, 1.0, 2.0, inf]
+    assert got["steep", 0.5] == pytest.approx((1100.0**29 + 1100.0**30) / 2)
+    assert got["two", 0.25] == pytest.approx(-top / 2)
+
+
+def test_ranks_of_many_values_take_few_passes(spark, monkeypatch):
+    from phenoline.operators import ranks
+
+    passes = []
+    monkeypatch.setattr(ranks, "_count_parts", lambda v, s, f=ranks._count_parts: passes.append(1) or f(v, s))
+    df = spark.range(300_000).selectExpr("'a' AS name", "pow(1.002, id % 150000) AS value")
+    found = select_ranks(df, {"a": [0, 150_001, 299_999]})
+    assert [found["a", r].value for r in (0, 150_001, 299_999)] == pytest.approx([1.0, 1.002**75_000, 1.002**149_999])
+    assert len(passes) <= 4
 
 
 def test_split_sizes_and_disjointness(spark):

@@ -41,3 +41,13 @@ def test_arguments(spark):
         fit_readouts(df, ["x"], ["y"])
     with pytest.raises(ValueError):
         fit_readouts(df, [], ["y"])
+
+
+def test_more_features_than_rows_of_a_small_model(spark):
+    rng = np.random.default_rng(4)
+    x, true = rng.normal(size=(300, 40)), rng.normal(size=40)
+    names = [f"f{i}" for i in range(40)]
+    data = [(*map(float, row), float(row @ true)) for row in x]
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in [*names, "y"]))
+    (model,) = fit_readouts(df, names, ["y"], [1e-9])
+    assert np.allclose(model.weights["y"], true)

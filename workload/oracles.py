@@ -119,7 +119,7 @@ predicted AS (
   FROM numbered, sims)"""
 
 
-def _scores(form: str = "sequence", align: str = "reference") -> str:
+def _scores(form: str = "sequence", align: str = "reference", predicted: str = PREDICTED) -> str:
     """CTEs that end in ``scores``."""
     shown = "cutoff" if align == "reference" else "cutoff - 1"
     if form == "sequence":
@@ -128,7 +128,7 @@ def _scores(form: str = "sequence", align: str = "reference") -> str:
     else:
         errors = """abs(max(pred_first) FILTER (step = cutoff - 1) - max(true_first) FILTER (step = cutoff)) AS mae_first,
          abs(max(pred_full) FILTER (step = cutoff - 1) - max(true_full) FILTER (step = cutoff)) AS mae_full"""
-    return f"""{PREDICTED},
+    return f"""{predicted},
 cuts AS (SELECT unnest([{FRACTIONS}]) AS fraction),
 cut AS (
   SELECT p.*, fraction, CAST(trunc(full_length * fraction) AS INTEGER) AS cutoff FROM predicted p, cuts),
@@ -152,7 +152,9 @@ SELECT sim_id, site, year, fraction, cutoff, pred_first, pred_full,
        CAST(CAST(cutoff_date AS DATE) AS VARCHAR) AS cutoff_date, first_micros, full_micros,
        mae_first, mae_full FROM scores"""
 
-DATE_ERRORS = f"""{_scores()},
+def _date_errors(predicted: str = PREDICTED) -> str:
+    """CTEs that end in ``summary``."""
+    return f"""{_scores(predicted=predicted)},
 errors AS (
   SELECT sim_id, fraction,
          CAST(floor((first_micros - epoch_us(CAST(date_first AS TIMESTAMP))) / 86400000000) AS INTEGER) AS e_first,
@@ -163,6 +165,52 @@ summary AS (
          avg(abs(e_full)) AS mean_full, stddev_samp(e_full) AS std_full, stddev_samp(abs(e_full)) AS std_full_abs
   FROM errors GROUP BY 1, 2)"""
 
+
+DATE_ERRORS = _date_errors()
+
+
+def _sweep() -> str:
+    """CTEs that end in ``predicted``: split, scaling, ridge weights by Gaussian elimination, predictions of the test seasons."""
+    size = 7
+    turns = [f"sin(2 * pi() * step / (CAST(365.25 AS DOUBLE) / {k}))" for k in (1, 2, 3)]
+    inputs = ["CAST(1 AS DOUBLE)", "(lat - lat_c) / lat_s", "(lng - lng_c) / lng_s", "(temp_full - t_lo) / t_s - 1", *turns]
+    steps = []
+    for k in range(1, size + 1):
+        e = f"e{k - 1}"
+        steps.append(f"""e{k} AS MATERIALIZED (
+  SELECT a.sim_id, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v / p.v * b.v END AS v
+  FROM {e} a JOIN {e} p ON p.sim_id = a.sim_id AND p.i = {k} AND p.j = {k}
+  JOIN {e} b ON b.sim_id = a.sim_id AND b.i = {k} AND b.j = a.j JOIN {e} c ON c.sim_id = a.sim_id AND c.i = a.i AND c.j = {k})""")
+    guess = [" + ".join(f"z[{i}] * w{t}[{i}]" for i in range(1, size + 1)) for t in (1, 2)]
+    half = lambda c, n: f"min({c}) AS {n}_lo, (max({c}) - min({c})) / CAST(2 AS DOUBLE) AS {n}_s"
+    spread = lambda c: f"quantile_cont({c}, 0.5) AS {c}_c, quantile_cont({c}, 0.95) - quantile_cont({c}, 0.05) AS {c}_s"
+    return f"""{_steps()},
+used AS MATERIALIZED (SELECT * FROM steps WHERE step <= days_to_full),
+places AS (
+  SELECT site, year, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY substr(md5(site || '|' || year || '|3'), 1, 13), site, year) AS place
+  FROM (SELECT DISTINCT site, year FROM used)),
+ends AS (SELECT {half("temp_full", "t")}, {half("countdown_first", "a")}, {half("countdown_full", "b")} FROM used),
+spots AS (SELECT {spread("lat")}, {spread("lng")} FROM used WHERE step = 0),
+inputs AS MATERIALIZED (
+  SELECT u.*, ends.*, place <= floor(0.8 * n) AS train,
+         [{", ".join(inputs)}, (countdown_first - a_lo) / a_s - 1, (countdown_full - b_lo) / b_s - 1] AS z
+  FROM used u JOIN places USING (site, year), ends, spots),
+sums AS (
+  SELECT i, j, sum(z[i] * z[j]) AS v FROM inputs, range(1, {size + 1}) x(i), range(1, {size + 3}) y(j) WHERE train GROUP BY 1, 2),
+runs AS (SELECT unnest([1, 2, 3, 4]) AS sim_id, CAST(unnest([1, 10, 100, 1000]) AS DOUBLE) AS alpha),
+e0 AS MATERIALIZED (SELECT sim_id, i, j, v + CASE WHEN i = j THEN alpha ELSE 0 END AS v FROM sums, runs),
+{", ".join(steps)},
+weights AS (
+  SELECT sim_id, list(v ORDER BY i) FILTER (j = {size + 1}) AS w1, list(v ORDER BY i) FILTER (j = {size + 2}) AS w2
+  FROM e{size} GROUP BY 1),
+predicted AS (
+  SELECT sim_id, site, year, first_bloom, full_bloom, data_start_date, step, days_to_full + 1 AS full_length,
+         CAST(countdown_first AS DOUBLE) AS true_first, CAST(countdown_full AS DOUBLE) AS true_full,
+         ({guess[0]} + 1) * a_s + a_lo AS pred_first, ({guess[1]} + 1) * b_s + b_lo AS pred_full
+  FROM inputs, weights WHERE NOT train)"""
+
+
 SUMMARY_OUT = """
 SELECT sim_id, cutoff, round(mean_first, 6) AS mean_first, round(std_first, 6) AS std_first,
        round(mean_full, 6) AS mean_full, round(std_full, 6) AS std_full FROM summary"""
@@ -309,6 +357,19 @@ UNION ALL SELECT 'l_tax', 'maxabs', 0, round(max(abs(l_tax)), 6), 0 FROM lineite
 WITH n AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders)
 SELECT 'train' AS part, CAST(floor(0.8 * n) AS BIGINT) AS n_keys, CAST(floor(0.8 * n) AS BIGINT) AS n_rows FROM n
 UNION ALL SELECT 'test', n - CAST(floor(0.8 * n) AS BIGINT), n - CAST(floor(0.8 * n) AS BIGINT) FROM n""",
+    "split_members": """
+WITH keys AS (SELECT DISTINCT o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders),
+placed AS (
+  SELECT *, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY substr(md5(o_custkey || '|' || day || '|3'), 1, 13), o_custkey, day) AS place
+  FROM keys)
+SELECT o_custkey, day, CASE WHEN place <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM placed""",
+    "shared_keys_of_many": """
+WITH k AS (SELECT DISTINCT o_custkey AS c, strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS month FROM orders),
+m AS (SELECT DISTINCT month FROM k),
+hit AS (SELECT x.month AS a, y.month AS b, count(*) AS n FROM k x JOIN k y ON x.c = y.c AND x.month < y.month GROUP BY ALL)
+SELECT x.month AS dataset_1, y.month AS dataset_2, coalesce(n, 0) AS overlap_count
+FROM m x JOIN m y ON x.month < y.month LEFT JOIN hit ON a = x.month AND b = y.month""",
     "gap_linear": _gap("linear"),
     "gap_quadratic": _gap("quadratic"),
     "lag_window_features": f"""WITH {_steps()},
@@ -406,6 +467,7 @@ sums AS (
 alphas AS (SELECT CAST(unnest([1, 100]) AS DOUBLE) AS alpha)
 SELECT alpha, round(((tt + alpha) * y - t * ty) / ((n + alpha) * (tt + alpha) - t * t), 6) AS w_bias,
        round(((n + alpha) * ty - t * y) / ((n + alpha) * (tt + alpha) - t * t), 6) AS w_t FROM sums, alphas""",
+    "readout_sweep": f"WITH {_date_errors(_sweep())}{SUMMARY_OUT}",
     "fit_and_score": f"""WITH {_steps()},
 rows AS (
   SELECT *, step / 100.0 AS t, CAST(trunc((days_to_full + 1) * fraction) AS INTEGER) AS cutoff

@@ -172,13 +172,18 @@ def densify(spark: SparkSession, sf: str) -> DataFrame:
 # Reshape
 
 
+def _years(rows: DataFrame) -> list[str]:
+    """The years that the table holds, as column names."""
+    return [r["y"] for r in rows.select("y").filter("y IS NOT NULL").distinct().orderBy("y").collect()]
+
+
 def unpivot_events(spark: SparkSession, sf: str) -> DataFrame:
     """Yearly event dates pivoted wide as text, some cells blank or no date, and back."""
     events = standins.first_events(spark, sf)
     weekday = F.dayofweek("date")
     cell = F.when(weekday == 1, "").when(weekday == 7, "not observed").otherwise(F.col("date").cast("string"))
-    years = [str(y) for y in range(1995, 2002)]
     cells = events.select(F.col("site").alias("Site Name"), F.col("year").cast("string").alias("y"), cell.alias("c"))
+    years = _years(cells)
     as_wide = cells.groupBy("Site Name").pivot("y", years).agg(F.max("c")).withColumn("Notes", F.lit("none"))
     return reshape.unpivot_events(as_wide, "Site Name").select("site", "year", text("date"))
 
@@ -265,7 +270,7 @@ def scale_robust_by_counting(spark: SparkSession, sf: str) -> DataFrame:
     """Quantiles through the counting passes that large columns take."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     config = {"l_extendedprice": {"kind": "robust", "quantile_range": (5, 95)}}
-    return scaling.scalers_to_table(spark, scaling.fit_scalers(rows, config, small=0)).select(
+    return scaling.scalers_to_table(spark, scaling.fit_scalers(rows, config)).select(
         "column", "kind", r6("center"), r6("scale")
     )
 
@@ -310,6 +315,24 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("part").agg(F.count_distinct("o_orderkey").alias("n_keys"), F.count("*").alias("n_rows"))
 
 
+def split_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of every customer and day with orders."""
+    day = F.col("o_orderdate").cast("date").alias("day")
+    rows = table(spark, sf, "orders").select("o_custkey", day)
+    train, test = split_exact(rows, ["o_custkey", "day"], 0.8, seed=3)
+    parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return parts.select("o_custkey", text("day"), "part").distinct()
+
+
+def shared_keys_of_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlaps of the customers of every pair of order months, more datasets than bits in a word."""
+    month = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM")
+    orders = stored(table(spark, sf, "orders").select("o_custkey", month.alias("month")))
+    months = [r["month"] for r in orders.select("month").distinct().orderBy("month").collect()]
+    sets = {m: orders.filter(F.col("month") == m).select("o_custkey") for m in months}
+    return overlap.key_overlap(sets)
+
+
 def _gaps(spark: SparkSession, sf: str, method: str) -> DataFrame:
     year = dates.season_year(F.col("date"), 1, 8)
     rows = standins.observations(spark, sf).withColumn("season_year", year)
@@ -570,9 +593,9 @@ def shared_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 def latest_doy(spark: SparkSession, sf: str) -> DataFrame:
     """First order date per customer and year, wide as text; the customer number orders the rows."""
-    years = [str(y) for y in range(1995, 2002)]
     day = F.col("o_orderdate").cast("date")
     orders = table(spark, sf, "orders").select("o_custkey", F.year(day).cast("string").alias("y"), day.alias("d"))
+    years = _years(orders)
     as_wide = orders.groupBy("o_custkey").pivot("y", years).agg(F.min("d").cast("string"))
     found = latest_day_of_year(as_wide.withColumn("Notes", F.lit("2000-12-31")), "o_custkey")
     return found.select(text("latest_date"), "day_of_year")
@@ -636,7 +659,8 @@ def fit_and_score(spark: SparkSession, sf: str) -> DataFrame:
 def readout_sweep(spark: SparkSession, sf: str) -> DataFrame:
     steps = stored(standins.season_steps(spark, sf))
     scored, _ = sweep(steps, seed=3)
-    return errors.run_summary(scored, cutoff="fraction")
+    rows = errors.run_summary(scored, cutoff="fraction")
+    return rows.select("sim_id", "cutoff", r6("mean_first"), r6("std_first"), r6("mean_full"), r6("std_full"))
 
 
 # Sources and sinks
@@ -751,6 +775,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scale_roundtrip,
         scaler_table,
         split_counts,
+        split_members,
+        shared_keys_of_many,
         gap_linear,
         gap_quadratic,
         lag_window_features,
