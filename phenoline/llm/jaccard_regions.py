@@ -11,11 +11,12 @@ distances are 1, and the window of every document holds every region. So regions
    lost, whatever the order. The order puts shingles that only one document has first, and very common ones last: unique
    texts then stand in no region with others, and boilerplate makes no large regions. Only the shingles with the lowest hashes
    are counted, over all documents; the others come after them, in order of hash.
-2. *Pivot documents.* Members of a region do lie near each other. Each region takes a pivot document; the exact distances to
-   it are computed; members within the radius r = 1 - t are linked to it. By the triangle inequality, a member at distance d > r
+2. *Pivot documents.* Members of a region do lie near each other. Each region takes a pivot document. First each class meets one
+   of its regions' pivots, the one that most of a group of copies share, so that such a group is settled with a link for each
+   member, not one for each region of each member. Then the exact distances to the pivots of the regions left are computed; members within the radius r = 1 - t are linked to it. By the triangle inequality, a member at distance d > r
    can only be linked to others at distance d - r or more, so what goes on is the members beyond r and the window before
    them; a region whose members are all connected is settled, as large groups of copies are after one round. The rest is
-   joined again by the same rule, with new pivots. What two rounds leave are families of texts that are alike but not linked; of
+   joined by pairs. What these rounds leave are families of texts that are alike but not linked; of
    those, pairs that aren't connected yet and whose sizes and bucket counts allow a link are compared, each in the first region both are
    in. Large regions are cut into blocks for that, and blocks are joined in pairs.
 
@@ -179,20 +180,31 @@ def _labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.join(open_.select("region"), "region")
 
 
-def links_between(regions: DataFrame, sets: DataFrame, percent: int, facts: DataFrame, rounds: int = 2) -> DataFrame:
+def _pivots(placed: DataFrame) -> DataFrame:
+    """The member of each region with the fewest shingles of its own; the same one for most regions of a group of copies."""
+    first = F.min(F.struct("alone", "node", "component", "n"))
+    own = placed.groupBy("region").agg(first.alias("p"))
+    return own.select("region", F.col("p.alone").alias("rest"), F.col("p.node").alias("pivot"), F.col("p.component").alias("theirs"), F.col("p.n").alias("size"))
+
+
+def links_between(regions: DataFrame, sets: DataFrame, percent: int, facts: DataFrame, rounds: int = 1) -> DataFrame:
     """Links (a, b) that connect all linked classes that share a region. ``facts``: node, alone, n."""
     radius = 1 - percent / 100
-    links, labels = None, None
+    in_size = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
+    placed = _labelled(regions, None).join(facts, "node")
+    met = placed.join(_pivots(placed), "region").filter((F.col("node") != F.col("pivot")) & in_size)
+    one = met.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("rest", "pivot")).alias("p")).select("a", F.col("p.pivot").alias("b"))
+    links = stored(_measure(one, sets, percent).filter("linked").select("a", "b"), "links")
+    labels = components(links)
     for _ in range(rounds):
         placed = _labelled(regions, labels).join(facts, "node")
-        first = F.min(F.struct("alone", "node", "component", "n"))
-        pivot = placed.groupBy("region").agg(first.alias("p")).select("region", F.col("p.node").alias("pivot"), F.col("p.component").alias("theirs"), F.col("p.n").alias("size"))
+        pivot = _pivots(placed).drop("rest")
         placed = stored(placed.join(pivot, "region").filter("node <> pivot"), "placed")
         # A set of another size than the window of sizes holds, or of the pivot's component, need not be measured.
-        open_ = (F.col("component") != F.col("theirs")) & (100 * F.least("n", "size") >= percent * F.greatest("n", "size"))
+        open_ = (F.col("component") != F.col("theirs")) & in_size
         measured = _measure(placed.filter(open_).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent)
         found = measured.filter("linked").select("a", "b")
-        links = stored(found if links is None else links.union(found), "links")
+        links = stored(links.union(found), "links")
         labels = components(links)
         # On go the members beyond the radius, and those before it that are no nearer than its window. A member that wasn't
         # measured for its size has a distance of more than the radius; one of the pivot's component has any.
