@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten sources or more hold; n_chars follows the text."""
-    left = line_spread.drop_spread_lines(docs, sites=10)
+    """Documents without the lines that ten sources or more hold, unless they hold no others; n_chars follows the text."""
+    left = line_spread.drop_spread_lines(docs, sites=10, most_share=None)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*COLUMNS)
 

@@ -5,8 +5,9 @@ aggregation, so a line of a third of all documents is one sketch per task before
 the sketch's error of the threshold get an exact distinct count; the rest are decided by the estimate. Lines of at least
 ``sites`` sites are boilerplate and leave their documents.
 
-A document of which boilerplate would be more than ``most_share`` of the characters is itself a copy that stands on many
-sites; it stays whole, for document dedup to judge. Blank lines never count. All steps are DataFrame expressions.
+A document of which boilerplate would be more than ``most_share`` of the characters stays whole, for document dedup to judge; its own
+lines may be few, so that share doesn't tell a copy from a short page. With ``most_share=None`` only a document without any line of its
+own stays whole, and all others lose their spread lines. Blank lines never count. All steps are DataFrame expressions.
 
 Defined results: a null text stays null with nothing removed; a null site is a site of its own. Lines are compared without the
 spaces around them. Repeated rows are treated alike. Other columns pass through.
@@ -48,19 +49,22 @@ def spread_lines(docs: DataFrame, sites: int, text: str = "text", site: str = "s
     return stored(guess.filter(sure).select("line").union(exact.select("line")), "boilerplate")
 
 
-def drop_spread_lines(docs: DataFrame, sites: int = 10, most_share: float = 0.5, text: str = "text", site: str = "source") -> DataFrame:
+def drop_spread_lines(docs: DataFrame, sites: int = 10, most_share: float | None = 0.5, text: str = "text", site: str = "source") -> DataFrame:
     """Replace ``text`` by what is left of it, and add n_removed (long)."""
     bad = spread_lines(docs, sites, text, site)
     # Rows with the same text have the same lines, so the text's hash names them.
     key = F.xxhash64(text).alias("_key")
     texts = docs.filter(F.col(text).isNotNull())
-    placed = texts.select(key, F.length(text).alias("n"), F.posexplode(_hashes(F.col(text))).alias("at", "line"), F.split(text, "\n").alias("lines"))
+    n = F.length(text) if most_share is not None else F.size(F.filter(_lines(F.col(text)), lambda line: F.trim(line) != ""))
+    placed = texts.select(key, n.alias("n"), F.posexplode(_hashes(F.col(text))).alias("at", "line"), F.split(text, "\n").alias("lines"))
     placed = placed.select("_key", "n", "at", "line", F.length(F.get("lines", F.col("at"))).alias("size")).filter("line IS NOT NULL")
+    weight = F.aggregate("hits", F.lit(0), lambda a, x: a + x["size"])
+    partial = weight <= most_share * F.col("n") if most_share is not None else F.size("hits") < F.col("n")
     hit = (
         placed.join(bad, "line", "left_semi")
         .groupBy("_key", "n")
         .agg(F.collect_set(F.struct("at", "size")).alias("hits"))
-        .filter(F.aggregate("hits", F.lit(0), lambda a, x: a + x["size"]) <= most_share * F.col("n"))
+        .filter(partial)
         .select("_key", F.col("hits.at").alias("_gone"))
     )
     rows = docs.drop("n_removed", "_key", "_gone").withColumn("_key", key).join(hit, "_key", "left")

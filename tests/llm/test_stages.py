@@ -27,3 +27,20 @@ def test_near_duplicates_at_five_words(spark):
     want = {i for i, (_, root) in groups(texts, 5, 80).items() if i == root}
     assert want < {i for i, (_, root) in groups(texts).items() if i == root}
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_line_dedup_of_short_pages(spark):
+    menu, foot = "menu that is on every page of the site", "all rights reserved by the owner of the site"
+    texts = [f"{menu}\nbody {i} " + "with many words of its own " * 6 for i in range(12)]
+    texts += [f"{foot}\nother body {i} " + "with many words of its own " * 6 for i in range(12)]
+    texts += [f"{menu}\nshort", f"  {menu}\n\n{foot}\nx", menu, f"{menu}\n\n{foot}", "none of it", "", None]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 5 else f"s{i % 12}", -1) for i, t in enumerate(texts)], FIELDS).repartition(3)
+
+    def plain(text):
+        lines = (text or "").split("\n")
+        left = [line for line in lines if line.strip(" ") not in (menu, foot)]
+        return "\n".join(left) if any(line.strip(" ") for line in left) and len(left) < len(lines) else text
+
+    want = {i: (plain(t), len(plain(t)) if plain(t) != t else -1) for i, t in enumerate(texts)}
+    assert want[24] == ("short", 5) and want[27] == (f"{menu}\n\n{foot}", -1)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
