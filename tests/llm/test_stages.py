@@ -1,8 +1,14 @@
 """Stages of the pipeline, with their own parameters, against plain Python."""
 
+import math
 import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from phenoline.llm.queries import SOURCE_WEIGHTS
 from test_documents import family, groups
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,3 +50,24 @@ def test_line_dedup_of_short_pages(spark):
     want = {i: (plain(t), len(plain(t)) if plain(t) != t else -1) for i, t in enumerate(texts)}
     assert want[24] == ("short", 5) and want[27] == (f"{menu}\n\n{foot}", -1)
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize("shared", [None, 7])
+@pytest.mark.parametrize("same_text", [True, False])
+def test_mix_of_rows_that_share_an_id(spark, shared, same_text):
+    n = 12_000
+    rows = [(shared if i % 3 == 0 else i, "copy" if same_text else f"text {i}", "en", f"src{i % 10}", 1) for i in range(n)]
+    docs = spark.createDataFrame(rows, FIELDS).repartition(6)
+    got = corpus_pipeline.mix_sources(spark, docs, "").withColumn("shared", F.col("doc_id").eqNullSafe(F.lit(shared))).collect()
+    assert len(got) == pytest.approx(n, rel=0.04)
+    by_source, by_id = Counter(r["source"] for r in got), Counter(r["source"] for r in got if r["shared"])
+    for s in {r[3] for r in rows}:
+        share = SOURCE_WEIGHTS.get(s, 0.61 / 6)
+        assert by_source[s] / len(got) == pytest.approx(share, abs=0.012)
+        assert by_id[s] / by_source[s] == pytest.approx(1 / 3, abs=0.07)
+    if not same_text:
+        times = Counter(r["text"] for r in got if r["shared"] and r["source"] == "src0")
+        assert len(times) == pytest.approx(400 * (1 - math.exp(-1.5)), rel=0.12)
+    # Another layout of the rows draws the same.
+    again = corpus_pipeline.mix_sources(spark, docs.coalesce(2), "").collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
