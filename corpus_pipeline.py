@@ -28,14 +28,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by sets of five words at 0.8; rows that repeat an id are one document.
+    """One row of each group linked by sets of five words at 0.8: the one with the smallest id, then the lowest hash of the text.
 
-    Rows without an id stay. op6's four words at 85 % are that query's alone.
+    Rows are told apart by their contents, so texts that share an id are judged on their own, and a group without ids keeps a row
+    too. Blank texts are like no other: each id keeps one of equal rows, and rows without an id stay. op6's four words at 85 %
+    are that query's alone.
     """
-    found = jaccard_regions.link_documents(docs.select("doc_id", "text"), width=5, percent=80)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    marks = ("_text", "_row")
+    whole = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"), whole.alias("_row"))
+    rows = jaccard_regions.linked_rows(marked, width=5, percent=80, also=marks)
+    # Equal rows fold to one in each task before they meet, and a group to its first row.
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", *marks)).alias("first")
+    kept = rows.filter("n > 0").groupBy("component").agg(first).select(*[F.col(f"first.{m}") for m in marks])
+    blank = rows.filter("n = 0 AND id IS NOT NULL").select(*marks).distinct()
+    found = marked.dropDuplicates(list(marks)).join(stored(kept.union(blank), "kept"), list(marks), "left_semi").select(*COLUMNS)
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    return found.union(docs.filter(F.col("doc_id").isNull() & ~worded).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,8 +85,11 @@ def _front(s: np.ndarray, percent: int) -> np.ndarray:
     return s[: max(low, min(len(s), spare(len(s), percent) + 1))]
 
 
-def profiles(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
-    """Per document: id, node (its set's name), n (set size), front; ``front`` only for the first of equal sets in a task."""
+def profiles(docs: DataFrame, width: int, percent: int, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: id, node (its set's name), n (set size), front; ``front`` only for the first of equal sets in a task.
+
+    The long columns ``also`` pass through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -102,12 +105,18 @@ def profiles(docs: DataFrame, width: int, percent: int, key: str, text: str) ->
                     sizes.append(len(s))
                     fronts.append(_front(s, percent).view(np.int64) if new else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(part)).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fronts, pa.list_(pa.int64()))],
-                    names=["id", "node", "n", "front"],
+                    [
+                        batch.column(0).slice(start, len(part)).cast(pa.int64()),
+                        pa.array(nodes, pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(fronts, pa.list_(pa.int64())),
+                        *[batch.column(c).slice(start, len(part)) for c in also],
+                    ],
+                    names=["id", "node", "n", "front", *also],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, node long, n long, front array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *also)
+    return rows.mapInArrow(run, ", ".join(["id long, node long, n long, front array<long>", *[f"{c} long" for c in also]]))
 
 
 def _regions(members: DataFrame) -> DataFrame:
@@ -253,12 +262,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
 
 
-def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: its key, n_shingles, component_id (the smallest key that links reach).
-
-    Two documents are linked when 100 * intersection >= percent * union.
-    """
-    profile = stored(profiles(docs, width, percent, key, text), "profiles")
+def linked_rows(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: id, node, n, the columns ``also`` and component. The component follows from the text, whatever the ids are."""
+    profile = stored(profiles(docs, width, percent, key, text, also), "profiles")
     window = stored(windows(profile, percent), "windows")
     regions = stored(_regions(window.select("s", "node")), "regions")
     nodes = regions.select("node").distinct()
@@ -266,7 +272,15 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, key: str
     sizes = profile.filter("front IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"))
     facts = stored(window.select("node", "alone").distinct().join(sizes, "node").join(nodes, "node"), "facts")
     found = components(links_between(regions, sets, percent, facts))
-    rows = profile.select("id", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return profile.select("id", "node", "n", *also).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: its key, n_shingles, component_id (the smallest key that links reach).
+
+    Two documents are linked when 100 * intersection >= percent * union.
+    """
+    rows = linked_rows(docs, width, percent, key, text)
     names = rows.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
     out = rows.join(names, "component", "left")
     return out.select(

@@ -71,3 +71,20 @@ def test_mix_of_rows_that_share_an_id(spark, shared, same_text):
     # Another layout of the rows draws the same.
     again = corpus_pipeline.mix_sources(spark, docs.coalesce(2), "").collect()
     assert sorted(map(str, again)) == sorted(str(r) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c, d = ("the text of group %s " % g + " ".join(f"{g}{i}" for i in range(60)) for g in "abcd")
+    near = c.replace("c30", "changed")
+    rows = [(5, a), (5, b), (5, b), (7, a), (None, a), (None, c), (None, near), (None, c), (8, d), (9, d), (None, d)]
+    rows += [(None, ""), (None, ""), (None, None), (11, " "), (11, " "), (12, None)]
+    rows += [(5, a)] * 50 + [(None, c)] * 50
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], FIELDS)
+    outs = []
+    for layout in (docs.repartition(4), docs.coalesce(1)):
+        outs.append(sorted(str((r["doc_id"], r["text"])) for r in corpus_pipeline.near_duplicates(spark, layout, "").collect()))
+    assert outs[0] == outs[1]
+    one = [x for x in (c, near) if str((None, x)) in outs[0]]
+    assert len(one) == 1
+    want = [(5, a), (5, b), (None, one[0]), (8, d), (None, ""), (None, ""), (None, None), (11, " "), (12, None)]
+    assert outs[0] == sorted(map(str, want))
