@@ -7,8 +7,9 @@ latent vectors, a table whose size parameters fix, go with the tasks; every docu
 exactly, in blocks, and the nearest vote with their similarity as weight.
 
 Defined results: null and empty texts have a length term only and are scored like all others. Without labelled rows of both
-kinds every score is the share of label 1 (1/2 without any). Repeated rows get the same score; labels of a repeated id count each
-time. Columns named like the result's are replaced.
+kinds every score is the share of label 1 (1/2 without any). Repeated rows get the same score. A labelled id is one example however
+many rows it has: its label is the more frequent one (1 if both are as frequent), its text the one with the lowest hash. Columns named
+like the result's are replaced.
 """
 
 from __future__ import annotations
@@ -105,11 +106,12 @@ class Voter:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, rank: int = 64, k: int = 15, text: str = "text") -> Voter:
     """``docs`` (doc_id, text) are all documents, ``labels`` (doc_id, label 0 or 1) the rows to learn from.
 
-    At most ``per_class`` rows of each label are taken, those with the lowest hash of the id; the driver holds them.
+    At most ``per_class`` ids of each label are taken, those with the lowest hash; the driver holds one row of term counts for each.
     """
     total, held = document_frequencies(docs, text)
     idf = np.log((total + 1) / (held + 1)).astype(np.float32) + 1
     known = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
     empty = Voter(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), share, k)
@@ -118,6 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, rank: int = 6
     picked = [known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     taken = picked[0].union(picked[1]).select("doc_id", F.col("label").cast("int").alias("label"))
     rows = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
+    # One text of each id, folded in each task before they meet.
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    rows = rows.groupBy("doc_id", "label").agg(first).select("doc_id", "label", F.col("first.text").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from phenoline.llm import neighbour_votes
 from phenoline.llm.queries import SOURCE_WEIGHTS
 from test_documents import family, groups
 
@@ -88,3 +90,18 @@ def test_near_duplicates_by_row(spark):
     assert len(one) == 1
     want = [(5, a), (5, b), (None, one[0]), (8, d), (None, ""), (None, ""), (None, None), (11, " "), (12, None)]
     assert outs[0] == sorted(map(str, want))
+
+
+def test_votes_of_a_repeated_id(spark):
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(3, 9))) for _ in range(2000)]
+    rows = [(i, " ".join(rnd.choices(vocabulary, k=80)) if i % 3 else " ".join([rnd.choice(vocabulary)] * 60)) for i in range(200)]
+    hot = [(7, " ".join(rnd.choices(vocabulary, k=80))) for _ in range(300)]
+    docs = spark.createDataFrame(rows + hot, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(150)] + [(7, 1)] * 400 + [(9, 0)] * 400 + [(7, 0)], "doc_id long, label int")
+    voter = neighbour_votes.fit(docs, labels, per_class=1000)
+    assert len(voter.vectors) == 150 and voter.labels.sum() == 100
+    few = neighbour_votes.fit(docs, labels, per_class=20)
+    assert len(few.vectors) == 40 and few.labels.sum() == 20
+    other = neighbour_votes.fit(docs.coalesce(1), labels, per_class=20)
+    assert np.allclose(few.vectors @ few.vectors.T, other.vectors @ other.vectors.T, atol=1e-4)
