@@ -111,9 +111,51 @@ SELECT d.doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy,
 FROM copies JOIN documents d USING (doc_id)
 """
 
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_TAMPERED = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295))"""
+
+# Nodes are grouped by their parent; paths come from the nodes beside a leaf's ancestors, and folds go up node by node.
+OP13 = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_LEAF}) AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN sha256({_TAMPERED}) ELSE sha256({_LEAF}) END AS shown FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS m FROM leaf),
+up(tree, lvl, idx, m, h) AS (
+  SELECT tree, 0::BIGINT, idx, m, leaf FROM placed
+  UNION ALL SELECT tree, lvl + 1, idx // 2, any_value(m + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE m > 1 GROUP BY tree, lvl, idx // 2),
+sub AS (SELECT tree, lvl AS height, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS m FROM up WHERE m = 1),
+crown(lvl, idx, m, h) AS (
+  SELECT 0::BIGINT, place, m, subroot FROM sub
+  UNION ALL SELECT lvl + 1, idx // 2, any_value(m + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM crown WHERE m > 1 GROUP BY lvl, idx // 2),
+root AS (SELECT h AS root, lvl AS height FROM crown WHERE m = 1),
+steps AS (
+  SELECT p.doc_id, p.tree, p.idx, u.lvl, u.h, (p.idx >> u.lvl) & 1 AS side FROM placed p JOIN up u ON u.tree = p.tree AND u.m > 1 AND u.idx = xor(p.idx >> u.lvl, 1)
+  UNION ALL
+  SELECT p.doc_id, p.tree, p.idx, s.height + c.lvl, c.h, (s.place >> c.lvl) & 1
+  FROM placed p JOIN sub s ON s.tree = p.tree JOIN crown c ON c.m > 1 AND c.idx = xor(s.place >> c.lvl, 1)),
+proofs AS (SELECT tree, idx, sha256(string_agg(h, '' ORDER BY lvl)) AS proof FROM steps GROUP BY tree, idx),
+fold(tree, idx, lvl, node) AS (
+  SELECT tree, idx, 0::BIGINT, shown FROM placed
+  UNION ALL
+  SELECT f.tree, f.idx, f.lvl + 1, sha256(CASE WHEN t.side = 1 THEN t.h || f.node WHEN t.side = 0 THEN f.node || t.h ELSE f.node END)
+  FROM fold f JOIN sub s ON s.tree = f.tree CROSS JOIN root LEFT JOIN steps t ON t.tree = f.tree AND t.idx = f.idx AND t.lvl = f.lvl
+  WHERE f.lvl < s.height + root.height)
+SELECT p.doc_id, p.leaf, s.subroot, root.root, coalesce(proof, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = root.root AS verified
+FROM placed p JOIN sub s USING (tree) CROSS JOIN root LEFT JOIN proofs q ON q.tree = p.tree AND q.idx = p.idx
+JOIN fold f ON f.tree = p.tree AND f.idx = p.idx AND f.lvl = s.height + root.height
+"""
+
 ORACLES = {
     "op2_line_spread": OP2,
     "op4_host_reputation": OP4,
     "op5_license_diagonals": OP5,
     "op10_poisson_mix": OP10,
+    "op13_merkle_manifest": OP13,
 }

@@ -15,6 +15,7 @@ from phenoline.llm import (
     keyed_ids,
     license_diagonals,
     line_spread,
+    merkle_manifest,
     neighbour_votes,
     poisson_mix,
     projected_neighbours,
@@ -103,6 +104,20 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, seed=7)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether what was tampered with still gives the root."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    leaf = merkle_manifest.leaf(*[F.col(c) for c in fields])
+    other = merkle_manifest.leaf(*[more if c == "n_chars" else F.col(c) for c in fields])
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf.alias("leaf"), F.when(hit, other).alias("tampered"))
+    manifest = merkle_manifest.build(rows, "doc_id", "lang", "leaf", ("doc_id", "tampered"))
+    found = merkle_manifest.folded(F.coalesce("tampered", "leaf"), "path")
+    proved = manifest.proofs().select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof("path").alias("proof_sha256"), found.alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -116,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neighbour_votes,
         op9_weak_rules,
         op10_poisson_mix,
+        op13_merkle_manifest,
     )
 }
