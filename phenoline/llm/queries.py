@@ -19,6 +19,7 @@ from phenoline.llm import (
     neighbour_votes,
     poisson_mix,
     projected_neighbours,
+    token_alignment,
     weak_rules,
 )
 from phenoline.llm.common import table
@@ -104,6 +105,12 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, seed=7)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers, for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and whether what was tampered with still gives the root."""
     fields = ("doc_id", "source", "lang", "n_chars", "text")
@@ -131,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neighbour_votes,
         op9_weak_rules,
         op10_poisson_mix,
+        op11_token_alignment,
         op13_merkle_manifest,
     )
 }
