@@ -22,10 +22,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from phenoline.llm.common import stored
+from phenoline.llm.common import numbered, stored
 
 
 def field(value: Column) -> Column:
@@ -38,18 +37,6 @@ def leaf(*values: Column) -> Column:
     return F.sha2(F.concat(*[field(v) for v in values]), 256)
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``idx`` (from 0 within ``tree``, by ``order``, which tells all rows apart) and ``m`` (rows of the tree)."""
-    spread = rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
-    # The upper bits of this number are the part, the lower ones count its rows.
-    dealt = stored(spread.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "sorted")
-    counts = dealt.groupBy("tree", "part").agg(F.min("at").alias("low"), F.count("*").alias("n"))
-    tree = Window.partitionBy("tree")
-    before = F.coalesce(F.sum("n").over(tree.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = counts.select("tree", "part", (before - F.col("low")).alias("shift"), F.sum("n").over(tree).alias("m"))
-    return dealt.join(stored(parts, "parts"), ["tree", "part"]).withColumn("idx", F.col("at") + F.col("shift")).drop("at", "part", "shift")
-
-
 def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     """``nodes``: tree, idx, m, digest and any others. Adds ``left`` and ``right``: the digests of the run's others before and after a node."""
     theirs = nodes.select("tree", F.col("idx").alias("sibling"), F.col("digest").alias("other"))

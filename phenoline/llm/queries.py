@@ -19,6 +19,7 @@ from phenoline.llm import (
     neighbour_votes,
     poisson_mix,
     projected_neighbours,
+    sorted_passes,
     token_alignment,
     weak_rules,
 )
@@ -111,6 +112,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with a cosine of 0.9 or more."""
+    return sorted_passes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and whether what was tampered with still gives the root."""
     fields = ("doc_id", "source", "lang", "n_chars", "text")
@@ -139,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_weak_rules,
         op10_poisson_mix,
         op11_token_alignment,
+        op12_sorted_passes,
         op13_merkle_manifest,
     )
 }
