@@ -8,7 +8,6 @@ the right prefix make one closed group. That is associative, with the fragment o
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,92 +15,47 @@ from functools import lru_cache
 
 import numpy as np
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Tokenizer
 
-from phenoline.llm.bpe import byte_characters
+from phenoline.llm.bpe import Codec
 
 SOLID = r"[!-~\w]"  # characters that are white space in no tokenizer
 SAFE = re.compile(rf"(?<={SOLID}) (?={SOLID})")
-PLAIN = re.compile(rf"{SOLID}(?:.*{SOLID})?", re.DOTALL)
-REMEMBERED, LONGEST = 100_000, 32
+REMEMBERED = 100_000  # words of A whose ids a worker keeps
 
 
 class TokenPair:
     """Tokenizer A (byte-level BPE) on a space and the text, tokenizer B (pieces with byte fallback) on the text.
 
-    Where a single space stands between characters that are no white space, a token of either may begin there but none may go across: A
-    splits words there, and no piece of B has a space behind another character. So texts are encoded in units between such
-    spaces, and short units are remembered. Vocabularies without these properties get whole texts as units.
+    Strings of special tokens in a text are plain text. Where a single space stands between characters that are no white space, a token of
+    either may begin there but none may go across: A splits words there, and no piece of B has a space behind another character. So long texts can
+    be cut there. With a B that has such pieces they stay whole.
     """
 
     def __init__(self, a_path: str, b_path: str):
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.a = Codec(a_path, "<u4", remember=REMEMBERED)
+        self.a.special = re.compile(r"(?!)")
         self.b = SentencePieceProcessor(model_file=b_path)
-        byte_of = {c: b for b, c in enumerate(byte_characters())}
-        vocab = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            whole = all(c in byte_of for c in token)
-            self.a_bytes[i] = bytes(byte_of[c] for c in token) if whole else token.encode()
+        table = self.a.table
+        if table.lower_case or table.suffix:
+            raise ValueError("tokenizer A must be byte-level")
+        self.a_len = np.zeros(max(table.text_of) + 1, np.int64)
+        for i, token in table.text_of.items():
+            self.a_len[i] = len(token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
-        with open(a_path, encoding="utf-8") as f:
-            spec = json.load(f)
-        splitter = spec.get("pre_tokenizer") or {}
-        self.cuts = (
-            splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not spec.get("normalizer")
-            and not any("▁" in p.lstrip("▁") for p in pieces)
-        )
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
-
-    def _encoded(self, units: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
-        """Ids of both as bytes, and whether both make up a space and the unit."""
-        first = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        second = self.b.encode(units, num_threads=1)
-        for unit, x, b in zip(units, first, second):
-            a, whole = x.ids, b" " + unit.encode()
-            fits = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            yield np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes(), fits
-
-    def _units(self, parts: list[str]) -> list[str]:
-        """Put together again what single spaces have parted that aren't safe."""
-        out, run = [], [parts[0]]
-        for before, part in zip(parts, parts[1:]):
-            if PLAIN.match(before[-1:]) and PLAIN.match(part[:1]):
-                out.append(" ".join(run))
-                run = [part]
-            else:
-                run.append(part)
-        return [*out, " ".join(run)]
+        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
         """Ids of both for each text, and whether the bytes of both are those of a space and the text."""
-        known, split = self.known, []
-        new: dict[str, None] = {}
-        for text in texts:
-            parts = text.split(" ") if self.cuts else [text]
-            missing = [p for p in parts if p not in known]
-            if missing:
-                # What is remembered begins and ends with solid characters, and so do units.
-                if self.cuts and not all(map(PLAIN.fullmatch, missing)):
-                    parts = self._units(parts)
-                    missing = [p for p in parts if p not in known]
-                new.update(dict.fromkeys(missing))
-            split.append(parts)
-        made = dict(zip(new, self._encoded(list(new)))) if new else {}
+        spaced = [" " + t for t in texts]
         out = []
-        for parts in split:
-            units = [known.get(p) or made[p] for p in parts]
-            a, b = b"".join([u[0] for u in units]), b"".join([u[1] for u in units])
-            out.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), all([u[2] for u in units])))
-        if len(known) > REMEMBERED:
-            known.clear()
-        known.update((u, x) for u, x in made.items() if len(u) <= LONGEST and PLAIN.fullmatch(u) and " " not in u)
+        for whole, (raw, _), ids in zip(spaced, self.a.encode(spaced), self.b.encode(texts, num_threads=1)):
+            a, b = np.frombuffer(raw, np.uint32), np.array(ids, np.uint32)
+            data = whole.encode()
+            # A's tokens stand for bytes one by one, so their number tells all.
+            fits = int(self.a_len[a].sum()) == len(data) and b"".join([self.b_bytes[i] for i in ids]) == data
+            out.append((a, b, fits))
         return out
 
     def pieces(self, text: str, size: int) -> Iterator[tuple[int, str]]:
@@ -153,21 +107,22 @@ class Aligned:
         ids[place_a], ids[place_b] = self.a, self.b
         mark[place_a] = np.where(self.closes_a, ord("|"), ord(","))
         mark[place_b] = np.where(self.closes_b, ord(";"), ord(","))
-        digits = np.ones(len(ids), np.int64)
-        top = 10
-        while len(ids) and top <= int(ids.max()):
-            digits += ids >= top
-            top *= 10
-        ends = np.cumsum(digits + 1)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-        out[ends - 1] = mark
-        left, at = ids, ends - 2
-        rest = digits
-        while len(left):
-            out[at] = left % 10 + ord("0")
-            more = rest > 1
-            left, at, rest = left[more] // 10, at[more] - 1, rest[more] - 1
-        return out, ends[place_b]
+        if not len(ids):
+            return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        shown, used = decimals(len(str(int(ids.max()))))
+        cells, keep = shown[ids], used[ids]
+        cells[:, -1] = mark
+        return cells[keep], np.cumsum(keep.sum(1))[place_b]
+
+
+@lru_cache(maxsize=4)
+def decimals(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of up to ``width`` digits as text, right-aligned before one free place, and which places are used."""
+    numbers = np.arange(10**width)
+    powers = 10 ** np.arange(width - 1, -1, -1)
+    shown = (numbers[:, None] // powers % 10 + ord("0")).astype(np.uint8)
+    used = (numbers[:, None] >= powers) | (powers == 1)
+    return np.pad(shown, ((0, 0), (0, 1))), np.pad(used, ((0, 0), (0, 1)), constant_values=True)
 
 
 NO_IDS = np.zeros(0, np.uint32)

@@ -6,7 +6,8 @@
    bridge that closes on the way is a closed group, placed before the closed groups of the fragment that it ends in. A document that is one
    fragment needs none of this.
 3. Closed tokens lie in blocks of ``BLOCK`` bytes of text. Each block's different id pairs are counted and the counts added up over the corpus; the
-   counts of just its own pairs come back to each block by a join, and meet its tokens there. So a task holds one block and its pairs.
+   counts of just its own pairs come back to each block by a join, and meet its tokens there. So a task holds one block and its pairs, and works
+   on slices of ``SLICE`` tokens.
 4. The digest of a document of several fragments is taken by one task that streams through its closed groups in order, as SHA-256 can't be
    composed; only one row is in memory.
 
@@ -30,7 +31,8 @@ from phenoline.llm.common import stored, sub_batches
 from phenoline.llm.fragments import EMPTY, NO_IDS, Aligned, Fragment, compose, fragments, joined, token_pair
 
 CHUNK = 1 << 16
-BLOCK = 1 << 23
+BLOCK = 1 << 22
+SLICE = 1 << 19
 FAN = 16
 
 OPEN = "prefix_a binary, prefix_b binary, suffix_a binary, suffix_b binary"
@@ -177,24 +179,35 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The different pairs of each block, with their numbers; a block that is read in parts gives several rows a pair."""
         block, a, b, n = None, [], [], 0
+        seen = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-        def counted() -> pa.RecordBatch:
-            both = Aligned(np.concatenate(a), np.concatenate(b), a_len, b_len)
-            one, two, _ = both.pairs()
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            one, two, _ = Aligned(np.concatenate(a), np.concatenate(b), a_len, b_len).pairs()
             pairs, times = np.unique(np.concatenate([one, two]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block)), pa.array(pairs), pa.array(times)], names=["block", "pair", "times"])
+            both, at = np.unique(np.concatenate([seen[0], pairs]), return_inverse=True)
+            total = np.zeros(len(both), np.int64)
+            np.add.at(total, at, np.concatenate([seen[1], times]))
+            return both, total
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen[0]), block)), pa.array(seen[0]), pa.array(seen[1])], names=["block", "pair", "times"])
 
         for batch in batches:
             for number, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if a and (number != block or n > BLOCK):
-                    yield counted()
+                if a and (number != block or n > SLICE):
+                    seen = counted()
                     a, b, n = [], [], 0
-                block = number
+                if number != block:
+                    if len(seen[0]):
+                        yield out()
+                    block, seen = number, (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 a.append(unpacked(x.as_py()))
                 b.append(unpacked(y.as_py()))
                 n += len(a[-1]) + len(b[-1])
         if a:
-            yield counted()
+            seen = counted()
+        if len(seen[0]):
+            yield out()
 
     pairs = stored(closed.select("block", "a", "b").mapInArrow(held, "block long, pair long, times long"), "held")
     counts = pairs.groupBy("pair").agg(F.sum("times").alias("n")).withColumn("b_id", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
@@ -207,12 +220,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     schema = _arrow(weighed)
 
     def weigh(mine: pa.Table, known: pa.Table) -> pa.Table:
-        rows = mine.to_pylist()
-        if not rows:
-            return schema.empty_table()
         pair, at = np.unique(known.column("pair").to_numpy(), return_index=True)
         n, best = known.column("n").to_numpy()[at], known.column("best").to_numpy(zero_copy_only=False)[at]
-        a, b = [unpacked(r["a"]) for r in rows], [unpacked(r["b"]) for r in rows]
+        made, first, size = [], 0, 0
+        a, b = [], []
+        for i in range(mine.num_rows):
+            a.append(unpacked(mine.column("a")[i].as_py()))
+            b.append(unpacked(mine.column("b")[i].as_py()))
+            size += len(a[-1]) + len(b[-1])
+            if size > SLICE or i == mine.num_rows - 1:
+                made.append(part(mine.slice(first, i + 1 - first), a, b, pair, n, best))
+                a, b, first, size = [], [], i + 1, 0
+        return pa.concat_tables(made) if made else schema.empty_table()
+
+    def part(rows: pa.Table, a: list, b: list, pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> pa.Table:
         off_a, off_b = np.cumsum([0, *map(len, a)]), np.cumsum([0, *map(len, b)])
         both = Aligned(np.concatenate(a), np.concatenate(b), a_len, b_len)
         one, two, at_b = both.pairs()
@@ -228,22 +249,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
         text, ends = both.text()
         ends = np.concatenate([[0], ends])
         digests = []
-        for r, low, high in zip(rows, ends[off_b[:-1]].tolist(), ends[off_b[1:]].tolist()):
-            digests.append(hashlib.sha256(memoryview(text)[low : high - 1]).hexdigest() if r["whole"] else None)
-        return pa.Table.from_arrays(
-            [
-                mine.column("row").combine_chunks(),
-                mine.column("whole").combine_chunks(),
-                pa.array(np.diff(off_a)),
-                pa.array(np.diff(off_b)),
-                pa.array(closes[off_a[1:]] - closes[off_a[:-1]]),
-                pa.array(by_row(np.ones(len(one), np.int64), np.ones(len(two), np.int64))),
-                pa.array(by_row(best[one], best[two])),
-                pa.array(by_row(n[one], n[two])),
-                pa.array(digests, pa.string()),
-            ],
-            schema=schema,
-        )
+        for whole, low, high in zip(rows.column("whole").to_pylist(), ends[off_b[:-1]].tolist(), ends[off_b[1:]].tolist()):
+            digests.append(hashlib.sha256(memoryview(text)[low : high - 1]).hexdigest() if whole else None)
+        made = [np.diff(off_a), np.diff(off_b), closes[off_a[1:]] - closes[off_a[:-1]]]
+        made += [by_row(np.ones(len(one), np.int64), np.ones(len(two), np.int64)), by_row(best[one], best[two]), by_row(n[one], n[two])]
+        columns = [rows.column("row").combine_chunks(), rows.column("whole").combine_chunks(), *map(pa.array, made), pa.array(digests, pa.string())]
+        return pa.Table.from_arrays(columns, schema=schema)
 
     measured = closed.select("block", "row", "whole", "a", "b").groupBy("block").cogroup(looked.groupBy("block")).applyInArrow(weigh, weighed)
 

@@ -78,7 +78,7 @@ def plain(texts):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), min_size=1, max_size=50).map("".join), st.integers(1, 9))
-def test_units_and_pieces(text, size):
+def test_tokens_and_pieces(text, size):
     a, b, _, _ = plain_tokens(text)
     (x, y, ok), = PAIR.encode([text])
     assert ok == bool(a)
