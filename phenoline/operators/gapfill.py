@@ -1,18 +1,26 @@
-"""Fill null readings from the nearest known ones, by position and in both directions.
+"""Fill null readings from the known ones, by position and in both directions.
 
-All lookups are null-skipping ``lag`` and ``lead`` over one sorted window, so a fill costs one pass over
-the rows of each group. Groups must be bounded: season rows are (one per day).
+For bounded groups (season rows are: one per day) all lookups are null-skipping ``lag`` and ``lead`` over one sorted window, so a
+fill costs one pass over the rows of each group. `fill_series` fills groups of any size on two levels: blocks of a range
+partitioned sort, and a scan of the blocks' first and last known points. The spline looks at a whole group; it is fitted in Arrow
+batches, a bounded group at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# How many known points each method looks at on either side.
-METHODS = {"linear": 1, "quadratic": 3}
+from phenoline.functions.splines import fill_spline
+from phenoline.sources.paths import stored
+
+# How many known points each method looks at on either side; the spline looks at all.
+METHODS = {"linear": 1, "quadratic": 3, "spline": 0}
 
 
 def neighbour_columns(df: DataFrame, window: str, pos: str, value: str, method: str) -> DataFrame:
@@ -81,6 +89,127 @@ def _parabola(at: Column, a, b, c) -> Column:
     )
 
 
+def with_spline(
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, windows: Mapping[str, str | None], start: int = 0
+) -> DataFrame:
+    """Add one column per window, filled by an order-2 smoothing spline through the window's known values.
+
+    ``windows`` maps its name to the column with its last position; rows behind that get null. ``df`` must hold each group of ``keys`` in one
+    partition, as after a window function over them, with ``pos`` counting up from ``start``. Windows for which no spline exists are filled by
+    lines. A task holds one group at a time.
+    """
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in windows]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def filled(table: pa.Table) -> list[pa.RecordBatch]:
+            at = table.column(pos).to_numpy()
+            values = table.column(value).to_numpy().astype(float)
+            begins = np.flatnonzero(at == start)
+            for name, last in windows.items():
+                out = np.full(len(values), np.nan)
+                for a, b in zip(begins, [*begins[1:], len(at)]):
+                    end = b if last is None else min(b, a + table.column(last)[int(a)].as_py() + 1 - start)
+                    if end > a:
+                        out[a:end] = fill_spline(values[a:end])
+                table = table.append_column(name, pa.array(out, from_pandas=True))
+            return table.combine_chunks().to_batches()
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            begins = np.flatnonzero(table.column(pos).to_numpy() == start)
+            cut = int(begins[-1]) if len(begins) else 0
+            yield from filled(table.slice(0, cut)) if cut else []
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from filled(rest)
+
+    return df.sortWithinPartitions(*keys, pos).mapInArrow(run, schema)
+
+
+def series_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, method: str) -> DataFrame:
+    """What `neighbour_columns` adds, and ``_pos`` (from 1) and ``_known`` (of the group), for groups of any size.
+
+    A range partitioned sort by keys and order cuts groups into blocks, whatever their size. The sorted rows are written once. Each block of a
+    group is summed up by its number of rows and its first and last known points; a scan of those sums, a row a block, gives every
+    block its place and the points before and after it. The rest happens within blocks.
+    """
+    reach = METHODS[method]
+    spread = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # The upper bits of this number are the partition, the lower ones count its rows.
+    rows = stored(spread.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    block = [*keys, "_part"]
+    known = F.col(value).isNotNull()
+    sums = rows.groupBy(*block).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"), F.count(value).alias("_k"))
+    ends = rows.filter(known)
+    for name, way in (("_first", F.col("_at").asc()), ("_last", F.col("_at").desc())):
+        ends = ends.withColumn(name, F.row_number().over(Window.partitionBy(*block).orderBy(way)) <= reach)
+    point = F.struct(F.col("_at"), F.col(value).alias("val"))
+    ends = ends.filter("_first OR _last").groupBy(*block).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_first"), point))).alias("_firsts"),
+        F.array_sort(F.collect_list(F.when(F.col("_last"), point))).alias("_lasts"),
+    )
+    group = Window.partitionBy(*keys)
+    ordered = group.orderBy("_part")
+    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
+    summed = sums.alias("a").join(ends.alias("b"), same, "left").select("a.*", "_firsts", "_lasts")
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low")
+    placed = summed.withColumns({"_shift": shift, "_known": F.sum("_k").over(group)})
+
+    def moved(points: str) -> Column:
+        """Points with their places in the group."""
+        return F.transform(points, lambda p: F.struct((p["_at"] + F.col("_shift") + 1).alias("pos"), p["val"].alias("val")))
+
+    placed = placed.withColumns({"_firsts": moved("_firsts"), "_lasts": moved("_lasts")})
+    if reach == 1:
+        carried = F.array(F.last(F.get("_lasts", F.lit(0)), True).over(before)), F.array(F.first(F.get("_firsts", F.lit(0)), True).over(after))
+    else:
+        past, coming = F.flatten(F.collect_list("_lasts").over(before)), F.flatten(F.collect_list("_firsts").over(after))
+        carried = F.slice(past, F.greatest(F.size(past) - reach + 1, F.lit(1)), reach), F.slice(coming, 1, reach)
+    scan = placed.select(*block, "_shift", "_known", carried[0].alias("_past"), carried[1].alias("_coming"))
+    joined = rows.alias("a").join(stored(scan).alias("b"), same).select("a.*", "_shift", "_known", "_past", "_coming")
+    joined = joined.withColumn("_pos", F.col("_at") + F.col("_shift") + 1)
+    window = f"PARTITION BY {', '.join(block)} ORDER BY _at"
+    near = neighbour_columns(joined, window, "_pos", value, method)
+    # How many known points the block has before and after each row; the others are carried over from its neighbours.
+    seen = near.withColumns(
+        {
+            "_behind": F.expr(f"count({value}) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
+            "_ahead": F.expr(f"count({value}) OVER ({window} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"),
+        }
+    )
+    found = {}
+    for k in range(1, reach + 1):
+        for part in ("pos", "val"):
+            # Never 0: a block that has seen k points needs none of the carried ones.
+            back = F.least(F.col("_behind") - k, F.lit(-1)).cast("int")
+            on = F.greatest(k - F.col("_ahead"), F.lit(1)).cast("int")
+            found[f"_p{k}_{part}"] = F.coalesce(F.col(f"_p{k}_{part}"), F.when(F.col("_behind") < k, F.try_element_at("_past", back)[part]))
+            found[f"_n{k}_{part}"] = F.coalesce(F.col(f"_n{k}_{part}"), F.when(F.col("_ahead") < k, F.try_element_at("_coming", on)[part]))
+    return seen.withColumns(found).drop("_at", "_part", "_shift", "_past", "_coming", "_behind", "_ahead")
+
+
+def fill_series(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    method: str = "linear",
+    min_points: int = 0,
+    output: str = "filled",
+) -> DataFrame:
+    """`fill_gaps` for groups of any size, such as all days of a site: no task gathers a group.
+
+    ``order`` should tell the rows of a group apart, or equal ones stand in any order. The spline, which needs a whole group, isn't offered.
+    """
+    if METHODS.get(method, 0) == 0:
+        raise ValueError(f"unknown fill method {method!r} for series, choose one of {[m for m, n in METHODS.items() if n]}")
+    near = series_neighbours(df, keys, order, value, method).filter(F.col("_known") >= min_points)
+    return with_filled(near, "_pos", value, {output: None}, method).select(*df.columns, output)
+
+
 def fill_gaps(
     df: DataFrame,
     keys: Sequence[str],
@@ -93,7 +222,7 @@ def fill_gaps(
     """Fill ``value`` within each group of ``keys``, ordered by ``order``.
 
     Groups with fewer than ``min_points`` known values are dropped. Choose keys that bound the group, such
-    as site and season year rather than site alone.
+    as site and season year rather than site alone; `fill_series` takes groups of any size.
     """
     if method not in METHODS:
         raise ValueError(f"unknown fill method {method!r}, choose one of {list(METHODS)}")
@@ -102,5 +231,7 @@ def fill_gaps(
     if min_points > 0:
         whole = f"({window} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
         rows = rows.withColumn("_known", F.expr(f"count({value}) OVER {whole}")).filter(F.col("_known") >= min_points)
+    if method == "spline":
+        return with_spline(rows, keys, "_pos", value, {output: None}, start=1).select(*df.columns, output)
     near = neighbour_columns(rows, f"PARTITION BY {', '.join(keys)} ORDER BY _pos", "_pos", value, method)
     return with_filled(near, "_pos", value, {output: None}, method).select(*df.columns, output)

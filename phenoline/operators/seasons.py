@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenoline.functions.arrays import known
 from phenoline.functions.dates import parse_day_month, season_start, season_year, whole_days
-from phenoline.operators.gapfill import METHODS, neighbour_columns, with_filled
+from phenoline.operators.gapfill import METHODS, neighbour_columns, series_neighbours, with_filled, with_spline
 from phenoline.operators.layout import repeat_rows, spread
 
 SEASON_COLUMNS = [
@@ -25,11 +23,8 @@ SEASON_COLUMNS = [
     "lng",
 ]
 
-# More seasons than this for one site and year (from repeated events or place names) are spread over tasks.
-MAX_SEASONS_PER_YEAR = 64
-
-# One site has at most this many dates in one season year, so a fuller one holds repeated dates.
-MAX_DAYS_PER_YEAR = 366
+# What decides a season: its readings up to each event, and how many of those are known.
+TOTALS = ("n_first", "n_full", "known_first", "known_full")
 
 
 def pair_events(first: DataFrame, full: DataFrame, unique: bool = False) -> DataFrame:
@@ -108,37 +103,6 @@ def skipped_sites(events: DataFrame, obs_sites: DataFrame) -> DataFrame:
     return events.select("site").distinct().join(obs_sites.select("site").distinct(), "site", "left_anti")
 
 
-@dataclass(frozen=True)
-class SeasonShape:
-    """What the season table looks like, which decides how it is joined."""
-
-    one_year: bool  # every event precedes the next season's start
-    most_copies: int  # largest number of equal seasons
-    most_per_year: int  # largest number of different seasons of one site and year
-
-
-def season_shape(seasons: DataFrame, day: int, month: int) -> SeasonShape:
-    """One aggregation over the seasons, which are few beside the readings; three numbers reach the driver."""
-    late = F.greatest(season_year(F.col("full_bloom"), day, month), season_year(F.col("first_bloom"), day, month))
-    per_year = seasons.groupBy("site", "year").agg(
-        F.max((late > F.col("year")).cast("int")).alias("late"),
-        F.max("copies").alias("copies"),
-        F.count("*").alias("n"),
-    )
-    row = per_year.agg(F.max("late").alias("late"), F.max("copies").alias("copies"), F.max("n").alias("n")).first()
-    return SeasonShape(not row["late"], row["copies"] or 1, row["n"] or 1)
-
-
-def _has_repeated_dates(readings: DataFrame) -> bool:
-    """True when some site holds more rows in a season year than the year has days.
-
-    A count with map-side combining over the two key columns; only the largest count reaches the driver.
-    """
-    counts = readings.groupBy("site", "season_year").agg(F.count("*").alias("n"))
-    largest = counts.agg(F.max("n").alias("n")).first()["n"]
-    return largest is not None and largest > MAX_DAYS_PER_YEAR
-
-
 def _cover_years(seasons: DataFrame, day: int, month: int) -> DataFrame:
     """One row per season year that a season reaches into, for windows longer than a year."""
     last = F.greatest(season_year(F.col("full_bloom"), day, month), season_year(F.col("first_bloom"), day, month))
@@ -149,52 +113,39 @@ def _in_window():
     return F.col("date").between(F.col("data_start_date"), F.greatest("first_bloom", "full_bloom"))
 
 
-def _plain_rows(
-    seasons: DataFrame, readings: DataFrame, one_year: bool, day: int, month: int, how: str = "inner"
-) -> DataFrame:
+def _season_days(seasons: DataFrame, readings: DataFrame, one_year: bool, day: int, month: int, how: str = "inner") -> DataFrame:
     """Season rows times daily readings as an equi-join on (site, season year).
 
-    Each side is shuffled once on that key, and with ``one_year`` the later windows reuse the partitioning.
+    Each side is shuffled once on that key, and with ``one_year`` the later windows reuse the partitioning. Otherwise a season is
+    first copied to every season year that it reaches into.
     """
-    if one_year:
-        days = readings.withColumnRenamed("season_year", "year")
-        if how == "inner":
-            return seasons.join(days, ["site", "year"]).filter(_in_window())
-        days = days.withColumnsRenamed({"site": "_site", "year": "_year"})
-        match = (F.col("site") == F.col("_site")) & (F.col("year") == F.col("_year")) & _in_window()
-        return seasons.join(days, match, how).drop("_site", "_year")
-    inside = _cover_years(seasons, day, month).join(readings, ["site", "season_year"]).filter(_in_window())
-    inside = inside.drop("season_year")
-    if how == "inner":
-        return inside
-    events = ["site", "year", "first_bloom", "full_bloom"]
-    without = seasons.join(inside.select(*events).distinct(), events, "left_anti")
-    return inside.unionByName(without, allowMissingColumns=True)
-
-
-def _crowded_rows(seasons: DataFrame, readings: DataFrame, day: int, month: int) -> DataFrame:
-    """The same rows when some dates are repeated, perhaps very often.
-
-    Repeats are folded into counts per date before anything is gathered by site. The counts tell which
-    seasons pass the length check, and only those, which hold at most days + 1 rows, are joined to readings,
-    on (site, date). That join precedes another exchange, so AQE may split its skewed partitions.
+    if not one_year:
+        seasons = _cover_years(seasons, day, month)
+    held = "year" if one_year else "season_year"
+    days = readings.withColumnsRenamed({"site": "_site", "season_year": "_year"})
+    match = (F.col("site") == F.col("_site")) & (F.col(held) == F.col("_year")) & _in_window()
+    joined = seasons.join(days, match, how).drop("_site", "_year")
+    return joined if one_year else joined.drop("season_year")
+
+
+def season_totals(seasons: DataFrame, readings: DataFrame, day: int, month: int) -> DataFrame:
+    """``seasons`` with ``TOTALS``, counted without multiplying seasons by readings.
+
+    Readings fold to one count per date, map-side, however often a date is repeated, and those to one array per site and season year, of at
+    most a year's dates. A season looks its sums up in the arrays of the years that it covers.
     """
-    keys = [*SEASON_COLUMNS, "copies"]
-    daily = readings.groupBy("site", "season_year", "date").agg(F.count("*").alias("n"))
-    inside = _cover_years(seasons, day, month).join(daily, ["site", "season_year"]).filter(_in_window())
-    totals = inside.groupBy(*keys).agg(
-        F.sum(F.when(F.col("date") <= F.col("first_bloom"), F.col("n"))).alias("n_first"),
-        F.sum(F.when(F.col("date") <= F.col("full_bloom"), F.col("n"))).alias("n_full"),
-    )
-    valid = totals.filter(
-        (F.col("n_first") == F.col("days_to_first") + 1) & (F.col("n_full") == F.col("days_to_full") + 1)
-    ).select(*keys)
-    end = F.greatest("first_bloom", "full_bloom")
-    axis = F.sequence("data_start_date", end, F.expr("interval 1 day"))
-    wanted = valid.withColumn("date", F.explode(axis))
-    values = readings.groupBy("site", "date", "temp").agg(F.count("*").alias("n"))
-    joined = values.join(wanted, ["site", "date"])
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("_i", "n")
+    daily = readings.groupBy("site", "season_year", "date").agg(F.count("*").alias("n"), F.count("temp").alias("known"))
+    years = daily.groupBy("site", "season_year").agg(F.collect_list(F.struct("date", "n", "known")).alias("days"))
+    zero = F.lit(0).cast("bigint")
+
+    def total(event: str, what: str) -> Column:
+        inside = F.filter("days", lambda d: d["date"].between(F.col("data_start_date"), F.col(event)))
+        return F.coalesce(F.aggregate(inside, zero, lambda n, d: n + d[what]), zero)
+
+    events = {"first": "first_bloom", "full": "full_bloom"}
+    found = _cover_years(seasons, day, month).join(years, ["site", "season_year"], "left")
+    found = found.select(*seasons.columns, *[total(events[t.split("_")[1]], t.split("_")[0]).alias(t) for t in TOTALS])
+    return found.groupBy(*seasons.columns).agg(*[F.sum(t).alias(t) for t in TOTALS])
 
 
 def build_season_steps(
@@ -219,15 +170,20 @@ def build_season_steps(
     when both windows hold exactly days + 1 readings, at least ``min_points`` of them known; null readings
     are then filled within each window. The result has one row per season and step, up to the later event;
     ``temp_first`` and ``temp_full`` are null past their own event. ``drop_invalid=False`` keeps the other
-    seasons too, with the readings they have and nulls where a window has too few known ones.
+    seasons too, with the readings they have, repeated dates included, and nulls where a window has too few known ones.
 
     Whoever knows it can promise ``unique_keys`` (one event row per site and year, one coordinate row per
     site), ``unique_dates`` (one reading per site and date) and ``one_year`` (all events precede the next
-    season's start). What is not promised is handled by counting copies, or looked up with a small aggregate
-    that picks the join. Without ``unique_keys`` the result numbers equal seasons in ``copy``.
+    season's start). Each promise saves steps of the plan, which depends on the arguments alone, never on the data. Without
+    ``unique_dates`` counts per date decide which seasons are kept before any reading is joined, so a date may be repeated any number of times;
+    kept seasons of any length are then put in order and filled by blocks. Without ``unique_keys`` copies are counted and the result numbers
+    equal seasons in ``copy``.
     """
     if method not in METHODS:
         raise ValueError(f"unknown fill method {method!r}, choose one of {list(METHODS)}")
+    by_blocks = not unique_dates and not drop_invalid
+    if by_blocks and method == "spline":
+        raise ValueError("the spline needs whole seasons in memory; with drop_invalid=False promise unique_dates")
     day, month = parse_day_month(start)
 
     pairs = pair_events(first, full, unique=unique_keys)
@@ -242,68 +198,91 @@ def build_season_steps(
     readings = obs.select("site", F.col("date").cast("date").alias("date"), known(F.col("temp")).alias("temp"))
     readings = readings.withColumn("season_year", season_year(F.col("date"), day, month))
 
-    known_shape = unique_keys and one_year is not None
-    shape = SeasonShape(one_year, 1, 1) if known_shape else season_shape(seasons, day, month)
-    crowded = not unique_dates and _has_repeated_dates(readings)
-    if crowded and not drop_invalid:
-        raise ValueError("some site has more rows in a year than days; such seasons cannot be kept whole")
-    if crowded:
-        rows = _crowded_rows(seasons, readings, day, month)
+    if not drop_invalid:
+        seasons = with_observations(seasons, readings)
+    keys = ["site", "year"] if unique_keys else ["site", "year", "first_bloom", "full_bloom", "lat", "lng"]
+    if unique_dates:
+        rows = _season_days(seasons, readings, bool(one_year), day, month, "inner" if drop_invalid else "left")
+        if not unique_keys:
+            # Many seasons of one site and year are placed by their full key, so they don't share a task.
+            rows = rows.repartition(*keys)
+        rows = _with_totals(rows, keys, blanks=not drop_invalid)
     else:
-        how = "inner" if drop_invalid else "left"
+        seasons = season_totals(seasons, readings, day, month)
+        if drop_invalid:
+            seasons = seasons.filter(_valid(min_points))
+        rows = _season_days(seasons, readings, bool(one_year), day, month)
         if not drop_invalid:
-            seasons = with_observations(seasons, readings)
-        rows = _plain_rows(seasons, readings, shape.one_year, day, month, how)
-
-    keys = ["site", "year"] if unique_keys else ["site", "year", "first_bloom", "full_bloom", "lat", "lng"]
-    if shape.most_per_year > MAX_SEASONS_PER_YEAR:
-        # Many seasons of one site and year: place them by their full key, so they do not share a task. The
-        # exchange also lets AQE split the join before it.
-        rows = rows.repartition(*keys)
-    steps = _checked_and_filled(rows, keys, min_points, method, drop_invalid)
-    if shape.most_copies > 1:
+            empty = seasons.filter("n_first = 0 AND n_full = 0")
+            rows = rows.unionByName(empty, allowMissingColumns=True)
+    if drop_invalid:
+        rows = rows.filter(_valid(min_points))
+    steps = _filled_by_blocks(rows, keys, min_points, method) if by_blocks else _filled(rows, keys, min_points, method)
+    if not unique_keys:
         return repeat_rows(steps, "copies", "copy").drop("copies")
-    return steps.drop("copies") if unique_keys else steps.drop("copies").withColumn("copy", F.lit(1).cast("bigint"))
+    return steps.drop("copies")
 
 
-def _checked_and_filled(
-    rows: DataFrame, keys: list[str], min_points: int, method: str, drop_invalid: bool
-) -> DataFrame:
-    """Length check, known-point check and gap fill, in windows over one season at a time.
+def _valid(min_points: int) -> Column:
+    """Both windows hold exactly days + 1 readings, and enough known ones."""
+    whole = (F.col("n_first") == F.col("days_to_first") + 1) & (F.col("n_full") == F.col("days_to_full") + 1)
+    return whole & (F.col("known_first") >= min_points) & (F.col("known_full") >= min_points)
 
-    Both windows use one partitioning and one order, so the rows are sorted once.
-    """
+
+def _with_totals(rows: DataFrame, keys: list[str], blanks: bool) -> DataFrame:
+    """Add ``TOTALS`` of each season. With ``blanks`` there are rows without a reading: a season keeps one of them if it has no other row."""
+    whole = f"(PARTITION BY {', '.join(keys)} ORDER BY date, temp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    tests = {"first": "date <= first_bloom", "full": "date <= full_bloom"}
+    shown = {t: f"CASE WHEN {tests[t.split('_')[1]]} THEN {'1' if t[0] == 'n' else 'temp'} END" for t in TOTALS}
+    counted = rows.withColumns({t: F.expr(f"count({x}) OVER {whole}") for t, x in shown.items()})
+    if not blanks:
+        return counted
+    number = F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY date, temp)")
+    blank = F.col("date").isNull()
+    some = F.greatest("n_first", "n_full") > 0
+    return counted.withColumn("_row", number).filter(~blank | (~some & (F.col("_row") == 1))).drop("_row")
+
+
+def _filled(rows: DataFrame, keys: list[str], min_points: int, method: str) -> DataFrame:
+    """Steps and gap fill in windows over one season at a time; both windows use one partitioning and one order, so rows are sorted once."""
     window = f"PARTITION BY {', '.join(keys)} ORDER BY date, temp"
-    whole = f"({window} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    in_first, in_full = "date <= first_bloom", "date <= full_bloom"
-    counted = rows.withColumns(
+    placed = rows.withColumns(
         {
             "step": F.expr(f"CAST(row_number() OVER ({window}) - 1 AS INT)"),
-            "n_first": F.expr(f"count(CASE WHEN {in_first} THEN 1 END) OVER {whole}"),
-            "n_full": F.expr(f"count(CASE WHEN {in_full} THEN 1 END) OVER {whole}"),
-            "known_first": F.expr(f"count(CASE WHEN {in_first} THEN temp END) OVER {whole}"),
-            "known_full": F.expr(f"count(CASE WHEN {in_full} THEN temp END) OVER {whole}"),
+            "_last_first": F.col("n_first") - 1,
+            "_last_full": F.col("n_full") - 1,
         }
     )
-    enough_first, enough_full = F.col("known_first") >= min_points, F.col("known_full") >= min_points
-    if drop_invalid:
-        counted = counted.filter(
-            (F.col("n_first") == F.col("days_to_first") + 1)
-            & (F.col("n_full") == F.col("days_to_full") + 1)
-            & enough_first
-            & enough_full
-        )
-    near = neighbour_columns(counted, window, "step", "temp", method)
-    near = near.withColumns({"_last_first": F.col("n_first") - 1, "_last_full": F.col("n_full") - 1})
-    filled = with_filled(near, "step", "temp", {"fill_first": "_last_first", "fill_full": "_last_full"}, method)
+    ends = {"fill_first": "_last_first", "fill_full": "_last_full"}
+    if method == "spline":
+        return _steps(with_spline(placed, keys, "step", "temp", ends), min_points)
+    near = neighbour_columns(placed, window, "step", "temp", method)
+    return _steps(with_filled(near, "step", "temp", ends, method), min_points)
+
+
+def _filled_by_blocks(rows: DataFrame, keys: list[str], min_points: int, method: str) -> DataFrame:
+    """The same for seasons with any number of readings."""
+    near = series_neighbours(rows, keys, ["date", "temp"], "temp", method)
+    # Positions count from 1 here.
+    near = near.withColumns({"_last_first": F.col("n_first"), "_last_full": F.col("n_full")})
+    filled = with_filled(near, "_pos", "temp", {"fill_first": "_last_first", "fill_full": "_last_full"}, method)
+    filled = filled.withColumns({"step": (F.col("_pos") - 1).cast("int"), "_last_first": F.col("n_first") - 1, "_last_full": F.col("n_full") - 1})
+    return _steps(filled, min_points)
+
+
+def _steps(filled: DataFrame, min_points: int) -> DataFrame:
+    def shown(event: str) -> Column:
+        inside = (F.col(f"known_{event}") >= min_points) & (F.col("step") <= F.col(f"_last_{event}"))
+        return F.when(inside, F.col(f"fill_{event}")).alias(f"temp_{event}")
+
     return filled.select(
         *SEASON_COLUMNS,
         "copies",
         "step",
         "date",
         "temp",
-        F.when(enough_first & (F.col("step") <= F.col("_last_first")), F.col("fill_first")).alias("temp_first"),
-        F.when(enough_full & (F.col("step") <= F.col("_last_full")), F.col("fill_full")).alias("temp_full"),
+        shown("first"),
+        shown("full"),
         (F.col("days_to_first") - F.col("step")).alias("countdown_first"),
         (F.col("days_to_full") - F.col("step")).alias("countdown_full"),
     )

@@ -1,8 +1,11 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
-from phenoline.operators.gapfill import fill_gaps
+from phenoline.functions.splines import fill_spline
+from phenoline.operators.gapfill import fill_gaps, fill_series
 
 
 def series(spark, *groups):
@@ -69,3 +72,41 @@ def test_min_points_and_known_values(spark):
     assert filled(series(spark, [None, None]))[0] == [None, None]
     with pytest.raises(ValueError):
         fill_gaps(series(spark, [1.0]), ["g"], "i", "v", method="cubic")
+
+
+def test_spline_groups(spark):
+    rng = random.Random(6)
+    groups = [[None if rng.random() < 0.3 else 20 * math.sin(i / 11) + rng.uniform(-4, 4) for i in range(n)] for n in (60, 3, 41, 90, 1)]
+    got = filled(series(spark, *groups).repartition(7), method="spline")
+    for g, values in enumerate(groups):
+        want = fill_spline(np.array([np.nan if v is None else v for v in values], float))
+        assert got[g] == pytest.approx([None if np.isnan(w) else w for w in want])
+
+
+@pytest.mark.parametrize("method", ["linear", "quadratic"])
+def test_series_equal_the_window_form(spark, method):
+    """Small groups, empty ones, null keys, and one that lies in many blocks, some without a known point."""
+    rng = random.Random(3)
+    rows = [(None if g == 3 else g, i, rng.choice([None, None, float(rng.randint(-50, 50))])) for g in range(40) for i in range(rng.randint(1, 9))]
+    rows += [(99, i, float(rng.randint(-50, 50)) if i % 1900 in (3, 4, 900) else None) for i in range(9000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g int, i int, v double").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        got = sorted((tuple(r) for r in fill_series(df, ["g"], ["i"], "v", method).collect()), key=key)
+        want = sorted((tuple(r) for r in fill_gaps(df, ["g"], "i", "v", method).collect()), key=key)
+        few = fill_series(df, ["g"], ["i"], "v", method, min_points=4)
+        assert few.select("g").distinct().count() == fill_gaps(df, ["g"], "i", "v", method, min_points=4).select("g").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == [r[3] if r[3] is None else pytest.approx(r[3]) for r in want]
+
+
+def test_series_arguments(spark):
+    with pytest.raises(ValueError):
+        fill_series(series(spark, [1.0]), ["g"], ["i"], "v", method="spline")
+    assert fill_series(series(spark), ["g"], ["i"], "v").count() == 0

@@ -1,8 +1,11 @@
 import datetime as dt
+import math
 import random
 
+import numpy as np
 import pytest
 
+from phenoline.functions.splines import fill_spline
 from phenoline.operators import reshape, seasons
 from test_gapfill import linear
 
@@ -113,10 +116,10 @@ def test_repeated_events_multiply(spark):
     assert reshape.nest_seasons(steps).count() == 9
 
 
-def test_many_seasons_of_one_year_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(seasons, "MAX_SEASONS_PER_YEAR", 1)
+def test_many_seasons_of_one_year(spark):
     two = places(spark, ("A", 1.0, 2.0), ("A", 3.0, 4.0))
-    assert build(spark, readings(spark, [1.0] * 12), sites=two).count() == 24
+    for promised in (False, True):
+        assert build(spark, readings(spark, [1.0] * 12), sites=two, unique_dates=promised, one_year=promised).count() == 24
 
 
 def test_sites_without_observations(spark):
@@ -144,9 +147,8 @@ def test_windows_longer_than_a_year(spark):
     assert build(spark, obs, full=full, drop_invalid=False).count() == 401
 
 
-def test_repeated_dates_are_exact(spark, monkeypatch):
-    """The path for repeated dates keeps what the plain path keeps, also when a repeat stands in for a gap."""
-    monkeypatch.setattr(seasons, "MAX_DAYS_PER_YEAR", 3)
+def test_repeated_dates_are_exact(spark):
+    """Repeats are counted, also when one stands in for a gap; seasons that they spoil can be kept."""
     whole = readings(spark, [float(i) for i in range(14)])
     doubled = whole.unionByName(readings(spark, [9.0], start=START + 5 * DAY))
     swapped = readings(spark, [0.0, 1.0, "gap"] + [float(i) for i in range(3, 14)]).unionByName(
@@ -157,8 +159,81 @@ def test_repeated_dates_are_exact(spark, monkeypatch):
     assert build(spark, doubled).count() == 0
     assert [b for _, _, b in steps_of(build(spark, swapped))] == [0, 1, 3, 4, 5, 9, 6, 7, 8, 9, 10, 11]
     assert build(spark, late).count() == 12
+    kept = steps_of(build(spark, doubled, drop_invalid=False))
+    assert [b for _, _, b in kept] == [0, 1, 2, 3, 4, 5, 9, 6, 7, 8, 9, 10, 11]
+    assert [a for _, a, _ in kept] == [0, 1, 2, 3, 4, 5, 9, 6, 7, 8, 9, None, None]
+
+
+def test_one_date_repeated_very_often(spark):
+    """More rows on a date than a year has days, none of them gathered for the decision."""
+    day = spark.range(3000).selectExpr("'A' AS site", "DATE'1999-08-04' AS date", "IF(id % 7 = 0, NULL, CAST(id AS double)) AS temp")
+    obs = readings(spark, [1.0] * 12).unionByName(day)
+    assert build(spark, obs).count() == 0
+    rows = build(spark, obs, drop_invalid=False)
+    assert rows.count() == 3012
+    # Null readings come first on their date, between the third reading and the first known one of the fourth date.
+    got = [(r.temp, r.temp_full) for r in rows.orderBy("step").limit(500).collect()]
+    blanks = [f for t, f in got if t is None]
+    assert len(blanks) == 429 and blanks == pytest.approx([1.0] * 429)
+
+
+def test_no_job_runs_before_the_action(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("seasons-plan", "")
+    try:
+        build(spark, readings(spark, [1.0] * 12))
+        assert not tracker.getJobIdsForGroup("seasons-plan")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_random_tables_with_repeats_and_invalid_seasons(spark):
+    """Seasons over year borders, repeated and missing dates, kept or not, against row-by-row loops."""
+    rng = random.Random(8)
+    first, full, obs = [], [], []
+    for site in ("A", "B", "C"):
+        for year in (1999, 2000, 2001, 2005):
+            a = dt.date(year - 1, 8, 1) + rng.choice([rng.randint(-2, 25), rng.randint(360, 500)]) * DAY
+            first.append((site, year, a))
+            full.append((site, year, a + rng.randint(-4, 9) * DAY))
+        for i in range(1300):
+            for _ in range(rng.choices([0, 1, 2], [1, 98, 1])[0]):
+                obs.append((site, dt.date(1998, 7, 20) + i * DAY, None if rng.random() < 0.5 else round(rng.uniform(-5, 30), 1)))
+    table = spark.createDataFrame(obs, "site string, date date, temp double").repartition(5)
+    obs.sort(key=lambda r: (r[1], r[2] is not None, r[2] or 0))
+    want = {}
+    for (site, year, a), (_, _, b) in zip(first, full):
+        windows = []
+        for end in (a, b):
+            values = [v for s, d, v in obs if s == site and dt.date(year - 1, 8, 1) <= d <= end]
+            windows.append(linear(values) if sum(v is not None for v in values) >= 4 else [])
+        want[site, year] = windows
+    known = places(spark, ("A", 1.0, 2.0), ("B", 3.0, 4.0), ("C", 5.0, 6.0))
+    steps = build(spark, table, events(spark, *first), events(spark, *full), known, min_points=4, drop_invalid=False)
+    rows = reshape.nest_seasons(steps).collect()
+    assert {(r.site_name, r.year) for r in rows} == set(want)
+    for r in rows:
+        got = [r.temps_to_first, r.temps_to_full]
+        assert [len(g) for g in got] == [len(w) for w in want[r.site_name, r.year]]
+        for g, w in zip(got, want[r.site_name, r.year]):
+            assert g == pytest.approx(w)
+    sizes = {(s, y): [(a - dt.date(y - 1, 8, 1)).days + 1, (b - dt.date(y - 1, 8, 1)).days + 1] for (s, y, a), (_, _, b) in zip(first, full)}
+    valid = {k for k, w in want.items() if [len(x) for x in w] == sizes[k] and min(sizes[k]) > 0}
+    kept = reshape.nest_seasons(build(spark, table, events(spark, *first), events(spark, *full), known, min_points=4)).collect()
+    assert {(r.site_name, r.year) for r in kept} == valid
+
+
+def test_spline_seasons(spark):
+    rng = random.Random(2)
+    values = [None if rng.random() < 0.4 else 10 * math.sin(i / 9) + rng.uniform(-3, 3) for i in range(80)]
+    first, full = events(spark, ("A", 2000, START + 69 * DAY)), events(spark, ("A", 2000, START + 79 * DAY))
+    steps = build(spark, readings(spark, values), first, full, method="spline").orderBy("step").collect()
+    nan = np.array([np.nan if v is None else v for v in values])
+    assert [r.temp_full for r in steps] == pytest.approx(fill_spline(nan).tolist())
+    assert [r.temp_first for r in steps][:70] == pytest.approx(fill_spline(nan[:70]).tolist())
+    assert [r.temp_first for r in steps][70:] == [None] * 10
     with pytest.raises(ValueError):
-        build(spark, doubled, drop_invalid=False)
+        build(spark, readings(spark, values), method="spline", drop_invalid=False)
 
 
 def brute(first, full, obs, sites, min_points):
@@ -206,7 +281,7 @@ def test_random_tables_against_brute_force(spark):
 
 def test_arguments(spark):
     obs = readings(spark, [1.0] * 12)
-    for options in ({"start": "01:13"}, {"start": "40:01"}, {"method": "spline"}):
+    for options in ({"start": "01:13"}, {"start": "40:01"}, {"method": "cubic"}):
         with pytest.raises(ValueError):
             build(spark, obs, **options)
 

@@ -247,12 +247,12 @@ def _stats(key: str) -> str:
     return f"WITH {_scores()} SELECT {key}, {', '.join(columns)} FROM scores GROUP BY {key}"
 
 
-def _gap(method: str) -> str:
+def _gap(method: str, group: str = "site, season_year") -> str:
     return f"""WITH {OBS},
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY site, season_year ORDER BY date) AS pos,
-         count(temp) OVER (PARTITION BY site, season_year) AS known FROM obs),
-near AS (SELECT *, {_near(method, "site, season_year", "pos", "pos", "temp")} FROM placed WHERE known >= 3)
+  SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY date) AS pos,
+         count(temp) OVER (PARTITION BY {group}) AS known FROM obs),
+near AS (SELECT *, {_near(method, group, "pos", "pos", "temp")} FROM placed WHERE known >= 3)
 SELECT site, CAST(date AS VARCHAR) AS date, {_fill(method, "pos", "temp", None)} AS filled FROM near"""
 
 
@@ -272,6 +272,27 @@ counted AS (
 SELECT site AS site_name, year, days_to_full + 1 AS n_countdown,
        CAST(CASE WHEN known_first >= 30 THEN n_first ELSE 0 END AS INTEGER) AS n_first,
        CAST(CASE WHEN known_full >= 30 THEN n_full ELSE 0 END AS INTEGER) AS n_full FROM counted""",
+    "seasons_kept_with_repeats": f"""WITH {OBS}, {SEASONS}, {CITIES},
+readings AS (
+  SELECT site, date, temp FROM obs
+  UNION ALL SELECT s_name, CAST(l_shipdate AS DATE), l_extendedprice FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  WHERE month(l_shipdate) = 2 AND l_suppkey % 3 = 0),
+placed AS (
+  SELECT s.*, c.lat, c.lng, o.date, o.temp,
+         CAST(row_number() OVER w - 1 AS INTEGER) AS step,
+         count(*) FILTER (o.date <= first_bloom) OVER a - 1 AS last_first,
+         count(*) FILTER (o.date <= full_bloom) OVER a - 1 AS last_full,
+         count(temp) FILTER (o.date <= first_bloom) OVER a AS known_first,
+         count(temp) FILTER (o.date <= full_bloom) OVER a AS known_full
+  FROM seasons s JOIN cities c ON c.city_ascii = s.site
+  JOIN readings o ON o.site = s.site AND o.date BETWEEN s.data_start_date AND greatest(s.first_bloom, s.full_bloom)
+  WINDOW w AS (PARTITION BY s.site, s.year ORDER BY o.date, o.temp NULLS FIRST), a AS (PARTITION BY s.site, s.year)),
+near AS (SELECT *, {_near("linear", "site, year", "step", "step", "temp")} FROM placed),
+steps AS (
+  SELECT *, CASE WHEN known_first >= 30 AND step <= last_first THEN {_fill("linear", "step", "temp", "last_first")} END AS temp_first,
+         CASE WHEN known_full >= 30 AND step <= last_full THEN {_fill("linear", "step", "temp", "last_full")} END AS temp_full,
+         days_to_first - step AS countdown_first, days_to_full - step AS countdown_full FROM near)
+{STEPS_OUT}""",
     "pair_events": f"""WITH {SEASONS}
 SELECT site, year, CAST(first_bloom AS VARCHAR) AS first_bloom, CAST(full_bloom AS VARCHAR) AS full_bloom,
        CAST(data_start_date AS VARCHAR) AS data_start_date, days_to_first, days_to_full, bloom_offset,
@@ -372,6 +393,8 @@ SELECT x.month AS dataset_1, y.month AS dataset_2, coalesce(n, 0) AS overlap_cou
 FROM m x JOIN m y ON x.month < y.month LEFT JOIN hit ON a = x.month AND b = y.month""",
     "gap_linear": _gap("linear"),
     "gap_quadratic": _gap("quadratic"),
+    "gap_series": _gap("linear", "site"),
+    "gap_series_quadratic": _gap("quadratic", "site"),
     "lag_window_features": f"""WITH {_steps()},
 past AS (
   SELECT site, year, step, countdown_full, CAST(count(*) OVER w AS INTEGER) AS n_past,

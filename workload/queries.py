@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from phenoline.functions import arrays, dates
 from phenoline.operators import errors, overlap, readout, reshape, scaling, scoring, seasons
 from phenoline.operators.calendar import latest_day_of_year
-from phenoline.operators.gapfill import fill_gaps
+from phenoline.operators.gapfill import fill_gaps, fill_series
 from phenoline.operators.split import split_exact
 from phenoline.operators.windows import lag_windows
 from phenoline.plans.comparison import compare_runs
@@ -124,6 +124,25 @@ def seasons_with_invalid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def seasons_kept_with_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps of all seasons, valid or not. Every third supplier's February days also hold one reading per item, inside its seasons."""
+    items = table(spark, sf, "lineitem").filter(F.month("l_shipdate") == 2).filter(F.col("l_suppkey") % 3 == 0)
+    items = items.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    extra = items.select(F.col("s_name").alias("site"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("temp"))
+    steps = seasons.build_season_steps(
+        standins.first_events(spark, sf),
+        standins.full_events(spark, sf),
+        standins.observations(spark, sf).unionByName(extra),
+        seasons.sites_in_country(standins.cities(spark, sf), None),
+        drop_invalid=False,
+    )
+    return _steps_out(steps)
+
+
+def season_steps_spline(spark: SparkSession, sf: str) -> DataFrame:
+    return _steps_out(standins.season_steps(spark, sf, "spline"))
+
+
 def sites_in_country(spark: SparkSession, sf: str) -> DataFrame:
     return seasons.sites_in_country(standins.cities(spark, sf), "NATION_15")
 
@@ -348,6 +367,20 @@ def gap_quadratic(spark: SparkSession, sf: str) -> DataFrame:
     return _gaps(spark, sf, "quadratic")
 
 
+def _gap_series(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    """All days of a site as one series."""
+    filled = fill_series(standins.observations(spark, sf), ["site"], ["date"], "temp", method, min_points=3)
+    return filled.select("site", text("date"), "filled")
+
+
+def gap_series(spark: SparkSession, sf: str) -> DataFrame:
+    return _gap_series(spark, sf, "linear")
+
+
+def gap_series_quadratic(spark: SparkSession, sf: str) -> DataFrame:
+    return _gap_series(spark, sf, "quadratic")
+
+
 def lag_window_features(spark: SparkSession, sf: str) -> DataFrame:
     steps = standins.season_steps(spark, sf)
     rows = lag_windows(steps, ["site", "year"], "step", ["temp_full", "countdown_full"], n_in=30)
@@ -754,6 +787,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         season_steps_quadratic,
         season_steps_repeated_dates,
         seasons_with_invalid,
+        seasons_kept_with_repeats,
+        season_steps_spline,
         pair_events,
         sites_in_country,
         site_coordinates,
@@ -779,6 +814,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         shared_keys_of_many,
         gap_linear,
         gap_quadratic,
+        gap_series,
+        gap_series_quadratic,
         lag_window_features,
         fourier_features,
         score_sequence_errors,
