@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from phenoline.llm.bpe import codec
-from phenoline.llm.common import sub_batches
+from phenoline.llm.common import sub_batches, tidied
 
 KINDS = {
     "n_tokens": (T.LongType(), pa.int64()),
@@ -57,4 +57,4 @@ def encode_decode(
                     names=names + list(outputs),
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

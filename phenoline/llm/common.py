@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +63,29 @@ def sub_batches(texts: list, most_chars: int = 2_000_000):
         size += n
     if start < len(texts):
         yield start, texts[start:]
+
+
+def tidied(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives unused memory back to the system now and then, and at its end.
+
+    Python workers stay for the next stage, beside the JVM's heap, and would keep what the allocators hold.
+    """
+
+    def tidying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for i, batch in enumerate(run(batches)):
+                yield batch
+                if i % 8 == 7:
+                    give_back()
+        finally:
+            gc.collect()
+            give_back()
+
+    return tidying
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)

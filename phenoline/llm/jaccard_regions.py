@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenoline.llm.common import stored, sub_batches
+from phenoline.llm.common import stored, sub_batches, tidied
 from phenoline.llm.text_numbers import Words, mixed
 
 COUNTED = np.uint64(int(0.4 * 2**64))  # shingles with lower hashes are counted
@@ -116,7 +116,7 @@ def profiles(docs: DataFrame, width: int, percent: int, key: str, text: str, als
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *also)
-    return rows.mapInArrow(run, ", ".join(["id long, node long, n long, front array<long>", *[f"{c} long" for c in also]]))
+    return rows.mapInArrow(tidied(run), ", ".join(["id long, node long, n long, front array<long>", *[f"{c} long" for c in also]]))
 
 
 def _regions(members: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, profile: DataFrame, width: int,
                     names=["node", "shingles", "counts"],
                 )
 
-    made = named.union(nameless).mapInArrow(run, "node long, shingles array<long>, counts array<int>")
+    made = named.union(nameless).mapInArrow(tidied(run), "node long, shingles array<long>, counts array<int>")
     return stored(made.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenoline.llm.common import sub_batches
+from phenoline.llm.common import sub_batches, tidied
 from phenoline.llm.text_numbers import Words, mixed
 
 WORDS, KINDS, PAIRS, REPEATS, LENGTHS, SIZES = 1024, 1024, 1024, 16, 32, 24
@@ -77,7 +77,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
                 rows += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(np.append(held, rows))], names=["term", "n"])
 
-    made = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "term long, n long")
+    made = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidied(count), "term long, n long")
     sums = {r["term"]: r["n"] for r in made.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return sums.get(TERMS, 0), np.array([sums.get(i, 0) for i in range(TERMS)])
 
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, rank: int = 6
                     names=["doc_id", "label", "term", "n"],
                 )
 
-    got = sorted(rows.mapInArrow(sparse, "doc_id long, label int, term binary, n binary").collect(), key=lambda r: (r["doc_id"], r["label"]))
+    got = sorted(rows.mapInArrow(tidied(sparse), "doc_id long, label int, term binary, n binary").collect(), key=lambda r: (r["doc_id"], r["label"]))
     if len({r["label"] for r in got}) < 2:
         return empty
     matrix = np.zeros((len(got), TERMS), np.float32)
@@ -172,4 +172,4 @@ def score(docs: DataFrame, voter: Voter, least: float = 0.3, text: str = "text")
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*names).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*names).mapInArrow(tidied(run), f"{schema}, score double, predicted int")
