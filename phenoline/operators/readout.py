@@ -52,6 +52,12 @@ def fit_readouts(
     if sums[-1] == 0:
         raise ValueError("no complete row to fit on")
     square = sums[:-1].reshape(size, width)
+    return solve_ridge(square, features, targets, alphas)
+
+
+def solve_ridge(square: np.ndarray, features: Sequence[str], targets: Sequence[str], alphas: Sequence[float]) -> list[Readout]:
+    """Weights for every alpha from the sums of products of the features with themselves and then with the targets."""
+    size = len(features)
     gram, cross = square[:, :size], square[:, size:]
     models = []
     for alpha in alphas:

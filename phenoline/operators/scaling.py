@@ -7,11 +7,12 @@ inverting is therefore a projection: no join, no UDF.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenoline.operators.families import FAMILIES, family
 from phenoline.operators.ranks import exact_quantiles
 
 # Kinds of scalers and their options.
@@ -36,13 +37,14 @@ DEFAULT_CONFIG = {
 
 @dataclass(frozen=True)
 class Scaler:
-    """``scaled = (x - center) / scale + floor``."""
+    """``scaled = (x - center) / scale + floor``; members of a family (`families`) go by their parameters instead."""
 
     column: str
     kind: str
     center: float
     scale: float
     floor: float = 0.0
+    parameters: tuple[float, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,7 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fit_scalers(df: DataFrame, config: Mapping[str, Mapping] = DEFAULT_CONFIG) -> dict[str, Scaler]:
     """Fit one scaler per configured column over all rows and, for arrays, all elements.
 
-    Options: ``kind`` (one of ``KINDS`` or a ``CustomScaler``), ``feature_range`` for minmax (default -1 to 1),
+    Options: ``kind`` (one of ``KINDS``, a registered family or a ``CustomScaler``), ``feature_range`` for minmax (default -1 to 1),
     ``quantile_range`` in percent for robust (default 25 to 75), ``with_centering`` / ``with_scaling`` for
     robust, ``with_mean`` / ``with_std`` for standard. Minmax and maxabs of all columns share one aggregation
     without an explode, standard and custom ones share another, robust ones the quantile passes.
@@ -91,6 +93,11 @@ def fit_scalers(df: DataFrame, config: Mapping[str, Mapping] = DEFAULT_CONFIG) -
     fitted.update(_fit_moments(df, {c: o for c, o in plans.items() if o["kind"] == "standard"}))
     fitted.update(_fit_custom(df, {c: o for c, o in plans.items() if isinstance(o["kind"], CustomScaler)}))
     fitted.update(_fit_quantiles(df, {c: o for c, o in plans.items() if o["kind"] == "robust"}))
+    for column, options in plans.items():
+        if isinstance(options["kind"], str) and options["kind"] in FAMILIES:
+            values = long_values(df, [column]).filter(F.col("value").isNotNull())
+            found = family(options["kind"]).fit(values, options)
+            fitted[column] = Scaler(column, options["kind"], 0.0, 1.0, 0.0, tuple(float(p) for p in found))
     return {column: fitted[column] for column in plans}
 
 
@@ -98,11 +105,12 @@ def _options(options: Mapping) -> dict:
     kind = options.get("kind", "minmax")
     if isinstance(kind, str):
         kind = kind.lower()
-        if kind not in KINDS:
-            raise ValueError(f"unknown scaler kind {kind!r}, available: {list(KINDS)}")
+        if kind not in KINDS and kind not in FAMILIES:
+            raise ValueError(f"unknown scaler kind {kind!r}, available: {[*KINDS, *FAMILIES]}")
         # One set of options may serve several kinds, but a name that none knows is a mistake.
-        if unknown := set(options).difference({"kind"}, *OPTIONS.values()):
-            raise ValueError(f"unknown scaler options {sorted(unknown)}, those of {kind!r} are {list(OPTIONS[kind])}")
+        if unknown := set(options).difference({"kind"}, *OPTIONS.values(), *[f.options for f in FAMILIES.values()]):
+            own = OPTIONS[kind] if kind in OPTIONS else FAMILIES[kind].options
+            raise ValueError(f"unknown scaler options {sorted(unknown)}, those of {kind!r} are {list(own)}")
     return {**options, "kind": kind}
 
 
@@ -187,11 +195,19 @@ def _fit_quantiles(df: DataFrame, plans: Mapping[str, Mapping]) -> dict[str, Sca
     return fitted
 
 
+def _affine(scaler: Scaler) -> bool:
+    return scaler.kind in KINDS or scaler.kind == "custom"
+
+
 def scaled(value: Column, scaler: Scaler) -> Column:
+    if not _affine(scaler):
+        return family(scaler.kind).forward(value, scaler.parameters)
     return (value - F.lit(scaler.center)) / F.lit(scaler.scale) + F.lit(scaler.floor)
 
 
 def unscaled(value: Column, scaler: Scaler) -> Column:
+    if not _affine(scaler):
+        return family(scaler.kind).inverse(value, scaler.parameters)
     return (value - F.lit(scaler.floor)) * F.lit(scaler.scale) + F.lit(scaler.center)
 
 
@@ -214,14 +230,15 @@ def invert_scalers(df: DataFrame, scalers: Mapping[str, Scaler]) -> DataFrame:
     return _map_columns(df, scalers, unscaled)
 
 
-SCALER_SCHEMA = "column string, kind string, center double, scale double, floor double"
+SCALER_SCHEMA = "column string, kind string, center double, scale double, floor double, parameters array<double>"
 
 
 def scalers_to_table(spark: SparkSession, scalers: Mapping[str, Scaler]) -> DataFrame:
-    rows = [tuple(asdict(s)[name] for name in ("column", "kind", "center", "scale", "floor")) for s in scalers.values()]
+    rows = [(s.column, s.kind, s.center, s.scale, s.floor, list(s.parameters)) for s in scalers.values()]
     return spark.createDataFrame(rows, SCALER_SCHEMA)
 
 
 def scalers_from_table(table: DataFrame) -> dict[str, Scaler]:
-    """One row per scaled column, so collecting is bounded by the table's width."""
-    return {r["column"]: Scaler(**r.asDict()) for r in table.collect()}
+    """One row per scaled column, so collecting is bounded by the table's width. Tables without parameters are read too."""
+    rows = [r.asDict() for r in table.collect()]
+    return {r["column"]: Scaler(**r | {"parameters": tuple(r.get("parameters") or ())}) for r in rows}

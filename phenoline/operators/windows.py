@@ -19,12 +19,17 @@ def lag_windows(
     """
     if n_in < 1 or block < n_in:
         raise ValueError(f"need 1 <= n_in <= block, got n_in={n_in}, block={block}")
+    rows = in_blocks(df, step, n_in, block)
     home = F.floor(F.col(step) / block)
-    reaches_next = F.pmod(F.col(step), F.lit(block)) >= block - n_in
-    blocks = F.when(reaches_next, F.array(home, home + 1)).otherwise(F.array(home))
-    rows = df.withColumn("_block", F.explode(blocks))
     past = Window.partitionBy(*keys, "_block").orderBy(step).rowsBetween(-n_in, -1)
     # One list of all values; a struct is never null, so null values keep their place.
     rows = rows.withColumn("_past", F.collect_list(F.struct(*values)).over(past))
     full = rows.filter((F.size("_past") == n_in) & (F.col("_block") == home))
     return full.select(*df.columns, *[F.col(f"_past.{v}").alias(f"past_{v}") for v in values])
+
+
+def in_blocks(df: DataFrame, step: str, n_in: int, block: int) -> DataFrame:
+    """Add ``_block``; the last ``n_in`` rows of a block also stand before the next one."""
+    home = F.floor(F.col(step) / block)
+    reaches_next = F.pmod(F.col(step), F.lit(block)) >= block - n_in
+    return df.withColumn("_block", F.explode(F.when(reaches_next, F.array(home, home + 1)).otherwise(F.array(home))))

@@ -89,3 +89,62 @@ def test_applying_needs_no_shuffle(df):
 def test_unknown_options_are_rejected(spark):
     with pytest.raises(ValueError, match="quantile_rang"):
         scaling.fit_scalers(spark.createDataFrame([(1.0,)], "x double"), {"x": {"kind": "robust", "quantile_rang": (5, 95)}})
+
+
+def plain_quantile(values, n, x):
+    """Shares by interpolation from both sides, as repeated knots ask for."""
+    knots, shares = np.quantile(values, np.linspace(0, 1, n)), np.linspace(0, 1, n)
+    out = (np.interp(x, knots, shares) - np.interp(-np.asarray(x), -knots[::-1], -shares[::-1])) / 2
+    out[np.asarray(x) <= knots[0]], out[np.asarray(x) >= knots[-1]] = 0, 1
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 5, 100])
+def test_quantile_family(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.concatenate([rng.exponential(3, 300), [1.0] * 60, [2.5] * 25]).round(2)
+    df = spark.createDataFrame([(i, float(v), [float(v), None]) for i, v in enumerate(values)], "i int, s double, a array<double>").repartition(3)
+    fitted = fit_scalers(df, {c: {"kind": "Quantile", "n_quantiles": n} for c in ("s", "a")})
+    fitted = scaling.scalers_from_table(scaling.scalers_to_table(spark, fitted))
+    scaled = apply_scalers(df, fitted)
+    want = plain_quantile(values, n, values)
+    assert column(scaled, "s") == pytest.approx(want)
+    assert [a for a, _ in column(scaled, "a")] == pytest.approx(want) and {b for _, b in column(scaled, "a")} == {None}
+    back = np.array(column(invert_scalers(scaled, fitted), "s"))
+    assert back == pytest.approx(np.interp(want, np.linspace(0, 1, n), np.quantile(values, np.linspace(0, 1, n))))
+    if n == 100:
+        assert np.abs(back - values)[values < 8] == pytest.approx(0, abs=1e-9)
+    beyond = spark.createDataFrame([(0, -5.0), (1, 1e9), (2, None)], "i int, s double")
+    assert column(apply_scalers(beyond, {"s": fitted["s"]}), "s") == [0.0, 1.0, None]
+
+
+def test_constant_quantiles_and_symlog(spark, df):
+    fitted = fit_scalers(df, {"c": {"kind": "quantile", "n_quantiles": 4}, "s": {"kind": "symlog", "unit": 2.0}, "a": {"kind": "symlog"}})
+    scaled = apply_scalers(df, fitted)
+    assert column(scaled, "c") == [0.5] * 4
+    assert column(scaled, "s") == pytest.approx([np.sign(x) * np.log1p(abs(x) / 2) for x in SCALARS])
+    back = invert_scalers(scaled, fitted)
+    assert column(back, "s") == pytest.approx(SCALARS) and column(back, "c") == [4.0] * 4
+    assert [list(a) for a in column(back, "a")] == [pytest.approx(a) for a in ARRAYS]
+
+
+def test_own_family(spark, df):
+    from phenoline.operators import families
+
+    square = families.Family(lambda values, options: [options.get("shift", 0.0)], lambda v, p: (v + p[0]) ** 2, lambda v, p: F.sqrt(v) - p[0], ("shift",))
+    families.register_family("square", square)
+    try:
+        fitted = fit_scalers(df, {"s": {"kind": "square", "shift": 10.0}})
+        table = scaling.scalers_to_table(spark, fitted)
+        scaled = apply_scalers(df, scaling.scalers_from_table(table))
+        assert column(scaled, "s") == pytest.approx([(x + 10) ** 2 for x in SCALARS])
+        assert column(invert_scalers(scaled, fitted), "s") == pytest.approx(SCALARS)
+    finally:
+        del families.FAMILIES["square"]
+    with pytest.raises(ValueError, match="square"):
+        apply_scalers(df, fitted)
+    old = table.drop("parameters").withColumn("kind", F.lit("standard"))
+    assert scaling.scalers_from_table(old)["s"].parameters == ()
+    for options in ({"kind": "quantile", "n_quantiles": 1}, {"kind": "symlog", "unit": 0}):
+        with pytest.raises(ValueError):
+            fit_scalers(df, {"s": options})

@@ -365,6 +365,21 @@ WITH items AS (
   SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos
   FROM embeddings)
 SELECT vec_id, pos, round(v / m, 6) AS value FROM items, (SELECT max(abs(v)) AS m FROM items)""",
+    "scale_quantile": """
+WITH q AS (SELECT quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS x FROM events),
+u AS (SELECT unnest(x) AS x, unnest(range(11)) / 10 AS r FROM q),
+k AS (SELECT x, min(r) AS r1, max(r) AS r2 FROM u GROUP BY x),
+s AS (SELECT *, lead(x) OVER (ORDER BY x) AS nx, lead(r1) OVER (ORDER BY x) AS nr, min(x) OVER () AS low, max(x) OVER () AS high FROM k),
+f AS (
+  SELECT event_id, value AS v, CASE WHEN value = low THEN 0 WHEN value = high THEN 1 WHEN value = x THEN (r1 + r2) / 2
+    ELSE r2 + (value - x) * (nr - r2) / (nx - x) END AS share
+  FROM events JOIN s ON value >= x AND (nx IS NULL OR value < nx))
+SELECT event_id, round(share, 6) AS value, round(CASE WHEN share >= 1 THEN q.x[11] ELSE
+    q.x[1 + CAST(floor(share * 10) AS INT)] + (share * 10 - floor(share * 10)) * (q.x[2 + CAST(floor(share * 10) AS INT)] - q.x[1 + CAST(floor(share * 10) AS INT)])
+  END, 6) AS back FROM f, q""",
+    "scale_symlog": """
+WITH u AS (SELECT avg(abs(c_acctbal)) AS unit FROM customer)
+SELECT c_custkey, round(sign(c_acctbal) * ln(1 + abs(c_acctbal) / unit), 6) AS c_acctbal, round(c_acctbal, 4) AS back FROM customer, u""",
     "scale_roundtrip": "SELECT event_id, round(value, 6) AS value FROM events",
     "scaler_table": """
 SELECT 'l_quantity' AS "column", 'minmax' AS kind, round(min(l_quantity), 6) AS center,
@@ -403,6 +418,16 @@ past AS (
   FROM steps
   WINDOW w AS (PARTITION BY site, year ORDER BY step ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
 SELECT * FROM past WHERE n_past = 30""",
+    "lag_products": f"""WITH {_steps()},
+past AS (
+  SELECT countdown_first AS y, list(temp_full / 1000) OVER w AS a, list(CAST(countdown_full AS DOUBLE)) OVER w AS b
+  FROM steps WINDOW w AS (PARTITION BY site, year ORDER BY step ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+z AS (
+  SELECT row_number() OVER () AS id, list_concat([1.0::DOUBLE], list_concat(list_reverse(a), list_concat(list_reverse(b), [CAST(y AS DOUBLE)]))) AS z
+  FROM past WHERE len(a) = 6),
+c AS (SELECT id, unnest(z) AS v, unnest(range(14)) AS i FROM z)
+SELECT CAST(p.i AS INTEGER) AS i, CAST(q.i AS INTEGER) AS j, round(sum(p.v * q.v), 1) AS value
+FROM c p JOIN c q ON p.id = q.id WHERE p.i < 13 GROUP BY 1, 2""",
     "fourier_features": """
 SELECT CAST(dayofyear(l_shipdate) AS INTEGER) AS doy, count(*) AS n_rows,
        round(sin(2 * pi() * dayofyear(l_shipdate) / 365) + 0.5 * sin(4 * pi() * dayofyear(l_shipdate) / 365)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenoline.functions import arrays, dates
-from phenoline.operators import errors, overlap, readout, reshape, scaling, scoring, seasons
+from phenoline.operators import errors, lags, overlap, readout, reshape, scaling, scoring, seasons
 from phenoline.operators.calendar import latest_day_of_year
 from phenoline.operators.gapfill import fill_gaps, fill_series
 from phenoline.operators.split import split_exact
@@ -324,6 +324,27 @@ def scaler_table(spark: SparkSession, sf: str) -> DataFrame:
     return scaling.scalers_to_table(spark, fitted).select("column", "kind", r6("center"), r6("scale"), r6("floor"))
 
 
+def scale_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of values below by eleven quantiles, and back, with scalers that went through their table."""
+    rows = table(spark, sf, "events").select("event_id", "value")
+    fitted = scaling.fit_scalers(rows, {"value": {"kind": "quantile", "n_quantiles": 11}})
+    path = scratch_path(spark, "scalers")
+    scaling.scalers_to_table(spark, fitted).write.parquet(path)
+    kept = scaling.scalers_from_table(spark.read.parquet(path))
+    scaled = scaling.apply_scalers(rows, kept)
+    back = scaling.invert_scalers(scaled.withColumn("back", F.col("value")), {"back": kept["value"]})
+    return back.select("event_id", r6("value"), r6("back"))
+
+
+def scale_symlog(spark: SparkSession, sf: str) -> DataFrame:
+    """Account balances, of both signs, and back."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    fitted = scaling.fit_scalers(rows, {"c_acctbal": {"kind": "symlog"}})
+    scaled = scaling.apply_scalers(rows, fitted)
+    back = scaling.invert_scalers(scaled.withColumn("back", F.col("c_acctbal")), {"back": fitted["c_acctbal"]})
+    return back.select("c_custkey", r6("c_acctbal"), F.round("back", 4).alias("back"))
+
+
 # Split and windows
 
 
@@ -397,6 +418,22 @@ def lag_window_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def lag_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of products of six lags of temperature and countdown with each other and with the next countdown."""
+    steps = standins.season_steps(spark, sf).withColumn("temp", F.col("temp_full") / 1000)
+    made = lags.lag_products(steps, ["site", "year"], "step", ["temp", "countdown_full"], ["countdown_first"], n_in=6)
+    return made.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.round("value", 1).alias("value"))
+
+
+def lag_readout(spark: SparkSession, sf: str) -> DataFrame:
+    """Ridge weights of thirty lags of temperature and both countdowns for the next countdowns."""
+    steps = standins.season_steps(spark, sf).withColumn("temp", F.col("temp_full") / 1000)
+    values = ["temp", "countdown_first", "countdown_full"]
+    models = lags.fit_lag_readouts(steps, ["site", "year"], "step", values, values[1:], alphas=[1.0, 100.0])
+    rows = [(m.alpha, f, t, w) for m in models for t in m.weights for f, w in zip(m.features, m.weights[t])]
+    return spark.createDataFrame(rows, "alpha double, feature string, target string, weight double")
+
+
 def fourier_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").groupBy(dates.day_of_year(F.col("l_shipdate").cast("date")).alias("doy"))
     signal = arrays.fourier_terms(F.col("doy"), 365.0, [1.0, 0.5, 0.25])
@@ -807,6 +844,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scale_robust,
         scale_robust_by_counting,
         scale_maxabs,
+        scale_quantile,
+        scale_symlog,
         scale_roundtrip,
         scaler_table,
         split_counts,
@@ -817,6 +856,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gap_series,
         gap_series_quadratic,
         lag_window_features,
+        lag_products,
+        lag_readout,
         fourier_features,
         score_sequence_errors,
         score_sequence_exact_dates,
