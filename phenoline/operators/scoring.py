@@ -128,6 +128,19 @@ def score_at_cutoffs(
     )
 
 
+POINT_COLUMNS = (
+    "site_name", "year", "start_date", "date_first", "date_full", "true_first", "true_full", "pred_first", "pred_full",
+    "cutoff", "cutoff_date", "pred_first_bloom_date", "pred_full_bloom_date", "mae_first", "mae_full",
+)
+
+
+def point_rows(scores: DataFrame) -> DataFrame:
+    """What ``score_at_cutoffs(form="point")`` gives, as rows of ``POINT_COLUMNS``, after ``sim_id`` if there is one and before ``fraction``."""
+    old = {"site": "site_name", "data_start_date": "start_date", "first_bloom": "date_first", "full_bloom": "date_full"}
+    rows = scores.withColumnsRenamed({a: b for a, b in old.items() if a in scores.columns})
+    return rows.select(*[c for c in ("sim_id",) if c in rows.columns], *POINT_COLUMNS, "fraction")
+
+
 def score_sequences(
     seasons: DataFrame, fractions: Sequence[float] = DEFAULT_FRACTIONS, align: str = "reference"
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from phenoline.operators.reshape import nest_seasons, unpivot_events, unpivot_ob
 from phenoline.operators.scaling import DEFAULT_CONFIG, Scaler, apply_scalers, fit_scalers
 from phenoline.operators.seasons import build_season_steps, sites_in_country
 from phenoline.operators.split import split_exact
+from phenoline.sources.commits import cache_key
 from phenoline.sources.paths import stored
 from phenoline.sources.store import load_or_create
 from phenoline.sources.wide import read_cities, read_wide_csv
@@ -68,7 +69,10 @@ def load_seasons(
     scale: bool = True,
     **options,
 ) -> tuple[DataFrame, dict[str, Scaler]]:
-    """The scaled season table at ``path``, built from the CSV files if it is not there yet."""
+    """The scaled season table at ``path``, built from the CSV files if it isn't there or was built from other files or options.
+
+    Files count as others when their names, sizes or times differ.
+    """
 
     def create():
         seasons = season_table(
@@ -81,4 +85,5 @@ def load_seasons(
         )
         return scale_seasons(seasons) if scale else (seasons, {})
 
-    return load_or_create(spark, path, create)
+    inputs = (first_csv, full_csv, obs_csv, cities_csv)
+    return load_or_create(spark, path, create, cache_key(spark, inputs, {**options, "start": start, "scale": scale}))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoline.operators.reshape import summary_to_long
+from phenoline.sources.commits import files, folders, move, published, publish
 
 
 def write_runs(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -33,13 +35,70 @@ def read_run_folders(spark: SparkSession, stem: str, sim_ids: Sequence[int] | No
     wanted = ["*"] if sim_ids is None else [str(s) for s in sim_ids]
     # A brace list matches nothing for absent runs instead of failing on them.
     pattern = f"{stem.rstrip('/')}/sim_id_{{{','.join(wanted)}}}/test_cutoff_*/predictions.parquet"
+    return spark.read.parquet(pattern).select("*", *_from_path())
+
+
+def _from_path() -> list[Column]:
     where = F.col("_metadata.file_path")
-    rows = spark.read.parquet(pattern)
-    return rows.select(
-        "*",
+    return [
         F.regexp_extract(where, "/sim_id_([0-9]+)/", 1).cast("int").alias("sim_id"),
         F.regexp_extract(where, "/test_cutoff_(?:[^/]*_)?([^/_]+)/", 1).cast("double").alias("fraction"),
-    )
+    ]
+
+
+# A catalogue of finished runs
+
+
+def write_run(predictions: DataFrame, stem: str, sim_id: int, parameters: Mapping | None = None) -> dict:
+    """Write one run as ``<stem>/sim_id_N/test_cutoff_X/predictions.parquet`` and then list it as finished; returns its entry.
+
+    ``predictions`` has a column ``fraction``, the X; a column ``sim_id`` is dropped. All folders are written by one job, to a place of
+    their own, and get their names when it has ended. The entry in ``<stem>/catalogue`` comes last, with the folders, the columns
+    and the parameters, so a run that stopped halfway is never listed. A run's folders are written once: names that are taken raise FileExistsError.
+    """
+    spark, stem = predictions.sparkSession, stem.rstrip("/")
+    rows = predictions.drop("sim_id")
+    draft = f"{stem}/draft-{uuid.uuid4().hex}"
+    rows.hint("rebalance", "fraction").write.partitionBy("fraction").parquet(draft)
+    places = {}
+    for name in folders(spark, draft):
+        places[name] = f"sim_id_{sim_id}/test_cutoff_{name.partition('=')[2]}/predictions.parquet"
+        move(spark, f"{draft}/{name}", f"{stem}/{places[name]}")
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "fraction"]
+    entry = {"sim_id": sim_id, "folders": sorted(places.values()), "columns": columns, "parameters": dict(parameters or {})}
+    publish(spark, f"{stem}/catalogue/sim_id_{sim_id}.json", entry)
+    return entry
+
+
+def finished_runs(spark: SparkSession, stem: str, sim_ids: Sequence[int] | None = None) -> list[dict]:
+    """Entries of the catalogue, a file a run, by ``sim_id``; runs that aren't listed are left out."""
+    place = f"{stem.rstrip('/')}/catalogue"
+    entries = [published(spark, f"{place}/{name}") for name in files(spark, place) if name.endswith(".json")]
+    return sorted((e for e in entries if e and (sim_ids is None or e["sim_id"] in sim_ids)), key=lambda e: e["sim_id"])
+
+
+def read_finished_runs(spark: SparkSession, stem: str, sim_ids: Sequence[int] | None = None) -> DataFrame:
+    """Predictions of all finished runs with ``sim_id`` and ``fraction``, from the listed folders alone.
+
+    Runs of one set of columns are read together; sets that differ, such as sequences and points, are matched by name, with nulls for what a
+    run lacks.
+    """
+    forms: dict[tuple[str, ...], list[str]] = {}
+    for entry in finished_runs(spark, stem, sim_ids):
+        forms.setdefault(tuple(entry["columns"]), []).extend(f"{stem.rstrip('/')}/{f}" for f in entry["folders"])
+    if not forms:
+        raise FileNotFoundError(f"no finished run below {stem}")
+    out = None
+    for columns, paths in forms.items():
+        rows = spark.read.schema(", ".join(f"`{c.partition(' ')[0]}` {c.partition(' ')[2]}" for c in columns)).parquet(*paths).select("*", *_from_path())
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def parameters_table(spark: SparkSession, stem: str, sim_ids: Sequence[int] | None = None) -> DataFrame:
+    """(sim_id, name, value as text) of the parameters of all finished runs."""
+    rows = [(e["sim_id"], n, None if v is None else str(v)) for e in finished_runs(spark, stem, sim_ids) for n, v in e["parameters"].items()]
+    return spark.createDataFrame(rows, "sim_id int, name string, value string")
 
 
 def write_summary_csv(summary: DataFrame, path: str, mode: str = "error") -> None:

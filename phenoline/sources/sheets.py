@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoline.operators.reshape import quoted
-from phenoline.sources.paths import stored
+from phenoline.sources.paths import path_exists, scratch_path, stored
 
 SHEET_NAME = r"([^/]*?)(?:\.[^./]*)?$"
 
@@ -42,8 +45,9 @@ def read_sheets(
 
     Files are read as lines, so a large sheet is split between tasks. The lines are stored once together with
     their places, which later passes could not count on to be the same again. A header is found by an
-    aggregation that keeps one line per file, and rejoined to its lines; nothing gathers a whole sheet. The
-    driver sees only the distinct column names.
+    aggregation that keeps one line per file, and rejoined to its lines; nothing gathers a whole sheet. Lines are written by the header of their
+    sheet, and every different header gets one parser of just its width, so a broken, very wide header costs its own sheet alone. The driver
+    sees the different headers.
     """
     lines = stored(_lines(spark, path))
     cut = "\\Q" + sep + "\\E"
@@ -54,27 +58,42 @@ def read_sheets(
         raise ValueError(f"{missing} sheet(s) below {path} have no line whose first cell contains {marker!r}")
     candidates = lines.filter(is_header).groupBy("file")
     headers = stored(candidates.agg(F.min(F.struct(*_PLACE, "line")).alias("header")))
-    # Quoted cells may hold separators, so this is the largest possible number of cells.
-    width = headers.agg(F.max(F.size(F.split("header.line", cut))).alias("width")).first()["width"] or 0
-
-    def cells(text) -> Column:
-        fields = ", ".join(f"c{i} string" for i in range(width))
-        row = F.from_csv(text, fields, {"sep": sep, "mode": "PERMISSIVE"})
-        return F.array(*[row[f"c{i}"] for i in range(width)])
-
-    names = F.transform(cells(F.col("header.line")), lambda name: F.trim(name))
-    headers = headers.withColumn("names", names)
-    seen = headers.select(F.explode("names").alias("name")).distinct().collect() if width else []
-    columns = sorted({r["name"] for r in seen if r["name"]}, key=lambda c: (c != marker, c))
-    if marker not in columns:
-        raise ValueError(f"the sheets below {path} have no column named {marker!r}")
-
-    tagged = lines.join(headers, "file")
+    signed = headers.withColumn("signature", F.sha1("header.line"))
+    tagged = lines.join(signed, "file")
     body = tagged.filter(F.struct(*_PLACE) > F.struct(*[F.col(f"header.{c}") for c in _PLACE]))
-    parsed = body.select(F.regexp_extract("file", site_pattern, 1).alias("_site"), "names", cells(F.col("line")).alias("values"))
-    place = {c: F.array_position("names", F.lit(c)).cast("int") for c in columns}
-    picked = [F.when(place[c] > 0, F.try_element_at("values", place[c])).alias(c) for c in columns]
-    rows = parsed.select(*picked, F.col("_site").alias(site_column))
+    kept = body.select(F.regexp_extract("file", site_pattern, 1).alias("site"), "line", "signature")
+    place = scratch_path(spark, "sheets")
+    kept.write.partitionBy("signature").parquet(place)
+    seen = signed.groupBy("signature").agg(F.any_value("header.line").alias("line")).orderBy("line").collect()
+    sheets = []
+    for r in seen:
+        header = next(csv.reader([r["line"]], delimiter=sep))
+        columns = _columns(header)
+        if marker not in columns:
+            raise ValueError(f"a sheet below {path} has no column named {marker!r}: {r['line'][:200]!r}")
+        # A header without lines has no folder.
+        if not path_exists(spark, f"{place}/signature={r['signature']}"):
+            rows = spark.createDataFrame([], "site string, line string")
+        else:
+            rows = spark.read.schema("site string, line string").parquet(f"{place}/signature={r['signature']}")
+        fields = ", ".join(f"c{i} string" for i in range(max(columns.values()) + 1))
+        options = {"sep": sep, "mode": "PERMISSIVE", "maxColumns": str(max(1 << 17, 2 * len(header)))}
+        cells = rows.select("site", F.from_csv("line", fields, options).alias("x"))
+        sheets.append(cells.select(*[F.col(f"x.c{i}").alias(c) for c, i in columns.items()], F.col("site").alias(site_column)))
+    if not sheets:
+        raise ValueError(f"there is no sheet below {path}")
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sheets)
+    names = sorted((c for c in whole.columns if c != site_column), key=lambda c: (c != marker, c))
+    rows = whole.select(*[F.col(quoted(c)) for c in names], F.col(quoted(site_column)))
     year = F.col(quoted(marker))
     digits = rows.filter(year.rlike("^[0-9]+$"))
     return digits.withColumn(marker, year.try_cast("int")).filter(F.col(quoted(marker)) >= min_year)
+
+
+def _columns(cells: list[str]) -> dict[str, int]:
+    """Names and places of a header's columns; blank ones have none, and of equal ones the first counts."""
+    columns: dict[str, int] = {}
+    for i, name in enumerate(c.strip(" ") for c in cells):
+        if name:
+            columns.setdefault(name, i)
+    return columns

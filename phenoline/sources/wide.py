@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phenoline.functions.arrays import clean_number
+from phenoline.functions.dates import strict_date
+
 
 def csv_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     """Column names of a headered CSV; reads its first line only."""
@@ -23,3 +27,40 @@ def read_cities(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return rows.selectExpr(
         "country", "city_ascii", "try_cast(lat AS double) AS lat", "try_cast(lng AS double) AS lng"
     )
+
+
+def csv_cells(line: Column, sep: str = ",") -> Column:
+    """The cells of a CSV line as an array of text; quoted cells may hold separators and doubled quotes, but no line breaks."""
+    cut = "\\Q" + sep + "\\E"
+    # Every cell is followed by a separator, the last one by an added one. No backtracking, so cells may be long.
+    cell = f'("(?:[^"]++|"")*+"|(?:(?!{cut}).)*+){cut}'
+    found = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(cell), F.lit(1))
+    return F.transform(found, lambda c: F.when(c.rlike('(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def melt_wide_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(key, name, cell) of a headered wide CSV, for any number of columns: the first cell of a line, and each other column's name and cell.
+
+    Lines are cut into cells and the cells take their names by place from the header of their file, so the plan has one expression whatever the
+    number of columns, and the files may differ in theirs. Blank cells become null. Lines that begin as the header does are headers; cells
+    beyond the header's are dropped, as are blank lines.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_id"),
+        F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    # A file's header is the first line of its first block.
+    headers = lines.filter("block = 0").groupBy("file").agg(csv_cells(F.min_by("line", "line_id"), sep).alias("names"))
+    names = headers.select("file", F.get("names", F.lit(0)).alias("first"), F.posexplode("names").alias("place", "name"))
+    cells = lines.filter(F.length("line") > 0).select("file", csv_cells(F.col("line"), sep).alias("cells"))
+    keyed = cells.select("file", F.get("cells", F.lit(0)).alias("key"), F.posexplode("cells").alias("place", "cell")).filter("place > 0")
+    named = keyed.join(names.filter("place > 0"), ["file", "place"]).filter(F.col("key") != F.col("first"))
+    return named.select("key", "name", F.when(F.col("cell") != "", F.col("cell")).alias("cell"))
+
+
+def read_wide_observations(spark: SparkSession, path: str, sep: str = ",", fmt: str = "yyyy-M-d") -> DataFrame:
+    """``(date, site, temp)`` from a wide CSV of any width; a bad date fails the query."""
+    long = melt_wide_csv(spark, path, sep)
+    return long.select(strict_date(F.col("key"), fmt).alias("date"), F.col("name").alias("site"), clean_number(F.col("cell")).alias("temp"))

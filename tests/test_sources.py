@@ -1,11 +1,12 @@
-from types import SimpleNamespace
-
 import json
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from phenoline.operators.scaling import Scaler
-from phenoline.sources import paths, runs, sheets, store, wide
+from phenoline.sources import commits, paths, runs, sheets, store, wide
 
 
 def write(folder, name, text):
@@ -37,6 +38,26 @@ def test_quoted_header_cells(spark, tmp_path):
     assert row.asDict() == {"Year": 2000, "a,b": "1", "c": "2", "City": "a"}
 
 
+def test_sheets_of_several_headers(spark, tmp_path):
+    """Different headers, one that is broken and very wide, and one sheet that is larger than a task's share."""
+    write(tmp_path / "s", "a.csv", "Year,x,y\n2000,1,2\n")
+    write(tmp_path / "s", "b.csv", "top\nYear,x,y\n2001,3,4\n1900,9,9\n")
+    write(tmp_path / "s", "c.csv", "y,Year of\nYear,z, x ,x\n2002,5,6,7\n")
+    write(tmp_path / "s", "broken.csv", "Year,y" + "," * 30_000 + "\n2003,8" + "," * 30_000 + "\n")
+    write(tmp_path / "s", "empty.csv", "note\nYear,only\n")
+    write(tmp_path / "s", "huge.csv", "Year,x,y\n" + "".join(f"{1960 + i % 60},{i},\"{i},{i}\"\n" for i in range(30_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = sheets.read_sheets(spark, str(tmp_path / "s"))
+        assert df.columns == ["Year", "only", "x", "y", "z", "City"]
+        rest = sorted(tuple(r) for r in df.filter("City <> 'huge'").select("City", "Year", "x", "y", "z").collect())
+        assert rest == [("a", 2000, "1", "2", None), ("b", 2001, "3", "4", None), ("broken", 2003, None, "8", None), ("c", 2002, "6", None, "5")]
+        huge = sorted((int(r.x), r.Year, r.y) for r in df.filter("City = 'huge'").collect())
+        assert huge == [(i, 1960 + i % 60, f"{i},{i}") for i in range(30_000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sheet_without_header(spark, tmp_path):
     write(tmp_path / "s", "a.csv", "Year,x\n2000,1\n")
     write(tmp_path / "s", "b.csv", "no,header\n2000,1\n")
@@ -83,6 +104,32 @@ def test_run_folders(spark, tmp_path):
     assert {r.sim_id for r in some.collect()} == {2}
 
 
+def test_finished_runs(spark, tmp_path):
+    """Sequence and point runs are matched by name; a run that stopped isn't listed, and names that are taken are left alone."""
+    stem = str(tmp_path / "runs")
+    assert runs.finished_runs(spark, stem) == []
+    with pytest.raises(FileNotFoundError):
+        runs.read_finished_runs(spark, stem)
+    points = spark.createDataFrame([(f, f * 2) for f in (0.5, 0.825, 0.99)], "fraction double, pred_full double")
+    sequences = spark.createDataFrame([(0.5, [1.0, 2.0]), (0.75, [])], "fraction double, pred_full_sequence array<double>")
+    runs.write_run(points, stem, 1, {"tau": 0.1, "name": None})
+    runs.write_run(sequences.withColumn("sim_id", F.lit(9)), stem, 12)
+    broken = points.withColumn("pred_full", F.expr("pred_full + CAST(assert_true(fraction < 0.9) AS double)"))
+    with pytest.raises(Exception):
+        runs.write_run(broken, stem, 3)
+    points.write.parquet(f"{stem}/sim_id_4/test_cutoff_0.5/predictions.parquet")
+    with pytest.raises(FileExistsError):
+        runs.write_run(points, stem, 4)
+    assert [e["sim_id"] for e in runs.finished_runs(spark, stem)] == [1, 12]
+    rows = runs.read_finished_runs(spark, stem)
+    got = sorted((r.sim_id, r.fraction, r.pred_full, r.pred_full_sequence) for r in rows.collect())
+    assert got == [(1, 0.5, 1.0, None), (1, 0.825, 1.65, None), (1, 0.99, 1.98, None), (12, 0.5, None, [1.0, 2.0]), (12, 0.75, None, [])]
+    assert {r.sim_id for r in runs.read_finished_runs(spark, stem, [12, 4]).collect()} == {12}
+    assert sorted(map(tuple, runs.parameters_table(spark, stem).collect()), key=str) == [(1, "name", None), (1, "tau", "0.1")]
+    # The folders are those that readers without a catalogue know.
+    assert runs.read_run_folders(spark, stem, [1]).count() == 3
+
+
 def test_csv_and_json_sinks(spark, tmp_path):
     summary = spark.createDataFrame(
         [(1, 0.5, 2.0, 0.5, 3.0, 0.25)],
@@ -117,13 +164,85 @@ def test_cache_is_created_once_and_only_when_complete(spark, tmp_path):
         calls.append(1)
         return spark.range(3), {"a": Scaler("a", "minmax", 1.0, 2.0, -1.0)}
 
+    with pytest.raises(FileNotFoundError):
+        store.read_seasons(spark, path)
     for _ in range(2):
         rows, scalers = store.load_or_create(spark, path, create)
         assert rows.count() == 3 and scalers["a"].scale == 2.0
     assert len(calls) == 1
-    (tmp_path / "deep" / "seasons" / "_SUCCESS").unlink()
-    store.load_or_create(spark, path, create)
+    store.load_or_create(spark, path, create, "other inputs")
+    store.load_or_create(spark, path, create, "other inputs")
     assert len(calls) == 2
+    (tmp_path / "deep" / "seasons" / "manifest.json").unlink()
+    store.load_or_create(spark, path, create)
+    assert len(calls) == 3
+
+
+def test_a_build_that_failed_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "seasons")
+    store.write_seasons(spark.range(3), {"a": Scaler("a", "minmax", 1.0, 2.0, -1.0)}, path)
+
+    def fail():
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        store.load_or_create(spark, path, fail, "new")
+    bad = spark.range(5).selectExpr("assert_true(id < 3) AS x")
+    with pytest.raises(Exception):
+        store.write_seasons(bad, {}, path)
+    rows, scalers = store.read_seasons(spark, path)
+    assert rows.count() == 3 and set(scalers) == {"a"}
+
+
+def test_two_builders_leave_one_whole_pair(spark, tmp_path):
+    path = str(tmp_path / "seasons")
+
+    def build(n):
+        store.write_seasons(spark.range(n), {f"c{n}": Scaler(f"c{n}", "minmax", 0.0, float(n))}, path)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(build, range(1, 9)))
+    rows, scalers = store.read_seasons(spark, path)
+    (name,) = scalers
+    assert rows.count() == scalers[name].scale == int(name[1:])
+
+
+def test_cache_key_follows_files_and_options(spark, tmp_path):
+    write(tmp_path / "in", "a.csv", "x\n1\n")
+    write(tmp_path / "in", "b.csv", "x\n1\n")
+    one = commits.cache_key(spark, [str(tmp_path / "in")], {"a": 1})
+    assert one == commits.cache_key(spark, [str(tmp_path / "in")], {"a": 1})
+    assert one != commits.cache_key(spark, [str(tmp_path / "in")], {"a": 2})
+    assert one != commits.cache_key(spark, [str(tmp_path / "in" / "a*")], {"a": 1})
+    write(tmp_path / "in", "b.csv", "x\n1\n2\n")
+    assert one != commits.cache_key(spark, [str(tmp_path / "in")], {"a": 1})
+    with pytest.raises(FileNotFoundError):
+        commits.cache_key(spark, [str(tmp_path / "none*")], {})
+
+
+def test_melt_of_a_very_wide_table(spark, tmp_path):
+    n = 20_000
+    for part in (1, 2):
+        head = ["Date", *[f"s{i}" if part == 1 else f"s{n - 1 - i}" for i in range(n)]]
+        rows = [[f"200{part}-01-{d:02d}", *[str(i + d) if (i + d) % 7 else ("" if i % 2 else "missing") for i in range(n)]] for d in (1, 2, 3)]
+        write(tmp_path / "w", f"{part}.csv", "\n".join(",".join(r) for r in [head, *rows]) + "\n")
+    df = wide.read_wide_observations(spark, str(tmp_path / "w"))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = df.groupBy("date").agg(F.count("*"), F.count("temp"), F.sum("temp")).orderBy("date").collect()
+    sums = [sum(i + d for i in range(n) if (i + d) % 7) for d in (1, 2, 3)]
+    assert [r[1] for r in got] == [n] * 6 and [r[2] for r in got] == [sum((i + d) % 7 > 0 for i in range(n)) for d in (1, 2, 3)] * 2
+    assert [r[3] for r in got] == sums * 2
+    # The second file has its columns the other way round.
+    assert [r.temp for r in df.filter("site = 's19999'").orderBy("date").collect()] == [20000.0, 20001.0, 20002.0, 1.0, 2.0, 3.0]
+
+
+def test_cells_of_lines(spark, tmp_path):
+    lines = ['a,b,c', '"a,1",b,', ',,', '"say ""x""",,"', 'a', '"",""']
+    made = spark.createDataFrame([(x,) for x in lines], "line string").select(wide.csv_cells(F.col("line")).alias("c"))
+    assert [r.c for r in made.collect()] == [["a", "b", "c"], ["a,1", "b", ""], ["", "", ""], ['say "x"', "", '"'], ["a"], ["", ""]]
+    write(tmp_path / "q", "a.csv", 'Date,"New, Town",B\r\n2000-1-2,"1.5",\r\n\r\n2000-1-3,x,2,9\r\n')
+    rows = wide.read_wide_observations(spark, str(tmp_path / "q")).orderBy("date", "site").collect()
+    assert [(str(r.date), r.site, r.temp) for r in rows] == [("2000-01-02", "B", None), ("2000-01-02", "New, Town", 1.5), ("2000-01-03", "B", 2.0), ("2000-01-03", "New, Town", None)]
 
 
 def test_scratch_follows_the_session(spark):

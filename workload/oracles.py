@@ -81,9 +81,17 @@ def _fill(method: str, at: str, value: str, last: str | None) -> str:
     return f"coalesce({value}, {curve}, {line})"
 
 
-def _steps(method: str = "linear") -> str:
+# A wide table has a cell for every day that any site has.
+OBS_WIDE = f"""{OBS.replace("obs AS (", "own AS (")},
+obs AS (
+  SELECT s.site, d.date, o.temp, d.season_year FROM (SELECT DISTINCT date, season_year FROM own) d
+  CROSS JOIN (SELECT DISTINCT site FROM own) s LEFT JOIN own o ON o.site = s.site AND o.date = d.date)
+"""
+
+
+def _steps(method: str = "linear", obs: str = OBS) -> str:
     """CTEs that end in ``steps``."""
-    return f"""{OBS}, {SEASONS}, {CITIES},
+    return f"""{obs}, {SEASONS}, {CITIES},
 picked AS (
   SELECT s.*, c.lat, c.lng, o.date, o.temp,
          CAST(row_number() OVER w - 1 AS INTEGER) AS step,
@@ -441,6 +449,13 @@ SELECT site AS site_name, year, fraction, cutoff,
        CAST(date_full - data_start_date AS INTEGER) + 1 AS full_length, cutoff AS n_first, cutoff AS n_full,
        pred_full AS last_full, CAST(CAST(cutoff_date AS DATE) AS VARCHAR) AS cutoff_date, first_micros,
        mae_first, mae_full FROM scores WHERE sim_id = 1""",
+    "score_point_rows": f"""WITH {_scores('point')},
+shown AS (SELECT * FROM scores)
+SELECT sim_id, site AS site_name, year, CAST(data_start_date AS VARCHAR) AS start_date, CAST(date_first AS VARCHAR) AS date_first,
+       CAST(date_full AS VARCHAR) AS date_full, CAST(date_first - data_start_date - cutoff AS DOUBLE) AS true_first,
+       CAST(date_full - data_start_date - cutoff AS DOUBLE) AS true_full, pred_first, pred_full, cutoff,
+       CAST(CAST(cutoff_date AS DATE) AS VARCHAR) AS cutoff_date, first_micros AS pred_first_bloom_date,
+       full_micros AS pred_full_bloom_date, mae_first, mae_full, fraction FROM shown""",
     "cutoff_values": f"""WITH {_scores()}
 SELECT site AS site_name, year, fraction, cutoff,
        CAST(date_first - data_start_date - cutoff AS DOUBLE) AS true_first_at,
@@ -540,7 +555,31 @@ SELECT sim_id, fraction, round(avg(m1), 6) AS mae_first, round(avg(m2), 6) AS ma
     "sheet_extract": """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS "Year", count(DISTINCT n_name) AS n_sheets, max(o_totalprice) AS top
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
+    "sheet_rows": """
+WITH y AS (
+  SELECT n_name, n_nationkey % 3 AS kind, CAST(year(o_orderdate) AS INTEGER) AS y, quarter(o_orderdate) AS q, o_totalprice AS p
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT n_name AS "City", y AS "Year",
+       coalesce(max(p) FILTER (q = 1 AND kind < 2), -1.0) AS "Q1", coalesce(max(p) FILTER (q = 2 AND kind = 0), -1.0) AS "Q2",
+       coalesce(max(p) FILTER (q = 3 AND kind < 2), -1.0) AS "Q3", coalesce(max(p) FILTER (q = 4 AND kind = 0), -1.0) AS "Q4",
+       coalesce(max(p) FILTER (kind = 2), -1.0) AS "Top" FROM y GROUP BY n_name, kind, y""",
     "run_folders": f"WITH {DATE_ERRORS} {SUMMARY_OUT}",
+    "run_catalogue": f"""WITH sequence_runs AS (WITH {_scores()} SELECT * FROM scores WHERE sim_id < 4),
+point_runs AS (WITH {_scores('point')} SELECT * FROM scores WHERE sim_id = 4)
+SELECT sim_id, site AS site_name, year, fraction, cutoff, CAST(date_full - data_start_date AS INTEGER) + 1 AS full_length, cutoff AS n_shown,
+       pred_full AS last_full, CAST(CAST(cutoff_date AS DATE) AS VARCHAR) AS cutoff_date, first_micros, full_micros, mae_first, mae_full
+FROM sequence_runs
+UNION ALL SELECT sim_id, site, year, fraction, cutoff, NULL, 1, pred_full, CAST(CAST(cutoff_date AS DATE) AS VARCHAR), first_micros, full_micros,
+       mae_first, mae_full FROM point_runs""",
+    "run_parameters": """
+WITH s AS (SELECT unnest([1, 2, 3, 4]) AS sim_id), n AS (SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customer)
+SELECT sim_id, 'dim_input' AS name, '3' AS value FROM s
+UNION ALL SELECT sim_id, 'dim_reservoir', CAST(500 * sim_id AS VARCHAR) FROM s
+UNION ALL SELECT sim_id, 'tau', CAST(sim_id / 10 AS VARCHAR) FROM s
+UNION ALL SELECT sim_id, 'device', 'cpu:' || sim_id FROM s
+UNION ALL SELECT sim_id, 'noise', CASE WHEN sim_id > 2 THEN 'true' ELSE 'false' END FROM s
+UNION ALL SELECT sim_id, 'orders', CAST(orders AS VARCHAR) FROM s, n
+UNION ALL SELECT sim_id, 'customer', CAST(customer AS VARCHAR) FROM s, n""",
     "summary_sinks": f"""WITH {DATE_ERRORS}
 SELECT sim_id, 'mean_' || CAST(cutoff AS VARCHAR) AS key, round(mean_first, 6) AS value FROM summary
 UNION ALL SELECT sim_id, 'std_' || CAST(cutoff AS VARCHAR), round(std_first, 6) FROM summary
@@ -549,5 +588,22 @@ FROM scores GROUP BY sim_id, fraction""",
     "season_cache": f"""WITH {_steps()}
 SELECT site AS site_name, year, 1 AS n_built, CAST(max(days_to_full) AS DOUBLE) AS days,
        round(max(temp_full) FILTER (step = days_to_full), 6) AS end_temp FROM steps GROUP BY site, year""",
+    "melt_observations": f"""WITH {OBS_WIDE}
+SELECT site, CAST(date AS VARCHAR) AS date, coalesce(temp, -1.0) AS temp FROM obs""",
+    "load_seasons": f"""WITH {_steps(obs=OBS_WIDE)},
+spans AS (
+  SELECT min(countdown_first) AS f0, max(countdown_first) AS f1, min(countdown_full) AS u0, max(countdown_full) AS u1,
+         min(temp_first) AS tf0, max(temp_first) AS tf1, min(temp_full) AS tu0, max(temp_full) AS tu1 FROM steps WHERE step <= days_to_full),
+places AS (SELECT DISTINCT site, year, lat, lng FROM steps),
+p AS (
+  SELECT quantile_cont(lat, 0.5) AS la, quantile_cont(lat, 0.95) - quantile_cont(lat, 0.05) AS las,
+         quantile_cont(lng, 0.5) AS ln, quantile_cont(lng, 0.95) - quantile_cont(lng, 0.05) AS lns FROM places)
+SELECT site AS site_name, year, strftime(CAST(first_bloom AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS first_bloom, days_to_full,
+       round((lat - la) / las, 6) AS lat, round((lng - ln) / lns, 6) AS lng, step,
+       round((countdown_first - f0) / ((f1 - f0) / 2) - 1, 6) AS countdown_to_first,
+       round((countdown_full - u0) / ((u1 - u0) / 2) - 1, 6) AS countdown_to_full,
+       round((temp_first - tf0) / ((tf1 - tf0) / 2) - 1, 6) AS temps_to_first,
+       round((temp_full - tu0) / ((tu1 - tu0) / 2) - 1, 6) AS temps_to_full
+FROM steps, spans, p""",
     "wide_csv": f"WITH {CITIES} SELECT city_ascii, lat, lng FROM cities",
 }

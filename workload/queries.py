@@ -19,6 +19,7 @@ from phenoline.operators.gapfill import fill_gaps, fill_series
 from phenoline.operators.split import split_exact
 from phenoline.operators.windows import lag_windows
 from phenoline.plans.comparison import compare_runs
+from phenoline.plans import training
 from phenoline.plans.evaluation import sweep
 from phenoline.sources import runs, sheets, store, wide
 from phenoline.sources.paths import scratch_path, stored
@@ -503,12 +504,13 @@ def score_point_errors(spark: SparkSession, sf: str) -> DataFrame:
     return _scores_out(scores(spark, sf, form="point"))
 
 
-def _nested_predictions(spark: SparkSession, sf: str) -> DataFrame:
+def _nested_predictions(spark: SparkSession, sf: str, sims=(1,)) -> DataFrame:
     """Season rows with whole arrays, grouped by season: at most one item per day of it."""
     names = ("true_first", "true_full", "pred_first", "pred_full")
-    rows = predicted_steps(spark, sf, (1,)).groupBy("site", "year", "data_start_date", "first_bloom", "full_bloom")
+    rows = predicted_steps(spark, sf, sims).groupBy("sim_id", "site", "year", "data_start_date", "first_bloom", "full_bloom")
     nested = rows.agg(F.array_sort(F.collect_list(F.struct("step", *names))).alias("s"))
     return nested.select(
+        "sim_id",
         F.col("site").alias("site_name"),
         "year",
         F.col("data_start_date").alias("start_date"),
@@ -536,6 +538,15 @@ def score_sequence_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def score_point_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Prediction rows in the point form, with all their columns, of all runs."""
+    rows = scoring.point_rows(scores(spark, sf, form="point"))
+    dates_ = ("start_date", "date_first", "date_full", "cutoff_date")
+    moments = [micros(F.col(c)).alias(c) for c in ("pred_first_bloom_date", "pred_full_bloom_date")]
+    rest = [c for c in rows.columns if c not in (*dates_, "pred_first_bloom_date", "pred_full_bloom_date")]
+    return rows.select(*rest, *[text(c) for c in dates_], *moments)
+
+
 def cutoff_values(spark: SparkSession, sf: str) -> DataFrame:
     rows = scoring.true_at_cutoff(_nested_predictions(spark, sf))
     shown = arrays.prefix(F.col("true_first"), F.col("cutoff"))
@@ -763,6 +774,30 @@ def sheet_extract(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("Year").agg(F.count_distinct("City").alias("n_sheets"), F.max(top).alias("top"))
 
 
+def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of one sheet per customer nation, with three kinds of headers: by quarter, some quarters the other way round, and a yearly top."""
+    customers = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    day = F.col("o_orderdate").cast("date")
+    orders = orders.select("n_name", "n_nationkey", F.year(day).alias("y"), F.quarter(day).alias("q"), "o_totalprice")
+    yearly = orders.groupBy("n_name", "n_nationkey", "y").agg(*[F.max(F.when(F.col("q") == q, F.col("o_totalprice"))).alias(f"q{q}") for q in (1, 2, 3, 4)])
+    cell = {q: F.coalesce(F.col(f"q{q}").cast("string"), F.lit("")) for q in (1, 2, 3, 4)}
+    top = F.coalesce(F.greatest("q1", "q2", "q3", "q4").cast("string"), F.lit(""))
+    kind = F.col("n_nationkey") % 3
+    line = F.when(kind == 0, F.concat_ws(",", "y", *cell.values())).when(kind == 1, F.concat_ws(",", "y", cell[3], cell[1])).otherwise(F.concat_ws(",", "y", top))
+    head = F.when(kind == 0, "Year,Q1,Q2,Q3,Q4").when(kind == 1, "Year,Q3,Q1").otherwise("Year,Top")
+    body = yearly.select("n_name", F.col("y").alias("place"), line.alias("line"))
+    tops = yearly.select("n_name", head.alias("head")).distinct()
+    heads = tops.select("n_name", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("prices").alias("line")), F.struct(F.lit(1).alias("place"), F.col("head").alias("line")))).alias("h"))
+    lines = heads.select("n_name", "h.place", "h.line").unionByName(body)
+    path = scratch_path(spark, "sheets")
+    ordered = lines.repartition("n_name").sortWithinPartitions("n_name", "place")
+    ordered.select("n_name", "line").write.partitionBy("n_name").text(path)
+    rows = sheets.read_sheets(spark, f"{path}/n_name=*", site_pattern="n_name=([^/]+)/")
+    numbers = [F.coalesce(F.col(c).try_cast("double"), F.lit(-1.0)).alias(c) for c in ("Q1", "Q2", "Q3", "Q4", "Top")]
+    return rows.select("City", "Year", *numbers)
+
+
 def run_folders(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "runs")
     runs.write_runs(scores(spark, sf), path)
@@ -770,6 +805,33 @@ def run_folders(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sim_id", "cutoff", r6("mean_first"), r6("std_first"), r6("mean_full"), r6("std_full"))
 
 
+def run_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs 1 to 3 as sequences and run 4 as points, written to run folders and read by their catalogue; run 5 didn't end and isn't listed."""
+    stem = scratch_path(spark, "runs")
+    sequences, points = stored(scoring.score_sequences(_nested_predictions(spark, sf, (1, 2, 3)))), stored(scoring.point_rows(scores(spark, sf, form="point")))
+    for sim in (1, 2, 3):
+        runs.write_run(sequences.filter(F.col("sim_id") == sim), stem, sim, {"form": "sequence"})
+    runs.write_run(points.filter("sim_id = 4"), stem, 4, {"form": "point"})
+    points.filter("sim_id = 3").drop("sim_id", "fraction").write.parquet(f"{stem}/sim_id_5/test_cutoff_0.5/predictions.parquet")
+    rows = runs.read_finished_runs(spark, stem)
+    shown = F.coalesce(F.size("pred_full_sequence"), F.lit(1)).alias("n_shown")
+    last = F.coalesce("pred_full", arrays.last_item(F.col("pred_full_sequence"))).alias("last_full")
+    days = [micros(F.col(f"pred_{t}_bloom_date")).alias(f"{t}_micros") for t in ("first", "full")]
+    return rows.select("sim_id", "site_name", "year", "fraction", "cutoff", "full_length", shown, last, text("cutoff_date"), *days, "mae_first", "mae_full")
+
+
+def run_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings and table sizes of four runs as JSON, read back, one row a setting."""
+    sizes = {n: table(spark, sf, n).count() for n in ("orders", "customer")}
+    path = scratch_path(spark, "parameters")
+    settings = {s: {"dim_input": 3, "dim_reservoir": 500 * s, "tau": s / 10, "device": f"cpu:{s}", "noise": s > 2, **sizes} for s in SIM_IDS}
+    runs.write_parameters_json(spark, settings, path)
+    kinds = "customer bigint, device string, dim_input bigint, dim_reservoir bigint, noise boolean, orders bigint, tau double, sim_id int"
+    back = spark.read.schema(kinds).json(path)
+    named = [F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in back.columns if n != "sim_id"]
+    return back.select("sim_id", F.explode(F.array(*named)).alias("p")).select("sim_id", "p.name", "p.value")
+
+
 def summary_sinks(spark: SparkSession, sf: str) -> DataFrame:
     """Run summary to CSV and metrics to JSON, both read back."""
     scored = scores(spark, sf)
@@ -809,6 +871,55 @@ def season_cache(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _write_lines(rows: DataFrame, head: DataFrame, path: str) -> None:
+    """(part, place, line) as text files, a folder a part, each beginning with the one line of ``head``."""
+    heads = rows.select("part").distinct().crossJoin(F.broadcast(head)).select("part", F.lit("").alias("place"), "line")
+    lines = heads.unionByName(rows).repartition("part").sortWithinPartitions("part", "place")
+    lines.select("part", "line").write.partitionBy("part").text(path)
+
+
+def _wide_lines(rows: DataFrame, first: str, path: str) -> None:
+    """(part, place, name, cell) to wide CSV: a line for each place, a column for each name. Names are few beside the cells."""
+    names = rows.select("name").distinct()
+    listed = names.agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    grid = rows.select("part", "place").distinct().crossJoin(names)
+    cells = grid.join(rows, ["part", "place", "name"], "left").groupBy("part", "place")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", F.coalesce("cell", F.lit("")).alias("cell")))), lambda c: c["cell"]), ",")
+    body = cells.agg(line.alias("line")).select("part", "place", F.concat_ws(",", "place", "line").alias("line"))
+    _write_lines(body, listed.select(F.concat(F.lit(f"{first},"), "names").alias("line")), path)
+
+
+def _written_inputs(spark: SparkSession, sf: str) -> dict[str, str]:
+    """The stand-ins as wide CSV files of the shape that users have."""
+    root = scratch_path(spark, "inputs")
+    for name, events in (("first", standins.first_events(spark, sf)), ("full", standins.full_events(spark, sf))):
+        cells = events.select(F.lit(1).alias("part"), F.col("site").alias("place"), F.col("year").cast("string").alias("name"), text("date"))
+        _wide_lines(cells.withColumnRenamed("date", "cell"), "Site Name", f"{root}/{name}")
+    days = standins.observations(spark, sf)
+    cells = days.select(F.year("date").alias("part"), text("date"), F.col("site").alias("name"), F.coalesce(F.col("temp").cast("string"), F.lit("missing")).alias("cell"))
+    _wide_lines(cells.withColumnRenamed("date", "place"), "Date", f"{root}/temps")
+    runs.write_csv(standins.cities(spark, sf), f"{root}/cities")
+    return {"first": f"{root}/first/part=*", "full": f"{root}/full/part=*", "temps": f"{root}/temps/part=*", "cities": f"{root}/cities"}
+
+
+def melt_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """A wide table with one column for each supplier, as text, to one row for each day and supplier."""
+    long = wide.read_wide_observations(spark, _written_inputs(spark, sf)["temps"])
+    return long.select("site", text("date"), F.coalesce("temp", F.lit(-1.0)).alias("temp"))
+
+
+def load_seasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Four CSV files to the scaled season table, twice: the second call reads what the first one wrote. One row an array item."""
+    inputs = _written_inputs(spark, sf)
+    path = scratch_path(spark, "training")
+    for _ in range(2):
+        rows, _ = training.load_seasons(spark, path, inputs["first"], inputs["full"], inputs["temps"], inputs["cities"], country=None)
+    zipped = F.arrays_zip("countdown_to_first", "countdown_to_full", "temps_to_first", "temps_to_full")
+    items = rows.select("site_name", "year", text("first_bloom"), "days_to_full", "lat", "lng", F.posexplode(zipped).alias("step", "x"))
+    values = [F.round(F.col(f"x.{c}"), 6).alias(c) for c in ("countdown_to_first", "countdown_to_full", "temps_to_first", "temps_to_full")]
+    return items.select("site_name", "year", text("first_bloom"), "days_to_full", r6("lat"), r6("lng"), "step", *values)
+
+
 def wide_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier coordinates to a headered CSV and back, all columns as text."""
     path = scratch_path(spark, "cities")
@@ -863,6 +974,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         score_sequence_exact_dates,
         score_point_errors,
         score_sequence_rows,
+        score_point_rows,
         cutoff_values,
         step_mse,
         step_error_floor,
@@ -886,9 +998,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fit_and_score,
         readout_sweep,
         sheet_extract,
+        sheet_rows,
         run_folders,
+        run_catalogue,
+        run_parameters,
         summary_sinks,
         season_cache,
+        melt_observations,
+        load_seasons,
         wide_csv,
     )
 }
