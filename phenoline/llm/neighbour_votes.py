@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenoline.llm.common import sub_batches, tidied
+from phenoline.llm.common import give_back, sub_batches, tidied
 from phenoline.llm.text_numbers import Words, mixed
 
 WORDS, KINDS, PAIRS, REPEATS, LENGTHS, SIZES = 1024, 1024, 1024, 16, 32, 24
@@ -154,7 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, rank: int = 6
     axes = (basis @ turn.T[:, :rank]).astype(np.float32)
     vectors = matrix @ axes
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Voter(idf, axes, vectors.astype(np.float32), np.array([r["label"] for r in got], np.float64), share, k)
+    voter = Voter(idf, axes, vectors.astype(np.float32), np.array([r["label"] for r in got], np.float64), share, k)
+    # The driver doesn't need the sample any more, and later stages need its memory.
+    del matrix, got, basis, vectors
+    give_back()
+    return voter
 
 
 def score(docs: DataFrame, voter: Voter, least: float = 0.3, text: str = "text") -> DataFrame:
