@@ -38,6 +38,26 @@ def csv_cells(line: Column, sep: str = ",") -> Column:
     return F.transform(found, lambda c: F.when(c.rlike('(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_id"),
+        F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+
+
+def _header_cells(lines: DataFrame, sep: str) -> DataFrame:
+    """(file, first, place, name): a file's header is the first line of its first block."""
+    headers = lines.filter("block = 0").groupBy("file").agg(csv_cells(F.min_by("line", "line_id"), sep).alias("names"))
+    return headers.select("file", F.get("names", F.lit(0)).alias("first"), F.posexplode("names").alias("place", "name"))
+
+
+def column_keys(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(site): the different column names of wide CSV files, but for the first of each file, as rows."""
+    return _header_cells(_lines(spark, path), sep).filter("place > 0").select(F.col("name").alias("site")).distinct()
+
+
 def melt_wide_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(key, name, cell) of a headered wide CSV, for any number of columns: the first cell of a line, and each other column's name and cell.
 
@@ -45,15 +65,8 @@ def melt_wide_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     number of columns, and the files may differ in theirs. Blank cells become null. Lines that begin as the header does are headers; cells
     beyond the header's are dropped, as are blank lines.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_id"),
-        F.regexp_replace("value", "\r$", "").alias("line"),
-    )
-    # A file's header is the first line of its first block.
-    headers = lines.filter("block = 0").groupBy("file").agg(csv_cells(F.min_by("line", "line_id"), sep).alias("names"))
-    names = headers.select("file", F.get("names", F.lit(0)).alias("first"), F.posexplode("names").alias("place", "name"))
+    lines = _lines(spark, path)
+    names = _header_cells(lines, sep)
     cells = lines.filter(F.length("line") > 0).select("file", csv_cells(F.col("line"), sep).alias("cells"))
     keyed = cells.select("file", F.get("cells", F.lit(0)).alias("key"), F.posexplode("cells").alias("place", "cell")).filter("place > 0")
     named = keyed.join(names.filter("place > 0"), ["file", "place"]).filter(F.col("key") != F.col("first"))

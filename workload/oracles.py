@@ -309,6 +309,10 @@ SELECT site, year, CAST(first_bloom AS VARCHAR) AS first_bloom, CAST(full_bloom
     "site_coordinates": """
 SELECT n_name AS site, count(*) AS n_rows, max(s_acctbal) AS top_lat
 FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""",
+    "site_coordinates_left": """
+WITH names AS (SELECT n_name AS site FROM nation UNION ALL SELECT r_name FROM region),
+places AS (SELECT n_name, s_acctbal AS lat, CAST(s_suppkey AS DOUBLE) AS lng FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT site, coalesce(lat, -1e9::DOUBLE) AS lat, coalesce(lng, -1.0::DOUBLE) AS lng FROM names LEFT JOIN places ON n_name = site""",
     "repeated_sites": """
 SELECT n_name AS city_ascii, count(*) AS n_rows FROM customer JOIN nation ON c_nationkey = n_nationkey
 GROUP BY 1 HAVING count(*) > 1""",
@@ -340,6 +344,13 @@ SELECT site AS site_name, year,
        max(temp_first) FILTER (step = days_to_first) AS end_temp_first,
        max(temp_full) FILTER (step = days_to_full) AS end_temp_full, site AS city_ascii
 FROM steps GROUP BY site, year""",
+    "nested_items": f"""WITH {_steps()}
+SELECT site AS site_name, year, step, CAST(countdown_first AS DOUBLE) AS countdown_to_first, CAST(countdown_full AS DOUBLE) AS countdown_to_full,
+       coalesce(temp_first, -1e9::DOUBLE) AS temps_to_first, coalesce(temp_full, -1e9::DOUBLE) AS temps_to_full FROM steps WHERE step <= days_to_full""",
+    "zero_padding": """
+WITH v AS (SELECT vec_id, embedding, label % 64 AS n FROM embeddings WHERE label IS NOT NULL),
+i AS (SELECT vec_id, embedding, n, unnest(range(greatest(n, 40))) AS pos FROM v)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN pos < n THEN CAST(embedding[pos + 1] AS DOUBLE) ELSE 0.0 END, 6) AS value FROM i""",
     "explode_steps": f"""WITH {_steps()}
 SELECT site AS site_name, year, step, lat, lng, temp_full AS temp,
        CAST(countdown_first AS DOUBLE) AS target_first, CAST(countdown_full AS DOUBLE) AS target_full
@@ -426,6 +437,12 @@ past AS (
   FROM steps
   WINDOW w AS (PARTITION BY site, year ORDER BY step ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
 SELECT * FROM past WHERE n_past = 30""",
+    "lag_window_values": f"""WITH {_steps()},
+past AS (
+  SELECT site, year, step, list(temp_full) OVER w AS a, list(CAST(countdown_full AS DOUBLE)) OVER w AS b
+  FROM steps WINDOW w AS (PARTITION BY site, year ORDER BY step ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+SELECT site, year, step, round(list_sum(list_transform(a, lambda v, i: v * i)) / 7, 3) AS temp_by_place, round(list_sum(a) / 7, 3) AS temp_sum,
+       round(list_sum(list_transform(b, lambda v, i: v * i)) / 7, 3) AS days_by_place FROM past WHERE len(a) = 30""",
     "lag_products": f"""WITH {_steps()},
 past AS (
   SELECT countdown_first AS y, list(temp_full / 1000) OVER w AS a, list(CAST(countdown_full AS DOUBLE)) OVER w AS b
@@ -445,10 +462,10 @@ FROM lineitem GROUP BY dayofyear(l_shipdate)""",
     "score_sequence_exact_dates": f"WITH {_scores(align='exact')} {SCORES_OUT}",
     "score_point_errors": f"WITH {_scores('point')} {SCORES_OUT}",
     "score_sequence_rows": f"""WITH {_scores()}
-SELECT site AS site_name, year, fraction, cutoff,
+SELECT sim_id, site AS site_name, year, fraction, cutoff,
        CAST(date_full - data_start_date AS INTEGER) + 1 AS full_length, cutoff AS n_first, cutoff AS n_full,
        pred_full AS last_full, CAST(CAST(cutoff_date AS DATE) AS VARCHAR) AS cutoff_date, first_micros,
-       mae_first, mae_full FROM scores WHERE sim_id = 1""",
+       mae_first, mae_full FROM scores""",
     "score_point_rows": f"""WITH {_scores('point')},
 shown AS (SELECT * FROM scores)
 SELECT sim_id, site AS site_name, year, CAST(data_start_date AS VARCHAR) AS start_date, CAST(date_first AS VARCHAR) AS date_first,
@@ -457,11 +474,11 @@ SELECT sim_id, site AS site_name, year, CAST(data_start_date AS VARCHAR) AS star
        CAST(CAST(cutoff_date AS DATE) AS VARCHAR) AS cutoff_date, first_micros AS pred_first_bloom_date,
        full_micros AS pred_full_bloom_date, mae_first, mae_full, fraction FROM shown""",
     "cutoff_values": f"""WITH {_scores()}
-SELECT site AS site_name, year, fraction, cutoff,
+SELECT sim_id, site AS site_name, year, fraction, cutoff,
        CAST(date_first - data_start_date - cutoff AS DOUBLE) AS true_first_at,
        CAST(date_full - data_start_date - cutoff AS DOUBLE) AS true_full_at, cutoff - 1 AS n_history,
        CAST(date_first - data_start_date - cutoff + 1 AS DOUBLE) AS last_shown
-FROM scores WHERE sim_id = 1""",
+FROM scores""",
     "step_mse": f"""WITH {PREDICTED}
 SELECT sim_id, round(sum(((pred_first - true_first) ** 2 + (pred_full - true_full) ** 2) / 2) / count(*), 6) AS mse
 FROM predicted GROUP BY 1""",
@@ -491,13 +508,16 @@ SELECT sim_id, fraction, round(avg(mae_first), 6) AS mae_first, round(avg(mae_fu
 SELECT sim_id, cutoff, round(mean_first - std_first, 6) AS low_first, round(mean_full - std_full_abs, 6) AS low_full,
        round(mean_first + std_first, 6) AS high_first, round(mean_full + std_full_abs, 6) AS high_full FROM summary""",
     "run_summary_long": f"""WITH {DATE_ERRORS}
-SELECT sim_id, 'mean_' || CAST(cutoff AS VARCHAR) AS key, round(mean_full, 6) AS values FROM summary
-UNION ALL SELECT sim_id, 'std_' || CAST(cutoff AS VARCHAR), round(std_full, 6) FROM summary""",
+SELECT 'full' AS event, sim_id, 'mean_' || CAST(cutoff AS VARCHAR) AS key, round(mean_full, 6) AS values FROM summary
+UNION ALL SELECT 'full', sim_id, 'std_' || CAST(cutoff AS VARCHAR), round(std_full, 6) FROM summary
+UNION ALL SELECT 'first', sim_id, 'mean_' || CAST(cutoff AS VARCHAR), round(mean_first, 6) FROM summary
+UNION ALL SELECT 'first', sim_id, 'std_' || CAST(cutoff AS VARCHAR), round(std_first, 6) FROM summary""",
     "best_runs": f"""WITH {DATE_ERRORS},
 m AS (SELECT sim_id, avg(mean_first) AS f, avg(mean_full) AS u FROM summary GROUP BY 1)
 (SELECT 'first' AS event, round(f, 6) AS best_mae, sim_id AS best_sim_id FROM m ORDER BY f, sim_id LIMIT 1)
 UNION ALL (SELECT 'full', round(u, 6), sim_id FROM m ORDER BY u, sim_id LIMIT 1)""",
-    "seasons_and_sites": f"WITH {SEASONS} SELECT DISTINCT year FROM bloom WHERE first_bloom IS NOT NULL",
+    "seasons_and_sites": f"""WITH {SEASONS} SELECT DISTINCT 'year' AS kind, CAST(year AS VARCHAR) AS value FROM bloom WHERE first_bloom IS NOT NULL
+UNION ALL SELECT DISTINCT 'site', site FROM bloom WHERE first_bloom IS NOT NULL""",
     "key_counts": f"WITH {KEY_SETS} SELECT dataset, count(*) AS n_keys FROM keys GROUP BY 1",
     "key_overlap": f"""WITH {KEY_SETS}
 SELECT a.dataset AS dataset_1, b.dataset AS dataset_2,
@@ -564,6 +584,7 @@ SELECT n_name AS "City", y AS "Year",
        coalesce(max(p) FILTER (q = 3 AND kind < 2), -1.0) AS "Q3", coalesce(max(p) FILTER (q = 4 AND kind = 0), -1.0) AS "Q4",
        coalesce(max(p) FILTER (kind = 2), -1.0) AS "Top" FROM y GROUP BY n_name, kind, y""",
     "run_folders": f"WITH {DATE_ERRORS} {SUMMARY_OUT}",
+    "run_folder_paths": f"WITH {DATE_ERRORS} {SUMMARY_OUT} WHERE sim_id IN (1, 3)",
     "run_catalogue": f"""WITH sequence_runs AS (WITH {_scores()} SELECT * FROM scores WHERE sim_id < 4),
 point_runs AS (WITH {_scores('point')} SELECT * FROM scores WHERE sim_id = 4)
 SELECT sim_id, site AS site_name, year, fraction, cutoff, CAST(date_full - data_start_date AS INTEGER) + 1 AS full_length, cutoff AS n_shown,
@@ -581,8 +602,10 @@ UNION ALL SELECT sim_id, 'noise', CASE WHEN sim_id > 2 THEN 'true' ELSE 'false'
 UNION ALL SELECT sim_id, 'orders', CAST(orders AS VARCHAR) FROM s, n
 UNION ALL SELECT sim_id, 'customer', CAST(customer AS VARCHAR) FROM s, n""",
     "summary_sinks": f"""WITH {DATE_ERRORS}
-SELECT sim_id, 'mean_' || CAST(cutoff AS VARCHAR) AS key, round(mean_first, 6) AS value FROM summary
-UNION ALL SELECT sim_id, 'std_' || CAST(cutoff AS VARCHAR), round(std_first, 6) FROM summary
+SELECT sim_id, 'mae_first mean_' || CAST(cutoff AS VARCHAR) AS key, round(mean_first, 6) AS value FROM summary
+UNION ALL SELECT sim_id, 'mae_first std_' || CAST(cutoff AS VARCHAR), round(std_first, 6) FROM summary
+UNION ALL SELECT sim_id, 'mae_full mean_' || CAST(cutoff AS VARCHAR), round(mean_full, 6) FROM summary
+UNION ALL SELECT sim_id, 'mae_full std_' || CAST(cutoff AS VARCHAR), round(std_full, 6) FROM summary
 UNION ALL SELECT sim_id, 'average_' || CAST(fraction AS VARCHAR), round((avg(mae_first) + avg(mae_full)) / 2, 6)
 FROM scores GROUP BY sim_id, fraction""",
     "season_cache": f"""WITH {_steps()}
@@ -590,6 +613,7 @@ SELECT site AS site_name, year, 1 AS n_built, CAST(max(days_to_full) AS DOUBLE)
        round(max(temp_full) FILTER (step = days_to_full), 6) AS end_temp FROM steps GROUP BY site, year""",
     "melt_observations": f"""WITH {OBS_WIDE}
 SELECT site, CAST(date AS VARCHAR) AS date, coalesce(temp, -1.0) AS temp FROM obs""",
+    "column_keys": "SELECT DISTINCT s_name AS site FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "load_seasons": f"""WITH {_steps(obs=OBS_WIDE)},
 spans AS (
   SELECT min(countdown_first) AS f0, max(countdown_first) AS f1, min(countdown_full) AS u0, max(countdown_full) AS u1,

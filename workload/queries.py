@@ -160,6 +160,16 @@ def site_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     return kept
 
 
+def site_coordinates_left(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of the join: nations, some repeated and some without a supplier, and regions, which have no coordinates."""
+    places = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    places = places.select(F.col("n_name").alias("city_ascii"), F.col("s_acctbal").alias("lat"), F.col("s_suppkey").cast("double").alias("lng"))
+    nation, region = spark.read.parquet(f"{sf}/nation.parquet"), spark.read.parquet(f"{sf}/region.parquet")
+    names = nation.select(F.col("n_name").alias("site")).unionByName(region.select(F.col("r_name").alias("site")))
+    joined = seasons.join_coordinates(names, places)
+    return joined.select("site", F.coalesce("lat", F.lit(-1e9)).alias("lat"), F.coalesce("lng", F.lit(-1.0)).alias("lng"))
+
+
 def repeated_sites(spark: SparkSession, sf: str) -> DataFrame:
     places = table(spark, sf, "customer").join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
@@ -247,6 +257,23 @@ def nest_seasons(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nested_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item of the four arrays of every season."""
+    rows = reshape.nest_seasons(standins.season_steps(spark, sf))
+    names = ("countdown_to_first", "countdown_to_full", "temps_to_first", "temps_to_full")
+    zipped = rows.select("site_name", "year", F.posexplode(F.arrays_zip(*names)).alias("step", "x"))
+    shown = [F.coalesce(F.col(f"x.{n}").cast("double"), F.lit(-1e9)).alias(n) for n in names]
+    return zipped.select("site_name", "year", "step", *shown)
+
+
+def zero_padding(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors cut to as many items as their label says, padded with zeros to forty; longer ones stay."""
+    rows = table(spark, sf, "embeddings").filter("label IS NOT NULL")
+    short = F.slice(F.col("embedding").cast("array<double>"), F.lit(1), F.col("label") % 64)
+    padded = rows.select("vec_id", F.posexplode(arrays.pad_zeros(short, F.lit(40))).alias("pos", "value"))
+    return padded.select("vec_id", "pos", r6("value"))
+
+
 def explode_steps(spark: SparkSession, sf: str) -> DataFrame:
     rows = reshape.explode_steps(reshape.nest_seasons(standins.season_steps(spark, sf)))
     return rows.select("site_name", "year", "step", "lat", "lng", "temp", "target_first", "target_full")
@@ -419,6 +446,23 @@ def lag_window_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def lag_window_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of the windows, by its place: sevenths of the sums of values times places 1 to 30 and of values."""
+    steps = standins.season_steps(spark, sf)
+    rows = lag_windows(steps, ["site", "year"], "step", ["temp_full", "countdown_full"], n_in=30)
+
+    def weighed(name: str) -> Column:
+        return F.aggregate(F.transform(F.col(name).cast("array<double>"), lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+    def total(name: str) -> Column:
+        return F.aggregate(F.col(name).cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
+
+    return rows.select(
+        "site", "year", "step", F.round(weighed("past_temp_full") / 7, 3).alias("temp_by_place"), F.round(total("past_temp_full") / 7, 3).alias("temp_sum"),
+        F.round(weighed("past_countdown_full") / 7, 3).alias("days_by_place"),
+    )
+
+
 def lag_products(spark: SparkSession, sf: str) -> DataFrame:
     """Sums of products of six lags of temperature and countdown with each other and with the next countdown."""
     steps = standins.season_steps(spark, sf).withColumn("temp", F.col("temp_full") / 1000)
@@ -521,8 +565,9 @@ def _nested_predictions(spark: SparkSession, sf: str, sims=(1,)) -> DataFrame:
 
 
 def score_sequence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scoring.score_sequences(_nested_predictions(spark, sf))
+    rows = scoring.score_sequences(_nested_predictions(spark, sf, SIM_IDS))
     return rows.select(
+        "sim_id",
         "site_name",
         "year",
         "fraction",
@@ -548,9 +593,10 @@ def score_point_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cutoff_values(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scoring.true_at_cutoff(_nested_predictions(spark, sf))
+    rows = scoring.true_at_cutoff(_nested_predictions(spark, sf, SIM_IDS))
     shown = arrays.prefix(F.col("true_first"), F.col("cutoff"))
     return rows.select(
+        "sim_id",
         "site_name",
         "year",
         "fraction",
@@ -634,7 +680,8 @@ def run_summary_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_summary_long(spark: SparkSession, sf: str) -> DataFrame:
     summary = errors.run_summary(scores(spark, sf), cutoff="fraction")
-    return reshape.summary_to_long(summary, "mean_full", "std_full").select("sim_id", "key", r6("values"))
+    long = [reshape.summary_to_long(summary, f"mean_{t}", f"std_{t}").withColumn("event", F.lit(t)) for t in ("first", "full")]
+    return long[0].unionByName(long[1]).select("event", "sim_id", "key", r6("values"))
 
 
 def best_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -643,7 +690,9 @@ def best_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seasons_and_sites(spark: SparkSession, sf: str) -> DataFrame:
-    return errors.distinct_sorted(standins.first_events(spark, sf), "year")
+    events = standins.first_events(spark, sf)
+    years, sites = errors.distinct_sorted(events, "year"), errors.distinct_sorted(events, "site")
+    return years.select(F.lit("year").alias("kind"), text("year").alias("value")).unionByName(sites.select(F.lit("site").alias("kind"), F.col("site").alias("value")))
 
 
 # Key overlap
@@ -805,6 +854,15 @@ def run_folders(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sim_id", "cutoff", r6("mean_first"), r6("std_first"), r6("mean_full"), r6("std_full"))
 
 
+def run_folder_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs written to folders named by run and cutoff, and two of them read again with both taken from the path."""
+    stem, scored = scratch_path(spark, "runs"), stored(scores(spark, sf))
+    for sim in (1, 2, 3):
+        runs.write_run(scored.filter(F.col("sim_id") == sim), stem, sim)
+    rows = errors.run_summary(runs.read_run_folders(spark, stem, [1, 3]), cutoff="fraction")
+    return rows.select("sim_id", "cutoff", r6("mean_first"), r6("std_first"), r6("mean_full"), r6("std_full"))
+
+
 def run_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """Runs 1 to 3 as sequences and run 4 as points, written to run folders and read by their catalogue; run 5 didn't end and isn't listed."""
     stem = scratch_path(spark, "runs")
@@ -839,9 +897,8 @@ def summary_sinks(spark: SparkSession, sf: str) -> DataFrame:
     runs.write_summary_csv(errors.run_summary(scored, cutoff="fraction"), csv_path)
     runs.write_metrics_json(errors.overall_metrics(scored, ["sim_id", "fraction"]), json_path)
     csv = spark.read.schema("key string, values double, sim_id int, event string").option("header", True).csv(csv_path)
-    csv = csv.filter(F.col("event") == "mae_first")
     json = spark.read.schema("mae_first double, mae_full double, mae_average double, sim_id int, fraction double")
-    from_csv = csv.select("sim_id", "key", F.col("values").alias("value"))
+    from_csv = csv.select("sim_id", F.concat("event", F.lit(" "), "key").alias("key"), F.col("values").alias("value"))
     from_json = json.json(json_path).select(
         "sim_id", F.concat(F.lit("average_"), F.col("fraction")).alias("key"), F.col("mae_average").alias("value")
     )
@@ -908,6 +965,11 @@ def melt_observations(spark: SparkSession, sf: str) -> DataFrame:
     return long.select("site", text("date"), F.coalesce("temp", F.lit(-1.0)).alias("temp"))
 
 
+def column_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Column names of a wide table with one column for each supplier, as rows."""
+    return wide.column_keys(spark, _written_inputs(spark, sf)["temps"])
+
+
 def load_seasons(spark: SparkSession, sf: str) -> DataFrame:
     """Four CSV files to the scaled season table, twice: the second call reads what the first one wrote. One row an array item."""
     inputs = _written_inputs(spark, sf)
@@ -940,6 +1002,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pair_events,
         sites_in_country,
         site_coordinates,
+        site_coordinates_left,
         repeated_sites,
         kept_and_skipped_sites,
         densify,
@@ -947,6 +1010,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         unpivot_observations,
         site_keys,
         nest_seasons,
+        nested_items,
+        zero_padding,
         explode_steps,
         explode_daily,
         length_stats,
@@ -967,6 +1032,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gap_series,
         gap_series_quadratic,
         lag_window_features,
+        lag_window_values,
         lag_products,
         lag_readout,
         fourier_features,
@@ -1000,11 +1066,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sheet_extract,
         sheet_rows,
         run_folders,
+        run_folder_paths,
         run_catalogue,
         run_parameters,
         summary_sinks,
         season_cache,
         melt_observations,
+        column_keys,
         load_seasons,
         wide_csv,
     )
