@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Approximate percentiles are off by at most one rank in so many.
 ACCURACY = 10_000
+# Ranges of at most so many values are read as they are.
+FEW = 2048
 
 
 @dataclass
@@ -60,6 +62,10 @@ def select_ranks(values: DataFrame, ranks: Mapping[str, Sequence[int]], ranges=N
             if s.low == s.high:
                 found[s.name, s.wanted] = Ranked(s.low, s.count, s.rank)
         searches = [s for s in searches if s.low != s.high]
+        short = [s for s in searches if s.count <= FEW]
+        if short:
+            found.update(_read(values, short))
+            searches = [s for s in searches if s.count > FEW]
         if not searches:
             return found
         counted = _count_parts(values, _splitters(values, searches))
@@ -74,6 +80,24 @@ def select_ranks(values: DataFrame, ranks: Mapping[str, Sequence[int]], ranges=N
                 raise RuntimeError(f"the values of {s.name!r} changed between two passes")
 
 
+def _read(values: DataFrame, searches: Sequence[_Search]) -> dict[tuple[str, int], Ranked]:
+    """The values at the ranks wanted in ranges of at most ``FEW`` values each."""
+    ranges = {(s.name, s.low, s.high) for s in searches}
+    rows = values.filter(reduce(lambda a, b: a | b, [_inside(*at) for at in ranges])).groupBy("name", "value").count().collect()
+    found = {}
+    for s in searches:
+        inside = sorted((r["value"], r["count"]) for r in rows if r["name"] == s.name and s.low <= r["value"] <= s.high)
+        before = 0
+        if sum(n for _, n in inside) != s.count:
+            raise RuntimeError(f"the values of {s.name!r} changed between two passes")
+        for value, n in inside:
+            if s.rank < before + n:
+                found[s.name, s.wanted] = Ranked(value, n, s.rank - before)
+                break
+            before += n
+    return found
+
+
 def _inside(name: str, low: float, high: float) -> Column:
     return (F.col("name") == name) & F.col("value").between(low, high)
 

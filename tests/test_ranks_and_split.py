@@ -3,10 +3,18 @@ import random
 import numpy as np
 import pytest
 
+from phenoline.operators import ranks, split
 from phenoline.operators.ranks import exact_quantiles, select_ranks
 from phenoline.operators.split import split_exact
 
 
+@pytest.fixture(autouse=True, params=[2048, 1], ids=["read", "counted"])
+def few(request, monkeypatch):
+    """With ranges of few values that are read as they are, and with passes to the end."""
+    monkeypatch.setattr(ranks, "FEW", request.param)
+    monkeypatch.setattr(split, "FEW", request.param)
+
+
 def named(spark, **lists):
     return spark.createDataFrame([(n, v) for n, vs in lists.items() for v in vs], "name string, value double")
 
@@ -45,8 +53,6 @@ def test_quantiles_of_extreme_values(spark):
 
 
 def test_ranks_of_many_values_take_few_passes(spark, monkeypatch):
-    from phenoline.operators import ranks
-
     passes = []
     monkeypatch.setattr(ranks, "_count_parts", lambda v, s, f=ranks._count_parts: passes.append(1) or f(v, s))
     df = spark.range(300_000).selectExpr("'a' AS name", "pow(1.002, id % 150000) AS value")
@@ -80,8 +86,6 @@ def test_rows_of_one_key_stay_together(spark):
 def test_colliding_hashes_are_split_exactly(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    from phenoline.operators import split
-
     monkeypatch.setattr(split, "_place", lambda keys, seed: F.pmod(F.col(keys[0]), F.lit(3)).cast("double"))
     df = spark.range(30).withColumnRenamed("id", "k")
     train, test = split_exact(df, ["k"], 0.5, unique=True)

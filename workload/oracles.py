@@ -441,8 +441,8 @@ SELECT * FROM past WHERE n_past = 30""",
 past AS (
   SELECT site, year, step, list(temp_full) OVER w AS a, list(CAST(countdown_full AS DOUBLE)) OVER w AS b
   FROM steps WINDOW w AS (PARTITION BY site, year ORDER BY step ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
-SELECT site, year, step, round(list_sum(list_transform(a, lambda v, i: v * i)) / 7, 3) AS temp_by_place, round(list_sum(a) / 7, 3) AS temp_sum,
-       round(list_sum(list_transform(b, lambda v, i: v * i)) / 7, 3) AS days_by_place FROM past WHERE len(a) = 30""",
+SELECT site, year, step, round(list_sum(list_transform(a, lambda v, i: v * i)) / pi(), 3) AS temp_by_place, round(list_sum(a) / pi(), 3) AS temp_sum,
+       round(list_sum(list_transform(b, lambda v, i: v * i)) / pi(), 3) AS days_by_place FROM past WHERE len(a) = 30""",
     "lag_products": f"""WITH {_steps()},
 past AS (
   SELECT countdown_first AS y, list(temp_full / 1000) OVER w AS a, list(CAST(countdown_full AS DOUBLE)) OVER w AS b

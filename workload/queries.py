@@ -447,7 +447,7 @@ def lag_window_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lag_window_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Every value of the windows, by its place: sevenths of the sums of values times places 1 to 30 and of values."""
+    """Every value of the windows, by its place: the sums of values times places 1 to 30 and of values, over pi."""
     steps = standins.season_steps(spark, sf)
     rows = lag_windows(steps, ["site", "year"], "step", ["temp_full", "countdown_full"], n_in=30)
 
@@ -458,8 +458,8 @@ def lag_window_values(spark: SparkSession, sf: str) -> DataFrame:
         return F.aggregate(F.col(name).cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
 
     return rows.select(
-        "site", "year", "step", F.round(weighed("past_temp_full") / 7, 3).alias("temp_by_place"), F.round(total("past_temp_full") / 7, 3).alias("temp_sum"),
-        F.round(weighed("past_countdown_full") / 7, 3).alias("days_by_place"),
+        "site", "year", "step", F.round(weighed("past_temp_full") / F.pi(), 3).alias("temp_by_place"), F.round(total("past_temp_full") / F.pi(), 3).alias("temp_sum"),
+        F.round(weighed("past_countdown_full") / F.pi(), 3).alias("days_by_place"),
     )
 
 
