@@ -1,21 +1,24 @@
 """Operator 3: token ids in binary shards, with a minimal perfect hash index for access by document key.
 
-A store is a folder of pairs of files, one pair per range of keys.
+A store is a folder of files. Documents are in ascending key order, cut into parts, which tasks write, and those into shards of at most
+``rows_per_shard`` documents.
 
-- ``ids-*.bin``: a header of 16 bytes (``PLID``, bytes per id as u32, shard number as u64), then the raw little-endian ids
-  of all documents in ascending key order, each ended by id 0. Ids take two bytes where the vocabulary allows it.
-- ``index-*.npz``: a minimal perfect hash of the shard's keys (levels of bit arrays; a key's slot is the rank of its bit) and
+- ``ids-*.bin``, one a shard: a header of 16 bytes (``PLID``, bytes per id as u32, part as u64), then the raw little-endian ids
+  of its documents, each ended by id 0. Ids take two bytes where the vocabulary allows it.
+- ``index-*.npz``, one a shard: a minimal perfect hash of the shard's keys (levels of bit arrays; a key's slot is the rank of its bit) and
   by slot a stored fingerprint, the first copy's place and the number of copies; besides the length of every document.
+- ``list-*.npz``, one a part: first and last key of its shards, and how many ids stand before each.
 
-Which shard holds a key follows from the bounds of the ranges, which are kept with the list of files. A lookup touches one bit
-per level, one rank, one slot and one range of bytes, however large the store is.
+Which part holds a key follows from the bounds of the parts, which the driver holds with the names of the lists; there are at most ``most_parts``,
+while the shards of a part grow in number, not in size. A lookup touches one bit per level, one rank, one slot and one range of bytes, however
+large the store is. Tasks hold one shard's index at a time, in writing and in reading.
 
 Files are named by a random id and listed only by the attempt that succeeded, so retried tasks leave no wrong data. Paths
 are opened through Arrow's file systems, so the folder may be any shared store that it knows.
 
-Defined results: null text is an empty document (its ids are the end id alone). Documents without a key come first and are found
-by the null key. Copies of a key stand side by side, ordered by their ids; a key with very many copies spreads over
-several shards, each of which indexes its part. An empty table makes an empty store. Other columns are ignored.
+Defined results: null text is an empty document (its ids are the end id alone). Documents without a key come first, in parts of their own, and
+are found by the null key. Copies of a key stand side by side, ordered by their ids; a key with very many copies spreads over
+several parts and shards, each of which indexes its part. An empty table makes an empty store. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoline.llm.bpe import codec
-from phenoline.llm.common import sub_batches
+from phenoline.llm.common import sub_batches, tidied
 
 MAGIC, HEADER = b"PLID", 16
-WINDOW = 8 << 20
+WINDOW = 2 << 20
 
 
 # The hash
@@ -99,11 +102,15 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Store:
-    """Where the shards are. ``files``: by shard number its (ids file, index file) or None if no document fell there."""
+    """Where the parts are. ``names``: by part the name in its files or None if no document fell there; ``starts``: ids before it.
+
+    The first ``null_parts`` hold the documents without a key; the others are parted by ``bounds``.
+    """
 
     root: str
     bounds: tuple[int, ...]
-    files: tuple[tuple[str, str] | None, ...]
+    null_parts: int
+    names: tuple[str | None, ...]
     starts: tuple[int, ...]
     id_bytes: int
 
@@ -112,9 +119,12 @@ def _open(root: str):
     return arrow_fs.FileSystem.from_uri(root)
 
 
-def shard_of(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last shard that may hold each key; they differ for a key that is itself several bounds."""
-    return np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+def part_range(keys: pa.Array, bounds: np.ndarray, null_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last part that may hold each key; they differ for a key that is itself several bounds, and for null."""
+    value = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    null = np.asarray(keys.is_null())
+    low, high = (null_parts + np.searchsorted(bounds, value, side) for side in ("left", "right"))
+    return np.where(null, 0, low), np.where(null, max(null_parts, 1) - 1, high)
 
 
 def write_store(
@@ -124,104 +134,125 @@ def write_store(
     key: str = "doc_id",
     text: str = "text",
     rows_per_shard: int = 8192,
-    most_shards: int = 4096,
+    most_parts: int = 16384,
 ) -> Store:
     """Encode all texts and write the store below ``root``, a new folder that all executors share.
 
-    Shard bounds are approximate quantiles of the keys. ``most_shards`` bounds what the driver holds, not the data: beyond
-    it shards grow, and a task streams through its shard.
+    A part is one shard until there are ``most_parts``, which bounds what the driver holds; from there on parts have more shards. Bounds are
+    approximate quantiles of the keys.
     """
-    spark = docs.sparkSession
-    n_rows = docs.select(F.count(key)).first()[0]
-    n_shards = min(most_shards, max(1, -(-n_rows // rows_per_shard)))
+    counts = docs.select(F.count(key).alias("keyed"), F.count("*").alias("n")).first()
+    n_keyed, n_null = counts["keyed"], counts["n"] - counts["keyed"]
+    rows = max(rows_per_shard, -(-counts["n"] // max(1, most_parts - 2)))
+    n_parts, null_parts = max(1, -(-n_keyed // rows)), -(-n_null // rows)
     bounds: tuple[int, ...] = ()
-    if n_shards > 1:
-        shares = [i / n_shards for i in range(1, n_shards)]
-        found = docs.select(F.approx_percentile(key, shares, max(10_000, 20 * n_shards)).alias("b")).first()["b"]
+    if n_parts > 1:
+        shares = [i / n_parts for i in range(1, n_parts)]
+        found = docs.select(F.approx_percentile(key, shares, max(10_000, 20 * n_parts)).alias("b")).first()["b"]
         bounds = tuple(int(b) for b in found)
     id_type = "<u2" if max(codec(vocabulary, "<u2").table.text_of) < 1 << 16 else "<u4"
+    width = np.dtype(id_type).itemsize
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, cuts = codec(vocabulary, id_type), np.array(bounds, np.int64)
-        end = bytes(np.dtype(id_type).itemsize)
+        end = bytes(width)
         for batch in batches:
-            for start, part in sub_batches(batch.column(1).to_pylist()):
-                ids = [x + end for x, _ in machine.encode(part)]
-                keys = batch.column(0).slice(start, len(part))
-                value = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                low, high = shard_of(value, cuts)
+            for start, texts in sub_batches(batch.column(1).to_pylist(), 1_000_000):
+                ids = [x + end for x, _ in machine.encode(texts)]
+                keys = batch.column(0).slice(start, len(texts))
+                low, high = part_range(keys, cuts, null_parts)
+                # Copies of a bound, and documents without a key, spread by their ids.
                 spread = np.array([zlib.crc32(x) for x in ids], np.int64) % (high - low + 1)
-                shard = np.where(np.asarray(keys.is_null()), 0, low + spread)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), keys.cast(pa.int64()), pa.array(ids, pa.binary())],
-                    names=["shard", "key", "ids"],
+                    [pa.array(low + spread, pa.int32()), keys.cast(pa.int64()), pa.array(ids, pa.binary())],
+                    names=["part", "key", "ids"],
                 )
 
     dealt = (
         docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-        .mapInArrow(encode, "shard int, key long, ids binary")
-        .repartitionById(n_shards, F.col("shard"))
-        .sortWithinPartitions("shard", "key", "ids")
+        .mapInArrow(tidied(encode), "part int, key long, ids binary")
+        .repartitionById(null_parts + n_parts, F.col("part"))
+        .sortWithinPartitions("part", "key", "ids")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec.cache_clear()  # of an encoding task before
         system, folder = _open(root)
-        out = None
-        keys, nulls, sizes = [], [], []
+        out, name, part = None, uuid.uuid4().hex, None
+        keys, sizes, listed, total = [], [], [], 0
+
+        def end_shard() -> None:
+            key_, size = pa.concat_arrays(keys), np.concatenate(sizes)
+            out.close()
+            _write_index(system, f"{folder}/index-{part:06d}-{len(listed)}-{name}.npz", key_, size)
+            known = key_.drop_null()
+            listed.append((len(key_) - len(known), len(known), known[0].as_py() if len(known) else 0, known[-1].as_py() if len(known) else 0, total))
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                shard, name = batch.column(0)[0].as_py(), uuid.uuid4().hex
-                system.create_dir(folder, recursive=True)
-                out = system.open_output_stream(f"{folder}/ids-{shard:06d}-{name}.bin")
-                width = np.dtype(id_type).itemsize
-                out.write(MAGIC + np.uint32(width).tobytes() + np.uint64(shard).tobytes())
-            column = batch.column(2)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-            out.write(memoryview(column.buffers()[2])[offsets[0] : offsets[-1]])
-            sizes.append(np.diff(offsets) // width)
-            nulls.append(np.asarray(batch.column(1).is_null()))
-            keys.append(batch.column(1).fill_null(0).to_numpy(zero_copy_only=False))
-        if out is None:
+            at = 0
+            while at < batch.num_rows:
+                if out is None:
+                    part = batch.column(0)[at].as_py()
+                    system.create_dir(folder, recursive=True)
+                    out = system.open_output_stream(f"{folder}/ids-{part:06d}-{len(listed)}-{name}.bin")
+                    out.write(MAGIC + np.uint32(width).tobytes() + np.uint64(part).tobytes())
+                take = batch.slice(at, rows_per_shard - sum(map(len, keys)))
+                column = take.column(2)
+                offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+                out.write(memoryview(column.buffers()[2])[offsets[0] : offsets[-1]])
+                sizes.append(np.diff(offsets).astype(np.int64) // width)
+                keys.append(take.column(1))
+                at += take.num_rows
+                if sum(map(len, keys)) == rows_per_shard:
+                    end_shard()
+                    total += int(sum(s.sum() for s in sizes))
+                    out, keys, sizes = None, [], []
+        if out is not None:
+            end_shard()
+            total += int(sum(s.sum() for s in sizes))
+        if part is None:
             return
-        out.close()
-        size, key_, null = np.concatenate(sizes).astype(np.int64), np.concatenate(keys), np.concatenate(nulls)
-        offset = np.cumsum(size) - size
-        first_row = int(null.sum())
-        different, first, copies = np.unique(key_[first_row:], return_index=True, return_counts=True)
-        first = first + first_row
-        hashed = PerfectHash.build(different)
-        slot = hashed.slots(different)
-        by_slot = np.empty(len(different), np.int64)
-        by_slot[slot] = np.arange(len(different))
         blob = io.BytesIO()
-        np.savez(
-            blob,
-            levels=hashed.sizes,
-            words=hashed.words,
-            fingerprint=fingerprints(different)[by_slot],
-            first=first[by_slot],
-            offset=offset[first][by_slot],
-            copies=copies[by_slot],
-            lengths=size,
-            null_copies=np.array(first_row),
-        )
-        with system.open_output_stream(f"{folder}/index-{shard:06d}-{name}.npz") as f:
+        np.savez(blob, **dict(zip(("nulls", "known", "first", "last", "start"), np.array(listed, np.int64).T)))
+        with system.open_output_stream(f"{folder}/list-{part:06d}-{name}.npz") as f:
             f.write(blob.getvalue())
         yield pa.RecordBatch.from_pydict(
-            {"shard": [shard], "name": [f"{shard:06d}-{name}"], "n_ids": [int(size.sum())]},
-            schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_ids", pa.int64())]),
+            {"part": [part], "name": [name], "n_ids": [total]}, schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_ids", pa.int64())])
         )
 
-    made = {r["shard"]: r for r in dealt.mapInArrow(write, "shard int, name string, n_ids long").collect()}
-    files, starts, total = [], [], 0
-    for shard in range(n_shards):
-        row = made.get(shard)
-        files.append((f"ids-{row['name']}.bin", f"index-{row['name']}.npz") if row else None)
+    made = {r["part"]: r for r in dealt.mapInArrow(tidied(write), "part int, name string, n_ids long").collect()}
+    names, starts, total = [], [], 0
+    for part in range(null_parts + n_parts):
+        row = made.get(part)
+        names.append(row["name"] if row else None)
         starts.append(total)
         total += row["n_ids"] if row else 0
-    return Store(root, bounds, tuple(files), tuple(starts), np.dtype(id_type).itemsize)
+    return Store(root, bounds, null_parts, tuple(names), tuple(starts), width)
+
+
+def _write_index(system, path: str, keys: pa.Array, size: np.ndarray) -> None:
+    """The index of a shard's documents, ``keys`` in order with nulls first, ``size`` in ids."""
+    offset = np.cumsum(size) - size
+    nulls = keys.null_count
+    different, first, copies = np.unique(keys.drop_null().to_numpy(), return_index=True, return_counts=True)
+    first = first + nulls
+    hashed = PerfectHash.build(different)
+    by_slot = np.empty(len(different), np.int64)
+    by_slot[hashed.slots(different)] = np.arange(len(different))
+    blob = io.BytesIO()
+    np.savez(
+        blob,
+        levels=hashed.sizes,
+        words=hashed.words,
+        fingerprint=fingerprints(different)[by_slot],
+        first=first[by_slot],
+        offset=offset[first][by_slot],
+        copies=copies[by_slot],
+        lengths=size,
+        null_copies=np.array(nulls),
+    )
+    with system.open_output_stream(path) as f:
+        f.write(blob.getvalue())
 
 
 def find(spark: SparkSession, store: Store, keys: DataFrame, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
@@ -231,50 +262,59 @@ def find(spark: SparkSession, store: Store, keys: DataFrame, outputs: tuple[str,
     ids array<int> and ids_crc32 long, of the ids as little-endian unsigned 32-bit integers.
     """
     name = keys.columns[0]
-    bounds, files, starts = np.array(store.bounds, np.int64), store.files, store.starts
+    bounds, null_parts, names, starts = np.array(store.bounds, np.int64), store.null_parts, store.names, store.starts
     id_type, root = np.dtype(f"<u{store.id_bytes}"), store.root
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            null = np.asarray(column.is_null())
-            value = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            low, high = shard_of(value, bounds)
-            low, high = np.where(null, 0, low), np.where(null, 0, high)
+            low, high = part_range(column, bounds, null_parts)
             times = high - low + 1
-            row = np.repeat(np.arange(len(value)), times)
-            shard = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            row = np.repeat(np.arange(len(column)), times)
+            part = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), column.take(pa.array(row)).cast(pa.int64())], names=["shard", "key"]
+                [pa.array(part, pa.int32()), column.take(pa.array(row)).cast(pa.int64())], names=["part", "key"]
             )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec.cache_clear()  # of an encoding task before
         system, folder = _open(root)
-        open_shard, index, hashed, source = -1, None, None, None
+        part, listed = None, {}
+
+        def load(path: str) -> dict:
+            with system.open_input_file(f"{folder}/{path}") as f:
+                return dict(np.load(io.BytesIO(f.read())))
+
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            for shard in np.unique(shards).tolist():
-                if files[shard] is None:
+            parts = batch.column(0).to_numpy()
+            for number in np.unique(parts).tolist():
+                if names[number] is None:
                     continue
-                if shard != open_shard:
-                    with system.open_input_file(f"{folder}/{files[shard][1]}") as f:
-                        index = dict(np.load(io.BytesIO(f.read())))
-                    hashed = PerfectHash(index["levels"], index["words"])
-                    source, open_shard = system.open_input_file(f"{folder}/{files[shard][0]}"), shard
-                asked = batch.column(1).filter(pa.array(shards == shard))
-                null = np.asarray(asked.is_null())
-                value = asked.fill_null(0).to_numpy(zero_copy_only=False)[~null]
-                slot = hashed.slots(value)
-                known = slot >= 0
-                known[known] = index["fingerprint"][slot[known]] == fingerprints(value[known])
-                value, slot = value[known], slot[known]
-                found = list(
-                    zip(value.tolist(), *(index[k][slot].tolist() for k in ("first", "offset", "copies")))
-                )
-                if null.any() and index["null_copies"]:
-                    found.append((None, 0, 0, int(index["null_copies"])))
-                found.sort(key=lambda x: x[2])
-                yield from _read(found, index["lengths"], source, starts[shard])
+                if number != part:
+                    part, listed = number, load(f"list-{number:06d}-{names[number]}.npz")
+                asked = batch.column(1).filter(pa.array(parts == number))
+                null = asked.null_count > 0
+                value = asked.drop_null().to_numpy()
+                for shard in range(len(listed["start"])):
+                    inside = (value >= listed["first"][shard]) & (value <= listed["last"][shard]) & (listed["known"][shard] > 0)
+                    if not inside.any() and not (null and listed["nulls"][shard]):
+                        continue
+                    at = f"{number:06d}-{shard}-{names[number]}"
+                    found, lengths = _hits(load(f"index-{at}.npz"), value[inside], null)
+                    with system.open_input_file(f"{folder}/ids-{at}.bin") as source:
+                        yield from _read(found, lengths, source, starts[number] + int(listed["start"][shard]))
+
+    def _hits(index: dict, value: np.ndarray, null: bool) -> tuple[list, np.ndarray]:
+        """(key, first row, first id, copies) of the keys that the shard holds, in its order."""
+        hashed = PerfectHash(index["levels"], index["words"])
+        slot = hashed.slots(value)
+        known = slot >= 0
+        known[known] = index["fingerprint"][slot[known]] == fingerprints(value[known])
+        value, slot = value[known], slot[known]
+        found = list(zip(value.tolist(), *(index[k][slot].tolist() for k in ("first", "offset", "copies"))))
+        if null and index["null_copies"]:
+            found.append((None, 0, 0, int(index["null_copies"])))
+        return sorted(found, key=lambda x: x[2]), index["lengths"]
 
     def _read(found: list, lengths: np.ndarray, source, shard_start: int) -> Iterator[pa.RecordBatch]:
         """Read the documents in the order of the file, in windows."""
@@ -310,7 +350,8 @@ def find(spark: SparkSession, store: Store, keys: DataFrame, outputs: tuple[str,
     return (
         keys.select(F.col(name).cast("long").alias("key"))
         .distinct()
-        .mapInArrow(place, "shard int, key long")
-        .repartitionById(max(1, len(files)), F.col("shard"))
-        .mapInArrow(look, schema)
+        .mapInArrow(place, "part int, key long")
+        .repartitionById(max(1, len(names)), F.col("part"))
+        .sortWithinPartitions("part", "key")
+        .mapInArrow(tidied(look), schema)
     )

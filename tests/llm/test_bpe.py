@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -71,10 +72,11 @@ def test_documents(spark, odd_docs, no_docs):
         assert r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize("rows_per_shard", [2, 1000])
-def test_store_round_trip(spark, odd_docs, rows_per_shard):
+@pytest.mark.parametrize("rows_per_shard, most_parts", [(4, 16384), (8192, 16384), (2, 4), (1, 16384)])
+def test_store_round_trip(spark, odd_docs, rows_per_shard, most_parts):
     name = "byte_bpe_50k.json"
-    store = keyed_ids.write_store(odd_docs, scratch_path(spark, "ids"), FILES[name], rows_per_shard=rows_per_shard)
+    store = keyed_ids.write_store(odd_docs, scratch_path(spark, "ids"), FILES[name], rows_per_shard=rows_per_shard, most_parts=most_parts)
+    assert len(store.names) <= max(most_parts, odd_docs.count())
     unknown = spark.createDataFrame([(10**12,), (-5,)], "doc_id long")
     found = keyed_ids.find(spark, store, odd_docs.select("doc_id").union(unknown), ("ids", "ids_crc32")).collect()
     want = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, ids_of(name, r["text"] or "") + [0]) for r in odd_docs.collect()), key=lambda x: x[:2])
@@ -89,6 +91,20 @@ def test_store_round_trip(spark, odd_docs, rows_per_shard):
     assert keys[0] is None and keys[1:] == sorted(keys[1:])
 
 
+def test_hot_keys_and_null_keys_spread(spark):
+    """A third of the rows without a key and a third under one: no part and no shard holds many."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store = keyed_ids.write_store(docs, scratch_path(spark, "ids"), FILES["byte_bpe_50k.json"], rows_per_shard=20)
+    found = keyed_ids.find(spark, store, docs.select("doc_id"), ("ids",)).collect()
+    assert sorted((r["key"] is not None, r["key"] or 0, list(r["ids"])) for r in found) == sorted(
+        (k is not None, k or 0, ids_of("byte_bpe_50k.json", t) + [0]) for k, t in rows
+    )
+    assert sorted(r["start"] for r in found) == np.cumsum([0, *[r["n_tokens"] for r in sorted(found, key=lambda r: r["start"])]])[:-1].tolist()
+    sizes = [sum(np.load(f)["lengths"].shape[0] for f in Path(store.root.removeprefix("file:")).glob(f"index-*{n}*")) for n in store.names if n]
+    assert store.null_parts == 10 and sum(sizes) == 600 and max(sizes) < 60
+
+
 def test_store_of_nothing(spark, no_docs):
     store = keyed_ids.write_store(no_docs, scratch_path(spark, "ids"), FILES["byte_bpe_50k.json"])
     assert keyed_ids.find(spark, store, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
