@@ -5,9 +5,8 @@ aggregation, so a line of a third of all documents is one sketch per task before
 the sketch's error of the threshold get an exact distinct count; the rest are decided by the estimate. Lines of at least
 ``sites`` sites are boilerplate and leave their documents.
 
-A document of which boilerplate would be more than ``most_share`` of the characters stays whole, for document dedup to judge; its own
-lines may be few, so that share doesn't tell a copy from a short page. With ``most_share=None`` only a document without any line of its
-own stays whole, and all others lose their spread lines. Blank lines never count. All steps are DataFrame expressions.
+A document without any line of its own stays whole, as it would be emptied; that is for document dedup to judge. Blank lines never count. All
+steps are DataFrame expressions, and linear in the lines of a text: nothing looks a line up by splitting the text again.
 
 Defined results: a null text stays null with nothing removed; a null site is a site of its own. Lines are compared without the
 spaces around them. Repeated rows are treated alike. Other columns pass through.
@@ -22,6 +21,8 @@ from phenoline.llm.common import stored
 
 LG_K = 12
 ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
+BITS = 62  # lines that one number marks
+SALTS = 8  # tasks that rows with the same text are dealt to
 
 
 def _lines(text: Column) -> Column:
@@ -49,30 +50,26 @@ def spread_lines(docs: DataFrame, sites: int, text: str = "text", site: str = "s
     return stored(guess.filter(sure).select("line").union(exact.select("line")), "boilerplate")
 
 
-def drop_spread_lines(docs: DataFrame, sites: int = 10, most_share: float | None = 0.5, text: str = "text", site: str = "source") -> DataFrame:
+def drop_spread_lines(docs: DataFrame, sites: int = 10, text: str = "text", site: str = "source") -> DataFrame:
     """Replace ``text`` by what is left of it, and add n_removed (long)."""
     bad = spread_lines(docs, sites, text, site)
     # Rows with the same text have the same lines, so the text's hash names them.
     key = F.xxhash64(text).alias("_key")
-    texts = docs.filter(F.col(text).isNotNull())
-    n = F.length(text) if most_share is not None else F.size(F.filter(_lines(F.col(text)), lambda line: F.trim(line) != ""))
-    placed = texts.select(key, n.alias("n"), F.posexplode(_hashes(F.col(text))).alias("at", "line"), F.split(text, "\n").alias("lines"))
-    placed = placed.select("_key", "n", "at", "line", F.length(F.get("lines", F.col("at"))).alias("size")).filter("line IS NOT NULL")
-    weight = F.aggregate("hits", F.lit(0), lambda a, x: a + x["size"])
-    partial = weight <= most_share * F.col("n") if most_share is not None else F.size("hits") < F.col("n")
-    hit = (
-        placed.join(bad, "line", "left_semi")
-        .groupBy("_key", "n")
-        .agg(F.collect_set(F.struct("at", "size")).alias("hits"))
-        .filter(partial)
-        .select("_key", F.col("hits.at").alias("_gone"))
-    )
-    rows = docs.drop("n_removed", "_key", "_gone").withColumn("_key", key).join(hit, "_key", "left")
-    lines = _lines(F.col(text))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return (
-        rows.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .select(*[F.col("_text").alias(c) if c == text else c for c in docs.columns if c != "n_removed"], F.greatest("n_removed", F.lit(0).cast("long")).alias("n_removed"))
+    placed = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(_hashes(F.col(text))).alias("at", "line"))
+    met = placed.join(bad.withColumn("bad", F.lit(True)), "line", "left")
+    bit = F.when(F.col("bad"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % BITS)).otherwise(F.lit(0).cast("long"))
+    own = F.max(F.col("line").isNotNull() & F.col("bad").isNull())
+    # Marks of the lines that go, BITS lines to a number, in order and without a gap.
+    marks = met.groupBy("_key", F.expr(f"at div {BITS}").alias("word")).agg(F.bit_or(bit).alias("bits"), own.alias("own"))
+    whole = marks.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"), F.max("own").alias("own"), F.max(F.col("bits") != 0).alias("any"))
+    hit = whole.filter("own AND any").select("_key", F.col("words.bits").alias("_gone"))
+    # A text may stand in any share of the rows, and so may null.
+    salted = hit.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.drop("n_removed", "_key", "_gone", "_salt").withColumns({"_key": F.xxhash64(text), "_salt": (F.monotonically_increasing_id() % SALTS).cast("int")})
+    rows = rows.join(salted, ["_key", "_salt"], "left")
+    kept = F.filter(_lines(F.col(text)), lambda line, i: F.call_function("getbit", F.get("_gone", F.floor(i / BITS).cast("int")), i % BITS) == 0)
+    removed = F.aggregate("_gone", F.lit(0).cast("long"), lambda n, word: n + F.bit_count(word))
+    return rows.select(
+        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else c for c in docs.columns if c != "n_removed"],
+        F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"),
     )

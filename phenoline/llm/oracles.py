@@ -14,11 +14,11 @@ bad AS (SELECT trim(line, ' ') AS k FROM l WHERE trim(line, ' ') <> '' GROUP BY
 flag AS (
   SELECT doc_id, pos, line, trim(line, ' ') <> '' AND trim(line, ' ') IN (SELECT k FROM bad) AS hit FROM l),
 d AS (
-  SELECT doc_id, sum(CASE WHEN hit THEN length(line) ELSE 0 END) AS gone, count(*) FILTER (WHERE hit) AS hits,
+  SELECT doc_id, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit AND trim(line, ' ') <> '') AS own,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS rest
   FROM flag GROUP BY 1)
-SELECT t.doc_id, CASE WHEN hits > 0 AND gone <= 0.5 * length(text) THEN rest ELSE text END AS text, lang, source, n_chars,
-  CAST(CASE WHEN hits > 0 AND gone <= 0.5 * length(text) THEN hits ELSE 0 END AS BIGINT) AS n_removed
+SELECT t.doc_id, CASE WHEN hits > 0 AND own > 0 THEN rest ELSE text END AS text, lang, source, n_chars,
+  CAST(CASE WHEN hits > 0 AND own > 0 THEN hits ELSE 0 END AS BIGINT) AS n_removed
 FROM documents t LEFT JOIN d USING (doc_id)
 """
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -114,13 +115,46 @@ def test_lines(spark, odd_docs, no_docs):
     out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_spread.drop_spread_lines(docs, sites=12).collect()}
     assert out[3] == ("line 3 with words of its own and more\nxxx", 1)
     assert out[20] == ("menu of the site", 0)  # nothing but boilerplate: a copy, left whole
-    assert out[21] == ("other\n\nmenu of the site  ", 0)
+    assert out[21] == ("other\n", 1)
     assert {r["n_removed"] for r in line_spread.drop_spread_lines(docs, sites=14).collect()} == {0}
     odd = line_spread.drop_spread_lines(odd_docs, sites=2)
     assert sorted(odd.columns) == sorted(odd_docs.columns) and odd.count() == odd_docs.count()
     assert line_spread.drop_spread_lines(no_docs).count() == 0
 
 
+def test_lines_of_very_long_texts(spark):
+    """A hundred thousand lines take seconds; the work grows with them, not with their square."""
+    long = "\n".join("menu" if i % 3 == 0 else "" if i % 50 == 1 else f"line {i} of the text" for i in range(100_000))
+    rows = [(0, long, "s0")] + [(i, f"menu\nown {i}", f"s{i}") for i in range(1, 12)] + [(99, None, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    begin = time.monotonic()
+    out = line_spread.drop_spread_lines(docs, sites=10).collect()
+    assert time.monotonic() - begin < 60
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in out}
+    assert got[0] == ("\n".join(x for x in long.split("\n") if x != "menu"), 33_334)
+    assert got[4] == ("own 4", 1) and got[99] == (None, 0) and len(out) == len(rows)
+
+
+def test_whole_licence_texts(spark):
+    """Templates of any length, found whole, with words left out or put in, and not in texts that share some of their words."""
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(3, 9))) for _ in range(3000)]
+    text = rnd.choices(vocabulary, k=700)
+    edited = [w for i, w in enumerate(text) if i % 97] + ["more"]
+    half = text[:300] + rnd.choices(vocabulary, k=400)
+    long = rnd.choices(vocabulary, k=60_000)
+    texts = {1: text, 2: edited, 3: half, 4: long[:30_000] + [w.upper() for w in text] + long[30_000:], 5: long}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    begin = time.monotonic()
+    got = {r["doc_id"]: r for r in license_diagonals.scan(docs, passages=[(" ".join(text), "whole")]).collect()}
+    assert time.monotonic() - begin < 60
+    assert {i: r["labels"] for i, r in got.items()} == {1: "whole", 2: "whole", 3: "", 4: "whole", 5: ""}
+    assert got[1]["score"] == 1 and 0.95 < got[2]["score"] < 1 and got[4]["score"] == 1
+    assert [tuple(s) for s in got[4]["spans"]] == [("whole", 30_000, 30_699, 1.0)]
+    with pytest.raises(ValueError):
+        license_diagonals.scan(docs, passages=[("one", "x")])
+
+
 def test_mix(spark, odd_docs, no_docs):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "b").alias("source"))
     got = {r["source"]: r["count"] for r in poisson_mix.mix(docs, {"hot": 0.2, "b": 0.3, "absent": 0.1}).groupBy("source").count().collect()}
