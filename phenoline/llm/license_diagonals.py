@@ -27,7 +27,7 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Longer passages of public licence texts, of at most 64 words, with the method's labels (fixed values).
+# Longer passages of public licence texts, with the method's labels (fixed values).
 PASSAGES = (
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
@@ -45,6 +45,7 @@ PASSAGES = (
 # Before lower-casing, capitals are letters too.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = 2
+BITS = 62  # places of a template that one number marks
 
 
 def words_of(text: Column) -> Column:
@@ -57,28 +58,31 @@ def templates(spark: SparkSession, phrases, passages) -> DataFrame:
     rows = []
     for number, (text, label) in enumerate([*phrases, *passages]):
         words = text.split()
-        if not 2 <= len(words) <= 64:
-            raise ValueError(f"a template has 2 to 64 words: {text}")
+        if len(words) < 2:
+            raise ValueError(f"a template has two words or more: {text}")
         rows += [(number, number < len(phrases), label, len(words) - 1, i, a, b) for i, (a, b) in enumerate(zip(words, words[1:]))]
     schema = "template int, exact boolean, label string, pairs int, place int, first string, second string"
     return spark.createDataFrame(rows, schema).withColumn("gram", F.xxhash64(F.xxhash64("first"), F.xxhash64("second")))
 
 
 def votes(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
-    """One row per input row and diagonal with votes, and one with nulls for the pairs without any.
+    """Rows (row, doc_id, n_words, template, exact, label, pairs, diagonal, part, seen, low, high), and one with nulls for the pairs without votes.
 
-    ``row`` tells input rows apart; it is made once and only travels with its row.
+    ``seen`` marks the places of the template that a diagonal has votes for, ``BITS`` of them to a ``part``. ``row`` tells input rows apart; it is made
+    once and only travels with its row.
     """
     words = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("words", words_of(F.col(text)))
-    hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
-    pairs = F.zip_with("hashes", F.slice("hashes", F.lit(2), F.greatest(F.size("hashes"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    placed = hashed.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.posexplode_outer(pairs).alias("at", "gram"))
-    # Full lower-casing may only make too many hashes equal; the words are compared with A-Z lower-cased.
-    word = lambda i: lower_ascii(F.get("words", i))
-    same = (word(F.col("at")) == F.col("first")) & (word(F.col("at") + 1) == F.col("second"))
-    matched = placed.join(F.broadcast(table.withColumnRenamed("gram", "t_gram")), (F.col("gram") == F.col("t_gram")) & same, "left")
-    return matched.groupBy("row", "doc_id", "n_words", "template", "exact", "label", "pairs", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("place", F.lit(0)))).alias("seen"),
+    # Each pair takes its two words along, and nothing as long as the text.
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    placed = words.select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode_outer(pairs).alias("at", "pair"))
+    first, second = lower_ascii(F.col("pair.a")), lower_ascii(F.col("pair.b"))
+    placed = placed.select("row", "doc_id", "n_words", "at", first.alias("a"), second.alias("b"))
+    gram = F.when(F.col("b").isNotNull(), F.xxhash64(F.xxhash64("a"), F.xxhash64("b")))
+    same = (F.col("a") == F.col("first")) & (F.col("b") == F.col("second"))
+    matched = placed.withColumn("gram", gram).join(F.broadcast(table.withColumnRenamed("gram", "t_gram")), (F.col("gram") == F.col("t_gram")) & same, "left")
+    part = F.coalesce(F.expr(f"place div {BITS}"), F.lit(0)).alias("part")
+    return matched.groupBy("row", "doc_id", "n_words", "template", "exact", "label", "pairs", (F.col("at") - F.col("place")).alias("diagonal"), part).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(F.col("place") % BITS, F.lit(0)))).alias("seen"),
         F.min("at").alias("low"),
         F.max("at").alias("high"),
     )
@@ -92,15 +96,19 @@ def scan(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, least: float = 0.7
     table = templates(docs.sparkSession, phrases, passages)
     found = votes(docs.select("doc_id", text), table, text)
     # A passage's diagonal with a lone vote is noise, unless the passage has no more pairs than that.
-    found = found.withColumn("template", F.when(F.col("exact") | (F.bit_count("seen") >= 2), F.col("template")))
+    alone = F.sum(F.bit_count("seen")).over(Window.partitionBy("row", "template", "diagonal")) < 2
+    found = found.withColumn("alone", alone).withColumn("template", F.when(F.col("exact") | ~F.col("alone"), F.col("template")))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
-    near = F.col("diagonal") - F.lag("diagonal").over(order) <= GAP
+    near = F.col("diagonal") - F.lag("diagonal").over(order) <= F.when(F.col("exact"), 0).otherwise(GAP)
+    span_of = ("row", "doc_id", "n_words", "template", "exact", "label", "pairs", "span")
     merged = (
-        found.withColumn("starts", F.when(near & ~F.col("exact"), 0).otherwise(1))
+        found.withColumn("starts", F.when(near, 0).otherwise(1))
         .withColumn("span", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("row", "doc_id", "n_words", "template", "exact", "label", "pairs", "span")
+        .groupBy(*span_of, "part")
         .agg(F.bit_or(F.when(F.col("template").isNotNull(), F.col("seen"))).alias("seen"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .withColumn("share", F.when(F.col("template").isNotNull(), F.bit_count("seen") / F.col("pairs")))
+        .groupBy(*span_of)
+        .agg(F.sum(F.bit_count("seen")).alias("covered"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .withColumn("share", F.when(F.col("template").isNotNull(), F.col("covered") / F.col("pairs")))
     )
     holds = F.col("template").isNotNull() & F.when(F.col("exact"), F.col("share") == 1).otherwise(F.col("share") >= least)
     base = holds & F.col("exact")
