@@ -97,8 +97,11 @@ class Voter:
             return np.full(len(counts), self.share)
         near = self.latent(counts) @ self.vectors.T
         k = min(self.k, near.shape[1])
-        # Ties at the border go to the earlier rows of the sample, in every block alike.
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        # Ties at the border go to the earlier rows of the sample, in every block alike.
+        least = np.take_along_axis(near, top, 1).min(1, keepdims=True)
+        for row in np.flatnonzero((near >= least).sum(1) > k):
+            top[row] = np.argsort(-near[row], kind="stable")[:k]
         weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 8 + 1e-9
         return (weight * self.labels[top]).sum(1) / weight.sum(1)
 
