@@ -182,8 +182,16 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, stop: float = 0.98, s
     projection = Projection(size, math.sqrt(facts["m"] or 1.0), seed)
     wanted = min(CELLS[1], max(CELLS[0], -(-facts["n"] // BLOCK)))
     cells = 1 << (wanted - 1).bit_length()
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_PER_CELL * cells).select("v").collect()
-    tree = Cells(projection.points(np.array([r["v"] for r in picked], np.float64).reshape(-1, size)), cells)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = projection.points(np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, size))
+            yield pa.RecordBatch.from_arrays([pa.array(list(points), pa.list_(pa.float64()))], names=["point"])
+
+    # The driver gets the projections of about SAMPLE_PER_CELL vectors a cell, those with the lowest hashes.
+    share = min(1.0, SAMPLE_PER_CELL * cells / max(facts["n"], 1))
+    picked = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) <= int(share * (1 << 32))).select("v").mapInArrow(project, "point array<double>").collect()
+    tree = Cells(np.array(sorted(r["point"] for r in picked), np.float64).reshape(-1, PROJECTIONS), cells)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
