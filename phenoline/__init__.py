@@ -10,7 +10,9 @@ from phenoline.operators.errors import (
     overall_metrics,
     run_summary,
 )
-from phenoline.operators.gapfill import fill_gaps
+from phenoline.operators.families import Family, register_family
+from phenoline.operators.gapfill import fill_gaps, fill_series
+from phenoline.operators.lags import fit_lag_readouts, lag_products, predict_from_lags
 from phenoline.operators.overlap import key_counts, key_overlap, shared_keys
 from phenoline.operators.readout import Readout, fit_lines, fit_readouts, predict
 from phenoline.operators.reshape import (
@@ -24,6 +26,7 @@ from phenoline.operators.reshape import (
 )
 from phenoline.operators.scaling import CustomScaler, Scaler, apply_scalers, fit_scalers, invert_scalers
 from phenoline.operators.scoring import (
+    point_rows,
     predict_rows,
     predict_sequences,
     score_at_cutoffs,
@@ -46,18 +49,20 @@ from phenoline.operators.windows import lag_windows
 from phenoline.plans.comparison import compare_runs
 from phenoline.plans.evaluation import sweep
 from phenoline.plans.training import load_seasons, scale_seasons, season_table
-from phenoline.sources.runs import read_run_folders, read_runs, write_runs
+from phenoline.sources.runs import finished_runs, read_finished_runs, read_run_folders, read_runs, write_run, write_runs
 from phenoline.sources.sheets import read_sheets
 from phenoline.sources.store import load_or_create, read_seasons, write_seasons
-from phenoline.sources.wide import read_cities, read_wide_csv
+from phenoline.sources.wide import column_keys, melt_wide_csv, read_cities, read_wide_csv, read_wide_observations
 
 __all__ = [
     "CustomScaler",
+    "Family",
     "Readout",
     "Scaler",
     "apply_scalers",
     "best_runs",
     "build_season_steps",
+    "column_keys",
     "compare_runs",
     "date_errors",
     "densify_observations",
@@ -66,29 +71,39 @@ __all__ = [
     "explode_daily",
     "explode_steps",
     "fill_gaps",
+    "fill_series",
+    "finished_runs",
+    "fit_lag_readouts",
     "fit_lines",
     "fit_readouts",
     "fit_scalers",
     "invert_scalers",
     "key_counts",
     "key_overlap",
+    "lag_products",
     "lag_windows",
     "latest_day_of_year",
     "length_stats",
     "load_or_create",
     "load_seasons",
+    "melt_wide_csv",
     "nest_seasons",
     "overall_metrics",
     "pair_events",
+    "point_rows",
     "predict",
+    "predict_from_lags",
     "predict_rows",
     "predict_sequences",
     "read_cities",
+    "read_finished_runs",
     "read_run_folders",
     "read_runs",
     "read_seasons",
     "read_sheets",
     "read_wide_csv",
+    "read_wide_observations",
+    "register_family",
     "repeated_sites",
     "run_summary",
     "scale_seasons",
@@ -108,6 +123,7 @@ __all__ = [
     "unpivot_observations",
     "with_cutoffs",
     "with_observations",
+    "write_run",
     "write_runs",
     "write_seasons",
 ]

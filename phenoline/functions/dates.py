@@ -53,9 +53,9 @@ def floored_days(start: Column, end: Column) -> Column:
 
     Clock times are compared as they are written; the session's time zone and its changes of the clock don't enter.
     """
-    first, last = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
-    clock = lambda moment: F.substring(moment.cast("string"), 12, 15)
-    return F.date_diff(last.cast("date"), first.cast("date")) - (clock(last) < clock(first)).cast("int")
+    gap = end.cast("timestamp_ntz") - start.cast("timestamp_ntz")
+    toward_zero = F.extract(F.lit("DAY"), gap)
+    return toward_zero - (gap < F.make_dt_interval(toward_zero)).cast("int")
 
 
 def add_days(date: Column, days: Column) -> Column:
