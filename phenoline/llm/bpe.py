@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import regex
 
 ROW = 48
+PIECE = 4096  # ids that the decoder is fed at a time
 NONE = np.int32(2**31 - 1)
 
 # Splitting rules of the two vocabularies (fixed values; they must equal those in the files).
@@ -320,8 +321,6 @@ class Codec:
         self.special = re.compile("|".join(map(re.escape, self.table.special)) or r"(?!)")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.shown: dict[str, bytes] = {}
-        self.shown_old: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
         """Cut by the splitting rule. A word of letters, bare or before one mark, needs no look at the rule."""
@@ -350,8 +349,10 @@ class Codec:
         return [ids[c] if type(c) is int else b"".join([ids[x] for x in c]) for c in cut]
 
     def _shown(self, ids: bytes) -> bytes:
-        machine = Decoder(self.table)
-        return (machine.feed(np.frombuffer(ids, self.id_type).tolist()) + machine.end()).encode()
+        """What one decoder gives for a whole text's ids, fed a piece at a time."""
+        machine, values = Decoder(self.table), np.frombuffer(ids, self.id_type)
+        shown = [machine.feed(values[k : k + PIECE].tolist()) for k in range(0, len(values), PIECE)]
+        return ("".join(shown) + machine.end()).encode()
 
     def _text_of(self, chunk: str) -> str:
         """The text that a chunk stands for: byte-level ones carry the space before them, but for a text's first."""
@@ -360,23 +361,18 @@ class Codec:
         return chunk[1:] if chunk.startswith("\x00") else " " + chunk
 
     def _known(self, chunks: list[str]) -> list[bytes]:
-        """Ids of different chunks, remembered or new; fills what is shown for them too."""
+        """Ids of different chunks, remembered or new."""
         if len(self.young) + len(chunks) > self.remember:
             self.old, self.young = self.young, {}
-            self.shown_old, self.shown = self.shown, {}
         young, old, new = self.young, self.old, []
         for c in chunks:
             if c not in young:
                 if c in old:
                     young[c] = old[c]
-                    if self.decode:
-                        self.shown[c] = self.shown_old[c]
                 else:
                     new.append(c)
         for c, ids in zip(new, self._encode_new([self._text_of(c) for c in new])):
             young[c] = ids
-            if self.decode:
-                self.shown[c] = self._shown(ids)
         return [young[c] for c in chunks]
 
     def _plain(self, text: str) -> bool:
@@ -415,15 +411,8 @@ class Codec:
         coded = chunks.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
         ids = _laid_out(self._known(words), coded.indices, cut)
-        if self.decode:
-            # A chunk without tokens, such as a lone joiner, leaves no gap.
-            gap = b"" if self.table.byte_decoder else b" "
-            shown = _laid_out([gap + x if (x := self.shown[w]) else x for w in words], coded.indices, cut)
-            shown = [x[len(gap) :] for x in shown]
-        else:
-            shown = [b""] * len(plain)
-        for i, a, b in zip(plain, ids, shown):
-            out[i] = (a, b)
+        for i, raw in zip(plain, ids):
+            out[i] = (raw, self._shown(raw) if self.decode else b"")
         return out
 
     def encode_stream(self, pieces: Iterable[str]) -> Iterator[int]:
