@@ -40,6 +40,7 @@ from phenoline.llm.common import sub_batches, tidied
 
 MAGIC, HEADER = b"PLID", 16
 WINDOW = 2 << 20
+TOGETHER = 6_000_000  # characters that are encoded at once; chunks that several texts share are looked up once
 
 
 # The hash
@@ -157,7 +158,7 @@ def write_store(
         machine, cuts = codec(vocabulary, id_type), np.array(bounds, np.int64)
         end = bytes(width)
         for batch in batches:
-            for start, texts in sub_batches(batch.column(1).to_pylist(), 1_000_000):
+            for start, texts in sub_batches(batch.column(1).to_pylist(), TOGETHER):
                 ids = [x + end for x, _ in machine.encode(texts)]
                 keys = batch.column(0).slice(start, len(texts))
                 low, high = part_range(keys, cuts, null_parts)
