@@ -6,8 +6,8 @@ and `b` follows in one run only, and then by the length of `a`, once. The next r
 begins with `a`, so `a` lies on the left edge of the merge tree of `b'`, and ranks rise along such a chain. The longest
 chain, counted in symbols of its left parts, is a sufficient lookahead: a token that ends that far before the cut is final.
 
-Words of up to ``ROW`` bytes are merged together as rows of a matrix; longer ones pass through `WordTransducer`, which
-emits tokens once they are final and holds a bounded number of symbols.
+Words pass through `WordTransducer`, which emits tokens once they are final and holds a bounded number of symbols. Where time is short, words
+of up to ``ROW`` bytes, which end before the transducer's window is full, are merged together as rows of a matrix instead.
 """
 
 from __future__ import annotations
@@ -232,6 +232,16 @@ class MergeTable:
         return out
 
 
+def transduced(table: MergeTable, words: list[str], id_type: np.dtype) -> list[bytes]:
+    """Ids of words, each fed to a `WordTransducer` a piece at a time."""
+    out = []
+    for word in words:
+        machine, raw = WordTransducer(table), word.encode()
+        ids = [t for k in range(0, len(raw), 4096) for t in machine.feed(raw[k : k + 4096])]
+        out.append(np.array(ids + machine.end(), id_type).tobytes())
+    return out
+
+
 class WordTransducer:
     """Encode one word that arrives in pieces of bytes; tokens leave once no later byte can change them."""
 
@@ -309,12 +319,13 @@ def lower_case(text: str) -> str:
 class Codec:
     """Encodes whole texts. Chunks between spaces never share a token, so the ids of recent chunks are remembered.
 
-    At most ``remember`` chunks are held in each of two generations, whatever the input.
+    At most ``remember`` chunks are held in each of two generations, whatever the input. New words pass through the transducer, or, unless
+    ``streamed``, short ones are merged together as the rows of a matrix, which gives the same ids.
     """
 
-    def __init__(self, path: str, id_type: str = "<u4", decode: bool = False, remember: int = 500_000):
+    def __init__(self, path: str, id_type: str = "<u4", decode: bool = False, remember: int = 500_000, streamed: bool = False):
         self.table = MergeTable(path)
-        self.id_type, self.decode, self.remember = np.dtype(id_type), decode, remember
+        self.id_type, self.decode, self.remember, self.streamed = np.dtype(id_type), decode, remember, streamed
         self.pieces = regex.compile((WORD_PIECES if self.table.lower_case else BYTE_PIECES).replace(r"\s", SPACE).replace(r"\S", r"\P{White_Space}"))
         if not all(t.startswith("<|") for t in self.table.special):
             raise ValueError("special tokens must begin with <|")
@@ -345,7 +356,7 @@ class Codec:
                 cut.append(place.setdefault(pieces[0], len(place)))
             else:
                 cut.append([place.setdefault(p, len(place)) for p in pieces])
-        ids = self.table.encode_words(list(place), self.id_type)
+        ids = transduced(self.table, list(place), self.id_type) if self.streamed else self.table.encode_words(list(place), self.id_type)
         return [ids[c] if type(c) is int else b"".join([ids[x] for x in c]) for c in cut]
 
     def _shown(self, ids: bytes) -> bytes:
@@ -429,6 +440,6 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, id_type: str = "<u4", decode: bool = False) -> Codec:
+def codec(path: str, id_type: str = "<u4", decode: bool = False, streamed: bool = False) -> Codec:
     """One codec per Python worker."""
-    return Codec(path, id_type, decode)
+    return Codec(path, id_type, decode, streamed=streamed)

@@ -36,7 +36,7 @@ def encode_decode(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = codec(vocabulary, "<u4", any(n.startswith("decoded") for n in outputs))
+        machine = codec(vocabulary, "<u4", any(n.startswith("decoded") for n in outputs), streamed=True)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for start, part in sub_batches(texts):

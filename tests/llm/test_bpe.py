@@ -17,6 +17,7 @@ from phenoline.sources.paths import scratch_path
 FILES = {n: public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 LIBRARY = {n: Tokenizer.from_file(p) for n, p in FILES.items()}
 CODEC = {n: Codec(p, decode=True) for n, p in FILES.items()}
+STREAMED = {n: Codec(p, decode=True, streamed=True) for n, p in FILES.items()}
 PARTS = list("abcdeABEzZ'sStTrelvmd   \n\t.,!?-0123éÉüßñΣσςİ🙂中文́\x1c\x00\x85\xa0") + ["  ", "<|endoftext|>", "<|startoftext|>", "'re", "the "]
 
 
@@ -32,6 +33,7 @@ def test_same_as_the_library(name, text):
     want = ids_of(name, text)
     assert np.frombuffer(raw, "<u4").tolist() == want
     assert shown.decode() == LIBRARY[name].decode(want, skip_special_tokens=False)
+    assert STREAMED[name].encode([text]) == [(raw, shown)]
     assert list(CODEC[name].encode_stream(text[i : i + 7] for i in range(0, len(text), 7))) == want
 
 
@@ -40,6 +42,7 @@ def test_long_words(name):
     rnd = random.Random(3)
     for text in ("a" * 9000, "ab" * 4000, "".join(rnd.choices("abcdefghinorstue", k=9000)), "!" * 5000):
         assert np.frombuffer(CODEC[name].encode([text])[0][0], "<u4").tolist() == ids_of(name, text)
+        assert STREAMED[name].encode([text]) == CODEC[name].encode([text])
 
 
 def test_decoder_state():
