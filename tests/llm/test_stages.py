@@ -1,17 +1,22 @@
 """Stages of the pipeline, with their own parameters, against plain Python."""
 
+import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from phenoline.llm import neighbour_votes
 from phenoline.llm.queries import SOURCE_WEIGHTS
 from test_documents import family, groups
+from test_proofs import corpus, plain_counts
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -105,3 +110,42 @@ def test_votes_of_a_repeated_id(spark):
     assert len(few.vectors) == 40 and few.labels.sum() == 20
     other = neighbour_votes.fit(docs.coalesce(1), labels, per_class=20)
     assert np.allclose(few.vectors @ few.vectors.T, other.vectors @ other.vectors.T, atol=1e-4)
+
+
+def test_quality_keeps_what_the_neighbours_vote_for(spark, tmp_path):
+    """The stage's rows by brute force: examples from labels outside the fifth held out, votes by all cosines, 0.3 as the border."""
+    rnd = random.Random(21)
+    texts = [t if i % 11 else None for i, t in enumerate(corpus(rnd, 200))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], FIELDS).repartition(4)
+    marks = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    learned = {i: int(i % 3 != 0) for i in range(0, 200, 2) if zlib.crc32(str(i).encode()) % 5}
+    known = spark.createDataFrame(list(learned.items()), "doc_id long, label int")
+    voter = neighbour_votes.fit(docs.select("doc_id", "text"), known)
+    assert len(voter.labels) == len(learned)
+    want = set()
+    for i, t in enumerate(texts):
+        v = (np.log1p(plain_counts(t)).astype(np.float32) * voter.idf) @ voter.axes
+        near = sorted(((float(v @ x) / max(np.linalg.norm(v), 1e-12), -j) for j, x in enumerate(voter.vectors)), reverse=True)[: voter.k]
+        weights = [(max(c, 0.0) ** 8 + 1e-9, voter.labels[-j]) for c, j in near]
+        score = sum(w * y for w, y in weights) / sum(w for w, _ in weights)
+        assert abs(score - 0.3) > 1e-4
+        if score >= 0.3:
+            want.add(i)
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert tuple(kept.columns) == corpus_pipeline.COLUMNS
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {i: texts[i] for i in want} and 0 < len(want) < len(texts)
+
+
+def test_encoding_is_the_library_s(spark):
+    rnd = random.Random(5)
+    texts = ["", None, "Some Words,  twice\n", "naïve 🙂 中文 İ", "x" * 5000, *[" ".join(rnd.choices(["The", "cat's", "12.5", "Ünï", "sat"], k=40)) for _ in range(20)]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], FIELDS).repartition(3)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    got = {r["doc_id"]: (r["n_tokens"], list(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        shown = library.decode(ids, skip_special_tokens=False)
+        assert got[i] == (len(ids), ids, hashlib.sha256(shown.encode()).hexdigest())
