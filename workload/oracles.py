@@ -427,6 +427,10 @@ SELECT x.month AS dataset_1, y.month AS dataset_2, coalesce(n, 0) AS overlap_cou
 FROM m x JOIN m y ON x.month < y.month LEFT JOIN hit ON a = x.month AND b = y.month""",
     "gap_linear": _gap("linear"),
     "gap_quadratic": _gap("quadratic"),
+    "gap_spline": """
+SELECT s_suppkey AS site, CAST(t AS INTEGER) AS t, NOT ((t * 7 + s_suppkey) % 5 > 1 AND t BETWEEN 3 AND 115) AS gap,
+       round((s_acctbal / 100 + (s_nationkey - 12) * t / 10.0::DOUBLE + (s_suppkey % 7 - 3) * t * t / 50.0::DOUBLE) / pi(), 4) AS filled
+FROM supplier, range(120) r(t)""",
     "gap_series": _gap("linear", "site"),
     "gap_series_quadratic": _gap("quadratic", "site"),
     "lag_window_features": f"""WITH {_steps()},

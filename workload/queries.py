@@ -213,7 +213,7 @@ def unpivot_events(spark: SparkSession, sf: str) -> DataFrame:
     weekday = F.dayofweek("date")
     cell = F.when(weekday == 1, "").when(weekday == 7, "not observed").otherwise(F.col("date").cast("string"))
     cells = events.select(F.col("site").alias("Site Name"), F.col("year").cast("string").alias("y"), cell.alias("c"))
-    years = _years(cells)
+    years = _years(table(spark, sf, "lineitem").select(F.year("l_shipdate").cast("string").alias("y")))
     as_wide = cells.groupBy("Site Name").pivot("y", years).agg(F.max("c")).withColumn("Notes", F.lit("none"))
     return reshape.unpivot_events(as_wide, "Site Name").select("site", "year", text("date"))
 
@@ -430,6 +430,20 @@ def gap_series_quadratic(spark: SparkSession, sf: str) -> DataFrame:
     return _gap_series(spark, sf, "quadratic")
 
 
+def gap_spline(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps and both ends of a curve for each supplier, whose coefficients are the supplier's numbers. The curves are parabolas, which a
+    smoothing spline of order 2 goes through, so what should stand in the gaps is known.
+    """
+    places = F.explode(F.sequence(F.lit(0), F.lit(119))).alias("t")
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey", places)
+    t = F.col("t")
+    value = F.col("s_acctbal") / 100 + (F.col("s_nationkey") - 12) * t / 10 + (F.col("s_suppkey") % 7 - 3) * t * t / 50
+    known = ((t * 7 + F.col("s_suppkey")) % 5 > 1) & t.between(3, 115)
+    series = rows.select(F.col("s_suppkey").alias("site"), "t", F.when(known, value).alias("v"))
+    filled = fill_gaps(series, ["site"], "t", "v", "spline", min_points=30)
+    return filled.select("site", "t", F.col("v").isNull().alias("gap"), F.round(F.col("filled") / F.pi(), 4).alias("filled"))
+
+
 def lag_window_features(spark: SparkSession, sf: str) -> DataFrame:
     steps = standins.season_steps(spark, sf)
     rows = lag_windows(steps, ["site", "year"], "step", ["temp_full", "countdown_full"], n_in=30)
@@ -1031,6 +1045,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gap_quadratic,
         gap_series,
         gap_series_quadratic,
+        gap_spline,
         lag_window_features,
         lag_window_values,
         lag_products,
