@@ -206,7 +206,7 @@ def links_between(regions: DataFrame, sets: DataFrame, percent: int, facts: Data
     links = stored(_measure(one, sets, percent).filter("linked").select("a", "b"), "links")
     labels = components(links)
     for _ in range(rounds):
-        placed = _labelled(regions, labels).join(facts, "node")
+        placed = stored(_labelled(regions, labels).join(facts, "node"), "members")
         pivot = _pivots(placed).drop("rest")
         placed = stored(placed.join(pivot, "region").filter("node <> pivot"), "placed")
         # A set of another size than the window of sizes holds, or of the pivot's component, need not be measured.
@@ -217,19 +217,20 @@ def links_between(regions: DataFrame, sets: DataFrame, percent: int, facts: Data
         labels = components(links)
         # On go the members beyond the radius, and those before it that are no nearer than its window. A member that wasn't
         # measured for its size has a distance of more than the radius; one of the pivot's component has any.
-        seen = placed.join(measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d", "linked"), ["node", "pivot"], "left")
+        # Written, as what follows reads it several times and its plan would grow with every use.
+        seen = stored(placed.join(measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d", "linked"), ["node", "pivot"], "left"), "seen")
         same = F.col("component") == F.col("theirs")
         beyond = ~same & ~F.coalesce("linked", F.lit(False))
         border = seen.filter(beyond).groupBy("region").agg((F.min(F.coalesce("d", F.lit(0.0))) - radius - 1e-9).alias("border"))
         left = seen.join(border, "region").filter(beyond | F.col("d").isNull() | (F.col("d") >= F.col("border")))
-        left = _labelled(left.select("region", "node"), labels).select(F.col("region").alias("s"), "node")
+        left = stored(_labelled(stored(left.select("region", "node"), "left"), labels).select(F.col("region").alias("s"), "node"), "open")
         regions = stored(_regions(left), "rest")
-    rest = _labelled(regions, labels).join(facts.select("node", "n"), "node").join(sets.select("node", "counts"), "node")
+    rest = stored(_labelled(regions, labels), "labelled").join(facts.select("node", "n"), "node").join(sets.select("node", "counts"), "node")
     # A pair is looked at in the first region that both are in, so each member knows the ones it was in before.
     mine = regions.groupBy("node").agg(F.collect_set("region").alias("mine"))
     size = regions.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cut = rest.join(mine, "node").join(size, "region").withColumn("before", F.filter("mine", lambda r: r < F.col("region")))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("mine")
+    cut = stored(cut.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("mine"), "cut")
     # Large regions are cut into blocks. A member meets each block once: as the one with the lower or the higher number.
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
