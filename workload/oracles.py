@@ -491,17 +491,17 @@ e AS (SELECT sim_id, step,
              greatest(1e-10, ((pred_first - true_first) ** 2 + (pred_full - true_full) ** 2) / 2) AS mse FROM predicted)
 SELECT sim_id, step, min(mse) AS lowest, max(mse) AS highest, count(*) AS n_rows FROM e GROUP BY 1, 2""",
     "row_model": f"""WITH c AS (SELECT unnest([{FRACTIONS}]) AS fraction), {_steps()}
-SELECT DISTINCT fraction, CAST(1 AS DOUBLE) AS mae_first, CAST(1 AS DOUBLE) AS mae_full,
-       CAST(1 AS DOUBLE) AS mae_average FROM c, steps""",
+SELECT DISTINCT sim_id, fraction, CAST(1 AS DOUBLE) AS mae_first, CAST(1 AS DOUBLE) AS mae_full,
+       CAST(1 AS DOUBLE) AS mae_average FROM c, steps, (SELECT unnest([1, 2, 3, 4]) AS sim_id)""",
     "sequence_model": f"""WITH {PREDICTED},
 means AS (
-  SELECT *, avg(true_first) OVER (PARTITION BY site, year) AS p1, avg(true_full) OVER (PARTITION BY site, year) AS p2
-  FROM predicted WHERE sim_id = 1),
+  SELECT *, avg(true_first) OVER (PARTITION BY sim_id, site, year) AS p1, avg(true_full) OVER (PARTITION BY sim_id, site, year) AS p2
+  FROM predicted),
 maes AS (
-  SELECT site, year, fraction, avg(abs(p1 - true_first)) AS m1, avg(abs(p2 - true_full)) AS m2
-  FROM means, (SELECT unnest([{FRACTIONS}]) AS fraction) WHERE step < trunc(full_length * fraction) GROUP BY 1, 2, 3)
-SELECT fraction, round(avg(m1), 6) AS mae_first, round(avg(m2), 6) AS mae_full,
-       round((avg(m1) + avg(m2)) / 2, 6) AS mae_average FROM maes GROUP BY 1""",
+  SELECT sim_id, site, year, fraction, avg(abs(p1 - true_first)) AS m1, avg(abs(p2 - true_full)) AS m2
+  FROM means, (SELECT unnest([{FRACTIONS}]) AS fraction) WHERE step < trunc(full_length * fraction) GROUP BY 1, 2, 3, 4)
+SELECT sim_id, fraction, round(avg(m1), 6) AS mae_first, round(avg(m2), 6) AS mae_full,
+       round((avg(m1) + avg(m2)) / 2, 6) AS mae_average FROM maes GROUP BY 1, 2""",
     "errors_by_site": _stats("site"),
     "errors_by_year": _stats("year"),
     "overall_metrics": f"""WITH {_scores()}

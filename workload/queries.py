@@ -641,12 +641,12 @@ def row_model(spark: SparkSession, sf: str) -> DataFrame:
         for batch in batches:
             yield batch.assign(pred_first=batch.true_first - 1.0, pred_full=batch.true_full - 1.0)
 
-    rows = predicted_steps(spark, sf, (1,)).drop("pred_first", "pred_full")
+    rows = predicted_steps(spark, sf).drop("pred_first", "pred_full")
     added = [T.StructField(n, T.DoubleType()) for n in ("pred_first", "pred_full")]
     schema = T.StructType([*rows.schema.fields, *added])
     predicted = scoring.predict_rows(rows, predict, schema)
     scored = scoring.score_at_cutoffs(predicted, SCORE_KEYS)
-    return errors.overall_metrics(scored, ["fraction"])
+    return errors.overall_metrics(scored, ["sim_id", "fraction"])
 
 
 def sequence_model(spark: SparkSession, sf: str) -> DataFrame:
@@ -655,10 +655,10 @@ def sequence_model(spark: SparkSession, sf: str) -> DataFrame:
     def predict(frame):
         return frame.assign(pred_first=frame.true_first.mean(), pred_full=frame.true_full.mean())
 
-    rows = predicted_steps(spark, sf, (1,))
-    predicted = scoring.predict_sequences(rows, ["site", "year"], predict, rows.schema)
-    metrics = errors.overall_metrics(scoring.score_at_cutoffs(predicted, SCORE_KEYS), ["fraction"])
-    return metrics.select("fraction", r6("mae_first"), r6("mae_full"), r6("mae_average"))
+    rows = predicted_steps(spark, sf)
+    predicted = scoring.predict_sequences(rows, ["sim_id", "site", "year"], predict, rows.schema)
+    metrics = errors.overall_metrics(scoring.score_at_cutoffs(predicted, SCORE_KEYS), ["sim_id", "fraction"])
+    return metrics.select("sim_id", "fraction", r6("mae_first"), r6("mae_full"), r6("mae_average"))
 
 
 # Error summaries
