@@ -42,8 +42,8 @@ from phenoline.llm.text_numbers import Words, mixed
 COUNTED = np.uint64(int(0.4 * 2**64))  # shingles with lower hashes are counted
 COMMON = 32  # a shingle of more documents is put last
 BLOCK = 1024
-BUCKETS = 64
-SHIFT = np.uint64(64 - 6)  # to the number of a bucket
+BUCKETS = 128
+SHIFT = np.uint64(64 - 7)  # to the number of a bucket
 SHIP = 1_000_000  # ids; up to 8 MB of them are broadcast, more are joined by a shuffle
 
 _FACTOR = np.random.default_rng(6).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,6 +143,11 @@ def windows(profile: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def bucket_counts(s: np.ndarray) -> np.ndarray:
+    """Numbers of shingles in BUCKETS equal parts of the hashes. Cut at what two bytes hold, they still differ by no more than the sets do."""
+    return np.minimum(np.bincount((s >> SHIFT).astype(np.int64), minlength=BUCKETS), 32767).astype(np.int16)
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, profile: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """(node, shingles, counts) of the asked-for classes, read again from one document of each.
 
@@ -163,12 +168,12 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, profile: DataFrame, width: int,
                     [
                         pa.array([_name(s) for s in sets], pa.int64()),
                         pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                        pa.array([np.bincount((s >> SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.int32) for s in sets], pa.list_(pa.int32())),
+                        pa.array([bucket_counts(s) for s in sets], pa.list_(pa.int16())),
                     ],
                     names=["node", "shingles", "counts"],
                 )
 
-    made = named.union(nameless).mapInArrow(tidied(run), "node long, shingles array<long>, counts array<int>")
+    made = named.union(nameless).mapInArrow(tidied(run), "node long, shingles array<long>, counts array<smallint>")
     return stored(made.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
