@@ -13,7 +13,7 @@ from phenoline.operators.split import split_exact
 from phenoline.sources.commits import cache_key
 from phenoline.sources.paths import stored
 from phenoline.sources.store import load_or_create
-from phenoline.sources.wide import read_cities, read_wide_csv
+from phenoline.sources.wide import read_cities, read_wide_csv, read_wide_observations
 
 DEFAULT_START = "01:08"
 FIT_ON = ("all", "train")
@@ -29,13 +29,13 @@ def season_table(
     **options,
 ) -> DataFrame:
     """Season rows from wide tables. ``options`` go to ``build_season_steps``."""
-    steps = build_season_steps(
-        unpivot_events(first_wide, key),
-        unpivot_events(full_wide, key),
-        unpivot_observations(obs_wide),
-        sites_in_country(cities, country),
-        **options,
-    )
+    return _season_rows(first_wide, full_wide, unpivot_observations(obs_wide), cities, key, country, **options)
+
+
+def _season_rows(
+    first_wide: DataFrame, full_wide: DataFrame, obs: DataFrame, cities: DataFrame, key: str = "Site Name", country: str | None = "Japan", **options
+) -> DataFrame:
+    steps = build_season_steps(unpivot_events(first_wide, key), unpivot_events(full_wide, key), obs, sites_in_country(cities, country), **options)
     return nest_seasons(steps)
 
 
@@ -71,14 +71,15 @@ def load_seasons(
 ) -> tuple[DataFrame, dict[str, Scaler]]:
     """The scaled season table at ``path``, built from the CSV files if it isn't there or was built from other files or options.
 
-    Files count as others when their names, sizes or times differ.
+    Files count as others when their names, sizes or times differ. The readings have a column for each site, so they are read by line, whatever
+    the number of sites.
     """
 
     def create():
-        seasons = season_table(
+        seasons = _season_rows(
             read_wide_csv(spark, first_csv),
             read_wide_csv(spark, full_csv),
-            read_wide_csv(spark, obs_csv),
+            read_wide_observations(spark, obs_csv),
             read_cities(spark, cities_csv),
             start=start,
             **options,

@@ -47,29 +47,43 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _header_cells(lines: DataFrame, sep: str) -> DataFrame:
-    """(file, first, place, name): a file's header is the first line of its first block."""
-    headers = lines.filter("block = 0").groupBy("file").agg(csv_cells(F.min_by("line", "line_id"), sep).alias("names"))
-    return headers.select("file", F.get("names", F.lit(0)).alias("first"), F.posexplode("names").alias("place", "name"))
+def _headers(lines: DataFrame) -> DataFrame:
+    """(file, header, head): a file's header is the first line of its first block; files that share one share ``head``."""
+    headers = lines.filter("block = 0").groupBy("file").agg(F.min_by("line", "line_id").alias("header"))
+    return headers.withColumn("head", F.md5("header"))
+
+
+def _header_cells(headers: DataFrame, sep: str) -> DataFrame:
+    """(head, place, name) of the different headers."""
+    different = headers.groupBy("head").agg(F.first("header").alias("header"))
+    return different.select("head", F.posexplode(csv_cells(F.col("header"), sep)).alias("place", "name"))
 
 
 def column_keys(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(site): the different column names of wide CSV files, but for the first of each file, as rows."""
-    return _header_cells(_lines(spark, path), sep).filter("place > 0").select(F.col("name").alias("site")).distinct()
+    return _header_cells(_headers(_lines(spark, path)), sep).filter("place > 0").select(F.col("name").alias("site")).distinct()
 
 
 def melt_wide_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(key, name, cell) of a headered wide CSV, for any number of columns: the first cell of a line, and each other column's name and cell.
 
     Lines are cut into cells and the cells take their names by place from the header of their file, so the plan has one expression whatever the
-    number of columns, and the files may differ in theirs. Blank cells become null. Lines that begin as the header does are headers; cells
-    beyond the header's are dropped, as are blank lines.
+    number of columns, and the files may differ in theirs. Names are listed once for each different header, not for each file. Blank cells and
+    those that a short line lacks become null. Lines that begin as the header does are headers; cells beyond the header's are dropped, as are
+    blank lines.
     """
     lines = _lines(spark, path)
-    names = _header_cells(lines, sep)
-    cells = lines.filter(F.length("line") > 0).select("file", csv_cells(F.col("line"), sep).alias("cells"))
-    keyed = cells.select("file", F.get("cells", F.lit(0)).alias("key"), F.posexplode("cells").alias("place", "cell")).filter("place > 0")
-    named = keyed.join(names.filter("place > 0"), ["file", "place"]).filter(F.col("key") != F.col("first"))
+    headers = _headers(lines)
+    names = _header_cells(headers, sep).filter("place > 0")
+    found = csv_cells(F.col("header"), sep)
+    files = headers.select("file", "head", F.get(found, F.lit(0)).alias("first"), F.size(found).alias("width"))
+    cells = lines.filter(F.length("line") > 0).select("file", csv_cells(F.col("line"), sep).alias("cells")).join(files, "file")
+    lacking = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.col("width") - F.size("cells"), F.lit(0)))
+    # A header's key is null, so nothing that reads keys can fail on it, wherever the optimizer moves the reading.
+    key = F.get("cells", F.lit(0))
+    cells = cells.withColumn("key", F.when(key != F.col("first"), key)).filter("key IS NOT NULL")
+    keyed = cells.select("head", "key", F.posexplode(F.concat("cells", lacking)).alias("place", "cell")).filter("place > 0")
+    named = keyed.join(names, ["head", "place"])
     return named.select("key", "name", F.when(F.col("cell") != "", F.col("cell")).alias("cell"))
 
 

@@ -245,6 +245,15 @@ def test_cells_of_lines(spark, tmp_path):
     assert [(str(r.date), r.site, r.temp) for r in rows] == [("2000-01-02", "B", None), ("2000-01-02", "New, Town", 1.5), ("2000-01-03", "B", 2.0), ("2000-01-03", "New, Town", None)]
 
 
+def test_short_lines_lack_readings_and_headers_have_no_date(spark, tmp_path):
+    write(tmp_path / "s", "a.csv", "Date,A,B,C\n2000-1-1,1,2,3\n2000-1-2,1\nDate,A,B,C\n")
+    write(tmp_path / "s", "b.csv", "Date,A,B,C\n2000-1-3,,5\n")
+    rows = wide.read_wide_observations(spark, str(tmp_path / "s"))
+    found = rows.groupBy("date").agg(F.count("*").alias("n"), F.sum("temp").alias("t")).orderBy("date").collect()
+    assert [(r.n, r.t) for r in found] == [(3, 6.0), (3, 1.0), (3, 5.0)]
+    assert sorted(r.site for r in wide.column_keys(spark, str(tmp_path / "s")).collect()) == ["A", "B", "C"]
+
+
 def test_scratch_follows_the_session(spark):
     assert paths.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert paths.stored(spark.range(5)).count() == 5
