@@ -57,6 +57,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.join(_suppliers(spark, sf_dir), "l_suppkey").select("site", "date", "temp")
 
 
+def observed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site): those that ``observations`` holds, from the keys alone."""
+    keys = table(spark, sf_dir, "lineitem").filter("l_shipdate IS NOT NULL").select("l_suppkey").distinct()
+    return keys.join(_suppliers(spark, sf_dir), "l_suppkey").select("site").distinct()
+
+
 def _yearly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.year(day).alias("year"), day.alias("date"))
