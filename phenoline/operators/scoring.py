@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from phenoline.functions.arrays import cutoff_length, item_at, last_item, mean_abs_error, prefix
 from phenoline.functions.dates import add_days, add_fractional_days
@@ -61,7 +66,7 @@ def score_at_cutoffs(
     cutoff (``align="reference"``) or at the same step (``"exact"``).
 
     Rows are not copied per cutoff. The cutoffs divide a sequence into segments; each segment is folded to
-    one row by a partial aggregation, and the prefix of a cutoff is put together from those few rows.
+    one row by a partial aggregation, and running sums over those few rows give each cutoff its prefix.
     """
     _check(form, align)
     shares = sorted(float(f) for f in fractions)
@@ -83,21 +88,24 @@ def score_at_cutoffs(
             *[F.min_by(c, "step").alias(f"next_{c}") for c in ("true_first", "true_full")],
         )
     )
-    places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(f).alias("f")) for j, f in enumerate(shares, start=1)])
-    spread = folded.withColumn("at", F.explode(places)).select("*", "at.j", F.col("at.f").alias("fraction"))
-    shown, ahead = F.col("segment") < F.col("j"), F.col("segment") >= F.col("j")
-    last, first = F.when(shown, F.col("last_step")), F.when(ahead, F.col("first_step"))
-    picked = spread.groupBy(*group, "fraction").agg(
-        F.sum(F.when(shown, F.col("sum_first"))).alias("sum_first"),
-        F.sum(F.when(shown, F.col("sum_full"))).alias("sum_full"),
-        F.sum(F.when(shown, F.col("n"))).alias("n"),
-        F.max_by("last_pred_first", last).alias("pred_first"),
-        F.max_by("last_pred_full", last).alias("pred_full"),
-        F.max_by("last_true_first", last).alias("shown_first"),
-        F.max_by("last_true_full", last).alias("shown_full"),
-        F.min_by("next_true_first", first).alias("next_first"),
-        F.min_by("next_true_full", first).alias("next_full"),
+    # Sums up to each segment that holds steps. It and the next such segment frame the cutoffs that lie between them.
+    ordered = Window.partitionBy(*group).orderBy("segment")
+    so_far = {c: F.sum(c).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) for c in ("sum_first", "sum_full", "n")}
+    coming = {f"next_{t}": F.lead(f"next_true_{t}").over(ordered) for t in ("first", "full")}
+    framed = folded.withColumns({**so_far, **coming, "_next": F.lead("segment").over(ordered), "_row": F.row_number().over(ordered)})
+    shown = {"pred_first": "last_pred_first", "pred_full": "last_pred_full", "shown_first": "last_true_first", "shown_full": "last_true_full"}
+    found = F.struct(*[c for c in so_far], *[F.col(old).alias(new) for new, old in shown.items()], *coming)
+    before = F.struct(
+        *[F.lit(None).cast(folded.schema[c].dataType).alias(c) for c in so_far],
+        *[F.lit(None).cast(folded.schema[old].dataType).alias(new) for new, old in shown.items()],
+        *[F.col(f"next_true_{t}").alias(f"next_{t}") for t in ("first", "full")],
     )
+    inside, until = F.array(*[F.lit(f) for f in shares]), F.coalesce("_next", F.lit(len(shares)))
+    # Cutoffs ahead of the first step show nothing.
+    empty = F.when(F.col("_row") == 1, F.transform(F.slice(inside, F.lit(1), F.col("segment")), lambda f: F.struct(f.alias("fraction"), before.alias("x"))))
+    held = F.transform(F.slice(inside, F.col("segment") + 1, until - F.col("segment")), lambda f: F.struct(f.alias("fraction"), found.alias("x")))
+    cuts = F.concat(F.coalesce(empty, F.slice(held, F.lit(1), F.lit(0))), held)
+    picked = framed.select(*group, F.explode(cuts).alias("c")).select(*group, "c.fraction", "c.x.*")
     cutoff = cutoff_length(F.col("full_length"), F.col("fraction"))
     rows = picked.withColumn("cutoff", cutoff)
     if form == "sequence":
@@ -201,14 +209,60 @@ def step_errors(steps: DataFrame, floor: float = 1e-10) -> DataFrame:
     return steps.withColumn("mse", F.greatest(F.lit(floor), (first * first + full * full) / 2))
 
 
-def predict_rows(steps: DataFrame, predict: Callable, schema: str) -> DataFrame:
-    """A caller's own row model: ``predict`` maps an iterator of pandas batches, as in ``mapInPandas``."""
-    return steps.mapInPandas(predict, schema)
+def _converters(schema: T.StructType | str) -> tuple[T.StructType, Callable, Callable]:
+    """The schema, and functions to pandas, with dates as ``datetime64`` and not as an object each, and back. They go to tasks whole."""
+    kinds = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kinds)
 
+    def frame(table: pa.RecordBatch | pa.Table) -> pd.DataFrame:
+        return table.to_pandas(date_as_object=False)
 
-def predict_sequences(steps: DataFrame, keys: Sequence[str], predict: Callable, schema: str) -> DataFrame:
-    """A caller's own sequence model: ``predict`` maps the pandas frame of one sequence.
+    def batches(made: pd.DataFrame) -> list[pa.RecordBatch]:
+        return pa.Table.from_pandas(made, schema=arrow, preserve_index=False).to_batches()
 
-    Choose keys that bound the group, such as site and year.
+    return kinds, frame, batches
+
+
+def predict_rows(steps: DataFrame, predict: Callable, schema: T.StructType | str) -> DataFrame:
+    """A caller's own row model: ``predict`` maps an iterator of pandas batches, as in ``mapInPandas``; dates are ``datetime64``."""
+    kinds, to_frame, to_batches = _converters(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in predict(to_frame(b) for b in batches):
+            yield from to_batches(frame)
+
+    return steps.mapInArrow(run, kinds)
+
+
+def predict_sequences(steps: DataFrame, keys: Sequence[str], predict: Callable, schema: T.StructType | str) -> DataFrame:
+    """A caller's own sequence model: ``predict`` maps the pandas frame of one sequence; dates are ``datetime64``.
+
+    Choose keys that bound the group, such as site and year. Sequences travel many to a batch and are cut apart in the task, which holds
+    one batch and the sequence that it ends in.
     """
-    return steps.groupBy(*keys).applyInPandas(predict, schema)
+    kinds, to_frame, to_batches = _converters(schema)
+    names = steps.columns
+    # Places a sequence's rows together, each numbered from 1; Spark shuffles only if they aren't placed so already.
+    numbered = steps.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def predicted(table: pa.Table, begins: np.ndarray) -> list[pa.RecordBatch]:
+            frame = to_frame(table.select(names))
+            made = [predict(frame.iloc[a:b].reset_index(drop=True)) for a, b in zip(begins, [*begins[1:], len(frame)])]
+            return to_batches(pd.concat(made, ignore_index=True))
+
+        rest = []
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_row").to_numpy() == 1)
+            if not len(begins):
+                rest.append(batch)
+                continue
+            held = pa.Table.from_batches([*rest, batch.slice(0, int(begins[-1]))])
+            if held.num_rows:
+                yield from predicted(held, np.flatnonzero(held.column("_row").to_numpy() == 1))
+            rest = [batch.slice(int(begins[-1]))]
+        if rest:
+            held = pa.Table.from_batches(rest)
+            yield from predicted(held, np.flatnonzero(held.column("_row").to_numpy() == 1))
+
+    return numbered.mapInArrow(run, kinds)

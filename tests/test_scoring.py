@@ -133,6 +133,33 @@ def test_user_models(steps):
     assert {r.mae_full for r in scoring.score_at_cutoffs(rows, ["k"], FRACTIONS).collect()} == {2.0}
 
 
+def test_sequences_are_whole_whatever_the_batches(spark):
+    rows = spark.range(600).selectExpr("id % 41 AS k", "CAST(id AS double) AS v", "date_add(DATE'2001-01-01', CAST(id AS int)) AS day", "if(id % 5 = 0, NULL, DATE'1600-02-29') AS old")
+
+    def per_sequence(frame):
+        assert str(frame.day.dtype).startswith("datetime64")
+        return frame.assign(v=float(frame.v.sum()) + len(frame))
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(r.k, r.day): (r.v, r.old) for r in scoring.predict_sequences(rows, ["k"], per_sequence, rows.schema).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    whole = {k: sum(i for i in range(600) if i % 41 == k) + sum(1 for i in range(600) if i % 41 == k) for k in range(41)}
+    assert got == {(r.k, r.day): (whole[r.k], r.old) for r in rows.collect()} and len(got) == 600
+
+
+def test_cutoffs_between_and_ahead_of_the_steps_that_there_are(spark):
+    """Steps 4 and 7 of 10: nothing is shown at 3, the first at 5 and 6, both at 8 and beyond."""
+    rows = [("a", s, 10, dt.date(2001, 1, 1), float(s), float(s), s + 1.0, s + 2.0) for s in (4, 7)]
+    steps = spark.createDataFrame(rows, "k string, step int, full_length int, data_start_date date, true_first double, true_full double, pred_first double, pred_full double")
+    got = scoring.score_at_cutoffs(steps, ["k"], [0.3, 0.5, 0.6, 0.8, 0.9]).orderBy("fraction").collect()
+    assert [(r.cutoff, r.pred_first, r.mae_first, r.mae_full) for r in got] == [(3, None, None, None), (5, 5.0, 1.0, 2.0), (6, 5.0, 1.0, 2.0), (8, 8.0, 1.0, 2.0), (9, 8.0, 1.0, 2.0)]
+    ahead = scoring.score_at_cutoffs(steps, ["k"], [0.3, 0.5], form="point").orderBy("fraction").collect()
+    assert [(r.true_first, r.pred_first) for r in ahead] == [(4.0, None), (7.0, 5.0)]
+
+
 def test_arguments(steps):
     for options in ({"form": "line"}, {"align": "late"}):
         with pytest.raises(ValueError):
