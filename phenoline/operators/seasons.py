@@ -162,6 +162,7 @@ def build_season_steps(
     unique_keys: bool = False,
     unique_dates: bool = False,
     one_year: bool | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Daily steps of every valid season.
 
@@ -178,6 +179,9 @@ def build_season_steps(
     ``unique_dates`` counts per date decide which seasons are kept before any reading is joined, so a date may be repeated any number of times;
     kept seasons of any length are then put in order and filled by blocks. Without ``unique_keys`` copies are counted and the result numbers
     equal seasons in ``copy``.
+
+    ``partitions`` is the number of tasks among which the seasons are dealt. It should grow with the readings, so that what a task sorts
+    doesn't; without it the session's setting stands, whatever the size.
     """
     if method not in METHODS:
         raise ValueError(f"unknown fill method {method!r}, choose one of {list(METHODS)}")
@@ -201,6 +205,9 @@ def build_season_steps(
     if not drop_invalid:
         seasons = with_observations(seasons, readings)
     keys = ["site", "year"] if unique_keys else ["site", "year", "first_bloom", "full_bloom", "lat", "lng"]
+    if partitions and one_year:
+        readings = readings.repartition(partitions, "site", "season_year")
+        seasons = seasons.repartition(partitions, "site", "year")
     if unique_dates:
         rows = _season_days(seasons, readings, bool(one_year), day, month, "inner" if drop_invalid else "left")
         if not unique_keys:

@@ -42,6 +42,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file, or of all files below a folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True for a table that a finished job wrote; a half-written one has no success marker."""
     return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")

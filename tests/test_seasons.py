@@ -7,7 +7,9 @@ import pytest
 
 from phenoline.functions.splines import fill_spline
 from phenoline.operators import reshape, seasons
+from phenoline.sources import paths
 from test_gapfill import linear
+from workload import standins
 
 DAY = dt.timedelta(days=1)
 START = dt.date(1999, 8, 1)
@@ -305,3 +307,15 @@ def test_the_plan_shuffles_readings_once(spark):
     assert steps.count() == 12
     # first, full, pairs by site, places, seasons by (site, year), readings by (site, year)
     assert plan.count("Exchange hashpartitioning") <= 6
+
+
+def test_season_tasks_grow_with_the_items(spark, monkeypatch):
+    """What a task sorts stays the same: the session's number of partitions doesn't bound the tasks."""
+    sf = "/root/testdata/sf0.001"
+    plain = {tuple(r) for r in standins.season_steps(spark, sf).collect()}
+    assert standins.season_tasks(spark, sf) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(standins, "TASK_BYTES", paths.input_bytes(spark, f"{sf}/lineitem.parquet") // 21 + 1)
+    assert standins.season_tasks(spark, sf) == 21
+    steps = standins.season_steps(spark, sf)
+    assert steps.rdd.getNumPartitions() == 21 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {tuple(r) for r in steps.collect()} == plain

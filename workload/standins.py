@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phenoline.operators.layout import spread
 from phenoline.operators.seasons import build_season_steps, sites_in_country
+from phenoline.sources.paths import input_bytes
 
 
 # Column types of the tables (fixed values). Naming them saves a job per read that would look them up.
@@ -28,6 +29,9 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
 }
 
+# Items of a season task: some 100,000 rows, which make half a million days (fixed value).
+TASK_BYTES = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -42,8 +46,8 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, date, temp): one row per day between a site's first and last day, null where nothing shipped.
 
-    The readings and the blank axis are merged by one aggregation; each side is folded before it is joined
-    or shuffled.
+    The readings and the blank axis are merged by one aggregation, in as many tasks as the items ask for; nearly every row is a day of its
+    own, so folding them ahead of the shuffle would only cost memory.
     """
     day = F.col("l_shipdate").cast("date").alias("date")
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", day, F.col("l_extendedprice").alias("temp"))
@@ -53,7 +57,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"),
         F.lit(None).cast("double").alias("temp"),
     )
-    daily = items.unionByName(axis).groupBy("l_suppkey", "date").agg(F.max("temp").alias("temp"))
+    days = items.unionByName(axis).repartition(season_tasks(spark, sf_dir), "l_suppkey", "date")
+    daily = days.groupBy("l_suppkey", "date").agg(F.max("temp").alias("temp"))
     return daily.join(_suppliers(spark, sf_dir), "l_suppkey").select("site", "date", "temp")
 
 
@@ -93,6 +98,12 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def season_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the seasons: one for every ``TASK_BYTES`` of items, at least as many as there are slots."""
+    size = input_bytes(spark, f"{sf_dir}/lineitem.parquet")
+    return max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def season_steps(spark: SparkSession, sf_dir: str, method: str = "linear") -> DataFrame:
     """All valid seasons. The stand-ins are unique by construction, which the flags state."""
     return build_season_steps(
@@ -104,4 +115,5 @@ def season_steps(spark: SparkSession, sf_dir: str, method: str = "linear") -> Da
         unique_keys=True,
         unique_dates=True,
         one_year=True,
+        partitions=season_tasks(spark, sf_dir),
     )
