@@ -113,17 +113,20 @@ def _in_window():
     return F.col("date").between(F.col("data_start_date"), F.greatest("first_bloom", "full_bloom"))
 
 
-def _season_days(seasons: DataFrame, readings: DataFrame, one_year: bool, day: int, month: int, how: str = "inner") -> DataFrame:
+def _season_days(seasons: DataFrame, readings: DataFrame, one_year: bool, day: int, month: int, how: str = "inner", small: bool = False) -> DataFrame:
     """Season rows times daily readings as an equi-join on (site, season year).
 
     Each side is shuffled once on that key, and with ``one_year`` the later windows reuse the partitioning. Otherwise a season is
-    first copied to every season year that it reaches into.
+    first copied to every season year that it reaches into. ``small`` says that a task's seasons, a row for a year of days, fit in its memory,
+    so that the days aren't sorted to be joined.
     """
     if not one_year:
         seasons = _cover_years(seasons, day, month)
     held = "year" if one_year else "season_year"
     days = readings.withColumnsRenamed({"site": "_site", "season_year": "_year"})
     match = (F.col("site") == F.col("_site")) & (F.col(held) == F.col("_year")) & _in_window()
+    if small:
+        seasons = seasons.hint("shuffle_hash")
     joined = seasons.join(days, match, how).drop("_site", "_year")
     return joined if one_year else joined.drop("season_year")
 
@@ -209,7 +212,8 @@ def build_season_steps(
         readings = readings.repartition(partitions, "site", "season_year")
         seasons = seasons.repartition(partitions, "site", "year")
     if unique_dates:
-        rows = _season_days(seasons, readings, bool(one_year), day, month, "inner" if drop_invalid else "left")
+        small = drop_invalid and unique_keys
+        rows = _season_days(seasons, readings, bool(one_year), day, month, "inner" if drop_invalid else "left", small)
         if not unique_keys:
             # Many seasons of one site and year are placed by their full key, so they don't share a task.
             rows = rows.repartition(*keys)
@@ -222,9 +226,12 @@ def build_season_steps(
         if not drop_invalid:
             empty = seasons.filter("n_first = 0 AND n_full = 0")
             rows = rows.unionByName(empty, allowMissingColumns=True)
-    if drop_invalid:
-        rows = rows.filter(_valid(min_points))
-    steps = _filled_by_blocks(rows, keys, min_points, method) if by_blocks else _filled(rows, keys, min_points, method)
+    if by_blocks:
+        steps = _filled_by_blocks(rows, keys, min_points, method)
+    else:
+        if drop_invalid and not unique_dates:
+            rows = rows.filter(_valid(min_points))
+        steps = _filled(rows, keys, min_points, method, by_day=drop_invalid and unique_dates)
     if not unique_keys:
         return repeat_rows(steps, "copies", "copy").drop("copies")
     return steps.drop("copies")
@@ -250,21 +257,23 @@ def _with_totals(rows: DataFrame, keys: list[str], blanks: bool) -> DataFrame:
     return counted.withColumn("_row", number).filter(~blank | (~some & (F.col("_row") == 1))).drop("_row")
 
 
-def _filled(rows: DataFrame, keys: list[str], min_points: int, method: str) -> DataFrame:
-    """Steps and gap fill in windows over one season at a time; both windows use one partitioning and one order, so rows are sorted once."""
+def _filled(rows: DataFrame, keys: list[str], min_points: int, method: str, by_day: bool) -> DataFrame:
+    """Steps and gap fill in windows over one season at a time; both windows use one partitioning and one order, so rows are sorted once.
+
+    With ``by_day`` dates are unique and valid seasons alone are kept, which have a row for each day: steps are days, and no row is numbered.
+    """
     window = f"PARTITION BY {', '.join(keys)} ORDER BY date, temp"
-    placed = rows.withColumns(
-        {
-            "step": F.expr(f"CAST(row_number() OVER ({window}) - 1 AS INT)"),
-            "_last_first": F.col("n_first") - 1,
-            "_last_full": F.col("n_full") - 1,
-        }
-    )
     ends = {"fill_first": "_last_first", "fill_full": "_last_full"}
+    step = whole_days(F.col("data_start_date"), F.col("date")) if by_day else F.expr(f"CAST(row_number() OVER ({window}) - 1 AS INT)")
+    placed = rows.withColumn("step", step)
+    if method != "spline":
+        placed = neighbour_columns(placed, window, "step", "temp", method)
+    if by_day:
+        placed = placed.filter(_valid(min_points))
+    placed = placed.withColumns({"_last_first": F.col("n_first") - 1, "_last_full": F.col("n_full") - 1})
     if method == "spline":
         return _steps(with_spline(placed, keys, "step", "temp", ends), min_points)
-    near = neighbour_columns(placed, window, "step", "temp", method)
-    return _steps(with_filled(near, "step", "temp", ends, method), min_points)
+    return _steps(with_filled(placed, "step", "temp", ends, method), min_points)
 
 
 def _filled_by_blocks(rows: DataFrame, keys: list[str], min_points: int, method: str) -> DataFrame:

@@ -319,3 +319,25 @@ def test_season_tasks_grow_with_the_items(spark, monkeypatch):
     steps = standins.season_steps(spark, sf)
     assert steps.rdd.getNumPartitions() == 21 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {tuple(r) for r in steps.collect()} == plain
+
+
+def test_days_are_sorted_and_shuffled_once(spark):
+    """Blank days aren't shuffled before they are joined, days aren't sorted to be joined, and valid seasons not numbered."""
+    sf = "/root/testdata/sf0.001"
+    plan = standins.season_steps(spark, sf)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "ShuffledHashJoin" in plan and "row_number" not in plan
+    assert "Union" not in plan
+
+
+def test_blank_days_stand_between_items(spark, tmp_path):
+    """Days of two items, a supplier with one item, one with a row without a date."""
+    day = dt.datetime(1999, 1, 30)
+    items = [(1, day, 5.0), (1, day, 7.0), (1, day + 3 * DAY, 2.0), (2, day, None), (3, None, 4.0), (3, None, 6.0), (3, day, 1.0), (9, day, 1.0)]
+    rows = spark.createDataFrame(items, "l_suppkey bigint, l_shipdate timestamp_ntz, l_extendedprice double")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    places = [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    spark.createDataFrame(places, "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = sorted((tuple(r) for r in standins.observations(spark, str(tmp_path)).collect()), key=str)
+    d = [(day + k * DAY).date() for k in range(4)]
+    wanted = [("a", d[0], 7.0), ("a", d[1], None), ("a", d[2], None), ("a", d[3], 2.0), ("b", d[0], None), ("c", None, 6.0), ("c", d[0], 1.0)]
+    assert found == sorted(wanted, key=str)

@@ -6,10 +6,9 @@ a year are that year's two events.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phenoline.operators.layout import spread
 from phenoline.operators.seasons import build_season_steps, sites_in_country
 from phenoline.sources.paths import input_bytes
 
@@ -46,20 +45,21 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, date, temp): one row per day between a site's first and last day, null where nothing shipped.
 
-    The readings and the blank axis are merged by one aggregation, in as many tasks as the items ask for; nearly every row is a day of its
-    own, so folding them ahead of the shuffle would only cost memory.
+    Items fold to days in as many tasks as their size asks for, dealt by site and day, so that no site makes a task large; nearly every row is a
+    day of its own, so folding them ahead of the shuffle would only cost memory. Each day then brings forth the blank ones up to the next, so
+    blank days aren't shuffled. A site has one row for each of its days there.
     """
+    tasks = season_tasks(spark, sf_dir)
     day = F.col("l_shipdate").cast("date").alias("date")
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", day, F.col("l_extendedprice").alias("temp"))
-    span = items.groupBy("l_suppkey").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    axis = spread(span).select(
-        "l_suppkey",
-        F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"),
-        F.lit(None).cast("double").alias("temp"),
-    )
-    days = items.unionByName(axis).repartition(season_tasks(spark, sf_dir), "l_suppkey", "date")
-    daily = days.groupBy("l_suppkey", "date").agg(F.max("temp").alias("temp"))
-    return daily.join(_suppliers(spark, sf_dir), "l_suppkey").select("site", "date", "temp")
+    daily = items.repartition(tasks, "l_suppkey", "date").groupBy("l_suppkey", "date").agg(F.max("temp").alias("temp"))
+    following = F.lead("date").over(Window.partitionBy("l_suppkey").orderBy("date"))
+    daily = daily.repartition(tasks, "l_suppkey").withColumn("next", following)
+    named = daily.join(_suppliers(spark, sf_dir), "l_suppkey")
+    # The last day has no next one, and a row without a date stays as it is.
+    places = F.sequence(F.lit(0), F.coalesce(F.date_diff("next", "date") - 1, F.lit(0)))
+    days = named.select("site", "date", "temp", F.explode(places).alias("place"))
+    return days.select("site", F.date_add("date", F.col("place")).alias("date"), F.when(F.col("place") == 0, F.col("temp")).alias("temp"))
 
 
 def observed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
