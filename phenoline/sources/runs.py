@@ -49,17 +49,21 @@ def _from_path() -> list[Column]:
 # A catalogue of finished runs
 
 
-def write_run(predictions: DataFrame, stem: str, sim_id: int, parameters: Mapping | None = None) -> dict:
+def write_run(predictions: DataFrame, stem: str, sim_id: int, parameters: Mapping | None = None, gather: bool = True) -> dict:
     """Write one run as ``<stem>/sim_id_N/test_cutoff_X/predictions.parquet`` and then list it as finished; returns its entry.
 
     ``predictions`` has a column ``fraction``, the X; a column ``sim_id`` is dropped. All folders are written by one job, to a place of
     their own, and get their names when it has ended. The entry in ``<stem>/catalogue`` comes last, with the folders, the columns
     and the parameters, so a run that stopped halfway is never listed. A run's folders are written once: names that are taken raise FileExistsError.
+
+    Rows are gathered by folder before they are written. ``gather=False`` leaves them in their tasks, each of which writes a file to each folder:
+    for rows with long arrays, whose shuffle would take more disk than the run, in tasks that hold few of them.
     """
     spark, stem = predictions.sparkSession, stem.rstrip("/")
     rows = predictions.drop("sim_id")
     draft = f"{stem}/draft-{uuid.uuid4().hex}"
-    rows.hint("rebalance", "fraction").write.partitionBy("fraction").parquet(draft)
+    placed = rows.hint("rebalance", "fraction") if gather else rows
+    placed.write.option("compression", "zstd").partitionBy("fraction").parquet(draft)
     places = {}
     for name in folders(spark, draft):
         places[name] = f"sim_id_{sim_id}/test_cutoff_{name.partition('=')[2]}/predictions.parquet"

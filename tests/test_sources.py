@@ -275,3 +275,14 @@ def test_scratch_follows_set_checkpoint_dir():
     context.getCheckpointDir = lambda: None
     with pytest.raises(RuntimeError):
         paths.scratch_path(session, "t")
+
+
+def test_a_run_of_wide_rows_is_written_where_it_is(spark, tmp_path):
+    """Without gathering nothing is shuffled, and the folders hold the same rows."""
+    rows = spark.range(40).select(F.lit(7).alias("sim_id"), "id", (F.col("id") % 4 / 4).alias("fraction"), F.array_repeat("id", 5).alias("a"))
+    rows = rows.repartition(3)
+    runs.write_run(rows, f"{tmp_path}/apart", 7, gather=False)
+    runs.write_run(rows, f"{tmp_path}/together", 7)
+    apart, together = (runs.read_finished_runs(spark, f"{tmp_path}/{n}") for n in ("apart", "together"))
+    assert sorted(apart.collect()) == sorted(together.collect())
+    assert len(apart.inputFiles()) > len(together.inputFiles()) == 4
