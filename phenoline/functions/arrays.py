@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +72,18 @@ def mean_abs_error(predicted: Column, actual: Column) -> Column:
     return F.when(F.size(errors) > 0, total / F.size(errors))
 
 
+def prefix_sums(array: Column, counts: Sequence[Column]) -> Column:
+    """Sums of the first items of an array, for each of the rising ``counts``; every item is added once, in its order."""
+    ends = [F.lit(0), *[F.greatest(c, F.lit(0)) for c in counts]]
+    parts = F.array(*[F.struct(a.alias("start"), (b - a).alias("n")) for a, b in zip(ends, ends[1:])])
+
+    def longer(sums: Column, part: Column) -> Column:
+        added = F.aggregate(F.slice(array, part["start"] + 1, part["n"]), last_item(sums), lambda total, v: total + v)
+        return F.concat(sums, F.array(added))
+
+    return F.slice(F.aggregate(parts, F.array(F.lit(0.0)).cast("array<double>"), longer), 2, len(counts))
+
+
 def fourier_terms(position: Column, period, amplitudes) -> Column:
     """Sum of ``a_k * sin(2 pi k x / T)`` over k = 1, 2, ..."""
     turn = F.lit(2.0) * F.pi() * position / F.lit(float(period))

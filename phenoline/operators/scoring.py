@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from phenoline.functions.arrays import cutoff_length, item_at, last_item, mean_abs_error, prefix
+from phenoline.functions.arrays import cutoff_length, item_at, last_item, prefix, prefix_sums
 from phenoline.functions.dates import add_days, add_fractional_days
 
 # Default shares of a sequence that are shown to the model (fixed values).
@@ -155,11 +155,24 @@ def score_sequences(
     """Prediction rows with the sequences themselves, one per season and cutoff.
 
     ``seasons`` holds ``site_name, year, start_date, date_first, date_full`` and whole-season arrays
-    ``true_first, true_full, pred_first, pred_full``. The arrays are cut, never gathered again.
+    ``true_first, true_full, pred_first, pred_full``. The arrays are cut, never gathered again. Errors of a season are added up once, for all
+    cutoffs.
     """
     _check("sequence", align)
+    shares = sorted({float(f) for f in fractions})
     sized = seasons.withColumn("full_length", F.size("true_full"))
+    errors = {f"_{t}": F.zip_with(f"pred_{t}", f"true_{t}", lambda p, a: F.abs(p - a)) for t in ("first", "full")}
+    sized = sized.withColumns(errors)
+    cuts = [cutoff_length(F.col("full_length"), f) for f in shares]
+    sums = {f"_sums_{t}": prefix_sums(F.col(f"_{t}"), cuts) for t in ("first", "full")}
+    sized = sized.withColumns({**sums, **{f"_size_{t}": F.size(f"_{t}") for t in ("first", "full")}}).drop(*errors)
     rows = with_cutoffs(sized, fractions)
+
+    def mean_error(t: str) -> Column:
+        n = F.least(F.col(f"_size_{t}"), F.greatest("cutoff", F.lit(0)))
+        place = F.array_position(F.array(*[F.lit(f) for f in shares]), F.col("fraction")).cast("int")
+        return F.when(n > 0, F.get(f"_sums_{t}", place - 1) / n).alias(f"mae_{t}")
+
     names = ("true_first", "true_full", "pred_first", "pred_full")
     shown = rows.withColumns({f"{n}_sequence": prefix(F.col(n), F.col("cutoff")) for n in names})
     start = F.col("start_date").cast("date")
@@ -182,10 +195,7 @@ def score_sequences(
             for t in ("first", "full")
         ],
         "full_length",
-        *[
-            mean_abs_error(F.col(f"pred_{t}_sequence"), F.col(f"true_{t}_sequence")).alias(f"mae_{t}")
-            for t in ("first", "full")
-        ],
+        *[mean_error(t) for t in ("first", "full")],
     )
 
 

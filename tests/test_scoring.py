@@ -164,3 +164,23 @@ def test_arguments(steps):
     for options in ({"form": "line"}, {"align": "late"}):
         with pytest.raises(ValueError):
             scoring.score_at_cutoffs(steps, ["k"], FRACTIONS, **options)
+
+
+def test_errors_of_sequences_are_added_up_once(spark):
+    """Means at cutoffs in any order, one ahead of the first item, equal sums of each prefix; the plan adds no prefix anew."""
+    pred, true = [1.5, 2.0, 0.1, 7.3, 4.4], [1.0, 2.5, 0.4, 3.0, 4.0]
+    start = dt.date(2000, 1, 1)
+    rows = [("a", 2001, start, start, start, true, true, pred, true), ("b", 2001, start, start, start, [1.0], [1.0], [3.0], [1.0])]
+    names = "site_name string, year int, start_date date, date_first date, date_full date, " + ", ".join(
+        f"{n} array<double>" for n in ("true_first", "true_full", "pred_first", "pred_full")
+    )
+    made = scoring.score_sequences(spark.createDataFrame(rows, names), [0.9, 0.1, 0.4, 0.6])
+    found = {(r["site_name"], r["cutoff"], r["fraction"]): (r["mae_first"], r["mae_full"]) for r in made.collect()}
+    for n, share in ((4, 0.9), (0, 0.1), (2, 0.4), (3, 0.6)):
+        total = 0.0
+        for p, t in zip(pred[:n], true[:n]):
+            total += abs(p - t)
+        assert found["a", n, share] == ((total / n, 0.0) if n else (None, None))
+    assert found["b", 0, 0.9] == (None, None)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan.split("Generate")[0]
