@@ -168,18 +168,16 @@ def series_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     else:
         past, coming = F.flatten(F.collect_list("_lasts").over(before)), F.flatten(F.collect_list("_firsts").over(after))
         carried = F.slice(past, F.greatest(F.size(past) - reach + 1, F.lit(1)), reach), F.slice(coming, 1, reach)
-    scan = placed.select(*block, "_shift", "_known", carried[0].alias("_past"), carried[1].alias("_coming"))
-    joined = rows.alias("a").join(stored(scan).alias("b"), same).select("a.*", "_shift", "_known", "_past", "_coming")
+    scan = placed.select(*block, "_shift", "_known", "_k", carried[0].alias("_past"), carried[1].alias("_coming"))
+    joined = rows.alias("a").join(stored(scan).alias("b"), same).select("a.*", "_shift", "_known", "_k", "_past", "_coming")
     joined = joined.withColumn("_pos", F.col("_at") + F.col("_shift") + 1)
     window = f"PARTITION BY {', '.join(block)} ORDER BY _at"
     near = neighbour_columns(joined, window, "_pos", value, method)
-    # How many known points the block has before and after each row; the others are carried over from its neighbours.
-    seen = near.withColumns(
-        {
-            "_behind": F.expr(f"count({value}) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
-            "_ahead": F.expr(f"count({value}) OVER ({window} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"),
-        }
-    )
+    # How many known points the block has before and after each row; the others are carried over from its neighbours. What is ahead is the
+    # rest of the block's: a frame that ends with the block would be counted anew for each row.
+    upto = F.expr(f"count({value}) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    seen = near.withColumn("_upto", upto)
+    seen = seen.withColumns({"_behind": F.col("_upto") - known.cast("int"), "_ahead": F.col("_k") - F.col("_upto")})
     found = {}
     for k in range(1, reach + 1):
         for part in ("pos", "val"):
@@ -188,7 +186,7 @@ def series_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             on = F.greatest(k - F.col("_ahead"), F.lit(1)).cast("int")
             found[f"_p{k}_{part}"] = F.coalesce(F.col(f"_p{k}_{part}"), F.when(F.col("_behind") < k, F.try_element_at("_past", back)[part]))
             found[f"_n{k}_{part}"] = F.coalesce(F.col(f"_n{k}_{part}"), F.when(F.col("_ahead") < k, F.try_element_at("_coming", on)[part]))
-    return seen.withColumns(found).drop("_at", "_part", "_shift", "_past", "_coming", "_behind", "_ahead")
+    return seen.withColumns(found).drop("_at", "_part", "_shift", "_past", "_coming", "_k", "_upto", "_behind", "_ahead")
 
 
 def fill_series(

@@ -110,3 +110,12 @@ def test_series_arguments(spark):
     with pytest.raises(ValueError):
         fill_series(series(spark, [1.0]), ["g"], ["i"], "v", method="spline")
     assert fill_series(series(spark), ["g"], ["i"], "v").count() == 0
+
+
+@pytest.mark.parametrize("method", ["linear", "quadratic"])
+def test_no_window_of_a_series_is_counted_anew_for_each_row(spark, method):
+    rows = spark.createDataFrame([("a", k, float(k * k) if k % 3 else None) for k in range(60)], "k string, t int, v double")
+    made = fill_series(rows, ["k"], ["t"], "v", method)
+    assert "specifiedwindowframe(RowFrame, 1, unboundedfollowing$())" not in made._jdf.queryExecution().optimizedPlan().toString()
+    # By groups, as one window.
+    assert sorted(made.collect()) == sorted(fill_gaps(rows, ["k"], "t", "v", method).collect())
