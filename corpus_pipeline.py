@@ -56,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of the text they decode to."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     outputs = ("n_tokens", "ids", "decoded_sha256")
-    return bpe_documents.encode_decode(docs.select("doc_id", "text"), vocabulary, outputs).select("doc_id", *outputs)
+    return bpe_documents.encode_decode(docs.select("doc_id", "text"), vocabulary, outputs, keep=("doc_id",))
 
 
 STAGES = [

@@ -441,5 +441,5 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, id_type: str = "<u4", decode: bool = False, streamed: bool = False) -> Codec:
-    """One codec per Python worker."""
-    return Codec(path, id_type, decode, streamed=streamed)
+    """One codec per Python worker. Streamed ones also decode, beside which fewer chunks are remembered."""
+    return Codec(path, id_type, decode, remember=200_000 if streamed else 500_000, streamed=streamed)

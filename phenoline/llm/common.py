@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +55,26 @@ def lower_ascii(column: Column) -> Column:
 
 def sub_batches(texts: list, most_chars: int = 2_000_000):
     """Cut a list of texts into runs of about ``most_chars``; yields (start, texts). A longer text is a run of its own."""
+    for start, end in _runs([len(text) if text else 0 for text in texts], most_chars):
+        yield start, texts[start:end]
+
+
+def sub_columns(column: pa.Array, most_chars: int = 2_000_000):
+    """The same for an Arrow column of texts, of which one run at a time becomes Python strings."""
+    for start, end in _runs(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), most_chars):
+        yield start, column.slice(start, end - start).to_pylist()
+
+
+def _runs(sizes: list[int], most: int):
+    """(start, end) of runs of about ``most`` in all."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and size + n > most_chars:
-            yield start, texts[start:i]
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
+            yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, texts[start:]
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def tidied(run: Callable) -> Callable:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenoline.llm.common import stored, sub_batches, tidied
+from phenoline.llm.common import stored, sub_columns, tidied
 from phenoline.llm.text_numbers import Words, mixed
 
 COUNTED = np.uint64(int(0.4 * 2**64))  # shingles with lower hashes are counted
@@ -94,7 +94,7 @@ def profiles(docs: DataFrame, width: int, percent: int, key: str, text: str, als
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for start, part in sub_batches(batch.column(1).to_pylist(), 1_000_000):
+            for start, part in sub_columns(batch.column(1), 1_000_000):
                 nodes, sizes, fronts = [], [], []
                 for s in shingle_sets(part, width):
                     node = _name(s)
@@ -162,7 +162,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, profile: DataFrame, width: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in sub_batches(batch.column(1).to_pylist(), 1_000_000):
+            for _, part in sub_columns(batch.column(1), 1_000_000):
                 sets = list(shingle_sets(part, width))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenoline.llm.common import give_back, sub_batches, tidied
+from phenoline.llm.common import give_back, sub_columns, tidied
 from phenoline.llm.text_numbers import Words, mixed
 
 WORDS, KINDS, PAIRS, REPEATS, LENGTHS, SIZES = 1024, 1024, 1024, 16, 32, 24
@@ -59,9 +59,9 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
     return np.bincount(np.concatenate(keys), minlength=len(texts) * TERMS).reshape(-1, TERMS)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Term counts in blocks of at most 128 texts."""
-    for start, part in sub_batches(texts, 1_000_000):
+    for start, part in sub_columns(texts, 1_000_000):
         for k in range(0, len(part), 128):
             yield start + k, term_counts(part[k : k + 128])
 
@@ -72,7 +72,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = 0, np.zeros(TERMS, np.int64)
         for batch in batches:
-            for _, counts in _blocks(batch.column(0).to_pylist()):
+            for _, counts in _blocks(batch.column(0)):
                 held += (counts > 0).sum(0)
                 rows += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(np.append(held, rows))], names=["term", "n"])
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, rank: int = 6
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, counts in _blocks(batch.column("text").to_pylist()):
+            for start, counts in _blocks(batch.column("text")):
                 at = [np.flatnonzero(c) for c in counts]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -171,7 +171,7 @@ def score(docs: DataFrame, voter: Voter, least: float = 0.3, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [voter.scores(counts) for _, counts in _blocks(batch.column(text).to_pylist())]
+            found = [voter.scores(counts) for _, counts in _blocks(batch.column(text))]
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(scores), pa.array((scores >= least).astype(np.int32))],

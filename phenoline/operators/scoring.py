@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from phenoline.functions.arrays import cutoff_length, item_at, last_item, prefix, prefix_sums
 from phenoline.functions.dates import add_days, add_fractional_days
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 # Default shares of a sequence that are shown to the model (fixed values).
 DEFAULT_FRACTIONS = (
     0.5, 0.6, 0.7, 0.75, 0.8, 0.825, 0.85, 0.875, 0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99,
@@ -256,6 +259,8 @@ def predict_sequences(steps: DataFrame, keys: Sequence[str], predict: Callable,
     numbered = steps.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd  # not with the module, which every Python worker loads
+
         def predicted(table: pa.Table, begins: np.ndarray) -> list[pa.RecordBatch]:
             frame = to_frame(table.select(names))
             made = [predict(frame.iloc[a:b].reset_index(drop=True)) for a, b in zip(begins, [*begins[1:], len(frame)])]

@@ -1,10 +1,13 @@
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +15,7 @@ from tokenizers import Tokenizer
 
 from phenoline.llm import bpe_documents, keyed_ids
 from phenoline.llm.bpe import Codec, Decoder, sufficient_lookahead
+from phenoline.llm.common import sub_batches, sub_columns
 from phenoline.sources.paths import scratch_path
 
 FILES = {n: public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
@@ -75,6 +79,26 @@ def test_documents(spark, odd_docs, no_docs):
         assert r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
+def test_texts_are_not_sent_back(spark, odd_docs):
+    got = bpe_documents.encode_decode(odd_docs, FILES["word_bpe_49k.json"], ("n_tokens", "ids_sha256"), keep=("doc_id",))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256"]
+    whole = bpe_documents.encode_decode(odd_docs, FILES["word_bpe_49k.json"], ("n_tokens", "ids_sha256")).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect()))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sampled_from([None, "", "é🙂", "abc", "x" * 30]), max_size=12), st.integers(1, 40))
+def test_columns_are_cut_as_lists(texts, most):
+    column = pa.array([None, *texts], pa.string()).slice(1)
+    assert list(sub_columns(column, most)) == list(sub_batches(texts, most))
+
+
+def test_workers_load_no_pandas():
+    code = "import sys, phenoline.llm.bpe_documents, phenoline.llm.neighbour_votes, phenoline.llm.jaccard_regions; print('pandas' in sys.modules)"
+    root = Path(__file__).resolve().parents[2]
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.strip() == "False"
+
+
 @pytest.mark.parametrize("rows_per_shard, most_parts", [(4, 16384), (8192, 16384), (2, 4), (1, 16384)])
 def test_store_round_trip(spark, odd_docs, rows_per_shard, most_parts):
     name = "byte_bpe_50k.json"
