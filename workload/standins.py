@@ -45,16 +45,16 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, date, temp): one row per day between a site's first and last day, null where nothing shipped.
 
-    Items fold to days in as many tasks as their size asks for, dealt by site and day, so that no site makes a task large; nearly every row is a
-    day of its own, so folding them ahead of the shuffle would only cost memory. Each day then brings forth the blank ones up to the next, so
+    Items fold to days in as many tasks as their size asks for, dealt by site, as its days meet in one task anyway to be put in order; a task holds
+    the days of its sites, not their items. Nearly every row is a day of its own, so folding them ahead of the shuffle would only cost memory. Each day then brings forth the blank ones up to the next, so
     blank days aren't shuffled. A site has one row for each of its days there.
     """
     tasks = season_tasks(spark, sf_dir)
     day = F.col("l_shipdate").cast("date").alias("date")
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", day, F.col("l_extendedprice").alias("temp"))
-    daily = items.repartition(tasks, "l_suppkey", "date").groupBy("l_suppkey", "date").agg(F.max("temp").alias("temp"))
+    daily = items.repartition(tasks, "l_suppkey").groupBy("l_suppkey", "date").agg(F.max("temp").alias("temp"))
     following = F.lead("date").over(Window.partitionBy("l_suppkey").orderBy("date"))
-    daily = daily.repartition(tasks, "l_suppkey").withColumn("next", following)
+    daily = daily.withColumn("next", following)
     named = daily.join(_suppliers(spark, sf_dir), "l_suppkey")
     # The last day has no next one, and a row without a date stays as it is.
     places = F.sequence(F.lit(0), F.coalesce(F.date_diff("next", "date") - 1, F.lit(0)))
