@@ -26,6 +26,11 @@ def test_unread_predictions_are_not_made(spark):
     assert "pmod" in plan(queries.score_sequence_rows(spark, SF_DIR), "optimizedPlan")
 
 
+def test_seasons_are_gathered_in_as_many_tasks_as_the_items_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(standins, "season_tasks", lambda *_: 23, raising=False)
+    assert queries.cutoff_values(spark, SF_DIR).rdd.getNumPartitions() == 23
+
+
 def test_season_rows_hold_the_steps(spark):
     names = ("true_first", "true_full", "pred_first", "pred_full")
     long = queries.predicted_steps(spark, SF_DIR).select("sim_id", "site", "year", "step", *names)
