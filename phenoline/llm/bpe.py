@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 import regex
 
 ROW = 48
+FEW = 64  # symbols up to which a scan for the lowest rank beats a heap
 PIECE = 4096  # ids that the decoder is fed at a time
 NONE = np.int32(2**31 - 1)
 
@@ -100,6 +102,8 @@ class MergeTable:
         for r, (a, b, _) in enumerate(self.merges):
             self.rank.setdefault((a, b), r)
         self.result = np.array([n for _, _, n in self.merges], np.int32)
+        # The same as Python's own numbers, for words that are merged one by one.
+        self.results, self.inner_of, self.final_of = self.result.tolist(), self.inner.tolist(), self.final.tolist()
         self._build_hash()
 
     def _build_hash(self) -> None:
@@ -181,8 +185,10 @@ class MergeTable:
         return out, count
 
     def merge_list(self, symbols: list[int]) -> list[int]:
-        """Merge one run of symbols with a heap of pairs."""
+        """Merge one run of symbols, the leftmost pair of lowest rank first; with a heap of pairs if there are many."""
         s, n = list(symbols), len(symbols)
+        if n <= FEW:
+            return self._merge_few(s)
         nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(self.rank[p], i) for i, p in enumerate(zip(s, s[1:])) if p in self.rank]
         heapq.heapify(heap)
@@ -191,7 +197,7 @@ class MergeTable:
             j = nxt[i] if alive[i] else n
             if j >= n or self.rank.get((s[i], s[j])) != rank:
                 continue
-            s[i], alive[j], nxt[i] = int(self.result[rank]), False, nxt[j]
+            s[i], alive[j], nxt[i] = self.results[rank], False, nxt[j]
             if nxt[j] < n:
                 prv[nxt[j]] = i
             for left in (prv[i], i):
@@ -201,6 +207,22 @@ class MergeTable:
                         heapq.heappush(heap, (new, left))
         return [t for t, a in zip(s, alive) if a]
 
+    def _merge_few(self, s: list[int]) -> list[int]:
+        known, results, none = self.rank.get, self.results, len(self.results)
+        ranks = list(map(known, zip(s, s[1:]), repeat(none)))
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
+                break
+            i = ranks.index(rank)
+            s[i] = new = results[rank]
+            del s[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = known((s[i - 1], new), none)
+            if i < len(ranks):
+                ranks[i] = known((new, s[i + 1]), none)
+        return s
+
     def encode_words(self, words: list[str], id_type: np.dtype) -> list[bytes]:
         """Ids, as bytes, of words that the splitting rule has cut."""
         raw = [w.encode() for w in words]
@@ -233,13 +255,16 @@ class MergeTable:
 
 
 def transduced(table: MergeTable, words: list[str], id_type: np.dtype) -> list[bytes]:
-    """Ids of words, each fed to a `WordTransducer` a piece at a time."""
-    out = []
+    """Ids of words, each fed to a `WordTransducer` a piece at a time. Its end leaves the machine as new."""
+    machine, ids, ends = WordTransducer(table), [], [0]
     for word in words:
-        machine, raw = WordTransducer(table), word.encode()
-        ids = [t for k in range(0, len(raw), 4096) for t in machine.feed(raw[k : k + 4096])]
-        out.append(np.array(ids + machine.end(), id_type).tobytes())
-    return out
+        raw = word.encode()
+        for k in range(0, len(raw), 4096):
+            ids += machine.feed(raw[k : k + 4096])
+        ids += machine.end()
+        ends.append(len(ids) * id_type.itemsize)
+    blob = np.array(ids, id_type).tobytes()
+    return [blob[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class WordTransducer:
@@ -254,7 +279,7 @@ class WordTransducer:
         while len(self.held) > self.window + 1:
             # The last byte held may turn out to end the word, so it isn't a symbol yet.
             part = self.held[: self.window]
-            tokens = self.table.merge_list([int(self.table.inner[b]) for b in part])
+            tokens = self.table.merge_list([self.table.inner_of[b] for b in part])
             end, done = 0, 0
             for t in tokens:
                 n = self._bytes(t)
@@ -268,7 +293,9 @@ class WordTransducer:
     def end(self) -> list[int]:
         if not self.held:
             return []
-        symbols = [int(self.table.inner[b]) for b in self.held[:-1]] + [int(self.table.final[self.held[-1]])]
+        inner = self.table.inner_of
+        symbols = [inner[b] for b in self.held]
+        symbols[-1] = self.table.final_of[self.held[-1]]
         self.held = b""
         return self.table.merge_list(symbols)
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from phenoline.llm import bpe_documents, keyed_ids
+from phenoline.llm import bpe, bpe_documents, keyed_ids
 from phenoline.llm.bpe import Codec, Decoder, sufficient_lookahead
 from phenoline.llm.common import sub_batches, sub_columns
 from phenoline.sources.paths import scratch_path
@@ -49,6 +49,30 @@ def test_long_words(name):
         assert STREAMED[name].encode([text]) == CODEC[name].encode([text])
 
 
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=150, deadline=None)
+@given(text=st.lists(st.sampled_from([*"abcdehilnorst", "the", "ing", "aaaa", "é"]), min_size=1, max_size=40).map("".join))
+def test_few_symbols_merge_as_many_do(name, text):
+    table = CODEC[name].table
+    symbols = [table.inner_of[b] for b in text.encode()]
+    symbols[-1] = table.final_of[text.encode()[-1]]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "FEW", 0)
+        by_heap = table.merge_list(symbols)
+    assert table._merge_few(list(symbols)) == by_heap
+
+
+def test_short_words_need_no_heap_and_no_array_each(monkeypatch):
+    """Where most words are new, those took most of the time."""
+    words, made = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}ning" for i in range(600)], []
+    want = CODEC["word_bpe_49k.json"].table.encode_words(words, np.dtype("<u4"))
+    array = np.array
+    monkeypatch.setattr(bpe.heapq, "heapify", lambda heap: made.append("heap"))
+    monkeypatch.setattr(bpe.np, "array", lambda *a: (made.append("array"), array(*a))[1])
+    assert bpe.transduced(STREAMED["word_bpe_49k.json"].table, words, np.dtype("<u4")) == want
+    assert made == ["array"]
+
+
 def test_decoder_state():
     name = "byte_bpe_50k.json"
     text = "naïve 🙂 中文 text"
