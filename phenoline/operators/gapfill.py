@@ -150,13 +150,36 @@ def series_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         F.array_sort(F.collect_list(F.when(F.col("_first"), point))).alias("_firsts"),
         F.array_sort(F.collect_list(F.when(F.col("_last"), point))).alias("_lasts"),
     )
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
+    placed = carried(sums.alias("a").join(ends.alias("b"), same, "left").select("a.*", "_firsts", "_lasts"), keys, "_part", reach)
+    scan = placed.select(*block, "_shift", "_known", "_k", "_past", "_coming")
+    joined = rows.alias("a").join(stored(scan).alias("b"), same).select("a.*", "_shift", "_known", "_k", "_past", "_coming")
+    joined = joined.withColumn("_pos", F.col("_at") + F.col("_shift") + 1)
+    window = f"PARTITION BY {', '.join(block)} ORDER BY _at"
+    near = neighbour_columns(joined, window, "_pos", value, method)
+    seen = near.withColumn("_upto", known_so_far(window, value))
+    return with_carried(seen, value, reach).drop("_at", "_part", "_shift", "_past", "_coming", "_k", "_upto")
+
+
+def known_so_far(window: str, value: str) -> Column:
+    """The number of known points up to each row of a block.
+
+    What is ahead of a row is the rest of its block's: a frame that ends with the block would be counted anew for each row.
+    """
+    return F.expr(f"count({value}) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
+
+def carried(sums: DataFrame, keys: Sequence[str], part: str, reach: int) -> DataFrame:
+    """A scan of blocks: what to add to a block's row numbers, the known points of its group, and the points before and after the block.
+
+    ``sums`` holds a row for each block ``part`` of a group, with its lowest row number ``_low``, its rows ``_n`` and known points ``_k``, and the
+    first and last of these in ``_firsts`` and ``_lasts``, as arrays of row number ``_at`` and value ``val``.
+    """
     group = Window.partitionBy(*keys)
-    ordered = group.orderBy("_part")
+    ordered = group.orderBy(part)
     before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
-    summed = sums.alias("a").join(ends.alias("b"), same, "left").select("a.*", "_firsts", "_lasts")
     shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low")
-    placed = summed.withColumns({"_shift": shift, "_known": F.sum("_k").over(group)})
+    placed = sums.withColumns({"_shift": shift, "_known": F.sum("_k").over(group)})
 
     def moved(points: str) -> Column:
         """Points with their places in the group."""
@@ -164,20 +187,18 @@ def series_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     placed = placed.withColumns({"_firsts": moved("_firsts"), "_lasts": moved("_lasts")})
     if reach == 1:
-        carried = F.array(F.last(F.get("_lasts", F.lit(0)), True).over(before)), F.array(F.first(F.get("_firsts", F.lit(0)), True).over(after))
+        found = F.array(F.last(F.get("_lasts", F.lit(0)), True).over(before)), F.array(F.first(F.get("_firsts", F.lit(0)), True).over(after))
     else:
         past, coming = F.flatten(F.collect_list("_lasts").over(before)), F.flatten(F.collect_list("_firsts").over(after))
-        carried = F.slice(past, F.greatest(F.size(past) - reach + 1, F.lit(1)), reach), F.slice(coming, 1, reach)
-    scan = placed.select(*block, "_shift", "_known", "_k", carried[0].alias("_past"), carried[1].alias("_coming"))
-    joined = rows.alias("a").join(stored(scan).alias("b"), same).select("a.*", "_shift", "_known", "_k", "_past", "_coming")
-    joined = joined.withColumn("_pos", F.col("_at") + F.col("_shift") + 1)
-    window = f"PARTITION BY {', '.join(block)} ORDER BY _at"
-    near = neighbour_columns(joined, window, "_pos", value, method)
-    # How many known points the block has before and after each row; the others are carried over from its neighbours. What is ahead is the
-    # rest of the block's: a frame that ends with the block would be counted anew for each row.
-    upto = F.expr(f"count({value}) OVER ({window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    seen = near.withColumn("_upto", upto)
-    seen = seen.withColumns({"_behind": F.col("_upto") - known.cast("int"), "_ahead": F.col("_k") - F.col("_upto")})
+        found = F.slice(past, F.greatest(F.size(past) - reach + 1, F.lit(1)), reach), F.slice(coming, 1, reach)
+    return placed.withColumns({"_past": found[0], "_coming": found[1]}).drop("_low", "_n", "_firsts", "_lasts")
+
+
+def with_carried(seen: DataFrame, value: str, reach: int) -> DataFrame:
+    """`neighbour_columns` of blocks, completed by the points carried over from their neighbours. ``_k`` counts a block's known points."""
+    # How many known points the block has before and after each row; the others are carried over.
+    behind = F.col("_upto") - F.col(value).isNotNull().cast("int")
+    seen = seen.withColumns({"_behind": behind, "_ahead": F.col("_k") - F.col("_upto")})
     found = {}
     for k in range(1, reach + 1):
         for part in ("pos", "val"):
@@ -186,7 +207,7 @@ def series_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             on = F.greatest(k - F.col("_ahead"), F.lit(1)).cast("int")
             found[f"_p{k}_{part}"] = F.coalesce(F.col(f"_p{k}_{part}"), F.when(F.col("_behind") < k, F.try_element_at("_past", back)[part]))
             found[f"_n{k}_{part}"] = F.coalesce(F.col(f"_n{k}_{part}"), F.when(F.col("_ahead") < k, F.try_element_at("_coming", on)[part]))
-    return seen.withColumns(found).drop("_at", "_part", "_shift", "_past", "_coming", "_k", "_upto", "_behind", "_ahead")
+    return seen.withColumns(found).drop("_behind", "_ahead")
 
 
 def fill_series(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phenoline.functions.arrays import known
 from phenoline.functions.dates import parse_day_month, season_start, season_year, whole_days
-from phenoline.operators.gapfill import METHODS, neighbour_columns, series_neighbours, with_filled, with_spline
+from phenoline.operators.gapfill import METHODS, carried, known_so_far, neighbour_columns, with_carried, with_filled, with_spline
 from phenoline.operators.layout import repeat_rows, spread
 
 SEASON_COLUMNS = [
@@ -180,7 +180,7 @@ def build_season_steps(
     site), ``unique_dates`` (one reading per site and date) and ``one_year`` (all events precede the next
     season's start). Each promise saves steps of the plan, which depends on the arguments alone, never on the data. Without
     ``unique_dates`` counts per date decide which seasons are kept before any reading is joined, so a date may be repeated any number of times;
-    kept seasons of any length are then put in order and filled by blocks. Without ``unique_keys`` copies are counted and the result numbers
+    seasons of any length that are kept are then filled by the season years that they cover. Without ``unique_keys`` copies are counted and the result numbers
     equal seasons in ``copy``.
 
     ``partitions`` is the number of tasks among which the seasons are dealt. It should grow with the readings, so that what a task sorts
@@ -188,8 +188,8 @@ def build_season_steps(
     """
     if method not in METHODS:
         raise ValueError(f"unknown fill method {method!r}, choose one of {list(METHODS)}")
-    by_blocks = not unique_dates and not drop_invalid
-    if by_blocks and method == "spline":
+    by_years = not unique_dates and not drop_invalid
+    if by_years and method == "spline":
         raise ValueError("the spline needs whole seasons in memory; with drop_invalid=False promise unique_dates")
     day, month = parse_day_month(start)
 
@@ -218,16 +218,15 @@ def build_season_steps(
             # Many seasons of one site and year are placed by their full key, so they don't share a task.
             rows = rows.repartition(*keys)
         rows = _with_totals(rows, keys, blanks=not drop_invalid)
-    else:
-        seasons = season_totals(seasons, readings, day, month)
-        if drop_invalid:
-            seasons = seasons.filter(_valid(min_points))
+    elif drop_invalid:
+        seasons = season_totals(seasons, readings, day, month).filter(_valid(min_points))
         rows = _season_days(seasons, readings, bool(one_year), day, month)
-        if not drop_invalid:
-            empty = seasons.filter("n_first = 0 AND n_full = 0")
-            rows = rows.unionByName(empty, allowMissingColumns=True)
-    if by_blocks:
-        steps = _filled_by_blocks(rows, keys, min_points, method)
+    if by_years:
+        # Placed once, for the counts, the sums of the years and the rows. What a join on them asks for is asked here, or each would place its own.
+        readings = readings.filter("site IS NOT NULL AND season_year IS NOT NULL")
+        readings = readings.repartition(*([partitions] if partitions else []), "site", "season_year")
+        seasons = season_totals(seasons, readings, day, month)
+        steps = _filled_by_years(seasons, readings, keys, min_points, method, day, month)
     else:
         if drop_invalid and not unique_dates:
             rows = rows.filter(_valid(min_points))
@@ -276,12 +275,37 @@ def _filled(rows: DataFrame, keys: list[str], min_points: int, method: str, by_d
     return _steps(with_filled(placed, "step", "temp", ends, method), min_points)
 
 
-def _filled_by_blocks(rows: DataFrame, keys: list[str], min_points: int, method: str) -> DataFrame:
-    """The same for seasons with any number of readings."""
-    near = series_neighbours(rows, keys, ["date", "temp"], "temp", method)
+def _filled_by_years(seasons: DataFrame, readings: DataFrame, keys: list[str], min_points: int, method: str, day: int, month: int) -> DataFrame:
+    """The same for seasons with any number of readings, which may cover several season years, from ``seasons`` with ``TOTALS``.
+
+    Readings are put in order and look for their neighbours once, within their site and season year, whose windows spill what a task can't hold, and
+    stay there. A season takes them from the years that it covers: a scan of the years' sums, a row each, gives every year its place and
+    the points before and after it.
+    """
+    reach, year = METHODS[method], ["site", "season_year"]
+    window = f"PARTITION BY {', '.join(year)} ORDER BY date, temp"
+    near = readings.withColumn("_at", F.expr(f"CAST(row_number() OVER ({window}) - 1 AS BIGINT)"))
+    near = neighbour_columns(near, window, "_at", "temp", method).withColumn("_upto", known_so_far(window, "temp"))
+    known_, point = F.col("temp").isNotNull(), F.struct(F.col("_at"), F.col("temp").alias("val"))
+    ends = near.withColumns({"_first": known_ & F.col(f"_p{reach}_pos").isNull(), "_last": known_ & F.col(f"_n{reach}_pos").isNull()})
+    sums = ends.withColumn("_end", F.expr(f"lead(_at) OVER ({window}) IS NULL")).filter("_first OR _last OR _end").groupBy(*year).agg(
+        (F.max("_at") + 1).alias("_n"),
+        F.max("_upto").alias("_k"),
+        F.array_sort(F.collect_list(F.when(F.col("_first"), point))).alias("_firsts"),
+        F.array_sort(F.collect_list(F.when(F.col("_last"), point))).alias("_lasts"),
+    )
+    covered = _cover_years(seasons, day, month).join(sums, year, "left").withColumn("_low", F.lit(0))
+    covered = carried(covered, keys, "season_year", reach).withColumnRenamed("_known", "_of_season")
+    days = near.withColumnsRenamed({"site": "_site", "season_year": "_year"})
+    rows = covered.join(days, (F.col("site") == F.col("_site")) & (F.col("season_year") == F.col("_year")) & _in_window(), "left")
+    # A season without readings keeps one row.
+    rows = rows.filter("date IS NOT NULL OR (n_first = 0 AND n_full = 0 AND season_year = year)")
+    places = ["_at", *[f"_{tag}{k}_pos" for tag in ("p", "n") for k in range(1, reach + 1)]]
+    rows = with_carried(rows.withColumns({c: F.col(c) + F.col("_shift") + 1 for c in places}), "temp", reach)
     # Positions count from 1 here.
-    near = near.withColumns({"_last_first": F.col("n_first"), "_last_full": F.col("n_full")})
-    filled = with_filled(near, "_pos", "temp", {"fill_first": "_last_first", "fill_full": "_last_full"}, method)
+    rows = rows.withColumn("_pos", F.coalesce("_at", F.lit(1)))
+    near_ends = {"_last_first": F.col("n_first"), "_last_full": F.col("n_full")}
+    filled = with_filled(rows.withColumns(near_ends), "_pos", "temp", {"fill_first": "_last_first", "fill_full": "_last_full"}, method)
     filled = filled.withColumns({"step": (F.col("_pos") - 1).cast("int"), "_last_first": F.col("n_first") - 1, "_last_full": F.col("n_full") - 1})
     return _steps(filled, min_points)
 

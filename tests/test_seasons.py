@@ -225,6 +225,25 @@ def test_random_tables_with_repeats_and_invalid_seasons(spark):
     assert {(r.site_name, r.year) for r in kept} == valid
 
 
+def test_kept_seasons_are_one_plan_that_places_readings_once(spark):
+    """No job ahead of the action, no sampled ranges, no stored copy; neighbours of both methods as in windows of a season."""
+    rng = random.Random(5)
+    obs = readings(spark, [None if rng.random() < 0.6 else round(rng.uniform(-5, 30), 1) for _ in range(800)])
+    first, full = events(spark, ("A", 2000, START + 9 * DAY), ("A", 2001, START + 700 * DAY)), events(spark, ("A", 2000, START + 460 * DAY), ("A", 2001, START + 760 * DAY))
+    tracker = spark.sparkContext.statusTracker()
+    for method in ("linear", "quadratic"):
+        spark.sparkContext.setJobGroup(f"kept-{method}", "")
+        try:
+            kept = build(spark, obs, first, full, method=method, drop_invalid=False)
+            assert not tracker.getJobIdsForGroup(f"kept-{method}")
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "rangepartitioning" not in kept._jdf.queryExecution().executedPlan().toString() and "parquet" not in plan
+        assert steps_of(kept) == steps_of(build(spark, obs, first, full, method=method, drop_invalid=False, unique_dates=True))
+    assert kept.count() == 461 + 395
+
+
 def test_spline_seasons(spark):
     rng = random.Random(2)
     values = [None if rng.random() < 0.4 else 10 * math.sin(i / 9) + rng.uniform(-3, 3) for i in range(80)]
