@@ -134,8 +134,8 @@ def _season_days(seasons: DataFrame, readings: DataFrame, one_year: bool, day: i
 def season_totals(seasons: DataFrame, readings: DataFrame, day: int, month: int) -> DataFrame:
     """``seasons`` with ``TOTALS``, counted without multiplying seasons by readings.
 
-    Readings fold to one count per date, map-side, however often a date is repeated, and those to one array per site and season year, of at
-    most a year's dates. A season looks its sums up in the arrays of the years that it covers.
+    Readings fold to one count per date, however often a date is repeated, and those to one array per site and season year, of at
+    most a year's dates; nothing is shuffled for it if they are placed by site and season year. A season looks its sums up in the arrays of the years that it covers.
     """
     daily = readings.groupBy("site", "season_year", "date").agg(F.count("*").alias("n"), F.count("temp").alias("known"))
     years = daily.groupBy("site", "season_year").agg(F.collect_list(F.struct("date", "n", "known")).alias("days"))
@@ -179,8 +179,8 @@ def build_season_steps(
     Whoever knows it can promise ``unique_keys`` (one event row per site and year, one coordinate row per
     site), ``unique_dates`` (one reading per site and date) and ``one_year`` (all events precede the next
     season's start). Each promise saves steps of the plan, which depends on the arguments alone, never on the data. Without
-    ``unique_dates`` counts per date decide which seasons are kept before any reading is joined, so a date may be repeated any number of times;
-    seasons of any length that are kept are then filled by the season years that they cover. Without ``unique_keys`` copies are counted and the result numbers
+    ``unique_dates`` readings are placed once, by site and season year, and counts per date decide which seasons are kept before any reading is joined, so
+    a date may be repeated any number of times; seasons are then filled by the season years that they cover. Without ``unique_keys`` copies are counted and the result numbers
     equal seasons in ``copy``.
 
     ``partitions`` is the number of tasks among which the seasons are dealt. It should grow with the readings, so that what a task sorts
@@ -188,8 +188,8 @@ def build_season_steps(
     """
     if method not in METHODS:
         raise ValueError(f"unknown fill method {method!r}, choose one of {list(METHODS)}")
-    by_years = not unique_dates and not drop_invalid
-    if by_years and method == "spline":
+    by_years = not unique_dates and method != "spline"
+    if not unique_dates and not drop_invalid and method == "spline":
         raise ValueError("the spline needs whole seasons in memory; with drop_invalid=False promise unique_dates")
     day, month = parse_day_month(start)
 
@@ -218,18 +218,18 @@ def build_season_steps(
             # Many seasons of one site and year are placed by their full key, so they don't share a task.
             rows = rows.repartition(*keys)
         rows = _with_totals(rows, keys, blanks=not drop_invalid)
-    elif drop_invalid:
-        seasons = season_totals(seasons, readings, day, month).filter(_valid(min_points))
-        rows = _season_days(seasons, readings, bool(one_year), day, month)
-    if by_years:
+    else:
         # Placed once, for the counts, the sums of the years and the rows. What a join on them asks for is asked here, or each would place its own.
         readings = readings.filter("site IS NOT NULL AND season_year IS NOT NULL")
         readings = readings.repartition(*([partitions] if partitions else []), "site", "season_year")
         seasons = season_totals(seasons, readings, day, month)
+        if drop_invalid:
+            seasons = seasons.filter(_valid(min_points))
+    if by_years:
         steps = _filled_by_years(seasons, readings, keys, min_points, method, day, month)
     else:
-        if drop_invalid and not unique_dates:
-            rows = rows.filter(_valid(min_points))
+        if not unique_dates:
+            rows = _season_days(seasons, readings, bool(one_year), day, month).filter(_valid(min_points))
         steps = _filled(rows, keys, min_points, method, by_day=drop_invalid and unique_dates)
     if not unique_keys:
         return repeat_rows(steps, "copies", "copy").drop("copies")

@@ -52,7 +52,7 @@ def scale_seasons(
     """
     if fit_on not in FIT_ON:
         raise ValueError(f"fit_on must be one of {FIT_ON}, got {fit_on!r}")
-    rows = stored(seasons)
+    rows = stored(seasons, "zstd")
     basis = rows if fit_on == "all" else split_exact(rows, ["site_name", "year"], fraction, seed)[0]
     scalers = fit_scalers(basis, config)
     return apply_scalers(rows, scalers), scalers

@@ -30,10 +30,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/phenoline-{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write a table to scratch space and read it back, so later jobs start from files that outlive executors."""
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

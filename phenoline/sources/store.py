@@ -24,7 +24,7 @@ def write_seasons(seasons: DataFrame, scalers: Mapping[str, Scaler], path: str,
     spark = seasons.sparkSession
     entry = {"build": f"build-{uuid.uuid4().hex}", "key": key}
     place = f"{path.rstrip('/')}/{entry['build']}"
-    seasons.write.parquet(f"{place}/seasons")
+    seasons.write.option("compression", "zstd").parquet(f"{place}/seasons")
     scalers_to_table(spark, scalers).write.parquet(f"{place}/scalers")
     publish(spark, manifest_path(path), entry)
     return entry

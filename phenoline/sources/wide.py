@@ -10,6 +10,10 @@ from phenoline.functions.arrays import clean_number
 from phenoline.functions.dates import strict_date
 
 
+# Cells of a line that travel together to their names (fixed value).
+BLOCK = 256
+
+
 def csv_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     """Column names of a headered CSV; reads its first line only."""
     return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path).columns
@@ -68,25 +72,35 @@ def melt_wide_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(key, name, cell) of a headered wide CSV, for any number of columns: the first cell of a line, and each other column's name and cell.
 
     Lines are cut into cells and the cells take their names by place from the header of their file, so the plan has one expression whatever the
-    number of columns, and the files may differ in theirs. Names are listed once for each different header, not for each file. Blank cells and
+    number of columns, and the files may differ in theirs. Names are listed once for each different header, not for each file, and meet the cells in
+    blocks of ``BLOCK`` columns, so that only text in arrays is shuffled where the names are too many to be sent to the cells. Blank cells and
     those that a short line lacks become null. Lines that begin as the header does are headers; cells beyond the header's are dropped, as are
     blank lines.
     """
     lines = _lines(spark, path)
     headers = _headers(lines)
-    names = _header_cells(headers, sep).filter("place > 0")
+    heads = headers.groupBy("head").agg(F.first("header").alias("header")).select("head", csv_cells(F.col("header"), sep).alias("names"))
+    names = heads.select("head", F.explode(_blocks("names", F.size("names"))).alias("b")).select("head", "b.*")
     found = csv_cells(F.col("header"), sep)
     files = headers.select("file", "head", F.get(found, F.lit(0)).alias("first"), F.size(found).alias("width"))
-    cells = lines.filter(F.length("line") > 0).select("file", csv_cells(F.col("line"), sep).alias("cells")).join(files, "file")
-    lacking = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.col("width") - F.size("cells"), F.lit(0)))
+    # A short row a file, which the driver has listed anyway: lines aren't shuffled for it.
+    cells = lines.filter(F.length("line") > 0).select("file", csv_cells(F.col("line"), sep).alias("cells")).join(F.broadcast(files), "file")
     # A header's key is null, so nothing that reads keys can fail on it, wherever the optimizer moves the reading.
     key = F.get("cells", F.lit(0))
     cells = cells.withColumn("key", F.when(key != F.col("first"), key)).filter("key IS NOT NULL")
-    keyed = cells.select("head", "key", F.posexplode(F.concat("cells", lacking)).alias("place", "cell")).filter("place > 0")
-    named = keyed.join(names, ["head", "place"])
+    blocks = cells.select("head", "key", F.explode(_blocks("cells", F.col("width"))).alias("b")).select("head", "key", "b.*")
+    named = blocks.join(names, ["head", "block"]).select("key", F.explode(F.arrays_zip("names", "cells")).alias("c"))
+    named = named.select("key", F.col("c.names").alias("name"), F.col("c.cells").alias("cell")).filter("name IS NOT NULL")
     return named.select("key", "name", F.when(F.col("cell") != "", F.col("cell")).alias("cell"))
 
 
+def _blocks(cells: str, width: Column) -> Column:
+    """The cells of a line but for the first as numbered blocks of ``BLOCK``, as many as ``width`` cells have."""
+    numbers = F.sequence(F.lit(0), F.floor((width - 2) / BLOCK).cast("int"))
+    made = F.transform(numbers, lambda i: F.struct(i.alias("block"), F.slice(cells, i * BLOCK + 2, BLOCK).alias(cells)))
+    return F.when(width > 1, made)
+
+
 def read_wide_observations(spark: SparkSession, path: str, sep: str = ",", fmt: str = "yyyy-M-d") -> DataFrame:
     """``(date, site, temp)`` from a wide CSV of any width; a bad date fails the query."""
     long = melt_wide_csv(spark, path, sep)

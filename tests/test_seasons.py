@@ -244,6 +244,20 @@ def test_kept_seasons_are_one_plan_that_places_readings_once(spark):
     assert kept.count() == 461 + 395
 
 
+def test_valid_seasons_place_readings_once(spark):
+    """Counts per date and filled days come from one placement by site and season year."""
+    obs = readings(spark, [1.0] * 12).unionByName(readings(spark, [2.0] * 400, site="B"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = build(spark, obs)
+        assert len(steps.collect()) == 12
+        plan = steps._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    placed = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert len(placed) == 3 and sum("ReusedExchange" not in line for line in placed) == 1
+
+
 def test_spline_seasons(spark):
     rng = random.Random(2)
     values = [None if rng.random() < 0.4 else 10 * math.sin(i / 9) + rng.uniform(-3, 3) for i in range(80)]

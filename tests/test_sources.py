@@ -286,3 +286,19 @@ def test_a_run_of_wide_rows_is_written_where_it_is(spark, tmp_path):
     apart, together = (runs.read_finished_runs(spark, f"{tmp_path}/{n}") for n in ("apart", "together"))
     assert sorted(apart.collect()) == sorted(together.collect())
     assert len(apart.inputFiles()) > len(together.inputFiles()) == 4
+
+
+def test_cells_travel_to_their_names_in_blocks(spark, tmp_path):
+    """More columns than a block holds, a short line, and names that aren't sent to the cells."""
+    names = [f"s{i}" for i in range(600)]
+    write(tmp_path / "b", "a.csv", ",".join(["Date", *names]) + "\n2000-1-1," + ",".join(map(str, range(600))) + "\n2000-1-2," + ",".join(map(str, range(300))) + "\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = wide.read_wide_observations(spark, str(tmp_path / "b"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted((str(r.date), int(r.site[1:]), r.temp) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(d, i, float(i) if i < n else None) for d, n in (("2000-01-01", 600), ("2000-01-02", 300)) for i in range(600)]
+    # A line is cut up in its task: not shuffled to its header, and a cell isn't a row before it has its name.
+    assert "posexplode" not in plan and plan.count("Exchange hashpartitioning(file") <= 2
