@@ -2,8 +2,8 @@
 
 For bounded groups (season rows are: one per day) all lookups are null-skipping ``lag`` and ``lead`` over one sorted window, so a
 fill costs one pass over the rows of each group. `fill_series` fills groups of any size on two levels: blocks of a range
-partitioned sort, and a scan of the blocks' first and last known points. The spline looks at a whole group; it is fitted in Arrow
-batches, a bounded group at a time.
+partitioned sort, and a scan of the blocks' first and last known points. The spline looks at a whole group; splines are fitted in Arrow
+batches, some hundred bounded groups side by side.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenoline.functions.splines import fill_spline
+from phenoline.functions.splines import fill_splines
 from phenoline.sources.paths import stored
 
 # How many known points each method looks at on either side; the spline looks at all.
 METHODS = {"linear": 1, "quadratic": 3, "spline": 0}
+# Rows of groups that a task fits splines to at once: some hundred seasons (fixed value).
+SPLINE_ROWS = 1 << 16
 
 
 def neighbour_columns(df: DataFrame, window: str, pos: str, value: str, method: str) -> DataFrame:
@@ -96,7 +98,7 @@ def with_spline(
 
     ``windows`` maps its name to the column with its last position; rows behind that get null. ``df`` must hold each group of ``keys`` in one
     partition, as after a window function over them, with ``pos`` counting up from ``start``. Windows for which no spline exists are filled by
-    lines. A task holds one group at a time.
+    lines. A task holds some ``SPLINE_ROWS`` rows, whose splines are fitted side by side, and the group that they end in.
     """
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in windows]])
 
@@ -105,25 +107,31 @@ def with_spline(
             at = table.column(pos).to_numpy()
             values = table.column(value).to_numpy().astype(float)
             begins = np.flatnonzero(at == start)
-            for name, last in windows.items():
-                out = np.full(len(values), np.nan)
-                for a, b in zip(begins, [*begins[1:], len(at)]):
-                    end = b if last is None else min(b, a + table.column(last)[int(a)].as_py() + 1 - start)
-                    if end > a:
-                        out[a:end] = fill_spline(values[a:end])
-                table = table.append_column(name, pa.array(out, from_pandas=True))
-            return table.combine_chunks().to_batches()
-
-        rest = None
+            ends = np.append(begins[1:], len(at))
+            stops = {n: ends if last is None else np.minimum(ends, begins + table.column(last).to_numpy()[begins] + 1 - start) for n, last in windows.items()}
+            spans = [(n, a, b) for n, stop in stops.items() for a, b in zip(begins, stop) if b > a]
+            out = {n: np.full(len(values), np.nan) for n in windows}
+            for (n, a, b), made in zip(spans, fill_splines([values[a:b] for _, a, b in spans])):
+                out[n][a:b] = made
+            for n in windows:
+                table = table.append_column(n, pa.array(out[n], from_pandas=True))
+            return table.combine_chunks().to_batches(SPLINE_ROWS // 8)
+
+        rest, rows, due = [], 0, SPLINE_ROWS
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            begins = np.flatnonzero(table.column(pos).to_numpy() == start)
-            cut = int(begins[-1]) if len(begins) else 0
-            yield from filled(table.slice(0, cut)) if cut else []
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from filled(rest)
+            rest.append(batch)
+            rows += batch.num_rows
+            if rows < due:
+                continue
+            table = pa.Table.from_batches(rest)
+            cut = int(np.flatnonzero(table.column(pos).to_numpy() == start)[-1])
+            if cut:
+                yield from filled(table.slice(0, cut))
+            rest = table.slice(cut).to_batches()
+            rows -= cut
+            due = max(SPLINE_ROWS, 2 * rows)
+        if rows:
+            yield from filled(pa.Table.from_batches(rest))
 
     return df.sortWithinPartitions(*keys, pos).mapInArrow(run, schema)
 

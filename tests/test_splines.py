@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from phenoline.functions import splines
 from phenoline.functions.splines import basis, fill_linear, fill_spline, jumps, smoothing_spline
 
 
@@ -113,3 +114,25 @@ def test_gaps():
     assert fill_spline(np.array([1.0, nan, np.inf, 3.0, nan, 5.0])).tolist()[0] == 1.0
     with pytest.raises(ValueError):
         smoothing_spline(np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+
+
+@pytest.mark.parametrize("side_by_side", [1, 7, 512])
+def test_splines_side_by_side_are_those_fitted_alone(monkeypatch, side_by_side):
+    """All lengths and bounds: polynomials, few knots, knots on all points, interpolation, and series that no spline is fitted to."""
+    rng = np.random.default_rng(3)
+    many = []
+    for share in (0.05, 0.3, 0.9):
+        for noise in (0.0, 0.5, 1.5, 400.0):
+            for n in (1, 4, 6, 9, 30, 120, 240):
+                curve = 10 * np.sin(np.arange(n) / 15) + noise * rng.standard_normal(n)
+                many += [np.where(rng.random(n) < share, curve, np.nan), np.where(rng.random(n) < share, 1e5 * rng.random(n), np.nan)]
+    many += [np.array([1.0, np.nan, np.inf, 3.0, np.nan, 5.0]), np.full(5, np.nan), np.array([]), np.arange(4.0)]
+    want = [fill_spline(v) for v in many]
+    alone = []
+    monkeypatch.setattr(splines, "SIDE_BY_SIDE", side_by_side)
+    monkeypatch.setattr(splines, "fill_spline", lambda v, k=2: alone.append(v) or fill_spline(v, k))
+    got = splines.fill_splines(many)
+    for g, w, v in zip(got, want, many):
+        assert g == pytest.approx(w, rel=1e-6, abs=1e-6 * np.nanmax(np.abs(v), initial=1.0), nan_ok=True)
+    # Only series without gaps or with too few or infinite values go alone.
+    assert all((~np.isnan(v)).sum() <= 2 or not np.isnan(v).any() or np.isinf(v).any() for v in alone)
