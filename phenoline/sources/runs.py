@@ -12,6 +12,10 @@ from phenoline.operators.reshape import summary_to_long
 from phenoline.sources.commits import files, folders, move, published, publish
 
 
+# How many folders a task may write to at once, beyond which Spark sorts its rows by folder, and what each holds of its file (fixed values).
+OPEN_FILES, MOST_OPEN, HELD_BYTES = "spark.sql.maxConcurrentOutputFileWriters", "64", 8 << 20
+
+
 def write_runs(df: DataFrame, path: str, mode: str = "error") -> None:
     """One folder per run and cutoff share, as partition columns that later reads can prune by.
 
@@ -57,13 +61,22 @@ def write_run(predictions: DataFrame, stem: str, sim_id: int, parameters: Mappin
     and the parameters, so a run that stopped halfway is never listed. A run's folders are written once: names that are taken raise FileExistsError.
 
     Rows are gathered by folder before they are written. ``gather=False`` leaves them in their tasks, each of which writes a file to each folder:
-    for rows with long arrays, whose shuffle would take more disk than the run, in tasks that hold few of them.
+    for rows with long arrays, whose shuffle would take more disk than the run. They go to their files as they come, unsorted, so a task
+    may make any number of them; numbers of long arrays seldom repeat in a way that a dictionary of them would pay for.
     """
     spark, stem = predictions.sparkSession, stem.rstrip("/")
     rows = predictions.drop("sim_id")
     draft = f"{stem}/draft-{uuid.uuid4().hex}"
-    placed = rows.hint("rebalance", "fraction") if gather else rows
-    placed.write.option("compression", "zstd").partitionBy("fraction").parquet(draft)
+    if gather:
+        rows.hint("rebalance", "fraction").write.option("compression", "zstd").partitionBy("fraction").parquet(draft)
+    else:
+        before = spark.conf.get(OPEN_FILES)
+        spark.conf.set(OPEN_FILES, MOST_OPEN)
+        try:
+            writer = rows.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": HELD_BYTES})
+            writer.partitionBy("fraction").parquet(draft)
+        finally:
+            spark.conf.set(OPEN_FILES, before)
     places = {}
     for name in folders(spark, draft):
         places[name] = f"sim_id_{sim_id}/test_cutoff_{name.partition('=')[2]}/predictions.parquet"

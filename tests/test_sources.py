@@ -302,3 +302,21 @@ def test_cells_travel_to_their_names_in_blocks(spark, tmp_path):
     assert got == [(d, i, float(i) if i < n else None) for d, n in (("2000-01-01", 600), ("2000-01-02", 300)) for i in range(600)]
     # A line is cut up in its task: not shuffled to its header, and a cell isn't a row before it has its name.
     assert "posexplode" not in plan and plan.count("Exchange hashpartitioning(file") <= 2
+
+
+def test_wide_rows_go_to_their_files_unsorted(spark, tmp_path):
+    """Rows of a run reach the writer in the order in which they are made, whatever their number, and the setting is put back."""
+    rows = spark.range(400).select("id", (F.col("id") % 8 / 8).alias("fraction"), F.array_repeat("id", 5).alias("a")).coalesce(1)
+    held, plans = spark.conf.get(runs.OPEN_FILES), []
+    write = type(rows.write).parquet
+
+    def seen(self, path, *args, **options):
+        plans.append(spark.conf.get(runs.OPEN_FILES))
+        return write(self, path, *args, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows.write), "parquet", seen)
+        runs.write_run(rows, f"{tmp_path}/r", 3, gather=False)
+    assert plans == [runs.MOST_OPEN] and spark.conf.get(runs.OPEN_FILES) == held
+    back = runs.read_finished_runs(spark, f"{tmp_path}/r")
+    assert sorted((r.id, r.fraction, r.a) for r in back.collect()) == sorted((r.id, r.fraction, r.a) for r in rows.collect())
