@@ -11,7 +11,7 @@ from phenoline.operators.scaling import DEFAULT_CONFIG, Scaler, apply_scalers, f
 from phenoline.operators.seasons import build_season_steps, sites_in_country
 from phenoline.operators.split import split_exact
 from phenoline.sources.commits import cache_key
-from phenoline.sources.paths import stored
+from phenoline.sources.paths import free_shuffles, stored
 from phenoline.sources.store import load_or_create
 from phenoline.sources.wide import read_cities, read_wide_csv, read_wide_observations
 
@@ -53,6 +53,7 @@ def scale_seasons(
     if fit_on not in FIT_ON:
         raise ValueError(f"fit_on must be one of {FIT_ON}, got {fit_on!r}")
     rows = stored(seasons, "zstd")
+    free_shuffles(rows.sparkSession)
     basis = rows if fit_on == "all" else split_exact(rows, ["site_name", "year"], fraction, seed)[0]
     scalers = fit_scalers(basis, config)
     return apply_scalers(rows, scalers), scalers

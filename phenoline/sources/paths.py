@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/phenoline-{uuid.uuid4().hex}/{name}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go, for use after large tables are written.
+
+    Spark removes them when the driver's collector finds their plans unused, which a driver with memory to spare may not look for until the disks
+    are full. What a plan refers to is found by the second look.
+    """
+    for _ in range(2):
+        spark._jvm.java.lang.System.gc()
+        time.sleep(1)
+
+
 def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write a table to scratch space and read it back, so later jobs start from files that outlive executors."""
     path = scratch_path(df.sparkSession, "table")

@@ -1,4 +1,5 @@
 import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
@@ -320,3 +321,18 @@ def test_wide_rows_go_to_their_files_unsorted(spark, tmp_path):
     assert plans == [runs.MOST_OPEN] and spark.conf.get(runs.OPEN_FILES) == held
     back = runs.read_finished_runs(spark, f"{tmp_path}/r")
     assert sorted((r.id, r.fraction, r.a) for r in back.collect()) == sorted((r.id, r.fraction, r.a) for r in rows.collect())
+
+
+def test_shuffles_of_written_tables_leave_the_disk(spark):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    paths.free_shuffles(spark)
+    before = files()
+    paths.stored(spark.range(1000).repartition(7, "id"))
+    assert files() > before
+    paths.free_shuffles(spark)
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
